@@ -19,15 +19,19 @@ def _valid(body: Column) -> Column:
     return F.try_parse_json(body).isNotNull()
 
 
-def parse_model_json(text: Column) -> Column:
-    """Field map of the outermost JSON object; field by field when the JSON is broken."""
-    body = F.regexp_extract(_unfenced(text), r"(?s)\{.*\}", 0)
-    body = F.regexp_replace(body, r",\s*(?=[}\]])", "")
+def parse_model_json(df: DataFrame, text: str, output: str = "fields") -> DataFrame:
+    """Adds the field map of the outermost JSON object; field by field when the JSON is broken."""
+    body = F.regexp_extract(_unfenced(F.col(text)), r"(?s)\{.*\}", 0)
+    cut = df.withColumn("_body", F.regexp_replace(body, r",\s*(?=[}\]])", ""))
+    body = F.col("_body")
     found = [_text_entry(body, name) for name in rules.PLACE_TEXT_FIELDS]
     found += [_number_entry(body, name) for name in rules.PLACE_NUMBER_FIELDS]
-    entries = F.array_compact(F.array(*found))
-    loose = F.when(F.size(entries) >= rules.MIN_FIELDS, F.map_from_entries(entries))
-    return F.when(_valid(body), F.from_json(body, TEXT_MAP)).otherwise(loose)
+    entries = F.when(~_valid(body), F.array_compact(F.array(*found)))
+    loose = cut.withColumn("_entries", entries)
+    fields = F.when(F.col("_entries").isNull(), F.from_json(body, TEXT_MAP)).when(
+        F.size("_entries") >= rules.MIN_FIELDS, F.map_from_entries("_entries")
+    )
+    return loose.withColumn(output, fields).drop("_body", "_entries")
 
 
 def _text_entry(body: Column, name: str) -> Column:
@@ -119,11 +123,12 @@ def _as_number(fields: Column, key: str) -> Column:
 
 def parse_food_json(df: DataFrame, text: str) -> DataFrame:
     """One row per food found in the model output, with resolved nutrients."""
-    clean = F.regexp_replace(F.col(text), "```json|```", "")
-    body = F.regexp_extract(clean, r"(?s)^[^{\[]*(\{.*\}|\[.*\])", 1)
-    found = _parsed_foods(body)
-    none = found.isNull() | (F.size(found) == 0)
-    foods = df.withColumn("_food", F.explode(F.when(none, _loose_foods(clean)).otherwise(found)))
+    cut = df.withColumn("_clean", F.regexp_replace(F.col(text), "```json|```", ""))
+    body = F.regexp_extract("_clean", r"(?s)^[^{\[]*(\{.*\}|\[.*\])", 1)
+    cut = cut.withColumn("_body", body)
+    cut = cut.withColumn("_found", _parsed_foods(F.col("_body")))
+    none = F.col("_found").isNull() | (F.size("_found") == 0)
+    foods = cut.withColumn("_food", F.explode(F.when(none, _loose_foods(F.col("_clean"))).otherwise(F.col("_found"))))
     fields = F.col("_food.fields")
     return (
         foods.withColumns(
@@ -135,7 +140,7 @@ def parse_food_json(df: DataFrame, text: str) -> DataFrame:
                 "fat": F.coalesce(_nutrient(fields, "fat"), F.lit(rules.DEFAULT_FAT)),
             }
         )
-        .drop("_food")
+        .drop("_food", "_found", "_body", "_clean")
         .where("calories IS NOT NULL AND protein IS NOT NULL")
     )
 

@@ -10,11 +10,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderleaf.fixed import food_rules as rules
 from cinderleaf.functions.text import passes_toxicity, strip
 
 
+OVERLAP = T.StructType(
+    [T.StructField("bleu", T.DoubleType()), T.StructField("rouge_l", T.DoubleType())]
+)
+
+
 def _bleu(reference: list[str], candidate: list[str]) -> float:
     if not reference or len(candidate) < 4:
         return 0.0
@@ -52,7 +58,7 @@ def _rouge(reference: list[str], candidate: list[str]) -> float:
     return 2 * precision * recall / (precision + recall)
 
 
-@F.pandas_udf("bleu double, rouge_l double")
+@F.pandas_udf(OVERLAP)
 def _overlap(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for references, candidates in pairs:
         rows = []

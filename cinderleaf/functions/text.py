@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderleaf.fixed import guard_rules as rules
 
@@ -79,7 +80,7 @@ def passes_toxicity(text: Column) -> Column:
     return ~text.rlike("(?Ui)" + "|".join(rules.TOXIC_PATTERNS))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

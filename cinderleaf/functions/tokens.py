@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderleaf.fixed import food_rules as rules
 from cinderleaf.fixed import templates as text_rules
@@ -41,7 +42,7 @@ def decode_bytes(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.char(F.pmod(i - OFFSET, F.lit(256)))), "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _nfkc_each(pieces: pd.Series) -> pd.Series:
     return pieces.map(lambda ps: [unicodedata.normalize("NFKC", p) for p in ps], na_action="ignore")
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderleaf.fixed import templates as text_rules
 from cinderleaf.functions.template import render
@@ -143,7 +144,7 @@ def keyword_retrieve(
     return found.join(bounded(docs.select(order, title)), order).select(query_id, order, title, "rank")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _sequence_ratio(new: pd.Series, old: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio where its cheap upper bounds leave a chance above the shown limit."""
 

@@ -36,9 +36,8 @@ def build_catalog(
     nodes: DataFrame, ways: DataFrame, done: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
     """Map nodes and ways to complete place records; `done` holds records of earlier runs."""
-    return complete_places(
-        osm_places(nodes, ways, limit).withColumn("_ord", F.col("id")).drop("id"), "_ord", done
-    ).drop("_ord")
+    found = osm_places(nodes, ways, limit).withColumn("_ord", F.struct("kind", "id"))
+    return complete_places(found.drop("kind", "id"), "_ord", done).drop("_ord")
 
 
 def training_pairs(places: DataFrame, order: str, assistant: str = "Assistant") -> DataFrame:

@@ -171,19 +171,17 @@ def way_centroids(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def osm_places(nodes: DataFrame, ways: DataFrame, limit: int | None = rules.FEATURE_LIMIT) -> DataFrame:
-    """Place candidates of named nodes, then of named ways, up to the limit in id order."""
-    points = _candidates(nodes, settlements=True).withColumn("_kind", F.lit(0))
+    """Place candidates of named nodes (kind 0), then of ways (kind 1), first `limit` in id order."""
+    points = _candidates(nodes, settlements=True).withColumn("kind", F.lit(0))
     tag = F.col("tag")
     usable = ways.where(
         (F.map_contains_key(tag, "name") | F.map_contains_key(tag, "name:en"))
         & _feature_category(tag, False).isNotNull()
     )
     centred = usable.select("id", "tag").join(way_centroids(usable, nodes), "id")
-    areas = _candidates(centred, settlements=False).withColumn("_kind", F.lit(1))
+    areas = _candidates(centred, settlements=False).withColumn("kind", F.lit(1))
     found = points.unionByName(areas)
-    if limit is not None:
-        found = found.orderBy("_kind", "id").limit(limit)
-    return found.drop("_kind")
+    return found if limit is None else found.orderBy("kind", "id").limit(limit)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
