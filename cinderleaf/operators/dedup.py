@@ -22,16 +22,18 @@ def exact_dedup(docs: DataFrame, order: str, text: str = "text") -> DataFrame:
     return docs.join(first, order, "left_semi")
 
 
-def shingles(text: Column) -> Column:
-    """Sorted distinct 64-bit hashes of five-word runs; short texts give one hash of the raw text."""
-    tokens = words(F.lower(text))
+def with_shingles(docs: DataFrame, text: str) -> DataFrame:
+    """Adds `hashes`: sorted distinct 64-bit hashes of five-word runs; the raw text's for short texts.
+
+    The words are a column of their own, so they are split once and not once per run.
+    """
     n = rules.SHINGLE_WORDS
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-        lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, n), " ")),
-    )
-    short = F.size(tokens) < n
-    return F.when(short, F.array(F.xxhash64(text))).otherwise(F.array_sort(F.array_distinct(runs)))
+    split = docs.withColumn("_words", words(F.lower(text)))
+    short = F.size("_words") < n
+    places = F.when(~short, F.sequence(F.lit(1), F.size("_words") - (n - 1)))
+    runs = F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("_words", i, n), " ")))
+    hashes = F.when(short, F.array(F.xxhash64(text))).otherwise(F.array_sort(F.array_distinct(runs)))
+    return split.withColumn("hashes", hashes).drop("_words")
 
 
 def _least_shared(n: Column) -> Column:
@@ -146,7 +148,7 @@ def near_duplicate_orders(docs: DataFrame, order: str, text: str = "text") -> Da
     keyed = checkpoint(keyed)
     firsts = checkpoint(keyed.groupBy("same").agg(F.min("ord").alias("ord")).select("ord"))
     copies = keyed.select("ord").join(firsts, "ord", "left_anti")
-    sets = docs.select(F.col(order).alias("ord"), shingles(F.col(text)).alias("hashes"))
+    sets = with_shingles(docs.select(F.col(order).alias("ord"), text), text).drop(text)
     sets = checkpoint(sets.join(firsts, "ord", "left_semi").withColumn("n", F.size("hashes")))
     posts = checkpoint(_prefixes(sets).withColumn("band", F.explode(_bands(F.col("n")))))
     posts, crowd = _clear_crowds(posts, sets)

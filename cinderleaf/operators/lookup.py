@@ -9,19 +9,14 @@ from cinderleaf.fixed import food_rules as food
 from cinderleaf.fixed import place_rules as rules
 from cinderleaf.functions.template import contains_any
 from cinderleaf.functions.text import strip
-from cinderleaf.session import bounded, checkpoint
+from cinderleaf.session import bounded, checkpoint, fits_broadcast
 
 GRAM = 6
 
 
 def _grams(text: Column, size: int) -> Column:
-    """Distinct substrings of one length; empty when the text is shorter."""
-    cuts = F.transform(
-        F.sequence(F.lit(1), F.length(text) - size + 1),
-        lambda i: F.substring(text, i, F.lit(size)),
-    )
-    none = F.array().cast("array<string>")
-    return F.when(F.length(text) >= size, F.array_distinct(cuts)).otherwise(none)
+    """Distinct substrings of one length, by an overlapping match in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
@@ -42,15 +37,17 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str)
     for size in sorted(sizes):
         pieces = F.when(F.col("_size") == size, _grams(F.col(needle), size)).otherwise(pieces)
         cuts.append(_grams(F.col(text), size))
+    # every table below has at most one row per needle
+    hint = F.broadcast if fits_broadcast(names) else lambda df: df
     distinct = sized.select(needle, "_size").distinct()
     entries = distinct.select(needle, F.explode(pieces).alias("_piece"))
     use = entries.groupBy("_piece").agg(F.count("*").alias("_uses"))
     rarest = entries.join(use, "_piece").groupBy(needle).agg(
         F.min(F.struct("_uses", "_piece"))["_piece"].alias("_piece")
     )
-    keyed = names.join(bounded(rarest), needle)
+    keyed = names.join(hint(rarest), needle)
     spread = texts.withColumn("_piece", F.explode(F.concat(*cuts)))
-    met = spread.join(bounded(keyed), "_piece").drop("_piece")
+    met = spread.join(hint(keyed), "_piece").drop("_piece")
     return met.where(F.col(text).contains(F.col(needle)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderleaf.fixed import place_rules as rules
-from cinderleaf.session import checkpoint
+from cinderleaf.session import bounded, checkpoint
 
 
 def district_edges(spark: SparkSession) -> DataFrame:
@@ -16,38 +16,41 @@ def district_edges(spark: SparkSession) -> DataFrame:
 
 
 def _paths(starts: DataFrame, edges: DataFrame, blocked: DataFrame | None) -> DataFrame:
-    """(start, node, path): fewest-hop path to every reachable node, first in neighbour order.
+    """(start, node, avoid, path): fewest-hop path to every reachable node, first in neighbour order.
 
-    One round per hop, over at most one row per (start, node). Blocked nodes can end a path but are
-    not passed through.
+    One round per hop, over at most one row per (start, node, avoid). With `avoid`, blocked nodes can
+    end a path but are not passed through.
     """
-    reached = checkpoint(
-        starts.select(
-            F.col("src").alias("start"),
-            F.col("src").alias("node"),
-            F.array("src").alias("path"),
-            F.array().cast("array<int>").alias("turns"),
-        )
+    modes = F.array(F.lit(False)) if blocked is None else F.array(F.lit(False), F.lit(True))
+    keys = ["start", "node", "avoid"]
+    reached = starts.select(
+        F.col("src").alias("start"),
+        F.col("src").alias("node"),
+        F.explode(modes).alias("avoid"),
+        F.array("src").alias("path"),
+        F.array().cast("array<int>").alias("turns"),
     )
+    hops = edges.withColumn("closed", F.lit(False))
+    if blocked is not None:
+        closed = blocked.select(F.col("district").alias("src"), F.lit(True).alias("closed")).distinct()
+        hops = edges.join(closed, "src", "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
+    hops = checkpoint(hops.coalesce(1))  # a fixed graph of some hundred edges
+    reached = checkpoint(reached)
     frontier = reached
     while not frontier.isEmpty():
-        through = frontier
-        if blocked is not None:
-            closed = blocked.select(F.col("district").alias("node"), F.lit(True).alias("_closed"))
-            through = frontier.join(closed, "node", "left").where(
-                F.col("_closed").isNull() | (F.col("node") == F.col("start"))
-            ).drop("_closed")
-        steps = through.join(edges, through["node"] == edges["src"]).select(
+        steps = frontier.join(F.broadcast(hops), frontier["node"] == hops["src"])
+        steps = steps.where(~(F.col("avoid") & F.col("closed")) | (F.col("node") == F.col("start"))).select(
             "start",
             F.col("dst").alias("node"),
+            "avoid",
             F.concat("path", F.array("dst")).alias("path"),
             F.concat("turns", F.array("pos")).alias("turns"),
         )
-        fresh = steps.join(reached.select("start", "node"), ["start", "node"], "left_anti")
-        best = fresh.groupBy("start", "node").agg(F.min(F.struct("turns", "path")).alias("_p"))
-        frontier = checkpoint(best.select("start", "node", "_p.path", "_p.turns"))
+        best = steps.groupBy(keys).agg(F.min(F.struct("turns", "path")).alias("_p"))
+        fresh = best.join(reached.select(keys), keys, "left_anti")
+        frontier = checkpoint(fresh.select(*keys, "_p.path", "_p.turns").coalesce(1))
         reached = reached.unionByName(frontier)
-    return reached.select("start", "node", "path")
+    return reached.select(*keys, "path")
 
 
 def district_routes(
@@ -63,9 +66,9 @@ def district_routes(
     )
     starts = pairs.select(F.col("_from").alias("src")).distinct()
     starts = starts.join(nodes.withColumnRenamed("district", "src"), "src", "left_semi")
-    open_paths = _paths(starts, edges, None)
+    paths = checkpoint(_paths(starts, edges, blocked))
     names = [F.col("start").alias("_from"), F.col("node").alias("_to")]
-    any_path = open_paths.select(*names, F.col("path").alias("_any"))
+    any_path = paths.where("NOT avoid").select(*names, F.col("path").alias("_any"))
     # a pair with equal ends is its own path, also outside the graph
     own = F.when(F.col("_from") == F.col("_to"), F.array("_from"))
     if blocked is None:
@@ -73,7 +76,7 @@ def district_routes(
             "_from", "_to", F.coalesce(own, "_any").alias("path"), F.lit(False).alias("fallback")
         )
     else:
-        clear = _paths(starts, edges, blocked).select(*names, F.col("path").alias("_clear"))
+        clear = paths.where("avoid").select(*names, F.col("path").alias("_clear"))
         routed = pairs.join(any_path, ["_from", "_to"], "left").join(clear, ["_from", "_to"], "left")
         routed = routed.select(
             "_from",
@@ -82,7 +85,7 @@ def district_routes(
             (own.isNull() & F.col("_clear").isNull() & F.col("_any").isNotNull()).alias("fallback"),
         )
     keyed = trips.withColumns({"_from": F.lower(F.trim(src)), "_to": F.lower(F.trim(dst))})
-    return keyed.join(F.broadcast(routed), ["_from", "_to"], "left").drop("_from", "_to")
+    return keyed.join(bounded(routed), ["_from", "_to"], "left").drop("_from", "_to")
 
 
 def _district_summary(places: DataFrame, alerts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_queries", "place_queries", "aggregate_queries"]
+MODULES = ["text_queries", "place_queries", "aggregate_queries", "composite_queries"]
 
 
 def load() -> None:

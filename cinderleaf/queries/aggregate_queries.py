@@ -103,12 +103,12 @@ def csv_profile(spark, sf):
 
 @query(
     "csv_warnings",
-    f"""{_MEASURED}, s AS (SELECT 2 AS stage, row_num, 0 AS part, concat('Row ', row_num, ': Instruction has only ', uw, ' words.') AS warning FROM m WHERE uw IN (1, 2)
+    f"""{_MEASURED}, w AS (SELECT 2 AS stage, row_num, 0 AS part, concat('Row ', row_num, ': Instruction has only ', uw, ' words.') AS warning FROM m WHERE uw IN (1, 2)
  UNION ALL SELECT 2, row_num, 1, concat('Row ', row_num, ': Response has only ', bw, ' words.') FROM m WHERE bw IN (1, 2))
 SELECT 0 AS stage, row_num AS row, 0 AS part, concat('Row ', row_num, ': Empty instruction (CRITICAL error).') AS warning FROM m WHERE a = ''
 UNION ALL SELECT 1, row_num, 0, concat('Row ', row_num, ': Empty response (CRITICAL error).') FROM m WHERE b = ''
-UNION ALL (SELECT stage, row_num, part, warning FROM s ORDER BY row_num, part LIMIT 50)
-UNION ALL SELECT 3, NULL, 0, concat('... and ', count(*) - 50, ' more length warnings.') FROM s HAVING count(*) > 50""",
+UNION ALL (SELECT stage, row_num, part, warning FROM w ORDER BY row_num, part LIMIT 50)
+UNION ALL SELECT 3, NULL, 0, concat('... and ', count(*) - 50, ' more length warnings.') FROM w HAVING count(*) > 50""",
 )
 def csv_warnings(spark, sf):
     return aggregates.csv_warnings(_instruction_rows(spark, sf), "row_num", "ask", "reply", "extra")
@@ -403,11 +403,11 @@ def training_progress(spark, sf):
 
 @query(
     "validation_perplexity",
-    f"{cte('steps')} SELECT run_id, round(avg(loss), 6) AS val_loss, round(exp(avg(loss)), 6) AS perplexity FROM steps GROUP BY run_id",
+    f"{cte('steps')} SELECT run_id, round(avg(loss) * 3, 4) AS val_loss, round(exp(avg(loss)), 4) AS perplexity FROM steps GROUP BY run_id",
 )
 def validation_perplexity(spark, sf):
     out = aggregates.validation_perplexity(view(spark, sf, "steps"), by=["run_id"])
-    return out.select("run_id", F.round("val_loss", 6).alias("val_loss"), F.round("perplexity", 6).alias("perplexity"))
+    return out.select("run_id", F.round(F.col("val_loss") * 3, 4).alias("val_loss"), F.round("perplexity", 4).alias("perplexity"))
 
 
 @query("audit_page", f"{cte('audit')} SELECT event_id, message FROM audit ORDER BY event_id DESC LIMIT 20 OFFSET 40")

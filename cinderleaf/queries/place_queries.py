@@ -295,13 +295,13 @@ _RATES = values(rules.CURRENCY_RATES, "code, rate")
 @query(
     "convert_currency",
     f"""WITH r AS ({_RATES}), o AS (SELECT o_orderkey, o_totalprice AS amount, {_CODE} AS code FROM orders)
-SELECT o_orderkey, rate, round(amount * rate, 2) AS lkr, rate IS NULL AS unsupported FROM o LEFT JOIN r ON r.code = lower(trim(o.code))""",
+SELECT o_orderkey, rate, amount * rate AS lkr, rate IS NULL AS unsupported FROM o LEFT JOIN r ON r.code = lower(trim(o.code))""",
 )
 def convert_currency(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("amount"), F.expr(_CODE).alias("code"))
     out = lookup.convert_currency(rows, "amount", "code")
     return out.select(
-        "o_orderkey", "rate", F.round("lkr", 2).alias("lkr"), F.col("answer").startswith("Unsupported").alias("unsupported")
+        "o_orderkey", "rate", "lkr", F.col("answer").startswith("Unsupported").alias("unsupported")
     )
 
 
@@ -367,14 +367,14 @@ def _hazard_sql(tail: str) -> str:
     return f"""{cte('trips', 'places', 'alerts')}, {_alert_sql()},
 w AS (SELECT lower(district) AS district, arg_min(level, event_id) AS level, arg_min(hazard, event_id) AS hazard,
  arg_min(bulletin, event_id) AS bulletin FROM tagged GROUP BY 1),
-u AS (SELECT trip_id, unnest({_PATH}) AS district, generate_subscripts({_PATH}, 1) AS at FROM trips),
-s AS (SELECT trip_id, district, min(at) AS at FROM u GROUP BY trip_id, district),
+u AS (SELECT trip_id, unnest({_PATH}) AS district, generate_subscripts({_PATH}, 1) AS hop FROM trips),
+s AS (SELECT trip_id, district, min(hop) AS hop FROM u GROUP BY trip_id, district),
 p AS (SELECT lower(district_id) AS district, ord, safety_level, name FROM places),
 dist AS (SELECT district, min(ord) FILTER (WHERE safety_level = 'Dangerous') AS first, count(*) FILTER (WHERE safety_level = 'Dangerous') AS dangers FROM p GROUP BY 1),
 early AS (SELECT p.district, count(*) AS n FROM p JOIN dist USING (district) WHERE safety_level = 'Moderate' AND (first IS NULL OR ord < first) GROUP BY 1),
-r AS (SELECT trip_id, at, s.district, first, coalesce(dangers, 0) AS dangers, coalesce(early.n, 0) AS cautions, level, hazard, bulletin,
- coalesce(max(coalesce(dangers, 0) > 0) OVER (PARTITION BY trip_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen,
- coalesce(max(coalesce(level = 'Red', false)) OVER (PARTITION BY trip_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS red,
+r AS (SELECT trip_id, hop, s.district, first, coalesce(dangers, 0) AS dangers, coalesce(early.n, 0) AS cautions, level, hazard, bulletin,
+ coalesce(max(coalesce(dangers, 0) > 0) OVER (PARTITION BY trip_id ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen,
+ coalesce(max(coalesce(level = 'Red', false)) OVER (PARTITION BY trip_id ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS red,
  max(coalesce(dangers, 0) > 0) OVER (PARTITION BY trip_id) AS bad
  FROM s LEFT JOIN dist ON dist.district = s.district LEFT JOIN early ON early.district = s.district LEFT JOIN w ON w.district = s.district),
 x AS (SELECT *, dangers + CASE WHEN seen THEN 0 ELSE cautions END AS spots, coalesce(level = 'Red' OR (level = 'Amber' AND NOT bad AND NOT red), false) AS shown FROM r)
@@ -419,19 +419,19 @@ def route_cautions(spark, sf):
 # --- deduplication and changes ------------------------------------------------------------------------------------
 
 
-_SHINGLES = f"""t AS (SELECT doc_id, text, {q.words('lower(text)')} AS w FROM documents),
-sh AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 5 THEN [text] ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM t),
-un AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sh),
-ov AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM un a JOIN un b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-ed AS (SELECT b, list(a) AS earlier FROM ov WHERE c * 5 >= (na + nb - c) * 4 GROUP BY b),
-seq AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, coalesce(earlier, []::BIGINT[]) AS earlier FROM documents LEFT JOIN ed ON b = doc_id),
-scan AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
- SELECT seq.i, CASE WHEN list_has_any(scan.kept, seq.earlier) THEN scan.kept ELSE list_append(scan.kept, seq.doc_id) END
- FROM scan JOIN seq ON seq.i = scan.i + 1),
-kept AS (SELECT unnest(kept) AS doc_id FROM scan WHERE i = (SELECT max(i) FROM scan))"""
+_DROPPED = f"""t AS MATERIALIZED (SELECT doc_id, text, {q.words('lower(text)')} AS w FROM documents),
+sh AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) < 5 THEN [hash(text)] ELSE list_transform(generate_series(1, len(w) - 4),
+ lambda i: hash(array_to_string(w[i:i+4], ' '))) END) AS s FROM t),
+un AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sh),
+ov AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM un a JOIN un b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ed AS MATERIALIZED (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS i FROM ov WHERE c * 5 >= (na + nb - c) * 4 GROUP BY b),
+scan AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL
+ SELECT ed.i, CASE WHEN len(list_filter(ed.earlier, lambda x: NOT list_contains(scan.gone, x))) > 0 THEN list_append(scan.gone, ed.b) ELSE scan.gone END
+ FROM scan JOIN ed ON ed.i = scan.i + 1),
+gone AS (SELECT unnest(gone) AS doc_id FROM scan WHERE i = (SELECT max(i) FROM scan))"""
 
 
-@query("near_dedup", f"WITH RECURSIVE {_SHINGLES} SELECT doc_id FROM kept")
+@query("near_dedup", f"WITH RECURSIVE {_DROPPED} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone)")
 def near_duplicates(spark, sf):
     return near_dedup(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id")
 
@@ -540,6 +540,10 @@ def vector_topk(spark, sf):
     return top.withColumn("score", F.round("score", 6))
 
 
+_PLATE = (
+    "CASE o_orderkey % 7 WHEN 0 THEN 'Jaffna Crab' WHEN 1 THEN 'Fish rice' WHEN 2 THEN 'budget Egg Hopper' "
+    "WHEN 3 THEN 'fitness chicken fish' WHEN 4 THEN 'string hoppers' WHEN 5 THEN 'DHAL normal' ELSE 'soup' END"
+)
 _RECIPES = "SELECT * FROM (VALUES " + ", ".join(
     f"({o}, {q.text(t)}, [{', '.join(q.text(x) for x in tags)}])" for o, t, _, tags in food.RECIPES
 ) + ") AS v(ord, title, tags)"
@@ -547,16 +551,17 @@ _RECIPES = "SELECT * FROM (VALUES " + ", ".join(
 
 @query(
     "keyword_retrieve",
-    f"""{cte('components')}, d AS ({_RECIPES}), c AS (SELECT component_id, lower(name) AS n FROM components),
-h AS (SELECT component_id, ord, title FROM c JOIN d ON len(list_filter(tags, lambda t: contains(n, t))) > 0
+    f"""WITH d AS ({_RECIPES}), c AS (SELECT o_orderkey, lower({_PLATE}) AS n FROM orders),
+h AS (SELECT o_orderkey, ord, title FROM c JOIN d ON len(list_filter(tags, lambda t: contains(n, t))) > 0
   OR len(list_filter({q.words('n')}, lambda w: contains(lower(title), w))) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY component_id ORDER BY ord) AS rank FROM h)
-SELECT component_id, ord, title, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2
-UNION ALL SELECT component_id, 0, {q.text(food.RECIPES[0][1])}, 1 FROM c WHERE component_id NOT IN (SELECT component_id FROM h)""",
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY ord) AS rank FROM h)
+SELECT o_orderkey, ord, title, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2
+UNION ALL SELECT o_orderkey, 0, {q.text(food.RECIPES[0][1])}, 1 FROM c WHERE o_orderkey NOT IN (SELECT o_orderkey FROM h)""",
 )
 def keyword_retrieve(spark, sf):
     docs = spark.createDataFrame(food.RECIPES, "ord int, title string, desc string, tags array<string>")
-    return retrieval.keyword_retrieve(view(spark, sf, "components"), "component_id", "name", docs, "ord")
+    asked = table(spark, sf, "orders").select("o_orderkey", F.expr(_PLATE).alias("ask"))
+    return retrieval.keyword_retrieve(asked, "o_orderkey", "ask", docs, "ord")
 
 
 @query("similar_prompt")
