@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cinderleaf.fixed import place_rules as rules
 from cinderleaf.fixed import templates as text
 from cinderleaf.functions.template import choose, contains_any, first_key, render
-from cinderleaf.functions.text import strip
+from cinderleaf.functions.text import let, strip
 
 
 def place_id(name: Column) -> Column:
@@ -70,11 +70,13 @@ def nearest_centre(lat: Column, lng: Column, centres: list[tuple] | None = None)
             for order, (district, c_lat, c_lng, province) in enumerate(centres or rules.DISTRICTS)
         ]
     )
-    best = F.array_min(options)
     known = lat.isNotNull() & lng.isNotNull()
-    return F.struct(
-        F.when(known, best["district"]).otherwise("Unknown").alias("district"),
-        F.when(known, best["province"]).otherwise("Unknown").alias("province"),
+    return let(
+        F.when(known, F.array_min(options)),
+        lambda best: F.struct(
+            F.coalesce(best["district"], F.lit("Unknown")).alias("district"),
+            F.coalesce(best["province"], F.lit("Unknown")).alias("province"),
+        ),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderleaf.fixed import guard_rules as rules
-from cinderleaf.functions.text import passes_toxicity
+from cinderleaf.functions.text import let, passes_toxicity
 
 
 def contains_pii(text: Column) -> Column:
@@ -26,16 +26,29 @@ def redact_pii(text: Column) -> Column:
     return text
 
 
-def replace_each(text: Column, pattern: str, decide: Callable[[Column], Column]) -> Column:
-    """Replace every match by `decide(match)`; text without a match is passed through."""
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    woven = F.zip_with(
-        between,
-        found,
-        lambda gap, hit: F.concat(gap, F.when(hit.isNotNull(), decide(hit)).otherwise("")),
-    )
-    return F.when(text.rlike(pattern), F.array_join(woven, "")).otherwise(text)
+# Every phone and card pattern needs three digits in a row; texts without them skip the patterns.
+DIGIT_RUN = r"(?U)\d{3}"
+
+
+def replace_each(
+    text: Column, pattern: str, decide: Callable[[Column], Column], gate: str | None = None
+) -> Column:
+    """Replace every match by `decide(match)`; text without a match of the gate is passed through."""
+
+    def weave(value: Column) -> Column:
+        woven = F.zip_with(
+            F.split(value, pattern, -1),
+            F.regexp_extract_all(value, F.lit(pattern), F.lit(0)),
+            lambda gap, hit: F.concat(gap, F.when(hit.isNotNull(), decide(hit)).otherwise("")),
+        )
+        return F.when(value.rlike(gate or pattern), F.array_join(woven, "")).otherwise(value)
+
+    return let(text, weave)
+
+
+def hide_emails(text: Column) -> Column:
+    hidden = F.regexp_replace(text, rules.EMAIL, "[REDACTED_EMAIL]")
+    return F.when(text.contains("@"), hidden).otherwise(text)
 
 
 def _digits(match: Column) -> Column:
@@ -66,8 +79,7 @@ def _hide_card(match: Column) -> Column:
 
 
 def _hide_contacts(text: Column) -> Column:
-    text = F.regexp_replace(text, rules.EMAIL, "[REDACTED_EMAIL]")
-    return replace_each(text, "(?U)" + rules.ANY_PHONE, _hide_phone)
+    return replace_each(hide_emails(text), "(?U)" + rules.ANY_PHONE, _hide_phone, DIGIT_RUN)
 
 
 def scrub_pii(text: Column) -> Column:
@@ -75,7 +87,7 @@ def scrub_pii(text: Column) -> Column:
     text = _hide_contacts(text)
     text = F.regexp_replace(text, "(?U)" + rules.OLD_NIC, "[REDACTED_NIC]")
     text = F.regexp_replace(text, "(?U)" + rules.NEW_NIC, "[REDACTED_NIC]")
-    text = replace_each(text, "(?U)" + rules.CARD, _hide_card)
+    text = replace_each(text, "(?U)" + rules.CARD, _hide_card, DIGIT_RUN)
     return F.regexp_replace(text, "(?U)" + rules.GPS, "[REDACTED_GPS]")
 
 
@@ -87,7 +99,7 @@ def sanitize_credentials(text: Column) -> Column:
 
 
 def scrub_guest_text(text: Column) -> Column:
-    text = F.regexp_replace(text, rules.EMAIL, "[REDACTED_EMAIL]")
+    text = hide_emails(text)
     text = F.regexp_replace(text, "(?U)" + rules.LOCAL_PHONE, "[REDACTED_PHONE]")
     nic = f"(?U){rules.OLD_NIC}|{rules.NEW_NIC}"
     text = F.regexp_replace(text, nic, "[REDACTED_NIC]")
@@ -98,11 +110,13 @@ def scrub_guest_text(text: Column) -> Column:
 def redact_output(text: Column) -> Column:
     """Struct (text, ok): not ok for toxic text, personal data or a secret."""
     clean = passes_toxicity(text) & ~contains_pii(text)
-    hidden = redact_pii(text)
-    return F.struct(
-        F.when(clean, hidden).otherwise(text).alias("text"),
-        (clean & ~hidden.rlike(rules.OUTPUT_SECRET)).alias("ok"),
-    )
+    shown = F.when(clean, redact_pii(text)).otherwise(text)
+
+    def judge(v: Column) -> Column:
+        ok = v["clean"] & ~v["text"].rlike(rules.OUTPUT_SECRET)
+        return F.struct(v["text"].alias("text"), ok.alias("ok"))
+
+    return let(F.struct(clean.alias("clean"), shown.alias("text")), judge)
 
 
 def _walk(value: Column, kind: T.DataType) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ from cinderleaf.fixed import guard_rules as rules
 BLANK = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode white space."""
     return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
@@ -40,22 +46,23 @@ def letter_ratio(text: Column) -> Column:
 
 
 def unique_word_ratio(text: Column) -> Column:
-    split = words(text)
-    return F.size(F.array_distinct(split)) / F.size(split)
+    """Null for blank text."""
+    return let(words(text), lambda w: F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0)))
 
 
 def quality_score(text: Column) -> Column:
     """Unique-word ratio times letter ratio; zero outside the length, letter or repetition gates."""
-    size = F.length(text)
-    alpha = letter_ratio(text)
-    unique = unique_word_ratio(text)
-    outside = (size < rules.QUALITY_MIN_CHARS) | (size > rules.QUALITY_MAX_CHARS)
-    return (
-        F.when(outside, 0.0)
-        .when(alpha < rules.QUALITY_MIN_ALPHA, 0.0)
-        .when(F.coalesce(unique, F.lit(0.0)) < rules.QUALITY_MIN_UNIQUE, 0.0)
-        .otherwise(F.least(F.lit(1.0), unique * alpha))
-    )
+    outside = ~F.length(text).between(rules.QUALITY_MIN_CHARS, rules.QUALITY_MAX_CHARS)
+
+    def with_letters(alpha: Column) -> Column:
+        repeated = F.lit(rules.QUALITY_MIN_UNIQUE)
+        by_words = let(
+            F.coalesce(unique_word_ratio(text), F.lit(0.0)),
+            lambda unique: F.when(unique < repeated, 0.0).otherwise(F.least(F.lit(1.0), unique * alpha)),
+        )
+        return F.when(alpha < rules.QUALITY_MIN_ALPHA, 0.0).otherwise(by_words)
+
+    return F.when(outside, 0.0).otherwise(let(letter_ratio(text), with_letters))
 
 
 def passes_quality(text: Column, threshold: float = rules.QUALITY_PASS) -> Column:

@@ -65,8 +65,9 @@ def multi_turn_escalation(
         .when(harmful, "HARMFUL_CONTENT")
         .otherwise("SAFE")
     )
-    judged = rows.select(tie, verdict.alias("multi_turn"))
-    return turns.join(judged, tie).select(*turns.columns, "multi_turn")
+    # score and status come back from the narrow rows, so they are computed once
+    judged = rows.select(tie, score, status, verdict.alias("multi_turn"))
+    return turns.drop(score, status).join(judged, tie).select(*turns.columns, "multi_turn")
 
 
 def session_validity(

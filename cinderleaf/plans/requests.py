@@ -10,6 +10,7 @@ from cinderleaf.functions import guard
 from cinderleaf.functions.text import normalize_security
 from cinderleaf.operators.folds import rate_limit
 from cinderleaf.operators.sequence import multi_turn_escalation, with_intent
+from cinderleaf.session import checkpoint
 
 ALL_LAYERS = frozenset({1, 2, 8})
 
@@ -71,11 +72,13 @@ def guard_requests(
         limited = rate_limit(requests, ip, t, request_id)
     else:
         limited = requests.withColumns({"verdict": F.lit("ok"), "retry_s": F.lit(None).cast("long")})
-    screened = screen_prompts(limited, prompt, assistant, display, layers)
+    # written once: the text rules feed both the turn history and the outcome
+    screened = checkpoint(screen_prompts(limited, prompt, assistant, display, layers))
     admitted = screened.where((F.col("verdict") == "ok") & ~F.col("too_long"))
     if 8 in layers:
         history = admitted.where(F.col(session).isNotNull())
-        turns = multi_turn_escalation(history, session, t, request_id).select(request_id, "multi_turn")
+        scored = history.select(request_id, session, t, "score", "status")
+        turns = multi_turn_escalation(scored, session, t, request_id).select(request_id, "multi_turn")
     else:
         turns = admitted.select(request_id, F.lit("SAFE").alias("multi_turn"))
     joined = screened.join(turns, request_id, "left")

@@ -165,8 +165,20 @@ def cte(*names: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts)
 
 
+# Below this size a table may sit in a single row group, which one task would read and compute alone.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores; larger ones come in many row groups and stay as they are."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -175,4 +187,4 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     sources = {t for v in needed for t in VIEWS[v][0] if t in TABLES}
     parts = [f"{t} AS (SELECT * FROM parquet.`{sf}/{t}.parquet`)" for t in sorted(sources)]
     parts += [f"{n} AS ({VIEWS[n][1]})" for n in needed]
-    return spark.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}")
+    return spread(spark.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}"))

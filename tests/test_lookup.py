@@ -1,6 +1,8 @@
 import random
 from collections import deque
 
+import pytest
+
 from cinderleaf.fixed import place_rules as rules
 from cinderleaf.operators import lookup, retrieval, routes
 from cinderleaf.operators.lookup import contains_join
@@ -55,7 +57,10 @@ def bfs(start, end, blocked):
     return None
 
 
-def test_routes_equal_breadth_first_search(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_routes_equal_breadth_first_search(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(routes, "fits_broadcast", lambda df, *_: False)
     names = [*rules.NEIGHBOURS, "atlantis"]
     pairs = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in names for b in names)]
     trips = spark.createDataFrame(pairs, "trip long, src string, dst string")
