@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cinderleaf.fixed import place_rules as rules
 from cinderleaf.fixed import templates as text
 from cinderleaf.functions.template import choose, contains_any, first_key, render
-from cinderleaf.functions.text import let, strip
+from cinderleaf.functions.text import strip
 
 
 def place_id(name: Column) -> Column:
@@ -59,25 +59,18 @@ def name_notes(places: DataFrame, name: str = "name") -> DataFrame:
 
 def nearest_centre(lat: Column, lng: Column, centres: list[tuple] | None = None) -> Column:
     """Struct (district, province) of the closest centre by squared degrees; first wins ties."""
-    options = F.array(
-        *[
-            F.struct(
-                ((lat - c_lat) * (lat - c_lat) + (lng - c_lng) * (lng - c_lng)).alias("d"),
-                F.lit(order).alias("prio"),
-                F.lit(district).alias("district"),
-                F.lit(province).alias("province"),
-            )
-            for order, (district, c_lat, c_lng, province) in enumerate(centres or rules.DISTRICTS)
-        ]
+    places = centres or rules.DISTRICTS
+    squares = F.array(
+        *[(lat - c_lat) * (lat - c_lat) + (lng - c_lng) * (lng - c_lng) for _, c_lat, c_lng, _ in places]
     )
+    at = F.array_position(squares, F.array_min(squares)).cast("int")  # the first of equal distances
     known = lat.isNotNull() & lng.isNotNull()
-    return let(
-        F.when(known, F.array_min(options)),
-        lambda best: F.struct(
-            F.coalesce(best["district"], F.lit("Unknown")).alias("district"),
-            F.coalesce(best["province"], F.lit("Unknown")).alias("province"),
-        ),
-    )
+
+    def label(i: int) -> Column:
+        names = F.array(*[F.lit(place[i]) for place in places])
+        return F.when(known, F.element_at(names, at)).otherwise("Unknown")
+
+    return F.struct(label(0).alias("district"), label(3).alias("province"))
 
 
 def entry_fee(ticket: Column) -> Column:
@@ -195,62 +188,71 @@ def sinhala_term(term: Column) -> Column:
     return F.when(empty, rules.UNKNOWN_TERM).otherwise(F.coalesce(known, term))
 
 
-def place_slots(df: DataFrame, short_notes: bool = False) -> dict[str, Column]:
-    """All columns the place templates can refer to."""
-    name = field(df, ["name"], "Unknown")
-    ticket = field(df, ["ticket_price", "ticket"], "Free")
-    popularity = field(df, ["tourist_popularity"], "Medium")
-    road = field(df, ["road_condition"], "Paved")
-    rain = field(df, ["rain_sensitivity"], "Safe")
-    cost = budget(ticket, popularity, road)
-    note = place_note(name, short_notes)
+def _stage(df: DataFrame, slots: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """Slots as columns of their own, so that later expressions refer to them by name."""
+    return (
+        df.withColumns({f"_s_{name}": value for name, value in slots.items()}),
+        {name: F.col(f"_s_{name}") for name in slots},
+    )
+
+
+def with_place_slots(df: DataFrame, short_notes: bool = False) -> tuple[DataFrame, dict[str, Column]]:
+    """The table with every value the place templates can refer to, and those values by slot name."""
     lead = " ⚠️ Disambiguation: " if short_notes else " ⚠️ Note: "
-    slots = {
-        "name": name,
-        "district": field(df, ["district_id", "district"], "Unknown"),
-        "province": field(df, ["province_id", "province"], "Unknown"),
-        "category": field(df, ["category_id", "category"], "Place"),
-        "lat": F.format_string("%.4f", number(df, ["lat", "latitude"])),
-        "lng": F.format_string("%.4f", number(df, ["lng", "longitude"])),
-        "desc": field(df, ["description"], ""),
-        "best_time": field(df, ["best_time_to_visit"], "All year round"),
-        "activities": field(df, ["activities"], "Sightseeing"),
-        "popularity": popularity,
-        "pop_low": F.lower(popularity),
-        "pop_si": F.coalesce(
-            *[F.when(popularity == k, v) for k, v in text.POPULARITY_SI.items()], popularity
-        ),
-        "safety": field(df, ["safety_level"], "Safe"),
-        "road": road,
-        "rain": rain,
-        "monsoon": field(df, ["monsoon_note"], "None"),
-        "note": F.when(note.isNotNull(), F.concat(F.lit(lead), note)),
-        "spans": spans(name, short_notes),
-        "history": history_note(name),
-        "ticket_str": ticket,
+    df, base = _stage(
+        df,
+        {
+            "name": field(df, ["name"], "Unknown"),
+            "district": field(df, ["district_id", "district"], "Unknown"),
+            "province": field(df, ["province_id", "province"], "Unknown"),
+            "category": field(df, ["category_id", "category"], "Place"),
+            "lat": F.format_string("%.4f", number(df, ["lat", "latitude"])),
+            "lng": F.format_string("%.4f", number(df, ["lng", "longitude"])),
+            "desc": field(df, ["description"], ""),
+            "best_time": field(df, ["best_time_to_visit"], "All year round"),
+            "activities": field(df, ["activities"], "Sightseeing"),
+            "popularity": field(df, ["tourist_popularity"], "Medium"),
+            "safety": field(df, ["safety_level"], "Safe"),
+            "road": field(df, ["road_condition"], "Paved"),
+            "rain": field(df, ["rain_sensitivity"], "Safe"),
+            "monsoon": field(df, ["monsoon_note"], "None"),
+            "ticket_str": field(df, ["ticket_price", "ticket"], "Free"),
+            "family": field(df, ["family_friendly"], "yes"),
+        },
+    )
+    popularity, rain = base["popularity"], F.lower(base["rain"])
+    note = place_note(base["name"], short_notes)
+    df, more = _stage(
+        df,
+        {
+            "cost": budget(base["ticket_str"], popularity, base["road"]),
+            "rough": contains_any(F.lower(base["road"]), rules.ROUGH_ROADS),
+            "is_family": F.lower(base["family"]).contains("yes"),
+            "risky": rain.contains("high") | rain.contains("unsafe"),
+            "pop_low": F.lower(popularity),
+            "pop_si": F.coalesce(
+                *[F.when(popularity == k, v) for k, v in text.POPULARITY_SI.items()], popularity
+            ),
+            "note": F.concat(F.lit(lead), note),
+            "spans": spans(base["name"], short_notes),
+            "history": history_note(base["name"]),
+        },
+    )
+    slots = base | more
+    free, busy = slots["cost"]["is_free"], popularity == "High"
+    conditions = {
+        "entry_si": free, "entry_en": free, "food_si": busy, "food_en": busy,
+        "transport_si": slots["rough"], "transport_en": slots["rough"],
     }
-    rough = contains_any(F.lower(road), rules.ROUGH_ROADS)
-    busy = popularity == "High"
-    for slot, condition in [
-        ("entry_si", cost["is_free"]),
-        ("entry_en", cost["is_free"]),
-        ("food_si", busy),
-        ("food_en", busy),
-        ("transport_si", rough),
-        ("transport_en", rough),
-    ]:
-        slots[slot] = choose(condition, text.BUDGET_PHRASES[slot], slots)
-    for slot, labels in [("level_si", text.BUDGET_LEVEL_SI), ("level_en", text.BUDGET_LEVEL_EN)]:
-        slots[slot] = F.element_at(F.array(*[F.lit(x) for x in labels]), cost["level"] + 1)
-    family = F.lower(field(df, ["family_friendly"], "yes")).contains("yes")
-    risky = F.lower(rain).contains("high") | F.lower(rain).contains("unsafe")
-    for slot, condition in [
-        ("free_si", cost["is_free"]),
-        ("free_en", cost["is_free"]),
-        ("family_si", family),
-        ("family_en", family),
-        ("family_col", family),
-        ("rain_col", risky),
-    ]:
-        slots[slot] = choose(condition, text.CHOICES[slot], slots)
-    return slots
+    phrases = {n: choose(c, text.BUDGET_PHRASES[n], slots) for n, c in conditions.items()}
+    for name, labels in [("level_si", text.BUDGET_LEVEL_SI), ("level_en", text.BUDGET_LEVEL_EN)]:
+        listed = F.array(*[F.lit(label) for label in labels])
+        phrases[name] = F.element_at(listed, slots["cost"]["level"] + 1)
+    df, phrases = _stage(df, phrases)
+    slots |= phrases
+    conditions = {
+        "free_si": free, "free_en": free, "rain_col": slots["risky"],
+        **{n: slots["is_family"] for n in ("family_si", "family_en", "family_col")},
+    }
+    df, choices = _stage(df, {n: choose(c, text.CHOICES[n], slots) for n, c in conditions.items()})
+    return df, slots | choices

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cinderleaf.fixed import guard_rules as rules
 from cinderleaf.functions.place import place_id
-from cinderleaf.functions.text import strip, words
+from cinderleaf.functions.text import let, strip, words
 from cinderleaf.operators.resolve import dropped_rows
 from cinderleaf.session import checkpoint
 
@@ -47,10 +47,11 @@ def _similar(shared: Column, n_a: Column, n_b: Column) -> Column:
 
 def _identity(text: Column) -> Column:
     """Digest under which texts with the same shingle set by construction fall together."""
-    tokens = words(F.lower(text))
-    short = F.size(tokens) < rules.SHINGLE_WORDS
-    same = F.when(short, F.concat(F.lit("r"), text)).otherwise(
-        F.concat(F.lit("w"), F.array_join(tokens, " "))
+    same = let(
+        words(F.lower(text)),
+        lambda w: F.when(F.size(w) < rules.SHINGLE_WORDS, F.concat(F.lit("r"), text)).otherwise(
+            F.concat(F.lit("w"), F.array_join(w, " "))
+        ),
     )
     return F.sha2(same, 256)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cinderleaf.fixed import food_rules as food
 from cinderleaf.fixed import templates as text
-from cinderleaf.functions.place import clean_description, place_slots, sinhala_term
+from cinderleaf.functions.place import clean_description, sinhala_term, with_place_slots
 from cinderleaf.functions.template import choose, contains_any, render
 from cinderleaf.functions.text import draw, md5_fraction, strip
 from cinderleaf.operators.ordered import dense_index
@@ -32,8 +32,8 @@ def _category_kind(category: Column) -> Column:
 
 def qa_pairs(places: DataFrame, keep: list[str]) -> DataFrame:
     """One row per place and applicable question: lang, family, seq, instruction, input, output."""
-    slots = place_slots(places)
-    filled, col = _with_slots(places, slots | {"kind": _category_kind(slots["category"])})
+    filled, col = with_place_slots(places)
+    filled = filled.withColumn("_s_kind", _category_kind(col["category"]))
     conditions = {
         "": F.lit(True),
         "described": F.length(col["desc"]) > 10,
@@ -42,7 +42,7 @@ def qa_pairs(places: DataFrame, keep: list[str]) -> DataFrame:
         "monsoon": (col["monsoon"] != "") & (F.lower(col["monsoon"]) != "none"),
     }
     for kind, _ in text.CATEGORY_KINDS:
-        conditions[kind] = F.coalesce(col["kind"] == kind, F.lit(False))
+        conditions[kind] = F.coalesce(F.col("_s_kind") == kind, F.lit(False))
     rows = [
         F.when(
             conditions[condition],
@@ -62,7 +62,7 @@ def qa_pairs(places: DataFrame, keep: list[str]) -> DataFrame:
 
 def disambiguation_pairs(places: DataFrame, keep: list[str]) -> DataFrame:
     """Five to eight question rows per place with the short note dictionaries."""
-    filled, col = _with_slots(places, place_slots(places, short_notes=True))
+    filled, col = with_place_slots(places, short_notes=True)
     conditions = {
         "": F.lit(True),
         "spans": col["spans"].isNotNull(),
