@@ -716,3 +716,28 @@ def dataset_counts(spark, sf):
     from cinderleaf.sources.readers import dataset_counts as counts
 
     return counts(table(spark, sf, "documents").withColumnRenamed("source", "file"))
+
+
+@query(
+    "csv_preview",
+    f"""WITH r AS ({_ROWS}), s AS (SELECT row_num, {q.strip('ask')} AS a, {q.strip('reply')} AS b, {q.strip('extra')} AS x FROM r)
+SELECT row_num, {_USER} AS ask, b AS answer FROM s WHERE a <> '' AND b <> '' ORDER BY row_num LIMIT 3""",
+)
+def csv_preview(spark, sf):
+    rows = aggregates.csv_preview(_instruction_rows(spark, sf), "row_num", "ask", "reply", "extra", "Be brief")
+    turns = F.col("messages")
+    return rows.select("row_num", turns[1]["content"].alias("ask"), turns[2]["content"].alias("answer"))
+
+
+@query("loss_series", f"{cte('steps')} SELECT step, coalesce(loss, 0.0::DOUBLE) AS loss FROM steps")
+def loss_series(spark, sf):
+    return aggregates.loss_series(view(spark, sf, "steps"))
+
+
+@query(
+    "valid_prefix",
+    f"""{cte('audit')}, b AS (SELECT stream, min(CASE WHEN stream % 4 = 0 AND event_id % 97 = 5 THEN event_id * 2 END) AS bad FROM audit GROUP BY stream)
+SELECT audit.stream, event_id * 2 AS line, message FROM audit JOIN b ON b.stream = audit.stream WHERE bad IS NULL OR event_id * 2 < bad""",
+)
+def valid_prefix(spark, sf):
+    return audit.valid_prefix(_log_lines(spark, sf), KEY).select("stream", "line", "message")
