@@ -10,6 +10,7 @@ from cinderleaf.fixed import place_rules as rules
 from cinderleaf.functions.place import place_id
 from cinderleaf.functions.text import strip
 from cinderleaf.operators.ordered import dense_index
+from cinderleaf.session import fixed_table
 
 
 def catalog_stats(places: DataFrame) -> DataFrame:
@@ -24,9 +25,8 @@ def catalog_stats(places: DataFrame) -> DataFrame:
     )
     counted = places.select(F.inline(dims)).groupBy("dim", "value").agg(F.count("*").alias("n"))
     known = [("safety", v) for v in rules.SAFETY_LEVELS] + [("popularity", v) for v in rules.POPULARITY_LEVELS]
-    levels = places.sparkSession.createDataFrame(
-        [(d, v, 0) for d, v in [*known, ("total", "total")]], "dim string, value string, n long"
-    )
+    rows = [(d, v, 0) for d, v in [*known, ("total", "total")]]
+    levels = fixed_table(places.sparkSession, rows, "dim string, value string, n long")
     return counted.unionByName(levels).groupBy("dim", "value").agg(F.sum("n").alias("n"))
 
 

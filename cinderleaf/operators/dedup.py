@@ -147,10 +147,10 @@ def near_duplicate_orders(docs: DataFrame, order: str, text: str = "text") -> Da
     """Orders dropped by the sequential rule: Jaccard >= 0.8 with an earlier kept row."""
     keyed = docs.select(F.col(order).alias("ord"), _identity(F.col(text)).alias("same"))
     keyed = checkpoint(keyed)
-    firsts = checkpoint(keyed.groupBy("same").agg(F.min("ord").alias("ord")).select("ord"))
-    copies = keyed.select("ord").join(firsts, "ord", "left_anti")
+    firsts = keyed.groupBy("same").agg(F.min("ord").alias("ord")).select("ord")
+    copies = checkpoint(keyed.select("ord").join(firsts, "ord", "left_anti"))
     sets = with_shingles(docs.select(F.col(order).alias("ord"), text), text).drop(text)
-    sets = checkpoint(sets.join(firsts, "ord", "left_semi").withColumn("n", F.size("hashes")))
+    sets = checkpoint(sets.join(copies, "ord", "left_anti").withColumn("n", F.size("hashes")))
     posts = checkpoint(_prefixes(sets).withColumn("band", F.explode(_bands(F.col("n")))))
     posts, crowd = _clear_crowds(posts, sets)
     edges = checkpoint(_verify(_pair_candidates(posts), sets))

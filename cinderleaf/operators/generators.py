@@ -11,7 +11,7 @@ from cinderleaf.functions.place import clean_description, sinhala_term, with_pla
 from cinderleaf.functions.template import choose, contains_any, render
 from cinderleaf.functions.text import draw, md5_fraction, strip
 from cinderleaf.operators.ordered import dense_index
-from cinderleaf.session import bounded
+from cinderleaf.session import bounded, fixed_table
 
 PAIR = "instruction", "input", "output"
 
@@ -209,7 +209,7 @@ def preference_pairs(records: DataFrame, keep: list[str], messages: str = "messa
 
 def seed_pairs(spark) -> DataFrame:
     """The fixed preference pairs that lead every generated set."""
-    return spark.createDataFrame(text.SEED_PAIRS, "prompt string, chosen string, rejected string")
+    return fixed_table(spark, text.SEED_PAIRS, "prompt string, chosen string, rejected string")
 
 
 def synthetic_pairs(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderleaf.fixed import place_rules as rules
-from cinderleaf.session import bounded, checkpoint, fits_broadcast
+from cinderleaf.session import bounded, checkpoint, fits_broadcast, fixed_table
 
 # Edges of a graph that may be sent to every task.
 SMALL_GRAPH = 10_000
@@ -19,7 +19,7 @@ SMALL_GRAPH = 10_000
 def district_edges(spark: SparkSession) -> DataFrame:
     """(src, dst, pos): directed neighbour lists with their order."""
     rows = [(s, d, i) for s, ds in rules.NEIGHBOURS.items() for i, d in enumerate(ds)]
-    return spark.createDataFrame(rows, "src string, dst string, pos int")
+    return fixed_table(spark, rows, "src string, dst string, pos int")
 
 
 def _search(start: str, hops: dict[str, list[str]], closed: frozenset[str]) -> dict[str, list[str]]:

@@ -10,6 +10,7 @@ from cinderleaf.functions.food import knowledge_text
 from cinderleaf.functions.place import field, place_document
 from cinderleaf.operators.catalog import upsert_rows
 from cinderleaf.operators.retrieval import context_prompt, vector_topk
+from cinderleaf.session import fixed_table
 
 
 def place_rows(places: DataFrame) -> DataFrame:
@@ -39,7 +40,8 @@ def answer_prompts(
 
 def food_knowledge(spark) -> DataFrame:
     """The fixed knowledge rows; their embeddings are an input."""
-    return spark.createDataFrame(
+    return fixed_table(
+        spark,
         food.FOOD_KNOWLEDGE,
         "id string, name string, content string, calories int, type string, spiciness string",
     )

@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinderleaf.fixed import food_rules as food
 from cinderleaf.fixed import guard_rules as rules
+from cinderleaf.fixed import templates
 from cinderleaf.functions import guard, parse
 from cinderleaf.operators import generators
 from cinderleaf.plans import catalog_build, corpus, dishes, evaluation, index, requests, safety
 from cinderleaf.queries import sql as q
+from cinderleaf.queries.aggregate_queries import _FOOD_MATCH, _MACRO, _MACRO_VALUES
 from cinderleaf.queries.place_queries import _DROPPED, _OSM, _map_nodes, _map_ways
 from cinderleaf.queries.registry import query
-from cinderleaf.queries.views import cte, table, view
+from cinderleaf.queries.views import cte, table, values, view
 from cinderleaf.session import ensure_checkpoint_dir
 from cinderleaf.sources import readers, writers
 
@@ -173,7 +176,15 @@ def scan_dishes(spark, sf):
     )
 
 
-@query("component_breakdown")
+_BOXES = values([(i, *b) for i, b in enumerate(food.PLATE_GRID)], "i, x, y, w, h")
+
+
+@query(
+    "component_breakdown",
+    f"""{cte('components', 'foods')}, {_FOOD_MATCH}, g AS ({_BOXES}), t AS ({_MACRO_VALUES}),
+c AS (SELECT component_id, pos, lower(trim(name)) AS n FROM components)
+SELECT component_id, coalesce(f.calories, 80) AS calories, x, y, w, h, tag, color FROM c LEFT JOIN m ON item = n JOIN g ON i = pos % 5 JOIN t ON k = {_MACRO}""",
+)
 def component_breakdown(spark, sf):
     from cinderleaf.operators.lookup import resolve_foods
 
@@ -239,7 +250,31 @@ def disambiguation_pairs(spark, sf):
     return generators.disambiguation_pairs(view(spark, sf, "places"), ["ord"])
 
 
-@query("aggregate_pairs")
+_GROUPS = f"""{cte('places')}, p AS (SELECT *, CASE tourist_popularity WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END AS k FROM places),
+a AS (SELECT district_id AS g, name, row_number() OVER (PARTITION BY district_id ORDER BY k, ord) AS r, count(*) OVER (PARTITION BY district_id) AS n FROM p),
+d AS (SELECT g, string_agg(name, ', ' ORDER BY r) AS names FROM a WHERE r <= 5 AND n >= 3 GROUP BY g),
+b AS (SELECT category_id AS g, concat(name, ' (', district_id, ' District)') AS name, row_number() OVER (PARTITION BY category_id ORDER BY k, ord) AS r, count(*) OVER (PARTITION BY category_id) AS n FROM p),
+c AS (SELECT g, string_agg(name, ', ' ORDER BY r) AS names FROM b WHERE r <= 5 AND n >= 3 GROUP BY g),
+e AS (SELECT district_id AS g, name, row_number() OVER (PARTITION BY district_id ORDER BY ord) AS r, count(*) OVER (PARTITION BY district_id) AS n FROM p WHERE contains(lower(ticket_price), 'free')),
+f AS (SELECT g, string_agg(name, ', ' ORDER BY r) AS names FROM e WHERE r <= 5 AND n >= 2 GROUP BY g)"""
+
+
+def _group_rows(source: str, questions: list[tuple[str, str]]) -> str:
+    def filled(template: str) -> str:
+        named = q.text(template.replace("{assistant}", "Assistant"))
+        return f"replace(replace({named}, '{{group}}', g), '{{names}}', names)"
+
+    return " UNION ALL ".join(
+        f"SELECT {i} AS seq, {filled(ask)} AS instruction, '' AS input, {filled(answer)} AS output FROM {source}"
+        for i, (ask, answer) in enumerate(questions)
+    )
+
+
+@query(
+    "aggregate_pairs",
+    f"{_GROUPS} {_group_rows('d', templates.DISTRICT_QUESTIONS)} UNION ALL {_group_rows('c', templates.CATEGORY_QUESTIONS)} "
+    f"UNION ALL {_group_rows('f', templates.FREE_QUESTIONS)}",
+)
 def aggregate_pairs(spark, sf):
     from cinderleaf.operators import catalog
 
@@ -291,7 +326,25 @@ def bilingual_sft_sinhala(spark, sf):
     return rows.select("ord", F.col("messages")[1]["content"].alias("answer"))
 
 
-@query("synthetic_pairs")
+def _drawn(n: str, *parts: str) -> str:
+    return f"CAST(floor({q.fraction(*parts)} * {n}) AS BIGINT)"
+
+
+_SYNTHETIC = f"""{cte('places')}, n AS (SELECT count(*) AS n FROM places), i AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS at FROM places),
+d AS (SELECT unnest(generate_series(0, n - 1)) AS draw, n FROM n),
+e AS (SELECT draw, {_drawn('n', "'42'", "'spot'", 'CAST(draw AS VARCHAR)')} AS at, {_drawn('2', "'42'", "'template'", 'CAST(draw AS VARCHAR)')} AS t FROM d)"""
+
+
+@query(
+    "synthetic_pairs",
+    f"""{_SYNTHETIC} SELECT draw, CASE t WHEN 0 THEN concat('Tell me about the travel safety and features of ', name, ' in ', district_id, '.')
+ ELSE concat('I want to visit ', name, '. Is it good for camping and is there signal coverage?') END AS prompt,
+ CASE t WHEN 0 THEN concat('Here are the details for ', name, ' in ', district_id, ' district: The safety level is classified as ', safety_level,
+  '. Wildlife hazard warning: None. Rain sensitivity: Low. Best time to visit: anytime. You can enjoy activities like sightseeing.')
+ ELSE concat('Visiting ', name, ' is a great choice. Camping is not allowed. Mobile signal coverage is Moderate. Road condition: Fair. We recommend visiting during anytime for the safest and most enjoyable experience.') END AS chosen,
+ CASE t WHEN 0 THEN concat('It is safe to go to ', name, '. It is in ', district_id, '. You can visit anytime. It''s a nice place.')
+ ELSE concat(name, ' is okay. You can camp if you want. Signals are sometimes there, sometimes not.') END AS rejected FROM e JOIN i ON i.at = e.at""",
+)
 def synthetic_pairs(spark, sf):
     places = view(spark, sf, "places")
     return generators.synthetic_pairs(places, "ord", "dpo", places.count())

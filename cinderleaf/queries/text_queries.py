@@ -443,13 +443,21 @@ def encode_bytes(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join(ids, ",").alias("ids"))
 
 
-@query("decode_bytes")
+@query(
+    "decode_bytes",
+    f"""SELECT doc_id, array_to_string(list_transform(string_split({q.squeeze('text')}, ''), lambda c: chr((unicode(c) % 256)::INTEGER)), '') AS text
+FROM documents""",
+)
 def decode_bytes(spark, sf):
     coded = documents(spark, sf).select("doc_id", tokens.encode_bytes(F.col("text")).alias("ids"))
     return coded.select("doc_id", tokens.decode_bytes(F.col("ids")).alias("text"))
 
 
-@query("multimodal_sequence")
+@query(
+    "multimodal_sequence",
+    f"""SELECT conv_id, turn, array_to_string(list_concat([15, 15, 15], list_concat(list_transform(string_split({q.squeeze('text')}, ''), lambda c: unicode(c) % 256 + 17),
+ [16, 16, 118, 127, 117])), ',') AS ids FROM conversations""",
+)
 def multimodal_sequence(spark, sf):
     text = F.concat(F.lit("<image>"), F.col("text"), F.lit(" <audio> end"))
     ids = tokens.multimodal_sequence(text, F.lit(3), F.lit(2))

@@ -49,6 +49,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small literal table, planned as a local relation rather than as a Python data source."""
+    kinds = [column.strip().split(" ", 1) for column in schema.split(",")]
+    cells = F.array(*[F.array(*[F.lit(v).cast("string") for v in row]) for row in rows])
+    listed = spark.range(0, 1, 1, 1).select(F.explode(cells).alias("v"))
+    return listed.selectExpr(*[f"CAST(v[{i}] AS {kind}) AS `{name}`" for i, (name, kind) in enumerate(kinds)])
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write `df` to the reliable checkpoint folder and continue from the written files."""
     ensure_checkpoint_dir(df.sparkSession)
