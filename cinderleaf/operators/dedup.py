@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderleaf.fixed import guard_rules as rules
 from cinderleaf.functions.place import place_id
 from cinderleaf.functions.text import let, strip, words
-from cinderleaf.operators.resolve import dropped_rows
+from cinderleaf.operators.resolve import dropped_rows, settle
 from cinderleaf.session import checkpoint
 
 # Pairs are formed only while they stay linear in the posting entries.
 PAIRS_PER_ENTRY = 8
+# Rows at the head of a crowded posting that are settled in its first round.
+HEADS = 32
 
 
 def exact_dedup(docs: DataFrame, order: str, text: str = "text") -> DataFrame:
@@ -57,7 +59,7 @@ def _identity(text: Column) -> Column:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(ord, n, hash, rank, lead): the rarest shared shingles a similar pair must meet in.
+    """(ord, n, m, hash, rank, lead): the rarest shared shingles a similar pair must meet in.
 
     Shingles that occur once cannot be shared, so a row needs at least ceil(4n/5) repeated ones to
     have a partner at all. Of those, rarest first, only ranks up to n - ceil(4n/5) + 1 can hold the
@@ -74,11 +76,13 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     alone = F.col("n") - F.size("common")
     room = F.col("n") - _least_shared(F.col("n")) + 1 - alone
     prefix = F.slice("common", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
-    placed = ranked.select("ord", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "entry"))
+    kept = ranked.select("ord", "n", alone.alias("alone"), prefix.alias("prefix"))
+    sized = kept.withColumn("m", F.size("prefix") * 2)  # every entry is posted in two size bands
+    placed = sized.select("ord", "n", "m", "alone", F.posexplode("prefix").alias("at", "entry"))
     rank = F.col("alone") + F.col("at")
     both = F.floor((F.col("n") * 2 * 4 + 8) / 9)  # ceil(8n/9): overlap needed between equal sizes
     return placed.select(
-        "ord", "n", F.col("entry.hash").alias("hash"), rank.alias("rank"),
+        "ord", "n", "m", F.col("entry.hash").alias("hash"), rank.alias("rank"),
         (rank < F.col("n") - both + 1).alias("lead"),
     )
 
@@ -89,11 +93,10 @@ def _bands(n: Column) -> Column:
     return F.array(band, band + 1)
 
 
-def _pair_candidates(posts: DataFrame) -> DataFrame:
+def _meet(earlier: DataFrame, later: DataFrame) -> DataFrame:
     """(a, b) with a < b that meet in a prefix shingle and can still reach the needed overlap."""
-    left, right = posts.alias("l"), posts.alias("r")
-    meet = left.join(
-        right,
+    meet = earlier.alias("l").join(
+        later.alias("r"),
         (F.col("l.hash") == F.col("r.hash"))
         & (F.col("l.band") == F.col("r.band"))
         & (F.col("l.ord") < F.col("r.ord")),
@@ -116,31 +119,46 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(_similar(shared, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
+def _edges_to_rules(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs as claims and checks: every row claims itself, later ones check it."""
+    claims = edges.select(F.col("a").alias("ord"), F.col("a").alias("key")).distinct()
+    return claims, edges.select(F.col("b").alias("ord"), F.col("a").alias("key"))
+
+
 def _clear_crowds(posts: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Resolves crowded postings against their first row until pairs stay linear in the entries.
+    """Settles the heads of the postings until the remaining pairs stay linear in the entries.
 
-    A row that comes first in all its postings has no earlier candidate, so it is kept; members of
-    its postings are compared with it alone. A crowd of near copies thus costs one comparison per
-    member, never one per pair.
+    The first rows of every posting are compared among themselves. A row that is a head in all its
+    postings has no earlier candidate outside the heads, so its verdict is final; kept heads are then
+    compared with the members of their postings. A crowd of near copies thus costs a few comparisons
+    per member, not one per pair. The heads double every round; the window cuts each partition to the
+    heads before the shuffle.
     """
     dropped: DataFrame | None = None
+    width = HEADS
     while True:
-        firsts = posts.groupBy("hash", "band").agg(F.min("ord").alias("first"), F.count("*").alias("c"))
-        firsts = checkpoint(firsts)
-        load = firsts.agg(
+        sizes = posts.groupBy("hash", "band").agg(F.count("*").alias("c"))
+        load = sizes.agg(
             F.sum("c").alias("entries"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")
         ).first()
         if not load["entries"] or load["pairs"] <= PAIRS_PER_ENTRY * load["entries"]:
             return posts, dropped
-        members = posts.join(firsts.select("hash", "band", "first"), ["hash", "band"])
-        free = members.groupBy("ord").agg(F.min("first").alias("first")).where("first = ord").select("ord")
-        free = checkpoint(free)
-        touched = members.where("first < ord").select(F.col("first").alias("a"), F.col("ord").alias("b"))
-        pairs = touched.join(free.select(F.col("ord").alias("a")), "a", "left_semi").distinct()
-        gone = checkpoint(_verify(pairs, sets).select(F.col("b").alias("ord")).distinct())
+        place = F.row_number().over(Window.partitionBy("hash", "band").orderBy("ord"))
+        heads = posts.withColumn("_at", place).where(F.col("_at") <= width).drop("_at")
+        heads = checkpoint(heads)
+        entries = heads.groupBy("ord", "m").agg(F.count("*").alias("_c"))
+        final = checkpoint(entries.where("_c = m").select("ord"))
+        stuck = checkpoint(entries.where("_c < m").select("ord"))
+        edges = checkpoint(_verify(_meet(heads, heads), sets))
+        gone, waiting = settle(*_edges_to_rules(edges), stuck)
+        kept = final.join(gone.unionByName(waiting), "ord", "left_anti")
+        kept = checkpoint(kept)
+        members = _meet(posts.join(kept, "ord", "left_semi"), posts.join(kept, "ord", "left_anti"))
+        similar = _verify(members, sets).select(F.col("b").alias("ord"))
+        gone = checkpoint(gone.unionByName(similar).distinct())
         dropped = gone if dropped is None else dropped.unionByName(gone)
-        decided = free.unionByName(gone)
-        posts = checkpoint(posts.join(decided, "ord", "left_anti"))
+        posts = checkpoint(posts.join(kept.unionByName(gone), "ord", "left_anti"))
+        width *= 2
 
 
 def near_duplicate_orders(docs: DataFrame, order: str, text: str = "text") -> DataFrame:
@@ -153,10 +171,8 @@ def near_duplicate_orders(docs: DataFrame, order: str, text: str = "text") -> Da
     sets = checkpoint(sets.join(copies, "ord", "left_anti").withColumn("n", F.size("hashes")))
     posts = checkpoint(_prefixes(sets).withColumn("band", F.explode(_bands(F.col("n")))))
     posts, crowd = _clear_crowds(posts, sets)
-    edges = checkpoint(_verify(_pair_candidates(posts), sets))
-    claims = edges.select(F.col("a").alias("ord"), F.col("a").alias("key")).distinct()
-    checks = edges.select(F.col("b").alias("ord"), F.col("a").alias("key"))
-    dropped = copies.unionByName(dropped_rows(claims, checks))
+    edges = checkpoint(_verify(_meet(posts, posts), sets))
+    dropped = copies.unionByName(dropped_rows(*_edges_to_rules(edges)))
     if crowd is not None:
         dropped = dropped.unionByName(crowd)
     return dropped.select(F.col("ord").alias(order))

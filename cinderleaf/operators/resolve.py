@@ -28,11 +28,23 @@ def dropped_rows(claims: DataFrame, checks: DataFrame) -> DataFrame:
     `claims(ord, key)`: keys a row publishes once kept. `checks(ord, key)`: keys that must not have
     been published by an earlier kept row.
     """
+    return settle(claims, checks)[0]
+
+
+def settle(
+    claims: DataFrame, checks: DataFrame, stuck: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(dropped, waiting) orders. Rows in `stuck` stay open, and so do the rows that wait for them."""
     firsts = claims.groupBy("key").agg(F.min("ord").alias("first"))
     contested = checks.join(firsts, "key").where("first < ord").select("ord", "key")
+    if stuck is not None:
+        contested = contested.join(stuck, "ord", "left_anti")
     open_checks = checkpoint(contested)
     relevant = open_checks.select("key").distinct()
     open_rows = open_checks.select("ord").distinct()
+    dropped = open_rows.limit(0)
+    if stuck is not None:
+        open_rows = open_rows.unionByName(stuck)
     # rows without a contested key are kept from the start
     open_claims = (
         claims.join(relevant, "key", "left_semi")
@@ -40,7 +52,6 @@ def dropped_rows(claims: DataFrame, checks: DataFrame) -> DataFrame:
         .select("ord", "key", F.col("_open").isNull().alias("kept"))
     )
     open_claims = checkpoint(open_claims)
-    dropped = open_rows.limit(0)
 
     while not open_checks.isEmpty():
         verdicts = (
@@ -55,6 +66,10 @@ def dropped_rows(claims: DataFrame, checks: DataFrame) -> DataFrame:
         dropped = dropped.unionByName(verdicts.where("drop").select("ord"))
         waiting = verdicts.where("NOT drop AND wait").select("ord")
         settled = verdicts.where("NOT drop AND NOT wait").select("ord")
+        if stuck is not None:
+            if verdicts.where("drop OR NOT wait").isEmpty():
+                break
+            waiting = waiting.unionByName(stuck)
         open_checks = checkpoint(open_checks.join(waiting, "ord", "left_semi"))
         keys = open_checks.select("key").distinct()
         undecided = open_claims.where("NOT kept")
@@ -63,4 +78,4 @@ def dropped_rows(claims: DataFrame, checks: DataFrame) -> DataFrame:
         open_claims = checkpoint(
             still_open.unionByName(newly_kept).join(keys, "key", "left_semi").select("ord", "key", "kept")
         )
-    return dropped
+    return dropped, open_checks.select("ord").distinct()

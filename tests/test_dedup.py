@@ -54,6 +54,7 @@ def test_near_dedup_equals_sequential_scan(spark, seed):
 
 def test_crowds_are_resolved_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(dedup, "PAIRS_PER_ENTRY", 0)
+    monkeypatch.setattr(dedup, "HEADS", 2)
     texts = corpus(3, n=60)
     assert run(spark, texts) == sequential(texts)
 
