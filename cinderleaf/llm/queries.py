@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderleaf.llm import bitpack, exact_dedup, packing
+from cinderleaf.llm import bitpack, decontaminate, exact_dedup, packing, secret_scan
 from cinderleaf.llm.common import table
 from cinderleaf.llm.tokens import public_path
 
@@ -55,3 +55,15 @@ FROM named WINDOW g AS (PARTITION BY text_sha256)
 def digest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the row of its text that stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op4_secret_ownership")
+def secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its secrets and whether they stay with an owner."""
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op3_template_decontamination")
+def template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold."""
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
