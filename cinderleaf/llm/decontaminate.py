@@ -31,24 +31,26 @@ UNITS = [
     "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degree", "degrees", "mph", "kmh",
 ]
 
-# A placeholder is this mark, a letter for its type, a second mark and the value.
-MARK, CUT = "\x01", "\x02"
+# A placeholder is this mark, a letter for its type, a second mark and the value; the third stands for
+# the commas and full stops within a number.
+MARK, CUT, POINT = "\x01", "\x02", "\x03"
 
 
 def template_words(text: Column) -> Column:
     """The words of a text's template; a placeholder word carries its value after the second mark."""
-    plain = F.regexp_replace(text, "[\x01\x02]", " ")
-    named = F.regexp_replace(
-        plain, r"(?<=[\p{L}\p{N},;]\x20)(\p{Lu}[\p{Ll}\p{Lu}'’-]+)", f"{MARK}p{CUT}$1"
-    )
-    counted = F.regexp_replace(
-        named, r"(?<![\p{L}\p{N}\x02])(\p{N}+(?:[.,]\p{N}+)*)", f" {MARK}n{CUT}$1 "
-    )
-    measured = F.regexp_replace(
-        counted, rf"(?i)(\x02[\p{{N}}.,]+\x20\x20?)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1{MARK}u{CUT}$2"
-    )
-    cut = r"(?:[^\p{L}\p{N}\x01\x02.,'’-]|[.,'’-](?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[.,'’-])+"
-    return F.array_remove(F.split(F.lower(F.trim(measured)), cut, -1), "")
+    marked = text.contains(MARK) | text.contains(CUT) | text.contains(POINT)
+    plain = F.when(marked, F.regexp_replace(text, f"[{MARK}{CUT}{POINT}]", " ")).otherwise(text)
+    named = F.regexp_replace(plain, r"(?<=[\p{L}\p{N},;]\x20)(\p{Lu}[\p{L}'’-]+)", f"{MARK}p{CUT}$1")
+
+    def numbered(t: Column) -> Column:
+        joined = F.regexp_replace(t, r"(?<=\p{N})[.,](?=\p{N})", POINT)
+        counted = F.regexp_replace(joined, rf"(?<![\p{{L}}\p{{N}}{CUT}])(\p{{N}}[\p{{N}}{POINT}]*)", f" {MARK}n{CUT}$1 ")
+        unit = rf"(?i)({CUT}\p{{N}}[\p{{N}}{POINT}]*\x20\x20?)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
+        return F.regexp_replace(counted, unit, f"$1{MARK}u{CUT}$2")
+
+    # most texts hold no number, and then need no search for units
+    shown = let(named, lambda t: F.when(t.rlike(r"\p{N}"), numbered(t)).otherwise(t))
+    return F.array_remove(F.split(F.lower(shown), rf"[^\p{{L}}\p{{N}}{MARK}{CUT}{POINT}]+", -1), "")
 
 
 def _shape(word: Column) -> Column:
