@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderleaf.llm import bitpack, decontaminate, exact_dedup, packing, secret_scan
+from cinderleaf.llm import bitpack, decontaminate, exact_dedup, near_dedup, packing, secret_scan
 from cinderleaf.llm.common import table
 from cinderleaf.llm.tokens import public_path
 
@@ -67,3 +67,9 @@ def secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that documents hold."""
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_minmax_dedup")
+def minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its near-duplicate component and whether it stays."""
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
