@@ -50,7 +50,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        joined = pa.Table.from_batches([batch])
+        joined = pa.table(batch.columns, names=batch.schema.names)  # without the nullability of the plan
         if waiting is not None:
             joined = pa.concat_tables([waiting, joined])
         joined = joined.combine_chunks()
