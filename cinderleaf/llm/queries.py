@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderleaf.llm import bitpack, decontaminate, exact_dedup, near_dedup, packing, secret_scan
+from cinderleaf.llm import bitpack, decontaminate, exact_dedup, near_dedup, packing, secret_scan, suffix_tree
 from cinderleaf.llm.common import table
 from cinderleaf.llm.tokens import public_path
 
@@ -73,3 +73,9 @@ def template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its near-duplicate component and whether it stays."""
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op8_suffix_tree_score")
+def suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its probability under the suffix tree and under single words."""
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
