@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cinderleaf.llm import bitpack, decontaminate, exact_dedup, near_dedup, packing, secret_scan, suffix_tree
+from cinderleaf.llm import crf_language as language
 from cinderleaf.llm.common import table
 from cinderleaf.llm.tokens import public_path
 
@@ -79,3 +80,10 @@ def minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its probability under the suffix tree and under single words."""
     return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op1_crf_language")
+def crf_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the language of its words together."""
+    found = language.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches")
