@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderleaf.llm import bitpack, decontaminate, exact_dedup, near_dedup, packing, secret_scan, suffix_tree
+from cinderleaf.llm import bitpack, decontaminate, exact_dedup, near_dedup, packing, secret_scan, suffix_tree, wrapper_html
 from cinderleaf.llm import crf_language as language
 from cinderleaf.llm.common import table
 from cinderleaf.llm.tokens import public_path
@@ -87,3 +87,9 @@ def crf_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the language of its words together."""
     found = language.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches")
+
+
+@query("op9_wrapper_extraction")
+def wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return wrapper_html.extract_pages(table(spark, sf_dir, "pages"))
