@@ -161,10 +161,13 @@ def scan_secrets(
         F.sum(F.when(~copied, 1).otherwise(0)).alias("n_live"),
         F.sum(F.when(copied & (F.col("kind") < 3), 1).otherwise(0)).alias("n_copied"),
     )
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in range(3)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
     return scanned.join(judged, "row", "left").select(
         F.col("id").alias(id_col),
-        *(c.alias(f"n_{KINDS[k]}") for k, c in enumerate(count)),
+        *(count(kind).alias(f"n_{KINDS[kind]}") for kind in range(3)),
         F.sha2(_told(F.col("base")), 256).alias("base_sha256"),
         F.coalesce(_told(F.col("all")), F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
