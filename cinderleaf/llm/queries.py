@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderleaf.llm import bitpack, decontaminate, exact_dedup, near_dedup, packing, secret_scan, suffix_tree, wrapper_html
+from cinderleaf.llm import bitpack, decontaminate, exact_dedup, license_scan, near_dedup, packing, secret_scan, suffix_tree, wrapper_html
 from cinderleaf.llm import crf_language as language
 from cinderleaf.llm.common import table
 from cinderleaf.llm.tokens import public_path
@@ -93,3 +93,9 @@ def crf_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return wrapper_html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op2_license_paragraphs")
+def license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence paragraphs of all documents."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
