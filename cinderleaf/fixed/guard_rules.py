@@ -179,8 +179,8 @@ HARMFUL_PHRASES = ["kill yourself", "how to make a bomb", "hack into"]
 
 # --- fixed values: file screening --------------------------------------------------------------
 MAX_UPLOAD_BYTES = 52_428_800
-DOCUMENT_EXTENSIONS = [".csv", ".json", ".jsonl", ".md", ".pdf", ".txt"]
-MEDIA_EXTENSIONS = [".avi", ".flac", ".m4a", ".mov", ".mp3", ".mp4", ".ogg", ".wav", ".webm"]
+DOCUMENT_EXTENSIONS = [".csv", ".json", ".jsonl", ".txt", ".md", ".pdf"]
+MEDIA_EXTENSIONS = [".mp4", ".webm", ".mov", ".avi", ".wav", ".mp3", ".ogg", ".m4a", ".flac"]
 TEXT_EXTENSIONS = [".csv", ".txt", ".md", ".json", ".jsonl"]
 WEIGHT_EXTENSIONS = [".bin", ".safetensors", ".pt", ".pth", ".ckpt", ".gguf"]
 SCRIPT_PATTERNS = [r"<script\b", r"javascript:", r"<iframe\b", r"onload\s*="]

@@ -62,6 +62,11 @@ def check_audit_lines(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Parsed lines with `ok`: the signature fits the fields and the previous stored signature."""
+    return _checked(lines, key, stream, line, text, chunk_rows).drop("_i")
+
+
+def _checked(lines: DataFrame, key: bytes, stream: str, line: str, text: str, chunk_rows: int) -> DataFrame:
+    """`check_audit_lines` with the dense index `_i` of the parsed lines."""
     parsed = dense_index(parse_audit_lines(lines, text), [stream, line], "_i")
     chained = over_chunks(
         parsed,
@@ -76,23 +81,22 @@ def check_audit_lines(
     before = F.when(F.col("_first"), F.lit(rules.ROOT_SIGNATURE)).otherwise(F.col("_before"))
     expected = hmac_sign(F.concat(F.concat_ws(" ", *FIELDS), F.lit(" "), before), key)
     ok = F.coalesce(F.col("signature") == expected, F.lit(False))
-    return chained.withColumn("ok", ok).drop("_i", "_before", "_first")
+    return chained.withColumn("ok", ok).drop("_before", "_first")
 
 
 def verify_audit_chain(
     lines: DataFrame, key: bytes, stream: str = "stream", line: str = "line", text: str = "text"
 ) -> DataFrame:
     """Per stream: intact flag, length of the valid prefix and the first bad line (-1 for none)."""
-    checked = check_audit_lines(lines, key, stream, line, text)
-    first_bad = F.min(F.when(~F.col("ok"), F.col(line)))
-    bad = checked.groupBy(stream).agg(first_bad.alias("_bad"), F.count("*").alias("_n"))
-    good = checked.join(bad, stream).where(F.col("_bad").isNull() | (F.col(line) < F.col("_bad")))
-    valid = good.groupBy(stream).agg(F.count("*").alias("valid_rows"))
-    return bad.join(valid, stream, "left").select(
+    checked = _checked(lines, key, stream, line, text, CHUNK_ROWS)
+    # the index is dense within a stream, so the first bad one tells how many lines come before it
+    bad = F.min(F.when(~F.col("ok"), F.struct("_i", F.col(line).alias("line"))))
+    found = checked.groupBy(stream).agg(bad.alias("_bad"), F.min("_i").alias("_start"), F.max("_i").alias("_end"))
+    return found.select(
         stream,
         F.col("_bad").isNull().alias("is_intact"),
-        F.coalesce("valid_rows", F.lit(0)).alias("valid_rows"),
-        F.coalesce("_bad", F.lit(-1)).alias("tampered_line"),
+        (F.coalesce("_bad._i", F.col("_end") + 1) - F.col("_start")).alias("valid_rows"),
+        F.coalesce("_bad.line", F.lit(-1)).alias("tampered_line"),
     )
 
 

@@ -141,8 +141,22 @@ def district_density(places: DataFrame, district: str = "district_id") -> DataFr
     return counts.where(F.col("district").isin(known)).withColumns({"color": color, "radius": radius})
 
 
-def update_rows(current: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(table with matching rows replaced, changes whose key is unknown)."""
+def last_changes(changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One change per key: the last by `order`, as if they were applied one after the other.
+
+    Without an order any one of the changes of a key stays.
+    """
+    if order is None:
+        return changes.dropDuplicates([key])
+    last = F.max_by(F.struct(*changes.columns), F.col(order)).alias("_last")
+    return changes.groupBy(F.col(key).alias("_key")).agg(last).select("_last.*")
+
+
+def update_rows(
+    current: DataFrame, changes: DataFrame, key: str, order: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(table with matching rows replaced, changes whose key is unknown); the last change of a key wins."""
+    changes = last_changes(changes, key, order)
     known = changes.join(current.select(key), key, "left_semi")
     unknown = changes.join(current.select(key), key, "left_anti")
     kept = current.join(changes.select(key), key, "left_anti")
@@ -157,23 +171,22 @@ def delete_rows(current: DataFrame, keys: DataFrame, key: str) -> tuple[DataFram
     )
 
 
-def upsert_rows(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of `changes` replace rows with the same key; others are appended."""
+def upsert_rows(current: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of `changes` replace rows with the same key; others are appended. The last change of a key wins."""
+    changes = last_changes(changes, key, order)
     return current.join(changes.select(key), key, "left_anti").unionByName(
         changes, allowMissingColumns=True
     )
 
 
 def assign_ids(current: DataFrame, new: DataFrame, order: str, name: str = "name") -> DataFrame:
-    """Ids for new rows: made from the name, with another suffix where that id is taken."""
+    """Ids for new rows: made from the name, with the whole digest of name and order where that id is taken."""
     plain = new.withColumn("_id", place_id(F.col(name)))
     first = plain.groupBy("_id").agg(F.min(order).alias("_first"))
     taken = current.select(F.col("id").alias("_id")).distinct().withColumn("_taken", F.lit(True))
     marked = plain.join(first, "_id").join(taken, "_id", "left")
     free = F.col("_taken").isNull() & (F.col(order) == F.col("_first"))
-    other = F.concat(
-        F.lit("pl_"), F.substring(F.md5(F.concat_ws(":", F.col(name), F.col(order).cast("string"))), 1, 6)
-    )
+    other = F.concat(F.lit("pl_"), F.md5(F.concat_ws(":", F.col(name), F.col(order).cast("string"))))
     return marked.withColumn("id", F.when(free, F.col("_id")).otherwise(other)).select(*new.columns, "id")
 
 

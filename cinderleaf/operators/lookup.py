@@ -46,9 +46,14 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str)
         F.min(F.struct("_uses", "_piece"))["_piece"].alias("_piece")
     )
     keyed = names.join(hint(rarest), needle)
-    spread = texts.withColumn("_piece", F.explode(F.concat(*cuts)))
-    met = spread.join(hint(keyed), "_piece").drop("_piece")
-    return met.where(F.col(text).contains(F.col(needle)))
+    # only the digest of a text goes with its pieces; the text joins its hits at the end
+    digest = F.md5(F.col(text))
+    spread = texts.select(digest.alias("_text_id"), F.explode(F.concat(*cuts)).alias("_piece")).distinct()
+    met = spread.join(hint(keyed.select("_piece", F.col(needle).alias("_needle"))), "_piece")
+    hits = met.select("_text_id", "_needle").distinct()
+    found = texts.withColumn("_text_id", digest).join(hits, "_text_id").drop("_text_id")
+    held = found.where(F.col(text).contains(F.col("_needle")))
+    return held.join(hint(names), F.col("_needle") == names[needle]).drop("_needle")
 
 
 def resolve_first_match(items: DataFrame, item: str, dictionary: DataFrame, name: str, prio: str) -> DataFrame:

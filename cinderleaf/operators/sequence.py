@@ -118,8 +118,9 @@ def stale_keys(events: DataFrame, key: str, t: str, now: Column, horizon: int) -
 
 
 def uniform_sample(frames: DataFrame, video: str, frame: str, k: int) -> DataFrame:
-    """Up to `k` evenly spaced frames per video; frame numbers run from 0 without gaps."""
-    sizes = frames.groupBy(video).agg((F.max(frame) + 1).alias("_n"))
+    """Up to `k` frames per video, evenly spaced in the order of their numbers, which may have gaps."""
+    placed = dense_index(frames.select(video, frame).distinct(), [video, frame], "_i")
+    sizes = placed.groupBy(video).agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     take = F.least(F.lit(k), F.col("_n"))
     step = (F.col("_n") - 1).cast("double") / (take - 1)
     last = F.col("_n") - 1
@@ -130,8 +131,9 @@ def uniform_sample(frames: DataFrame, video: str, frame: str, k: int) -> DataFra
         .otherwise(F.floor(j * step))
         .cast("long"),
     )
-    wanted = sizes.select(video, F.explode(F.array_distinct(spots)).alias(frame))
-    return frames.join(wanted, [video, frame], "left_semi")
+    wanted = sizes.select("_first", F.explode(F.array_distinct(spots)).alias("_spot"))
+    chosen = placed.join(wanted.select((F.col("_first") + F.col("_spot")).alias("_i")), "_i", "left_semi")
+    return frames.join(chosen.select(video, frame), [video, frame], "left_semi")
 
 
 def pad_batches(

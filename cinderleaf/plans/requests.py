@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cinderleaf.fixed import guard_rules as rules
 from cinderleaf.functions import guard
+from cinderleaf.functions.redact import scrub_pii
 from cinderleaf.functions.text import normalize_security
 from cinderleaf.operators.folds import rate_limit
 from cinderleaf.operators.sequence import multi_turn_escalation, with_intent
@@ -94,6 +95,11 @@ def guard_requests(
     return joined.withColumns({"outcome": outcome, "final_status": F.when(reached, final)})
 
 
+def scrub_responses(guarded: DataFrame, response: str = "response") -> DataFrame:
+    """Responses of allowed requests without personal data; null for all others. For tables and streams."""
+    return guarded.withColumn(response, F.when(F.col("outcome") == "allowed", scrub_pii(F.col(response))))
+
+
 def guard_audit(guarded: DataFrame, request_id: str, ip: str, t: str, endpoint: str) -> DataFrame:
     """Audit rows of guarded requests, in order: (request, pos, ip, t, endpoint, level, message)."""
     outcome = F.col("outcome")

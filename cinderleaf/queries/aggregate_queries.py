@@ -591,11 +591,12 @@ def stale_keys(spark, sf):
 n AS (SELECT video, count(*) AS n, least(16, count(*)) AS k FROM f GROUP BY 1),
 s AS (SELECT DISTINCT video, CASE WHEN j = 0 THEN 0 WHEN j = k - 1 THEN n - 1 ELSE CAST(floor(j * ((n - 1)::DOUBLE / (k - 1))) AS BIGINT) END AS frame
  FROM (SELECT video, n, k, unnest(generate_series(0, k - 1)) AS j FROM n))
-SELECT video, frame FROM s""",
+SELECT video, frame * 7 + 2 AS frame FROM s""",
 )
 def uniform_sample(spark, sf):
     clips = table(spark, sf, "embeddings").select(F.col("vec_id").alias("video"))
     frames = clips.select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.col("video") % 90)).alias("frame"))
+    frames = frames.withColumn("frame", F.col("frame") * 7 + 2)  # numbers with gaps
     return sequence.uniform_sample(frames, "video", "frame", 16)
 
 

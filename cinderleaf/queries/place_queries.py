@@ -478,8 +478,12 @@ def update_rows(spark, sf):
     changes = current.where("ord % 10 < 2").select(
         F.when(F.col("ord") % 10 == 0, F.col("id")).otherwise(F.concat(F.lit("new"), "id")).alias("id"),
         F.lit("renamed").alias("name"),
+        F.lit(2).alias("step"),
     )
-    updated, unknown = catalog.update_rows(current.drop("ord"), changes, "id")
+    # every change was preceded by another one of the same row
+    changes = changes.unionByName(changes.select("id", F.lit("draft").alias("name"), F.lit(1).alias("step")))
+    updated, unknown = catalog.update_rows(current.drop("ord"), changes, "id", "step")
+    updated = updated.drop("step")
     return updated.withColumn("part", F.lit("table")).unionByName(
         unknown.select("id", "name").withColumn("part", F.lit("unknown"))
     )
@@ -504,7 +508,7 @@ def delete_rows(spark, sf):
     f"""{cte('places')}, new AS (SELECT ord, CASE WHEN ord % 3 = 0 THEN name ELSE concat('Twin ', CAST(ord // 4 AS VARCHAR)) END AS name,
  concat('pl_', substr(md5(CASE WHEN ord % 3 = 0 THEN name ELSE concat('Twin ', CAST(ord // 4 AS VARCHAR)) END), 1, 8)) AS pid FROM places)
 SELECT ord, CASE WHEN pid IN (SELECT id FROM places) OR ord <> min(ord) OVER (PARTITION BY pid)
- THEN concat('pl_', substr(md5(concat(name, ':', CAST(ord AS VARCHAR))), 1, 6)) ELSE pid END AS id FROM new""",
+ THEN concat('pl_', md5(concat(name, ':', CAST(ord AS VARCHAR)))) ELSE pid END AS id FROM new""",
 )
 def insert_rows(spark, sf):
     current = view(spark, sf, "places")
@@ -653,7 +657,7 @@ o AS (SELECT kind, f.id, name, category, arg_min(district, struct_pack(s := (f.l
 
 @query("osm_places", f"{_OSM} SELECT kind, id, name, category, district FROM o")
 def osm_places(spark, sf):
-    found = readers.osm_places(_map_nodes(spark, sf), _map_ways(spark, sf), limit=None)
+    found = readers.osm_places(_map_nodes(spark, sf), _map_ways(spark, sf))
     return found.select("kind", "id", "name", "category", "district")
 
 

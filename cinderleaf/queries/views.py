@@ -88,14 +88,14 @@ FROM conversations""",
     "predictions": (
         ["benchmark"],
         """SELECT item_id, text AS reference,
- CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN substring(text, 1, 60) ELSE 'I do not know 42' END AS generated,
+ CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, ' the ', ' ') ELSE 'I do not know 42' END AS generated,
  CAST(item_id % 4 AS INT) AS answer
 FROM benchmark""",
     ),
     "pairs": (
         ["conversations"],
         """SELECT a.conv_id, a.turn, a.conv_id * 1000 + a.turn AS pair_id, a.text AS prompt, b.text AS chosen,
- substring(b.text, 1, 80) AS rejected
+ a.text AS rejected
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
 WHERE a.role = 'user' AND b.role = 'assistant'""",
     ),

@@ -55,7 +55,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CORPUS_SCH
 
 def sniff_delimiter(spark: SparkSession, path: str) -> tuple[str, str]:
     """(delimiter, header line) from the first 4,096 characters; comma when undecided."""
-    head = spark.read.text(path).limit(64).collect()
+    # a line gives at least one character, its end
+    lines = spark.read.text(path).select(F.substring("value", 1, SNIFF_CHARS)).limit(SNIFF_CHARS)
+    head = lines.collect()
     sample = "\n".join(r[0] for r in head)[:SNIFF_CHARS].lstrip("\ufeff")
     try:
         delimiter = csv.Sniffer().sniff(sample).delimiter
@@ -170,8 +172,8 @@ def way_centroids(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return members.join(spots, "node").groupBy("id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
-def osm_places(nodes: DataFrame, ways: DataFrame, limit: int | None = rules.FEATURE_LIMIT) -> DataFrame:
-    """Place candidates of named nodes (kind 0), then of ways (kind 1), first `limit` in id order."""
+def osm_places(nodes: DataFrame, ways: DataFrame, limit: int | None = None) -> DataFrame:
+    """Place candidates of named nodes (kind 0) and of ways (kind 1); a `limit` keeps the first in this order."""
     points = _candidates(nodes, settlements=True).withColumn("kind", F.lit(0))
     tag = F.col("tag")
     usable = ways.where(

@@ -52,9 +52,12 @@ def throttle_stream(
 
 
 def replay_stream(
-    requests: DataFrame, nonce: str, sent: str, received: str, tie: str, ttl_ms: int | None = None
+    requests: DataFrame, nonce: str, sent: str, received: str, tie: str, ttl_ms: int | None = 2 * rules.NONCE_MS
 ) -> DataFrame:
-    """Verdicts of requests with a nonce and a fresh time stamp; see `refused_early` for the others."""
+    """Verdicts of requests with a nonce and a fresh time stamp; see `refused_early` for the others.
+
+    Every nonce is a key of its own, so its state goes once no request could still repeat it.
+    """
     usable = requests.where(~_refused(nonce, sent, received))
     return _keyed(usable, processors.NonceGuard, nonce, received, tie, [], ttl_ms)
 

@@ -108,3 +108,13 @@ def test_vector_topk_in_several_batches(spark, monkeypatch):
         best = sorted(range(40), key=lambda j: (-round(scores[i, j], 12), j))[:3]
         mine = [r["doc_id"] for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])]
         assert mine == best
+
+
+def test_pieces_do_not_carry_their_text(spark):
+    t = spark.createDataFrame([(1, "word " * 20_000 + "needle one")], "i int, text string")
+    n = spark.createDataFrame([(1, "needle one"), (2, "absent thing")], "j int, needle string")
+    found = contains_join(t, "text", n, "needle")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    generators = [line for line in plan.split("\n") if "Generate" in line]
+    assert generators and not any("text#" in line.split("], ", 1)[-1].rsplit("[", 1)[0] for line in generators if "_text_id" in line)
+    assert [(r["i"], r["j"]) for r in found.collect()] == [(1, 1)]

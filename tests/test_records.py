@@ -138,3 +138,43 @@ def test_safety_layers(spark):
     answers = spark.createDataFrame([(1, "ok then", [0.0, 5.0]), (2, "I cannot", [0.0, 0.0])], "id int, response string, logits array<double>")
     post = {r.id: r for r in safety.safety_post(answers, ["id"], logits="logits").collect()}
     assert post[1].refusal_reason == "safety_head_harmful" and post[2].refusal_reason == "alignment_failed"
+
+
+def test_the_last_change_of_a_key_wins(spark):
+    from cinderleaf.operators.catalog import update_rows, upsert_rows
+
+    current = spark.createDataFrame([("a", "x"), ("c", "w")], "id string, v string")
+    changes = spark.createDataFrame([("a", "z", 2), ("a", "y", 1), ("b", "q", 3)], "id string, v string, n int")
+    got = upsert_rows(current, changes, "id", "n").select("id", "v").collect()
+    assert sorted(map(tuple, got)) == [("a", "z"), ("b", "q"), ("c", "w")]
+    table, unknown = update_rows(current, changes, "id", "n")
+    assert sorted(tuple(r)[:2] for r in table.collect()) == [("a", "z"), ("c", "w")]
+    assert [r["id"] for r in unknown.collect()] == ["b"]
+    assert upsert_rows(current, changes, "id").count() == 3
+
+
+def test_many_equal_names_get_their_own_ids(spark):
+    from cinderleaf.operators.catalog import assign_ids
+
+    new = spark.range(100_000).selectExpr("id AS ord", "'Same Name' AS name")
+    ids = assign_ids(spark.createDataFrame([], "id string"), new, "ord")
+    assert ids.select("id").distinct().count() == 100_000
+
+
+def test_sample_of_frames_with_gaps(spark):
+    from cinderleaf.operators.sequence import uniform_sample
+
+    frames = spark.createDataFrame([("v", 10 * i) for i in range(20)] + [("w", 7)], "video string, frame long")
+    got = uniform_sample(frames, "video", "frame", 5).collect()
+    assert sorted(r["frame"] for r in got if r["video"] == "v") == [0, 40, 90, 140, 190]
+    assert [r["frame"] for r in got if r["video"] == "w"] == [7]
+
+
+def test_responses_of_refused_requests_are_not_shown(spark):
+    from cinderleaf.plans.requests import scrub_responses
+
+    rows = spark.createDataFrame(
+        [("allowed", "write to jo@example.com"), ("blocked", "secret"), ("allowed", None)], "outcome string, response string"
+    )
+    got = [r["response"] for r in scrub_responses(rows).collect()]
+    assert "jo@example.com" not in got[0] and got[1:] == [None, None]
