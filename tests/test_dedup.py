@@ -88,3 +88,40 @@ def test_merge_records_equals_sequential_scan(spark):
     df = spark.createDataFrame(rows, "ord long, id string, name string")
     got = sorted((r["ord"], r["id"]) for r in merge_records(df, "ord").collect())
     assert got == kept
+
+
+def _chain(spark, n):
+    """Rows of which each conflicts with the one before it only: every other one is dropped."""
+    rows = spark.range(n)
+    claims = rows.selectExpr("id AS ord", "id AS key")
+    checks = rows.where("id > 0").selectExpr("id AS ord", "id - 1 AS key")
+    return claims, checks
+
+
+def test_a_long_chain_takes_few_checkpoints(spark, monkeypatch):
+    from cinderleaf.operators import components as graph
+    from cinderleaf.operators import resolve
+
+    made = []
+    original = resolve.checkpoint
+
+    def counted(df):
+        made.append(1)
+        return original(df)
+
+    monkeypatch.setattr(resolve, "checkpoint", counted)
+    monkeypatch.setattr(graph, "checkpoint", counted)
+    gone = sorted(r["ord"] for r in resolve.dropped_rows(*_chain(spark, 300)).collect())
+    assert gone == list(range(1, 300, 2))
+    assert len(made) < 120
+
+
+def test_components_too_large_for_a_task_stay_in_rounds(spark, monkeypatch):
+    from cinderleaf.operators import resolve
+
+    monkeypatch.setattr(resolve, "SCAN_ROWS", 6)
+    claims, checks = _chain(spark, 12)
+    other = spark.createDataFrame([(100, 500), (101, 501), (102, 502)], "ord long, key long")
+    later = spark.createDataFrame([(101, 500), (102, 501)], "ord long, key long")
+    gone = resolve.dropped_rows(claims.unionByName(other), checks.unionByName(later)).collect()
+    assert sorted(r["ord"] for r in gone) == [1, 3, 5, 7, 9, 11, 101]
