@@ -127,9 +127,11 @@ def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.nd
     def scaled(x: np.ndarray) -> np.ndarray:
         return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
 
-    # what a chunk does to the state in front of it: a move and a word at a time
-    product = np.broadcast_to(np.eye(k), (total, k, k)).copy()
-    for t in range(CHUNK):
+    # what a chunk does to the state in front of it: a move and a word at a time; the first word of a
+    # text is not moved to
+    begins = rank == 0
+    product = np.where(begins[:, None, None], np.eye(k), step) * chance[:, 0][:, None, :]
+    for t in range(1, CHUNK):
         some = np.flatnonzero(filled[:, t])
         if len(some) == 0:
             break
@@ -146,7 +148,10 @@ def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.nd
     forward = np.zeros((total, CHUNK, k))
     state = before
     for t in range(CHUNK):
-        state = np.where(filled[:, t, None], scaled((state @ step) * chance[:, t]), state)
+        moved = state @ step
+        if t == 0:
+            moved[begins] = 1
+        state = np.where(filled[:, t, None], scaled(moved * chance[:, t]), state)
         forward[:, t] = state
     out = np.zeros((n, k))
     state = after
