@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,53 +18,48 @@ from cinderleaf.operators.lookup import contains_join
 from cinderleaf.session import bounded, checkpoint, fits_broadcast
 
 QUERY_BATCH = 4096
-DOC_SLICE = 2048
+DOC_SLICE = 4096
 SIMILAR_SHOWN = 0.60
 SIMILAR_DUPLICATE = 0.65
 
 
-def _top_in_batch(matrix: np.ndarray, ids: np.ndarray, k: int, skip_self: bool):
-    """Per slice of documents: the best `k` rows for every query of the matrix."""
-    norms = np.linalg.norm(matrix, axis=1)
-    every = np.arange(len(ids))
-
-    def best(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        pdf = pdf.sort_values("_doc")  # the first maximum is then the smallest document id
-        doc_ids = pdf["_doc"].to_numpy()
-        docs = np.array(pdf["_vec"].tolist(), dtype=np.float64)
-        scale = np.outer(norms, np.linalg.norm(docs, axis=1))
-        dots = matrix @ docs.T
-        scores = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
-        if skip_self:
-            scores[ids[:, None] == doc_ids[None, :]] = -np.inf
-        for _ in range(min(k, len(doc_ids))):
-            at = scores.argmax(axis=1)
-            found = scores[every, at]
-            scores[every, at] = -np.inf
-            keep = np.isfinite(found)
-            yield pd.DataFrame(
-                {"query_id": ids[keep], "doc_id": doc_ids[at[keep]], "score": found[keep]}
-            )
+def _packed(rows: DataFrame, key: str, vec: str, parts: int, name: str) -> DataFrame:
+    """Rows dealt to `parts` blocks by the hash of their key: (name, name_ids, name_vecs side by side)."""
+    block = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(name)
+    listed = F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vec).alias("vec")))).alias("_rows")
+    packed = rows.where(F.col(vec).isNotNull()).groupBy(block).agg(listed)
+    return packed.select(
+        name,
+        F.transform("_rows", lambda r: r["id"]).alias(f"{name}_ids"),
+        F.flatten(F.transform("_rows", lambda r: r["vec"])).cast("array<double>").alias(f"{name}_vecs"),
+    )
+
+
+def _best_of_blocks(k: int, skip_self: bool):
+    """Per pair of a query block and a document block: the best `k` documents of every query."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start in range(0, len(pdf), DOC_SLICE):
-                yield from best(pdf.iloc[start : start + DOC_SLICE])
+            for _, pair in pdf.iterrows():
+                ids, doc_ids = np.asarray(pair["asks_ids"]), np.asarray(pair["docs_ids"])
+                asks = np.asarray(pair["asks_vecs"], np.float64).reshape(len(ids), -1)
+                docs = np.asarray(pair["docs_vecs"], np.float64).reshape(len(doc_ids), -1)
+                scale = np.outer(np.linalg.norm(asks, axis=1), np.linalg.norm(docs, axis=1))
+                dots = asks @ docs.T
+                scores = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
+                if skip_self:
+                    scores[ids[:, None] == doc_ids[None, :]] = -np.inf
+                every = np.arange(len(ids))
+                for _ in range(min(k, len(doc_ids))):
+                    at = scores.argmax(axis=1)  # the first maximum is the smallest document id
+                    found = scores[every, at]
+                    scores[every, at] = -np.inf
+                    keep = np.isfinite(found)
+                    yield pd.DataFrame({"query_id": ids[keep], "doc_id": doc_ids[at[keep]], "score": found[keep]})
 
     return run
 
 
-def _batches(queries: DataFrame, query_id: str) -> list[DataFrame]:
-    """Query batches of at most QUERY_BATCH rows, split by hash until all of them fit."""
-    parts = 1
-    while True:
-        slot = F.pmod(F.xxhash64(query_id), F.lit(parts))
-        largest = queries.groupBy(slot.alias("_slot")).count().agg(F.max("count")).first()[0] or 0
-        if largest <= QUERY_BATCH:
-            return [queries.where(slot == i) for i in range(parts)]
-        parts *= 2
-
-
 def vector_topk(
     queries: DataFrame,
     docs: DataFrame,
@@ -78,24 +72,25 @@ def vector_topk(
 ) -> DataFrame:
     """(query_id, doc_id, score, rank): the `k` documents with the highest cosine per query.
 
-    Documents stay in their partitions; a bounded batch of query vectors is sent to all of them and
-    only the best `k` per Arrow batch are shuffled. More queries mean more batches, never a larger one.
+    Queries and documents are packed into blocks on the executors; every block of queries goes once to
+    every block of documents, each pair keeps its best `k`, and one top-k merges them. Rows without a
+    vector take no part.
     """
+    asks = queries.select(F.col(query_id).alias("_ask"), F.col(query_vec).alias("_vec"))
     slim = docs.select(F.col(doc_id).alias("_doc"), F.col(doc_vec).alias("_vec"))
     kinds = dict(queries.dtypes)[query_id], dict(docs.dtypes)[doc_id]
-    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
-    found = []
-    for batch in _batches(queries, query_id):
-        rows = batch.select(query_id, query_vec).limit(QUERY_BATCH).collect()
-        if not rows:
-            continue
-        matrix = np.array([r[1] for r in rows], dtype=np.float64)
-        ids = np.array([r[0] for r in rows])
-        found.append(slim.mapInPandas(_top_in_batch(matrix, ids, k, skip_self), schema))
-    if not found:
-        return docs.sparkSession.createDataFrame([], f"{schema}, rank int")
+    parts = max(1, -(-docs.count() // DOC_SLICE))
+    blocks = max(1, -(-queries.count() // QUERY_BATCH))
+    packed = _packed(asks, "_ask", "_vec", blocks, "asks").withColumn(
+        "docs", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    )
+    pairs = packed.join(_packed(slim, "_doc", "_vec", parts, "docs"), "docs")
+    pairs = pairs.select("asks_ids", "asks_vecs", "docs_ids", "docs_vecs")
+    found = pairs.mapInPandas(
+        _best_of_blocks(k, skip_self), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
+    ranked = found.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k)
 
 
