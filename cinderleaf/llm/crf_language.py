@@ -216,8 +216,13 @@ class Model:
 
 def training_segments(docs: DataFrame, languages: list[str], texts: int, segments: int) -> list[tuple[str, np.ndarray]]:
     """Segments of the fit's texts (id, text, lang): (words, the language of each); some are spliced."""
+    named = docs.select("id", "lang")
+    # a draw by the id's hash leaves about four times the wanted rows of a language for the window
+    sizes = named.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) * F.col("rows") < F.lit(4_000_000 * texts)
+    drawn = named.join(F.broadcast(sizes), "lang").where(share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = docs.select("id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= texts)
+    chosen = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= texts)
     # at most `texts` ids of each language
     sample = docs.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"]).toPandas()
     sample = sample.sort_values(["id", "text"])
