@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderleaf.llm.common import HOT_KEYS, whole
+from cinderleaf.llm.common import HOT_KEYS, attach, whole
 from cinderleaf.session import bounded, checkpoint
 
 # Pages of a host that are aligned; different ones needed for a wrapper; share that must agree on a leaf;
 # share of the text that may be template (pages beyond it are copies of one article).
 PAGES, LEAST_PAGES, AGREE, TEMPLATE_SHARE = 12, 5, 0.8, 0.8
+# Pages of a host that are ranked for that, as a multiple.
+DRAWN = 8
 # Elements nested deeper join the tree at this depth; their text stays.
 DEEPEST = 100
 
@@ -328,10 +330,13 @@ def wrappers(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
         rows.groupBy("host", "hash").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     )
     sizes = each.groupBy("host").agg(F.sum("copies").alias("pages"), F.count("*").alias("different"))
+    sizes = checkpoint(sizes)
+    # a draw by the page's hash leaves some times the wanted pages of a host for the window
+    share = F.pmod("hash", F.lit(1_000_000)) * F.col("different") < F.lit(1_000_000 * DRAWN * PAGES)
+    drawn = attach(each, sizes, ["host"], "different", each.count()).where(share)
     place = F.row_number().over(Window.partitionBy("host").orderBy("hash"))
-    chosen = each.withColumn("place", place).where(F.col("place") <= PAGES).select("host", "hash", "id")
-    enough = sizes.where(F.col("different") >= LEAST_PAGES).select("host", "pages")
-    chosen = checkpoint(chosen.join(enough, "host"))
+    chosen = drawn.where(F.col("different") >= LEAST_PAGES).withColumn("place", place)
+    chosen = checkpoint(chosen.where(F.col("place") <= PAGES).select("host", "hash", "id", "pages"))
     aligned = rows.join(bounded(chosen), ["host", "hash", "id"])
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
