@@ -40,7 +40,9 @@ def template_words(text: Column) -> Column:
     """The words of a text's template; a placeholder word carries its value after the second mark."""
     marked = text.contains(MARK) | text.contains(CUT) | text.contains(POINT)
     plain = F.when(marked, F.regexp_replace(text, f"[{MARK}{CUT}{POINT}]", " ")).otherwise(text)
-    named = F.regexp_replace(plain, r"(?<=[\p{L}\p{N},;]\x20)(\p{Lu}[\p{L}'’-]+)", f"{MARK}p{CUT}$1")
+    # the capital comes first in the pattern, so what stands before it is looked at only there
+    name = r"(\p{Lu})(?<=[\p{L}\p{N},;]\s{1,8}\p{Lu})([\p{L}'’-]+)"
+    named = F.regexp_replace(plain, name, f"{MARK}p{CUT}$1$2")
 
     def numbered(t: Column) -> Column:
         joined = F.regexp_replace(t, r"(?<=\p{N})[.,](?=\p{N})", POINT)
