@@ -38,7 +38,8 @@ def test_families(spark, model):
         assert got[i]["family"] == family and got[i]["paragraph"] == 1 and got[i]["confirmed"], rows[i]
         assert model["threshold"] <= got[i]["probability"] <= 1
     for i in range(len(GRANTS), len(rows)):
-        assert got[i]["family"] == UNKNOWN and not got[i]["confirmed"], rows[i]
+        row = got.get(i)  # a line without a word of licences has no row
+        assert row is None or (row["family"] == UNKNOWN and not row["confirmed"]), rows[i]
 
 
 def test_odd_rows(spark, model):
