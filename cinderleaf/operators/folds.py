@@ -139,7 +139,7 @@ def rate_limit(
     )
     marked = fold_segments(
         chains, Block, lambda s, now, first: burst_step(s, now, first, block), ["_t", "_t_burst"],
-        "_starts", "boolean",
+        "_starts", "boolean", chunk_rows,
     )
     # a block matters for rows up to block + window later: its own time slot and the next one
     slot = block + window
@@ -191,7 +191,8 @@ def rate_limit_admitted(
     )
     crowded, calm = _open_segments(rows, F.col(t) - F.col("_t_limit") < window)
     folded = fold_segments(
-        crowded, Admitted, lambda s, now: admit_step(s, now, limit, window), [t], "allowed", "boolean"
+        crowded, Admitted, lambda s, now: admit_step(s, now, limit, window), [t], "allowed", "boolean",
+        chunk_rows,
     )
     both = folded.unionByName(calm.withColumn("allowed", F.lit(True)))
     return _judge(requests, both, tie, "allowed")
@@ -233,7 +234,7 @@ def throttle_frames(
     several, single = _open_segments(rows, ~F.col("fresh"))
     folded = fold_segments(
         several, LastFrame, lambda s, now, sig: frame_step(s, now, sig, throttle), [t, "_sig"],
-        "accepted", "boolean",
+        "accepted", "boolean", chunk_rows,
     )
     both = folded.unionByName(single.withColumn("accepted", F.lit(True)))
     return _judge(frames, both, tie, "accepted")
@@ -265,7 +266,8 @@ def replay_detection(
     )
     several, single = _open_segments(rows, ~F.col("fresh"))
     folded = fold_segments(
-        several, LastUse, lambda s, now: nonce_step(s, now, horizon), [received], "_ok", "boolean"
+        several, LastUse, lambda s, now: nonce_step(s, now, horizon), [received], "_ok", "boolean",
+        chunk_rows,
     )
     both = folded.unionByName(single.withColumn("_ok", F.lit(True)))
     judged = both.select(tie, F.when(F.col("_ok"), "ok").otherwise("replay").alias("verdict"))

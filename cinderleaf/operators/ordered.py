@@ -7,6 +7,7 @@ a key with a third of the table is spread over as many chunks as it needs.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -114,6 +115,38 @@ def cut_segments(
     ).withColumnRenamed("_fresh", "fresh")
 
 
+def _fold_rows(
+    start: Callable[[], object], step: Callable[..., object], inputs: list[str], group: list[str], output: str | None
+):
+    """Folds sorted rows group by group; a group starts from the state in `_before`, if its first row has one.
+
+    With an output every row gets its result; without one every group gives its last state.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, fresh = None, None, True
+        for pdf in batches:
+            results, ended = [], []
+            befores = pdf["_before"] if "_before" in pdf else [None] * len(pdf)
+            for own, before, *values in zip(zip(*(pdf[g] for g in group)), befores, *(pdf[c] for c in inputs)):
+                if own != current:
+                    if output is None and not fresh:
+                        ended.append((*current, pickle.dumps(vars(state))))
+                    current, state, fresh = own, start(), False
+                    if before is not None:
+                        vars(state).update(pickle.loads(before))
+                results.append(step(state, *values))
+            if output is None:
+                yield pd.DataFrame(ended, columns=[*group, "_after"])
+            else:
+                pdf[output] = results
+                yield pdf.drop(columns="_before", errors="ignore")
+        if output is None and not fresh:
+            yield pd.DataFrame([(*current, pickle.dumps(vars(state)))], columns=[*group, "_after"])
+
+    return run
+
+
 def fold_segments(
     df: DataFrame,
     start: Callable[[], object],
@@ -121,24 +154,60 @@ def fold_segments(
     inputs: list[str],
     output: str,
     kind: str,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Runs `step(state, *inputs)` over the rows of each segment in index order.
 
-    Rows stream through sorted partitions in Arrow batches; only the state of the current segment
-    is held, so memory does not grow with the segment.
+    Rows stream through sorted partitions in Arrow batches; only the state of the current segment is
+    held. A segment within one chunk of the index is folded by one task. The pieces of a longer one are
+    folded side by side, at first each from a fresh state; then every piece whose predecessor ended in
+    another state than it had assumed is folded again, until none is left. States that forget, like the
+    windows of rate limits, settle after a round or two; the result is that of one long fold.
     """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    result = f"{schema}, `{output}` {kind}"
+    spans = df.groupBy("segment").agg(
+        F.floor(F.min("idx") / chunk_rows).alias("_a"), F.floor(F.max("idx") / chunk_rows).alias("_b")
+    )
+    long = checkpoint(spans.where("_a < _b").select("segment"))
+    if long.isEmpty():
+        whole = df.repartition("segment").sortWithinPartitions("segment", "idx")
+        return whole.mapInPandas(_fold_rows(start, step, inputs, ["segment"], output), result)
+    whole = df.join(long, "segment", "left_anti").repartition("segment").sortWithinPartitions("segment", "idx")
+    folded = whole.mapInPandas(_fold_rows(start, step, inputs, ["segment"], output), result)
+    group = ["segment", "_chunk"]
+    rows = checkpoint(df.join(long, "segment", "left_semi").withColumn("_chunk", _chunk("idx", chunk_rows)))
+    pieces = rows.groupBy(*group).agg(F.min("idx").alias("idx"))
+    previous = F.lag("_chunk").over(Window.partitionBy("segment").orderBy("_chunk"))
+    pieces = checkpoint(pieces.withColumns({"_previous": previous, "_before": F.lit(None).cast("binary")}))
+    columns = [c for c in df.columns if c != "segment"]
+
+    def placed(some: DataFrame) -> DataFrame:
+        """The rows of the pieces, in order, the first of each with its state."""
+        own = rows.join(some.select(*group), group, "left_semi")
+        states = some.where("_before IS NOT NULL").select("segment", "idx", "_before")
+        joined = own.join(states, ["segment", "idx"], "left").select("segment", *columns, "_chunk", "_before")
+        return joined.repartition(*group).sortWithinPartitions(*group, "idx")
+
+    after = None
+    changed = pieces
+    while not changed.isEmpty():
+        ended = placed(changed).mapInPandas(
+            _fold_rows(start, step, inputs, group, None), "segment long, _chunk long, _after binary"
+        )
+        ended = checkpoint(ended)
+        after = ended if after is None else checkpoint(after.join(ended, group, "left_anti").unionByName(ended))
+        states = after.withColumnRenamed("_chunk", "_previous")
+        met = checkpoint(pieces.join(states, ["segment", "_previous"], "left"))
+        changed = met.where("NOT (_before <=> _after)").withColumn("_before", F.col("_after"))
+        changed = checkpoint(changed.select(*pieces.columns))
+        pieces = checkpoint(met.withColumn("_before", F.col("_after")).select(*pieces.columns))
+    last = placed(pieces).mapInPandas(
+        _fold_rows(start, step, inputs, group, output), f"{_typed(df, columns)}, _chunk long, `{output}` {kind}"
+    )
+    return folded.unionByName(last.select(*df.columns, output))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for pdf in batches:
-            results = []
-            for segment, *values in zip(pdf["segment"], *(pdf[c] for c in inputs)):
-                if segment != current:
-                    current, state = segment, start()
-                results.append(step(state, *values))
-            pdf[output] = results
-            yield pdf
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    ordered = df.repartition("segment").sortWithinPartitions("segment", "idx")
-    return ordered.mapInPandas(run, f"{schema}, `{output}` {kind}")
+def _typed(df: DataFrame, columns: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return ", ".join(f"`{c}` {kinds[c]}" for c in ["segment", *columns])
