@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderleaf.functions.text import md5_fraction, strip
+from cinderleaf.operators.ordered import dense_index
+from cinderleaf.session import checkpoint
 
 
 def blend(spark: SparkSession, configs: list[tuple[str, str, float, str]], n: int, seed: int = 42) -> DataFrame:
@@ -30,6 +32,32 @@ def blend(spark: SparkSession, configs: list[tuple[str, str, float, str]], n: in
     return draws.select("pos", chosen.alias("_c")).select("pos", "_c.*")
 
 
+def blend_rows(
+    spark: SparkSession,
+    configs: list[tuple[str, str, float, str]],
+    sources: dict[str, DataFrame],
+    order: str,
+    n: int,
+    seed: int = 42,
+) -> DataFrame:
+    """The draws of `blend` with a row each: the i-th draw of a source gets its i-th row by `order`.
+
+    A source that is drawn more often than it has rows starts over; one without rows gives none.
+    """
+    draws = checkpoint(dense_index(blend(spark, configs, n, seed), ["source", "pos"], "_i"))
+    firsts = draws.groupBy("source").agg(F.min("_i").alias("_first"))  # one row per source
+    placed = draws.join(F.broadcast(firsts), "source").withColumn("_at", F.col("_i") - F.col("_first"))
+    out = None
+    for name, rows in sources.items():
+        numbered = dense_index(rows, [order], "_row")
+        size = numbered.agg(F.count("*").alias("_size")).where("_size > 0")
+        own = placed.where(F.col("source") == name).join(F.broadcast(size.withColumn("source", F.lit(name))), "source")
+        own = own.withColumn("_row", F.col("_at") % F.col("_size"))
+        joined = own.select("pos", "source", "modality", "path", "_row").join(numbered, "_row").drop("_row")
+        out = joined if out is None else out.unionByName(joined, allowMissingColumns=True)
+    return out
+
+
 def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Rows in an order fixed by the key and the seed."""
     return df.withColumn("_u", md5_fraction(seed, F.col(key).cast("string"))).orderBy("_u", key).drop("_u")

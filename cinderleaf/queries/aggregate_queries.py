@@ -661,6 +661,25 @@ def blend(spark, sf):
     return sampling.blend(spark, configs, n, seed=7).select("pos", "source", "modality")
 
 
+_SOURCE = "CASE lang WHEN 'en' THEN 'web' WHEN 'fr' THEN 'books' ELSE 'audio' END"
+
+
+@query(
+    "blend_rows",
+    f"""WITH n AS (SELECT unnest(generate_series(0, (SELECT 2 * count(*) FROM documents) - 1)) AS pos), u AS (SELECT pos, {q.fraction("'7'", "CAST(pos AS VARCHAR)")} AS u FROM n),
+c AS (SELECT pos, CASE WHEN u < 0.5::DOUBLE THEN 'web' WHEN u < 0.5::DOUBLE + 0.3::DOUBLE THEN 'books' ELSE 'audio' END AS source FROM u),
+d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) - 1 AS k FROM c),
+s AS (SELECT {_SOURCE} AS source, doc_id, row_number() OVER (PARTITION BY {_SOURCE} ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY {_SOURCE}) AS size FROM documents)
+SELECT d.pos, d.source, s.doc_id FROM d JOIN s ON d.source = s.source AND d.k % s.size = s.r""",
+)
+def blend_rows(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.expr(_SOURCE).alias("kind"))
+    configs = [("web", "/web", 5.0, "text"), ("books", "/books", 3.0, "text"), ("audio", "/audio", 2.0, "audio")]
+    sources = {name: docs.where(F.col("kind") == name).select("doc_id") for name, *_ in configs}
+    drawn = sampling.blend_rows(spark, configs, sources, "doc_id", 2 * docs.count(), seed=7)
+    return drawn.select("pos", "source", "doc_id")
+
+
 @query(
     "shuffle",
     f"""WITH u AS (SELECT doc_id, {q.fraction("'42'", "CAST(doc_id AS VARCHAR)")} AS u FROM documents) SELECT doc_id FROM u ORDER BY u, doc_id""",
