@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderleaf.session import checkpoint
+from cinderleaf.session import written
 
 
 def _with_least(links: DataFrame) -> DataFrame:
@@ -13,8 +13,8 @@ def _with_least(links: DataFrame) -> DataFrame:
 
     Both sides of the join are written tables, so that Spark can split the rows of a hot u.
     """
-    links = checkpoint(links)
-    least = checkpoint(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")))
+    links = written(links)
+    least = written(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")))
     return links.join(least, "u")
 
 
@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     The rounds grow with the logarithm of the longest chain; no node's neighbours are ever collected.
     """
-    links = checkpoint(
+    links = written(
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     before = None
@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         small = _with_least(large)
-        links = checkpoint(
+        links = written(
             small.where("v != least")
             .select(F.col("v").alias("u"), F.col("least").alias("v"))
             .unionByName(small.select("u", F.col("least").alias("v")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` written as a table to the shared folder and read back.
+
+    Unlike a checkpoint it has the size of its files: a checkpoint keeps the estimate of its plan, and
+    where the result of joins is joined round after round that estimate grows beyond all bounds.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when `df` has at most `max_rows` rows; reads no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows
