@@ -5,11 +5,12 @@ make a signature of 128. Bands of four values, each from another permutation, pu
 common buckets: two sets with a similarity of 0.75 miss each other in all 32 bands with a probability
 of 5e-6. Equal sets are one node throughout.
 
-Links come in two steps, both confirmed on the full sets. First every node of a bucket is compared with
-the bucket's smallest node, which ties a crowd of near copies together in linear work. Then buckets
-that still hold nodes of several components are compared block by block, across components only, by
-signature; what agrees well enough is confirmed like before. Nothing is capped: every two nodes of a
-bucket are compared or known to be connected.
+Links come in steps, all confirmed on the full sets. First every node is compared with the smallest node
+of all its buckets, which ties a crowd of near copies together with one pair a node. Then, in buckets
+that still hold nodes of several components, the others are compared with the bucket's smallest node.
+What remains is compared block by block, across components only, by signature; what agrees well enough
+is confirmed like before. Nothing is capped: every two nodes of a bucket are compared or known to be
+connected.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cinderleaf.llm import wordhash
 from cinderleaf.llm.common import attach, shuffle_partitions, whole
-from cinderleaf.llm.graph import components
+from cinderleaf.operators.components import components
 from cinderleaf.session import checkpoint
 
 PERMUTATIONS, BAND = 64, 4
@@ -218,12 +219,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     groups = checkpoint(linked.groupBy(*key).agg(F.min("id").alias("node"), F.count("*").alias("copies")))
     nodes = linked.join(groups.select(*key, F.col("node").alias("id")), [*key, "id"], "left_semi")
     nodes = checkpoint(nodes.select(F.col("id").alias("node"), "signature", "bands"))
-    links = _all_links(nodes, rows.where("id IS NOT NULL"))
+    roots = connected(nodes, rows.where("id IS NOT NULL"))
     # rows that repeat an id with other words tie the groups of their texts together
     repeated = linked.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
     tied = linked.join(repeated, "id", "left_semi").select(*key, "id").distinct()
     bridges = tied.join(groups, key).select(F.col("node").alias("a"), F.col("id").alias("b"))
-    roots = components(links.unionByName(bridges))
+    roots = _joined(roots, bridges)
     named = groups.join(roots, "node", "left").select(
         *key, "copies", F.coalesce("root", "node").alias("component_id")
     )
@@ -242,27 +243,49 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     )
 
 
-def _all_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): links that connect exactly the nodes that similarity connects."""
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after `links` (a, b) were added."""
+    if links.isEmpty():
+        return roots
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return checkpoint(components(known.unionByName(links)))
+
+
+def _mixed(placed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The postings (key, node) of the buckets that hold nodes of several components, with their roots."""
+    rooted = placed.select("key", "node").join(roots, "node", "left")
+    rooted = checkpoint(rooted.select("key", "node", F.coalesce("root", "node").alias("root")))
+    spread = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    return checkpoint(rooted.join(spread.where("least != most").select("key"), "key", "left_semi"))
+
+
+def connected(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of every node that similarity connects to another one."""
     postings = checkpoint(nodes.select("node", F.explode("bands").alias("key")))
     buckets = postings.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size"))
     buckets = checkpoint(buckets.where("size > 1"))
     members = buckets.agg(F.sum("size")).first()[0] or 0
-    spokes = attach(postings, buckets, ["key"], "size", members)
-    spokes = spokes.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = checkpoint(_links(spokes, docs))
-    roots = checkpoint(components(stars))
-    placed = postings.join(buckets.select("key"), "key", "left_semi").join(roots, "node", "left")
-    placed = checkpoint(placed.select("key", "node", F.coalesce("root", "node").alias("root")))
-    mixed = placed.groupBy("key").agg(
-        F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")
-    )
-    mixed = checkpoint(
-        mixed.where("least != most").select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    )
-    if mixed.isEmpty():
-        return stars
-    rows = attach(placed, mixed, ["key"], "size", mixed.agg(F.sum("size")).first()[0])
+    # first every node with the smallest hub of its buckets: one pair a node ties the crowds together
+    spokes = attach(postings, buckets, ["key"], "size", members).where("node != hub")
+    tested = checkpoint(spokes.groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"))
+    roots = checkpoint(components(_links(tested, docs)))
+    # then with the hubs of the buckets that still hold several components
+    placed = _mixed(postings.join(buckets.select("key"), "key", "left_semi"), roots)
+    if placed.isEmpty():
+        return roots
+    hubs = checkpoint(placed.groupBy("key").agg(F.min(F.struct("node", "root")).alias("hub"), F.count("*").alias("size")))
+    spokes = attach(placed, hubs, ["key"], "size", placed.count()).where("root != hub.root")
+    pairs = spokes.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
+    tested = tested.unionByName(pairs)
+    roots = _joined(roots, _links(pairs, docs))
+    # and at last with each other, across the components that remain
+    placed = _mixed(placed, roots)
+    if placed.isEmpty():
+        return roots
+    sizes = placed.groupBy("key").agg(F.count("*").alias("size"))
+    sizes = checkpoint(sizes.select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    rows = attach(placed, sizes, ["key"], "size", placed.count())
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.join(nodes.select("node", "signature"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -280,7 +303,8 @@ def _all_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     candidates = (
         cells.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(compare_cells, "a long, b long")
     )
-    return stars.unionByName(_links(candidates.distinct(), docs))
+    pairs = candidates.distinct().join(tested, ["a", "b"], "left_anti")
+    return _joined(roots, _links(pairs, docs))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
