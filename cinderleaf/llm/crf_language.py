@@ -338,11 +338,11 @@ def identify(
     return found.withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` whose language is known with at least `least` of their words, columns unchanged.
+def keep_identified(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs` with a language that at least a share `least` of their words has, columns unchanged.
 
-    Rows without a letter or without a prevailing language go. Rows that repeat an id go together when
-    one of them goes; rows with a null id share one verdict likewise.
+    Rows without a letter go. Short clean texts can be of even shares, so `least` is 0 unless asked for.
+    Rows that repeat an id go together when one of them goes; rows with a null id share one verdict likewise.
     """
     found = identify(docs, id_col, **options)
     gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
