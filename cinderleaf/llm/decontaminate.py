@@ -3,7 +3,7 @@
 A text becomes a template: words in lower case, numbers, units after numbers and names inside sentences
 replaced by typed placeholders that keep their value aside. Windows of template words are hashed and
 joined with those of the benchmark. A document holds an item when its windows cover enough of the item
-and the placeholders of both sides pair up one to one, type by type. Only built-in column functions.
+and the placeholders within them pair up one to one, type by type. Only built-in column functions.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from cinderleaf.session import checkpoint
 
 # Words of a window, and how many of them must be words rather than placeholders.
 WINDOW, LITERALS = 6, 3
-# Share of an item's windows that a document must hold, and of its placeholders that must pair up.
+# Share of an item's windows that a document must hold, and of the placeholders in them that must pair up.
 COVERED, PAIRED = 0.5, 0.8
 # Benchmarks of up to this many windows (16 bytes each and the item id) are broadcast.
 BROADCAST_WINDOWS = 1_000_000
@@ -90,27 +90,36 @@ def benchmark_windows(
     return usable.join(counts, "item")
 
 
-def _paired(words: Column, item_words: Column, shift: Column) -> Column:
-    """Share of the item's placeholders whose values pair up one to one with the document's; 1 without any."""
-    places = F.sequence(F.lit(0), F.size(item_words) - 1)
-    pairs = F.filter(
-        F.transform(
-            places,
-            lambda i: F.struct(
-                F.get(item_words, i).alias("a"),
-                F.when(i + shift >= 0, F.get(words, i + shift)).alias("b"),
-            ),
-        ),
-        lambda p: p["a"].startswith(MARK),
-    )
-    same = F.filter(pairs, lambda p: F.coalesce(_shape(p["a"]) == _shape(p["b"]), F.lit(False)))
+def _paired(words: Column, item_words: Column, shift: Column, copies: Column, window: int) -> Column:
+    """Share of the item's placeholders in found windows whose values pair up one to one with the document's; 1
+    without any.
+
+    `copies` has the found windows of every shift. A placeholder is read at the shift of a window that holds it,
+    the one closest to `shift` and no further from it than the item is long: an edit moves what follows it by a
+    few words, other copies are far away. Found windows agree in their shapes, so only values can differ.
+    """
+
+    def read(near: Column) -> Column:
+        def shift_of(i: Column) -> Column:
+            holds = F.filter(near, lambda c: F.exists(c["found"], lambda at: (at <= i) & (i < at + window)))
+            return F.array_min(F.transform(holds, lambda c: F.struct(F.abs(c["shift"] - shift), c["shift"].alias("s"))))["s"]
+
+        places = F.filter(
+            F.sequence(F.lit(0), F.size(item_words) - 1), lambda i: F.get(item_words, i).startswith(MARK)
+        )
+        pairs = F.transform(
+            places, lambda i: F.struct(F.get(item_words, i).alias("a"), F.get(words, i + shift_of(i)).alias("b"))
+        )
+        return F.filter(pairs, lambda p: p["b"].isNotNull())
 
     def one_to_one(found: Column) -> Column:
         left = F.size(F.array_distinct(F.transform(found, lambda p: p["a"])))
         right = F.size(F.array_distinct(F.transform(found, lambda p: p["b"])))
-        return F.least(left, right) / F.greatest(F.size(F.array_distinct(found)), F.lit(1))
+        share = F.least(left, right) / F.greatest(F.size(F.array_distinct(found)), F.lit(1))
+        return F.when(F.size(found) == 0, F.lit(1.0)).otherwise(share)
 
-    return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(one_to_one(same) * F.size(same) / F.size(pairs))
+    close = F.filter(copies, lambda c: F.abs(c["shift"] - shift) <= F.size(item_words))
+    return let(let(close, read), one_to_one)
 
 
 def find_items(
@@ -142,6 +151,7 @@ def find_items(
     pairs = by_shift.groupBy("id", "item", "windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_windows"),
         F.max_by("shift", F.struct(F.size("found"), -F.col("shift"))).alias("shift"),
+        F.collect_list(F.struct("shift", "found")).alias("copies"),
     )
     enough = checkpoint(pairs.where(F.col("n_windows") >= F.col("windows") * covered))
     # only items with placeholders need the document's words again
@@ -151,9 +161,12 @@ def find_items(
         slotted = F.broadcast(slotted)
     to_check = checkpoint(enough.join(slotted, "item"))
     plain = enough.join(to_check.select("item").distinct(), "item", "left_anti")
-    share = let(template_words(F.col("body")), lambda w: _paired(w, F.col("item_words"), F.col("shift")))
+    share = let(
+        template_words(F.col("body")),
+        lambda w: _paired(w, F.col("item_words"), F.col("shift"), F.col("copies"), window),
+    )
     if to_check.isEmpty():
-        checked = to_check.withColumn("slot_share", F.lit(1.0)).drop("item_words")
+        checked = to_check.withColumn("slot_share", F.lit(1.0)).drop("item_words", "copies")
     else:
         wanted = to_check.withColumnRenamed("id", "wanted")
         checked = (
@@ -162,7 +175,7 @@ def find_items(
             .groupBy("id", "item", "windows", "n_windows", "shift")
             .agg(F.max("slot_share").alias("slot_share"))
         )
-    found = plain.withColumn("slot_share", F.lit(1.0)).unionByName(checked)
+    found = plain.drop("copies").withColumn("slot_share", F.lit(1.0)).unionByName(checked)
     return found.where(F.col("slot_share") >= paired).select(
         F.col("id").alias(id_col),
         F.col("item").alias(item_id),

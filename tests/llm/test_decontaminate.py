@@ -52,3 +52,16 @@ def test_empty_tables_and_columns(spark):
 def test_large_benchmarks_take_the_shuffle_join(spark, monkeypatch):
     monkeypatch.setattr("cinderleaf.llm.decontaminate.BROADCAST_WINDOWS", 0)
     assert found(spark, [(1, SAME), (2, MOVED), (3, PLAIN)], [(10, ITEM)]) == [(1, 10), (2, 10)]
+
+
+def test_slots_are_read_where_their_windows_were_found(spark):
+    name = "every morning the baker opens her small shop and sells warm bread to Anna and people who pass by on their way"
+    docs = [
+        (1, ITEM.replace("Anna", "then Anna")), (2, ITEM.lower()), (3, MOVED.replace("north ", "")),
+        (4, name.replace("Anna", "anna")), (5, MIXED.replace("travels", "then travels")),
+    ]
+    rows = frames(spark, docs, [(10, ITEM), (11, name)])
+    got = {(r["doc_id"], r["item_id"]): r for r in find_items(*rows, paired=0.0).collect()}
+    assert found(spark, docs[:4], [(10, ITEM), (11, name)]) == [(1, 10), (2, 10), (3, 10), (4, 11)]
+    assert got[1, 10]["n_windows"] == 11 and got[1, 10]["slot_share"] == 1.0
+    assert got[5, 10]["slot_share"] < 0.95
