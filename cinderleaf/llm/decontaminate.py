@@ -2,8 +2,9 @@
 
 A text becomes a template: words in lower case, numbers, units after numbers and names inside sentences
 replaced by typed placeholders that keep their value aside. Windows of template words are hashed and
-joined with those of the benchmark. A document holds an item when its windows cover enough of the item
-and the placeholders within them pair up one to one, type by type. Only built-in column functions.
+joined with those of the benchmark. A document holds an item when its windows cover enough of the item,
+or many in a row, and the placeholders within them pair up one to one, type by type. An item without a
+usable window is held by documents with all of its words, values included. Only built-in column functions.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from cinderleaf.session import checkpoint
 WINDOW, LITERALS = 6, 3
 # Share of an item's windows that a document must hold, and of the placeholders in them that must pair up.
 COVERED, PAIRED = 0.5, 0.8
+# Windows in a row that are enough whatever their share: 13 template words.
+IN_A_ROW = 8
 # Benchmarks of up to this many windows (16 bytes each and the item id) are broadcast.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -73,23 +76,83 @@ def window_hashes(words: Column, window: int = WINDOW) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(_shape(w))), hashed)
 
 
+def _usable(words: Column, at: Column, window: int) -> Column:
+    """Whether a window has few enough placeholders."""
+    return F.size(F.filter(F.slice(words, at + 1, window), lambda w: w.startswith(MARK))) <= window - LITERALS
+
+
 def benchmark_windows(
     benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """(item, words, windows, at, hash): the usable windows of every item.
-
-    An item shorter than the window has none and is never found.
-    """
+    """(item, windows, at, hash): the usable windows of every item; see `whole_items` for items without any."""
     items = benchmark.where(F.col(item_id).isNotNull()).select(
         F.col(item_id).alias("item"), template_words(whole(text)).alias("words")
     )
     cut = items.select("item", "words", F.posexplode(window_hashes(F.col("words"), window)).alias("at", "hash"))
-    placeholders = F.size(F.filter(F.slice("words", F.col("at") + 1, window), lambda w: w.startswith(MARK)))
-    usable = cut.where(placeholders <= window - LITERALS).drop("words")
+    usable = cut.where(_usable(F.col("words"), F.col("at"), window)).drop("words")
     counts = usable.groupBy("item").agg(F.countDistinct("at").alias("windows"))
     return usable.join(counts, "item")
 
 
+def plain_words(text: Column) -> Column:
+    """The words of a text's template with the values in place of their placeholders."""
+    return F.transform(template_words(text), lambda w: F.substring_index(w, CUT, -1))
+
+
+def _starts(words: Column, length: Column | int) -> Column:
+    """Hash of every run of `length` words."""
+    places = F.sequence(F.lit(0), F.size(words) - length)
+    return F.when(
+        F.size(words) >= length, F.transform(places, lambda i: F.xxhash64(F.slice(words, i + 1, length)))
+    ).otherwise(F.array().cast("array<bigint>"))
+
+
+def whole_items(
+    benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW
+) -> DataFrame:
+    """(item, item_words, length, hash) of the items without a usable window: all words, and their first ones' hash.
+
+    Items without words are left out.
+    """
+    items = benchmark.where(F.col(item_id).isNotNull()).select(
+        F.col(item_id).alias("item"), whole(text).alias("body"), template_words(whole(text)).alias("words")
+    )
+    places = F.sequence(F.lit(0), F.size("words") - window)
+    some = F.when(F.size("words") >= window, F.exists(places, lambda i: _usable(F.col("words"), i, window)))
+    bare = items.where((F.size("words") > 0) & ~F.coalesce(some, F.lit(False)))
+    return bare.select(
+        "item", plain_words(F.col("body")).alias("item_words"), F.least(F.size("words"), F.lit(window)).alias("length")
+    ).withColumn("hash", F.xxhash64(F.expr("slice(item_words, 1, length)")))
+
+
+def find_whole(body: DataFrame, bare: DataFrame, broadcast: bool) -> DataFrame:
+    """(id, item) of the rows of `body` that hold all words of an item of `whole_items` in a row."""
+    lengths = sorted(r[0] for r in bare.select("length").distinct().collect())
+    hashes = let(plain_words(F.col("body")), lambda w: F.concat(*[_starts(w, n) for n in lengths]))
+    keys = bare.select("item", "hash")
+    placed = body.select("id", F.explode(F.array_distinct(hashes)).alias("hash"))
+    wanted = placed.join(F.broadcast(keys) if broadcast else keys, "hash").select(F.col("id").alias("wanted"), "item")
+    wanted = checkpoint(wanted.distinct().join(bare.select("item", "item_words").distinct(), "item"))
+
+    def holds(words: Column) -> Column:
+        item = F.col("item_words")
+        places = F.sequence(F.lit(0), F.size(words) - F.size(item))
+        return F.when(F.size(words) >= F.size(item), F.exists(places, lambda i: F.slice(words, i + 1, F.size(item)) == item))
+
+    both = body.join(wanted, F.col("id").eqNullSafe(F.col("wanted")))
+    return both.where(let(plain_words(F.col("body")), holds)).select("id", "item").distinct()
+
+
+def _in_a_row(found: Column) -> Column:
+    """Whether IN_A_ROW windows follow each other."""
+    places = F.sequence(F.lit(0), F.size(found) - IN_A_ROW)
+    many = let(
+        F.array_sort(found),
+        lambda f: F.exists(places, lambda i: F.get(f, i + IN_A_ROW - 1) - F.get(f, i) == IN_A_ROW - 1),
+    )
+    return F.when(F.size(found) >= IN_A_ROW, many).otherwise(False)
+
+
 def _paired(words: Column, item_words: Column, shift: Column, copies: Column, window: int) -> Column:
     """Share of the item's placeholders in found windows whose values pair up one to one with the document's; 1
     without any.
@@ -136,7 +199,8 @@ def find_items(
     """(doc_id, item_id, n_windows, coverage, slot_share) of every document that holds an item.
 
     Null texts are empty and hold nothing; rows that repeat an id answer together; a null id is an id
-    of its own; repeated benchmark rows answer once. Empty tables give an empty result. Other columns
+    of its own; repeated benchmark rows answer once. An item without a usable window counts as one window;
+    one of a single word is held by every document with that word. Empty tables give an empty result. Other columns
     are not read.
     """
     items = benchmark.select(item_id, item_text).distinct()
@@ -152,8 +216,9 @@ def find_items(
         F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_windows"),
         F.max_by("shift", F.struct(F.size("found"), -F.col("shift"))).alias("shift"),
         F.collect_list(F.struct("shift", "found")).alias("copies"),
+        F.bool_or(_in_a_row(F.col("found"))).alias("long"),
     )
-    enough = checkpoint(pairs.where(F.col("n_windows") >= F.col("windows") * covered))
+    enough = checkpoint(pairs.where((F.col("n_windows") >= F.col("windows") * covered) | F.col("long")).drop("long"))
     # only items with placeholders need the document's words again
     words = items.select(F.col(item_id).alias("item"), template_words(whole(item_text)).alias("item_words"))
     slotted = words.where(F.exists("item_words", lambda w: w.startswith(MARK)))
@@ -176,13 +241,25 @@ def find_items(
             .agg(F.max("slot_share").alias("slot_share"))
         )
     found = plain.drop("copies").withColumn("slot_share", F.lit(1.0)).unionByName(checked)
-    return found.where(F.col("slot_share") >= paired).select(
+    out = found.where(F.col("slot_share") >= paired).select(
         F.col("id").alias(id_col),
         F.col("item").alias(item_id),
         F.col("n_windows").cast("long").alias("n_windows"),
         (F.col("n_windows") / F.col("windows")).alias("coverage"),
         "slot_share",
     )
+    bare = checkpoint(whole_items(items, item_id, item_text, window))
+    if bare.isEmpty():
+        return out
+    one = F.lit(1.0)
+    exact = find_whole(body, bare, bare.count() <= BROADCAST_WINDOWS).select(
+        F.col("id").alias(id_col), F.col("item").alias(item_id), F.lit(1).cast("long").alias("n_windows"),
+        one.alias("coverage"), one.alias("slot_share"),
+    )
+    # an id of two texts may be found both ways
+    return out.unionByName(exact).groupBy(id_col, item_id).agg(
+        *[F.max(c).alias(c) for c in ("n_windows", "coverage", "slot_share")]
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -65,3 +65,20 @@ def test_slots_are_read_where_their_windows_were_found(spark):
     assert found(spark, docs[:4], [(10, ITEM), (11, name)]) == [(1, 10), (2, 10), (3, 10), (4, 11)]
     assert got[1, 10]["n_windows"] == 11 and got[1, 10]["slot_share"] == 1.0
     assert got[5, 10]["slot_share"] < 0.95
+
+
+def test_items_without_usable_windows_and_long_passages(spark, monkeypatch):
+    dense, short = "What is 12 * 34 + 56 - 7 / 8?", "who painted Guernica?"
+    long = " ".join(f"{a}{b}" for a in ("ba", "ko", "ru", "te", "mi", "so") for b in ("na", "le", "vu", "gi", "po"))
+    docs = [
+        (1, f"Solve it. {dense} Thanks."), (2, "What is 12 * 34 + 56 - 7 / 9?"), (3, "Tell me: Who painted guernica"),
+        (4, "who painted it"), (5, "so " + " ".join(long.split()[4:17]) + " and no more"), (6, " ".join(long.split()[4:16])),
+        (7, None), (None, dense),
+    ]
+    items = [(10, dense), (11, short), (12, long), (13, ""), (10, dense)]
+    data = frames(spark, docs, items)
+    for most in (1_000_000, 0):
+        monkeypatch.setattr("cinderleaf.llm.decontaminate.BROADCAST_WINDOWS", most)
+        got = {(r["doc_id"], r["item_id"]) for r in find_items(*data).collect()}
+        assert got == {(1, 10), (3, 11), (5, 12), (None, 10)}
+    assert sorted(r["doc_id"] for r in decontaminate(*data).collect()) == [2, 4, 6, 7]
