@@ -94,11 +94,15 @@ OTHERS = [
     "The project has no license yet.", "We license our patents to partners.", "Terms and conditions apply.",
     "The version 2.0 of the product is out.", "Version 3 was released in May.", "The gnu is an antelope.",
     "The source code is not available.", "This content is for members only.", "Permission denied.",
-    "The above notice was removed.", "The distribution of the species is wide.",
+    "The above notice was removed.", "The distribution of the species is wide.", "The ISC met in May.",
+    "He works at MIT in Boston.", "A report by MIT came out in June.", "The MIT is a university.", "He teaches at MIT.",
+    "The ISC and other groups took part.", "The members of the ISC are elected.", "At MIT and in Boston people work.",
 ]
 
-# Words of which every notice has one; a paragraph without any has no feature of a licence.
+# Words of which every notice of a family has one; a test holds all notices of the training against it. Words may be
+# parted by line breaks and comment marks. Names that are common words elsewhere are in capitals or follow a phrase.
 ANCHOR = (
-    r"(?i)licen[sc]|copyright|permission|public domain|redistribut|\bapache\b|\bgnu\b|\b[al]?gpl|\bbsd\b|\bmpl\b"
-    r"|mozilla|creative commons|\bcc[ -]by|\bcc0|unlicense"
+    r"(?i)licen[sc]|copyright|permission|public[^a-z0-9]{1,9}domain|redistribut|\bapache\b|\bgnu\b|\b[al]?gpl|\bbsd\b"
+    r"|\bmpl\b|mozilla|creative[^a-z0-9]{1,9}commons|\bcc[^a-z0-9]{1,9}by\b|\bcc0|unlicense|(?-i:\b(?:MIT|ISC|EXPAT)\b)"
+    r"|\b(?:under|identifier)[^a-z0-9]{1,9}(?:(?:the|an?|terms|of)[^a-z0-9]{1,9}){0,4}(?:mit|isc|expat)\b"
 )

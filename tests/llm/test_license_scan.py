@@ -2,7 +2,7 @@
 
 import pytest
 
-from cinderleaf.llm.license_scan import UNKNOWN, calibrated, scan_licenses, train
+from cinderleaf.llm.license_scan import UNKNOWN, calibrated, notices, scan_licenses, train
 
 GRANTS = {
     "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
@@ -54,3 +54,13 @@ def test_threshold_lets_few_wrong_families_pass():
     assert calibrated([(0.9, True), (0.6, False), (0.7, True)]) == 0.7
     assert calibrated([(0.9, True)]) == 0.5
     assert calibrated([(0.9, False)]) == 1.0
+
+
+def test_every_training_notice_has_a_row(spark, model):
+    given = [(i, f, t) for i, (f, t) in enumerate(notices()) if f != UNKNOWN]
+    got = {r["doc_id"]: r for r in scanned(spark, model, [(i, t) for i, _, t in given])}
+    assert [t for i, _, t in given if i not in got] == []
+    bare = [i for i, _, t in given if t in ("Released under MIT.", "This file is available under the ISC.", "MIT")]
+    assert len(bare) == 3
+    rows = scanned(spark, model, [(1, "er kommt mit dem Zug"), (2, "released under mit"), (3, "They met at the ISC in June.")])
+    assert [(r["doc_id"], r["family"]) for r in rows] == [(2, "MIT"), (3, UNKNOWN)]
