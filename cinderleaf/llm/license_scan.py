@@ -55,7 +55,7 @@ def runs_of(words: Column, longest: int = LONGEST) -> Column:
 def notices() -> list[tuple[str, str]]:
     """(family, statement) of every training notice."""
     out = [(f, phrase.format(name)) for f, names in terms.NAMES.items() for name in names for phrase in terms.NOTICES]
-    out += [(f, s) for f, some in terms.SENTENCES.items() for s in some]
+    out += [(f, s) for f, some in terms.SENTENCES.items() for s in some for _ in range(LEAST_NOTICES)]
     return out + [(UNKNOWN, s) for s in terms.OTHERS for _ in range(3)] + [(UNKNOWN, "")]
 
 
@@ -93,9 +93,12 @@ def train(spark: SparkSession) -> dict:
     """classes, intercepts, weights (run: one per class) and threshold of the fitted classifier."""
     given = [{"i": i, "family": f, "text": t} for i, (f, t) in enumerate(notices())]
     every = _table(spark, given, "i int, family string, text string").select(
-        "i", "family", runs_of(words_of(F.col("text"))).alias("runs")
+        "i", "family", "text", runs_of(words_of(F.col("text"))).alias("runs")
     )
-    every = every.withColumn("left_out", F.pmod(F.xxhash64("i"), F.lit(LEFT_OUT)) == 0).cache()
+    # a sentence is the only notice with its words, so none is left out
+    sentences = F.from_json(F.lit(json.dumps(sum(terms.SENTENCES.values(), []))), "array<string>")
+    draw = F.pmod(F.xxhash64("i"), F.lit(LEFT_OUT)) == 0
+    every = every.withColumn("left_out", draw & ~F.array_contains(sentences, F.col("text"))).drop("text").cache()
     fitted = every.where("NOT left_out")
     counted = fitted.select(F.explode("runs").alias("run")).groupBy("run").count()
     vocabulary = [r[0] for r in counted.where(F.col("count") >= LEAST_NOTICES).orderBy("run").collect()]
@@ -147,39 +150,97 @@ def _similarity(runs: Column, family: Column) -> Column:
     return F.coalesce(F.array_max(shares), F.lit(0.0))
 
 
+def _judged(text: Column, model: dict) -> Column:
+    """(predicted, probability, similarity, confirmed) of a paragraph's text."""
+
+    def of_best(runs: Column, best: Column) -> Column:
+        passed = (best["family"] != UNKNOWN) & (best["chance"] >= model["threshold"])
+        like = F.when(passed, _similarity(runs, best["family"])).otherwise(0.0)
+        return let(
+            like,
+            lambda s: F.struct(
+                F.when(passed, best["family"]).otherwise(UNKNOWN).alias("predicted"),
+                best["chance"].alias("probability"),
+                s.alias("similarity"),
+                (s >= CONFIRMED).alias("confirmed"),
+            ),
+        )
+
+    def of_runs(runs: Column) -> Column:
+        return let(_best(_probabilities(runs, model), model), lambda best: of_best(runs, best))
+
+    return let(runs_of(words_of(text)), of_runs)
+
+
+def _blocks(body: Column) -> Column:
+    """(first, lines) of every run of lines with letters or digits; `first` counts from 0."""
+
+    def cut(lines: Column) -> Column:
+        def written(i: Column) -> Column:
+            return F.coalesce(F.get(lines, i).rlike(r"[\p{L}\p{N}]"), F.lit(False))
+
+        places = F.sequence(F.lit(0), F.size(lines) - 1)
+        starts = F.filter(places, lambda i: written(i) & ~written(i - 1))
+        stops = F.filter(places, lambda i: written(i) & ~written(i + 1))
+        return F.zip_with(
+            starts, stops, lambda a, b: F.struct(a.alias("first"), F.slice(lines, a + 1, b - a + 1).alias("lines"))
+        )
+
+    return let(F.split(body, "\n", -1), cut)
+
+
+def _rows(block: Column, model: dict) -> Column:
+    """The paragraphs of a block: its lines, and what those say together that confirm nothing alone."""
+
+    def judged(line: Column, i: Column) -> Column:
+        said = F.when(line.rlike(terms.ANCHOR), _judged(line, model))
+        return F.struct((block["first"] + i).alias("paragraph"), line.alias("line"), said.alias("said"))
+
+    def sure(row: Column) -> Column:
+        return F.coalesce(row["said"]["confirmed"], F.lit(False))
+
+    def together(others: Column) -> Column:
+        text = F.array_join(F.transform(others, lambda r: r["line"]), " ")
+        return F.when((F.size(others) > 1) & text.rlike(terms.ANCHOR), _judged(text, model))
+
+    def shown(row: Column) -> Column:
+        return F.struct(row["paragraph"].alias("paragraph"), row["said"].alias("said"))
+
+    def chosen(others: Column, joined: Column) -> Column:
+        one = F.struct(F.get(others, F.lit(0))["paragraph"].alias("paragraph"), joined.alias("said"))
+        alone = F.transform(F.filter(others, lambda r: r["said"].isNotNull()), shown)
+        return F.when(F.coalesce(joined["confirmed"], F.lit(False)), F.array(one)).otherwise(alone)
+
+    def split(lines: Column) -> Column:
+        rest = let(F.filter(lines, lambda r: ~sure(r)), lambda o: let(together(o), lambda joined: chosen(o, joined)))
+        return F.concat(F.transform(F.filter(lines, sure), shown), rest)
+
+    return let(F.transform(block["lines"], judged), split)
+
+
 def scan_licenses(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, paragraph, family, predicted, probability, similarity, confirmed) of every paragraph with
     a word of licences.
 
-    Paragraphs are lines, counted from 0. `predicted` is the classifier's family, unknown below its
-    threshold; `family` is that family if a template confirms it and unknown otherwise. Null texts are
-    empty and have no such paragraph; rows that repeat an id each give their paragraphs; a null id stays
-    null. An empty table gives an empty result. Other columns are not read.
+    Paragraphs are lines, numbered from 0. Since notices are wrapped, the lines between two lines without a
+    letter or digit that confirm no family alone are also read as one text: where that confirms a family, one
+    row with the number of the first of them stands for all of them.
+    `predicted` is the classifier's family, unknown below its threshold; `family` is that family if a template
+    confirms it and unknown otherwise. Null texts are empty and have no such paragraph; rows that repeat an id
+    each give their paragraphs; a null id stays null. An empty table gives an empty result. Other columns are
+    not read.
     """
     model = model or train(docs.sparkSession)
     flagged = docs.select(F.col(id_col).alias("id"), whole(text).alias("body")).where(F.col("body").rlike(terms.ANCHOR))
-    lines = flagged.select("id", F.posexplode(F.split("body", "\n", -1)).alias("paragraph", "line"))
-    some = lines.where(F.col("line").rlike(terms.ANCHOR)).select(
-        "id", "paragraph", runs_of(words_of(F.col("line"))).alias("runs")
-    )
-    best = some.select("id", "paragraph", "runs", _best(_probabilities(F.col("runs"), model), model).alias("b"))
-    passed = (F.col("b.family") != UNKNOWN) & (F.col("b.chance") >= model["threshold"])
-    judged = best.select(
-        "id",
-        "paragraph",
-        "runs",
-        F.when(passed, F.col("b.family")).otherwise(UNKNOWN).alias("predicted"),
-        F.col("b.chance").alias("probability"),
-    )
-    like = F.when(F.col("predicted") != UNKNOWN, _similarity(F.col("runs"), F.col("predicted"))).otherwise(0.0)
-    compared = judged.select("id", "paragraph", "predicted", "probability", like.alias("similarity"))
-    confirmed = F.col("similarity") >= CONFIRMED
-    return compared.select(
+    blocks = flagged.select("id", F.explode(_blocks(F.col("body"))).alias("block"))
+    some = blocks.where(F.array_join("block.lines", " ").rlike(terms.ANCHOR))
+    found = some.select("id", F.explode(_rows(F.col("block"), model)).alias("row")).select("id", "row.paragraph", "row.said.*")
+    return found.select(
         F.col("id").alias(id_col),
         "paragraph",
-        F.when(confirmed, F.col("predicted")).otherwise(UNKNOWN).alias("family"),
+        F.when(F.col("confirmed"), F.col("predicted")).otherwise(UNKNOWN).alias("family"),
         "predicted",
         "probability",
         "similarity",
-        confirmed.alias("confirmed"),
+        "confirmed",
     )

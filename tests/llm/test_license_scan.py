@@ -56,6 +56,30 @@ def test_threshold_lets_few_wrong_families_pass():
     assert calibrated([(0.9, False)]) == 1.0
 
 
+WRAPPED = [
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""),
+    ("ISC", """# Permission to use, copy, modify, and/or distribute this software for any
+# purpose with or without fee is hereby granted, provided that the above
+# copyright notice and this permission notice appear in all copies."""),
+    ("BSD-3-Clause", """ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission."""),
+    ("Unlicense", "This is free and unencumbered software released into the public\ndomain."),
+]
+
+
+def test_wrapped_bodies(spark, model):
+    rows = [(i, f"some text\n\n{t}\n\nlast line") for i, (_, t) in enumerate(WRAPPED)]
+    rows.append((9, f"Released under the ISC License.\n{WRAPPED[0][1]}\n \n\t\nThe licence plate\nof a car"))
+    got = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in scanned(spark, model, rows) if r["confirmed"])
+    assert got == [(i, 2, f) for i, (f, _) in enumerate(WRAPPED)] + [(9, 0, "ISC"), (9, 1, "MIT")]
+
+
 def test_every_training_notice_has_a_row(spark, model):
     given = [(i, f, t) for i, (f, t) in enumerate(notices()) if f != UNKNOWN]
     got = {r["doc_id"]: r for r in scanned(spark, model, [(i, t) for i, _, t in given])}
