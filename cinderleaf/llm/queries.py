@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderleaf.llm import bitpack, decontaminate, exact_dedup, license_scan, near_dedup, packing, secret_scan, suffix_tree, wrapper_html
+from cinderleaf.llm import bitpack, decontaminate, exact_dedup, license_scan, near_dedup, packing, periodic, secret_scan, suffix_tree, wrapper_html
 from cinderleaf.llm import crf_language as language
 from cinderleaf.llm.common import table
 from cinderleaf.llm.tokens import public_path
@@ -99,3 +99,10 @@ def wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence paragraphs of all documents."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def periodic_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its longest periodic run and digests of all runs and of the collapsed text."""
+    found = periodic.periodic_runs(periodic.repeat_tails(table(spark, sf_dir, "documents")))
+    return periodic.run_digests(found)

@@ -1,7 +1,8 @@
 """Words and shingles of many texts at once, as 64-bit hashes in numpy arrays.
 
-Words are runs without ASCII white space, A-Z in lower case. A word's hash is a polynomial over its
-bytes modulo 2**64 read off a running sum, then mixed; equal words have equal hashes everywhere.
+Words are runs without ASCII white space, A-Z in lower case unless asked for as they are. A word's hash
+is a polynomial over its bytes modulo 2**64 read off a running sum, then mixed; equal words have equal
+hashes everywhere.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _tables() -> dict:
     code = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-    code[65:91] = code[97:123]  # A-Z as a-z
     white = np.zeros(256, bool)
     white[[32, *range(9, 14)]] = True
-    return {"code": code, "white": white, "powers": np.ones(1, np.uint64), "inverse": np.ones(1, np.uint64)}
+    folded = code.copy()
+    folded[65:91] = code[97:123]  # A-Z as a-z
+    return {"exact": code, "code": folded, "white": white, "powers": np.ones(1, np.uint64), "inverse": np.ones(1, np.uint64)}
 
 
 def _powers(tables: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +87,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, stops
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, folded: bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of every word, first word of every text, start and stop byte of every word)."""
     tables = per_worker("wordhash", _tables)
     starts, stops = word_spans(data, offsets)
@@ -94,7 +98,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.uint64), first, starts, stops
     powers, inverse = _powers(tables, len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(tables["code"][data] * powers[: len(data)], out=sums[1:])
+    np.cumsum(tables["code" if folded else "exact"][data] * powers[: len(data)], out=sums[1:])
     found = (sums[stops] - sums[starts]) * inverse[starts]
     return mix(found + (stops - starts).astype(np.uint64) * np.uint64(PLACES[2])), first, starts, stops
 
@@ -128,3 +132,32 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     new[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
     hashes, owners = hashes[new], owners[new]
     return hashes, np.searchsorted(owners, np.arange(len(counts) + 1))
+
+
+def spell(
+    data: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts made of the words data[starts:stops], joined by one space.
+
+    `first` bounds the words of every text; a text without words is empty.
+    """
+    sizes = stops - starts + 1  # with the space after the word
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    places = np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+    spaces = ends - 1
+    places[spaces] = 0
+    out = data[places] if total else np.zeros(0, np.uint8)
+    out[spaces] = 32
+    bounds = np.concatenate([[0], ends])[first]
+    some = np.diff(first) > 0
+    last = np.ones(total, bool)
+    last[bounds[1:][some] - 1] = False  # no space after a text's last word
+    return out[last], bounds - np.concatenate([[0], np.cumsum(some)])
+
+
+def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The texts of `spell` as an Arrow array."""
+    return pa.LargeStringArray.from_buffers(
+        len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())
+    ).cast(pa.string())
