@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cinderleaf.llm import bitpack, decontaminate, exact_dedup, license_scan, near_dedup, packing, periodic, secret_scan, suffix_tree, wrapper_html
+from cinderleaf.llm import bitpack, decontaminate, exact_dedup, license_scan, near_dedup, packing, periodic, secret_scan, suffix_tree, super_kmer, wrapper_html
 from cinderleaf.llm import crf_language as language
 from cinderleaf.llm.common import table
 from cinderleaf.llm.tokens import public_path
@@ -106,3 +107,26 @@ def periodic_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its longest periodic run and digests of all runs and of the collapsed text."""
     found = periodic.periodic_runs(periodic.repeat_tails(table(spark, sf_dir, "documents")))
     return periodic.run_digests(found)
+
+
+REPEATS_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+placed AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM split WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM placed),
+repeated AS (SELECT doc_id, i FROM windows QUALIFY min(doc_id) OVER (PARTITION BY t) < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM repeated),
+removed AS (SELECT doc_id, list(i) AS l FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT split.doc_id, len(w) AS n, coalesce(len(l), 0) AS m,
+         list_filter(w, lambda x, i: l IS NULL OR NOT list_contains(l, i)) AS k
+  FROM split LEFT JOIN removed ON split.doc_id = removed.doc_id)
+SELECT doc_id, n AS n_words, m AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+
+@query("op12_super_kmer_dedup", REPEATS_SQL)
+def super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the words that no repeated window of an earlier document covers."""
+    left = super_kmer.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
