@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderleaf.llm import bitpack, decontaminate, exact_dedup, license_scan, near_dedup, packing, periodic, secret_scan, suffix_tree, super_kmer, wrapper_html
+from cinderleaf.llm import bitpack, decontaminate, exact_dedup, license_scan, near_dedup, packing, periodic, secret_scan, suffix_tree, super_kmer, variants, wrapper_html
 from cinderleaf.llm import crf_language as language
 from cinderleaf.llm.common import table
 from cinderleaf.llm.tokens import public_path
@@ -130,3 +130,10 @@ def super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the words that no repeated window of an earlier document covers."""
     left = super_kmer.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per word its near words, its frequent form and the end of its forms."""
+    words = variants.word_counts(table(spark, sf_dir, "documents"), changed=True)
+    return variants.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
