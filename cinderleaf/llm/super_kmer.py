@@ -1,13 +1,13 @@
 """Removal of word windows that start in an earlier document, by super-k-mers.
 
-The minimiser of a window of 13 words is the smallest hash among its runs of four words. Consecutive windows
+The minimiser of a window of 13 words is the smallest hash among its runs of two words. Consecutive windows
 with the same minimiser travel as one string of words to the minimiser's bucket, so equal windows of any two
 documents meet there, though a window is sent as a few words only. In the bucket windows are sorted by hash
 and equal neighbours compared byte by byte; every window finds the smallest document that holds it.
 
 Equal strings of one slice of texts are settled where they are read: the smallest document's travels, the
 others are covered as a whole. So however many copies a passage has, a bucket gets one string a slice. Runs
-of four words that begin more than 1/1024 of the strings are ranked behind all others, so that windows which
+of two words that begin more than 1/1024 of the strings are ranked behind all others, so that windows which
 merely touch a frequent phrase go to the bucket of a rarer one; windows of nothing but frequent runs are few
 different strings.
 """
@@ -26,9 +26,13 @@ from cinderleaf.llm import wordhash
 from cinderleaf.llm.common import HOT_KEYS, shuffle_partitions, whole
 from cinderleaf.session import checkpoint
 
-WINDOW, RUN = 13, 4
-# Buckets a shuffle partition, worked on one after the other, and bytes of strings a task gathers for them.
-BUCKETS, HOLD = 8, 24 << 20
+WINDOW, RUN = 13, 2
+# Buckets a shuffle partition, worked on one after the other, bytes of texts whose strings are made together,
+# and bytes of strings a task gathers before it sends them.
+BUCKETS, SLICE, HOLD = 8, 1 << 19, 6 << 20
+# Bytes that are compared together.
+COMPARED = 1 << 20
+CODEC = pa.Codec("zstd", 3)
 NO_ID = (1 << 63) - 1
 HEAD = "<II"
 SENT = "bucket int, covers boolean, data binary"
@@ -58,12 +62,12 @@ class Strings:
         cells = (self.ids[a:b], self.checks[a:b].astype("<u4"), self.starts[a:b].astype("<i4"))
         sizes = np.diff(self.offsets[a : b + 1]).astype("<u4")
         raw = b"".join([*(c.tobytes() for c in cells), sizes.tobytes(), text.tobytes()])
-        return struct.pack(HEAD, b - a, len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+        return struct.pack(HEAD, b - a, len(raw)) + CODEC.compress(raw, asbytes=True)
 
     @staticmethod
     def read(value: bytes) -> Strings:
         n, size = struct.unpack_from(HEAD, value)
-        raw = pa.decompress(value[struct.calcsize(HEAD) :], decompressed_size=size, codec="zstd", asbytes=True)
+        raw = CODEC.decompress(value[struct.calcsize(HEAD) :], size, asbytes=True)
         ids = np.frombuffer(raw, "<i8", n)
         checks, starts, sizes = np.frombuffer(raw, "<u4", 3 * n, 8 * n).reshape(3, n)
         offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
@@ -116,7 +120,7 @@ def _stretches(words: np.ndarray, first: np.ndarray, hot: np.ndarray) -> tuple[n
 def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether data[a : a + size] and data[b : b + size] are equal; no size is 0."""
     out = np.zeros(len(a), bool)
-    step = max(1, (8 << 20) // max(1, int(sizes.max(initial=1))))
+    step = max(1, COMPARED // max(1, int(sizes.max(initial=1))))
     for at in range(0, len(a), step):
         n = sizes[at : at + step]
         ends = np.cumsum(n)
@@ -176,7 +180,7 @@ def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = np.zeros(0, np.uint64)
     for batch in batches:
         ids, checks = _columns(batch)
-        for a, b in wordhash.slices(batch.column(2)):
+        for a, b in wordhash.slices(batch.column(2), SLICE):
             _, least, travel, _, _ = slice_strings(ids[a:b], checks[a:b], batch.column(2).slice(a, b - a), none)
             runs, counts = np.unique(least[travel], return_counts=True)
             many = counts * HOT_KEYS > counts.sum()
@@ -228,7 +232,7 @@ def sender(hot: np.ndarray, buckets: int):
         held, targets, size = [], [], 0
         for batch in batches:
             ids, checks = _columns(batch)
-            for a, b in wordhash.slices(batch.column(2)):
+            for a, b in wordhash.slices(batch.column(2), SLICE):
                 strings, least, travel, covered, n = slice_strings(ids[a:b], checks[a:b], batch.column(2).slice(a, b - a), hot)
                 if len(covered):
                     # as texts (id, check) of a slice; rows that repeat both are covered alike

@@ -52,12 +52,12 @@ def _powers(tables: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tables["powers"], tables["inverse"]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about SLICE bytes of text each."""
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about `most` bytes of text each."""
     sizes = np.diff(np.asarray(texts.cast(pa.large_binary()).buffers()[1]).view(np.int64)[: len(texts) + 1])
     start, n = 0, 0
     for i, size in enumerate(sizes):
-        if n and n + size > SLICE:
+        if n and n + size > most:
             yield start, i
             start, n = i, 0
         n += int(size)
