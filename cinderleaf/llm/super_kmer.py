@@ -30,9 +30,9 @@ WINDOW, RUN = 13, 2
 # Buckets a shuffle partition, worked on one after the other, bytes of texts whose strings are made together,
 # and bytes of strings a task gathers before it sends them.
 BUCKETS, SLICE, HOLD = 8, 1 << 19, 6 << 20
-# Bytes that are compared together.
+# Bytes that are compared together, and the compression level of strings.
 COMPARED = 1 << 20
-CODEC = pa.Codec("zstd", 3)
+LEVEL = 3
 NO_ID = (1 << 63) - 1
 HEAD = "<II"
 SENT = "bucket int, covers boolean, data binary"
@@ -62,12 +62,12 @@ class Strings:
         cells = (self.ids[a:b], self.checks[a:b].astype("<u4"), self.starts[a:b].astype("<i4"))
         sizes = np.diff(self.offsets[a : b + 1]).astype("<u4")
         raw = b"".join([*(c.tobytes() for c in cells), sizes.tobytes(), text.tobytes()])
-        return struct.pack(HEAD, b - a, len(raw)) + CODEC.compress(raw, asbytes=True)
+        return struct.pack(HEAD, b - a, len(raw)) + pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
 
     @staticmethod
     def read(value: bytes) -> Strings:
         n, size = struct.unpack_from(HEAD, value)
-        raw = CODEC.decompress(value[struct.calcsize(HEAD) :], size, asbytes=True)
+        raw = pa.decompress(value[struct.calcsize(HEAD) :], decompressed_size=size, codec="zstd", asbytes=True)
         ids = np.frombuffer(raw, "<i8", n)
         checks, starts, sizes = np.frombuffer(raw, "<u4", 3 * n, 8 * n).reshape(3, n)
         offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
