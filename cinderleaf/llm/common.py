@@ -34,6 +34,14 @@ def remainder(doc_id: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def free_name(df: DataFrame, name: str = "key") -> str:
+    """A column name that `df` has not, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: Sequence[str], weight: str, total: int) -> DataFrame:
     """`rows` joined with the one row of `groups` of their key; no key's rows meet in one task.
 

@@ -1,16 +1,17 @@
 """Near-duplicates by min-max hashing.
 
-Every permutation of the shingles gives two values, its minimum and its maximum, so 64 permutations
-make a signature of 128. Bands of four values, each from another permutation, put similar sets into
-common buckets: two sets with a similarity of 0.75 miss each other in all 32 bands with a probability
-of 5e-6. Equal sets are one node throughout.
-
-Links come in steps, all confirmed on the full sets. First every node is compared with the smallest node
-of all its buckets, which ties a crowd of near copies together with one pair a node. Then, in buckets
-that still hold nodes of several components, the others are compared with the bucket's smallest node.
-What remains is compared block by block, across components only, by signature; what agrees well enough
-is confirmed like before. Nothing is capped: every two nodes of a bucket are compared or known to be
-connected.
+Every permutation of the shingles gives two values, its minimum and its maximum, so 70 permutations
+make a signature of 140. Bands of five values, each from another permutation, put similar sets into
+common buckets: two sets with a similarity of 0.75 miss each other in all 28 bands with a probability
+of 5e-4, two with 0.4 meet in a quarter of the cases. Equal sets are one node throughout.
+
+Links come in steps, all confirmed on the full sets. Twice every node is compared with one hub, the one
+that leads most of its buckets, which ties a crowd of near copies together with a pair a node. Buckets
+that then still hold nodes of several components are joined to clusters, and the nodes of a cluster are
+compared in cells of two blocks, except blocks that lie in the same component. A cell counts the common
+shingles of all its nodes at once and tells only the links that tie components together, so the rows
+grow with the nodes and not with the pairs. Nothing is capped: every two nodes of a bucket are compared,
+too different in size, or known to be connected.
 """
 
 from __future__ import annotations
@@ -23,24 +24,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderleaf.llm import wordhash
-from cinderleaf.llm.common import attach, shuffle_partitions, whole
+from cinderleaf.llm.common import attach, free_name, shuffle_partitions, whole
 from cinderleaf.operators.components import components
 from cinderleaf.session import checkpoint
 
-PERMUTATIONS, BAND = 64, 4
+PERMUTATIONS, BAND = 70, 5
 VALUES = 2 * PERMUTATIONS
 BANDS = VALUES // BAND
 # Hundredths of the union that two sets must share.
 SIMILAR = 75
-# Signature values that must agree before full sets are compared: six standard deviations below 0.75.
-AGREE = 66
-# Nodes of a bucket that meet in one block, and pairs that share a copy of a set.
-BLOCK, MEET = 128, 64
-SIGNED = "id long, n long, low long, high long, signature binary, bands array<long>"
+# Nodes of a block, and spokes that share a copy of their hub's set.
+BLOCK, MEET = 256, 64
+# Shingles whose places in a cell's sets are counted together.
+COLUMNS = 4096
+SIGNED = "id long, check long, n long, low long, high long, bands array<long>"
+KEY = ["n", "low", "high"]
 
 
 def signatures(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(values of 16 bits, band keys) of every set; `first` bounds the sets, none of which is empty."""
+    """(values, band keys) of every set; `first` bounds the sets, none of which is empty."""
     n = len(first) - 1
     values = np.zeros((VALUES, n), np.uint64)
     steps = wordhash.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(wordhash.PLACES[3]))
@@ -50,157 +52,162 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
         values[PERMUTATIONS + k] = np.maximum.reduceat(order, first[:-1])
     keys = np.zeros((BANDS, n), np.uint64)
     for b in range(BANDS):
-        # two minima and two maxima, each of another permutation
-        chosen = [2 * b, 2 * b + 1, *(PERMUTATIONS + (2 * b + s) % PERMUTATIONS for s in (2, 3))]
+        # values of five permutations, two or three of them minima
         key = np.full(n, b, np.uint64)
-        for row in chosen:
+        for row in range(b, VALUES, BANDS):
             key = wordhash.mix(key ^ values[row]) * np.uint64(wordhash.PLACES[4])
         keys[b] = key
-    return wordhash.mix(values).astype(np.uint16).T, keys.T
+    return values.T, keys.T
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to SIGNED rows; `low` and `high` are a digest of the set."""
+    """(id, check, text) to SIGNED rows; `low` and `high` are a digest of the set."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        texts = batch.column(2)
         for a, b in wordhash.slices(texts):
             hashes, first = wordhash.shingle_sets(*wordhash.text_bytes(texts.slice(a, b - a)))
             counts = np.diff(first)
             some = np.flatnonzero(counts)
             low, high = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
-            values, keys = [b""] * (b - a), [None] * (b - a)
+            keys = [None] * (b - a)
             if len(some):
                 starts = first[:-1][some]
                 low[some] = np.add.reduceat(wordhash.mix(hashes ^ np.uint64(wordhash.BASE)), starts)
                 high[some] = np.add.reduceat(wordhash.mix(hashes ^ np.uint64(wordhash.PLACES[0])), starts)
-                found, bands = signatures(hashes, np.append(starts, len(hashes)))
-                for at, value, key in zip(some.tolist(), found, bands.view(np.int64), strict=True):
-                    values[at], keys[at] = value.tobytes(), key
+                for at, key in zip(some.tolist(), signatures(hashes, np.append(starts, len(hashes)))[1].view(np.int64), strict=True):
+                    keys[at] = key
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(a, b - a),
+                    batch.column(0).slice(a, b - a),
+                    batch.column(1).slice(a, b - a),
                     pa.array(counts.astype(np.int64)),
                     pa.array(low.view(np.int64)),
                     pa.array(high.view(np.int64)),
-                    pa.array(values, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "low", "high", "signature", "bands"],
+                names=["id", "check", "n", "low", "high", "bands"],
             )
 
 
-def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (node, set): the sorted shingle hashes as bytes."""
+def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) to (node, size, packed): the text's bytes, compressed."""
     for batch in batches:
-        for a, b in wordhash.slices(batch.column(1)):
-            hashes, first = wordhash.shingle_sets(*wordhash.text_bytes(batch.column(1).slice(a, b - a)))
-            cut = [hashes[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(cut, pa.binary())], names=["node", "set"]
-            )
+        texts = [t.as_buffer() for t in batch.column(1)]
+        cells = [
+            batch.column(0),
+            pa.array([t.size for t in texts], pa.int64()),
+            pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(cells, names=["node", "size", "packed"])
 
 
-def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set_a, set_b) to the (a, b) whose sets share SIMILAR hundredths of their union."""
-    for batch in batches:
-        keep = []
-        for left, right in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            keep.append(100 * shared >= SIMILAR * (len(x) + len(y) - shared))
-        kept = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"]
-        )
+def _sets(sizes: list[int], packed: list[bytes]) -> list[np.ndarray]:
+    """The sorted shingle hashes of compressed texts."""
+    texts = [pa.decompress(p, decompressed_size=n, codec="zstd", asbytes=True) for n, p in zip(sizes, packed, strict=True)]
+    out, at = [], pa.array(texts, pa.large_binary())
+    for a, b in wordhash.slices(at):
+        hashes, first = wordhash.shingle_sets(*wordhash.text_bytes(at.slice(a, b - a)))
+        out += [hashes[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
+    return out
 
 
-def _block_pairs(cell: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of one cell in other components whose signatures agree in AGREE values."""
-    signs, node, root, block = cell["signature"], cell["node"], cell["root"], cell["block"]
-    left, right = [], []
-    for i in range(len(node) - 1):
-        near = np.flatnonzero(
-            (root[i + 1 :] != root[i]) & ((cell["low"][i] == cell["high"][i]) | (block[i + 1 :] != block[i]))
-        )
-        if len(near):
-            near += i + 1
-            near = near[(signs[near] == signs[i]).sum(axis=1) >= AGREE]
-            left += [node[i]] * len(near)
-            right += node[near].tolist()
-    return np.array(left, np.int64), np.array(right, np.int64)
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * shared >= SIMILAR * (len(x) + len(y) - shared)
+
+
+def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, salt, node, size, packed), sorted, the hub's own set first in a null node, to links (a, b)."""
+    hub, own = None, []
+    for batch in batches:
+        hubs, nodes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        left, right = [], []
+        sets = _sets(batch.column(3).to_pylist(), batch.column(4).to_pylist())
+        for at, node, found in zip(hubs, nodes, sets, strict=True):
+            if at != hub:
+                hub, own = at, []
+            if node is None:
+                own.append(found)  # a repeated id has several sets
+            elif any(_similar(x, found) for x in own):
+                left.append(hub)
+                right.append(node)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+def cell_links(sets: list[np.ndarray], nodes: list[int], roots: list[int]) -> list[tuple[int, int]]:
+    """Links between the nodes of a cell that tie the components `roots` together, no more than needed."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.float64)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), sizes.astype(np.int64))
+    often = np.bincount(column) > 1
+    column, row = (np.cumsum(often) - 1)[column[often[column]]], row[often[column]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    shared = np.zeros((n, n), np.float64)
+    for low in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[row[a:b], column[a:b] - low] = 1
+        shared += held @ held.T
+    roots = np.array(roots)
+    near = (100 * shared >= SIMILAR * (sizes[:, None] + sizes[None, :] - shared)) & (roots[:, None] != roots[None, :])
+    parent = {r: r for r in roots.tolist()}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    links = []
+    for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
+        x, y = find(int(roots[i])), find(int(roots[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return links
 
 
 def compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, low, high, node, root, block, signature) rows to candidate pairs, cell by cell."""
-    names = ["key", "low", "high", "node", "root", "block"]
-    waiting: dict[str, np.ndarray] | None = None
-
-    def told(rows: dict[str, np.ndarray], upto: int) -> Iterator[pa.RecordBatch]:
-        change = np.ones(upto, bool)
-        for name in names[:3]:
-            column = rows[name][:upto]
-            change[1:] = change[1:] & (column[1:] == column[:-1])
-        starts = np.flatnonzero(~change | (np.arange(upto) == 0))
-        for a, b in zip(starts, [*starts[1:], upto], strict=True):
-            if b - a > 1:
-                left, right = _block_pairs({k: v[a:b] for k, v in rows.items()})
-                if len(left):
-                    lesser = np.minimum(left, right)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(lesser), pa.array(np.maximum(left, right))], names=["a", "b"]
-                    )
+    """(cell, node, root, size, packed), sorted by cell, to links (a, b); holds one cell at a time."""
+    current, held = None, []
+
+    def told() -> Iterator[pa.RecordBatch]:
+        links = cell_links(_sets([r[3] for r in held], [r[4] for r in held]), [r[1] for r in held], [r[2] for r in held])
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*links, strict=True)], names=["a", "b"])
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
-        raw = b"".join(batch.column("signature").to_pylist())
-        rows["signature"] = np.frombuffer(raw, np.uint16).reshape(-1, VALUES)
-        if waiting is not None:
-            rows = {k: np.concatenate([waiting[k], v]) for k, v in rows.items()}
-        last = np.ones(len(rows["key"]), bool)
-        for name in names[:3]:
-            last &= rows[name] == rows[name][-1]
-        upto = int(last.argmax())  # the last cell may go on in the next batch
-        yield from told(rows, upto)
-        waiting = {k: v[upto:] for k, v in rows.items()}
-    if waiting is not None:
-        yield from told(waiting, len(waiting["key"]))
-
-
-def _spread(pairs: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-    """`pairs` with a salt for the nodes of a side, and (side, salts): a node gets one salt per MEET pairs."""
-    fan = checkpoint(pairs.groupBy(side).agg(F.count("*").alias("links")))
-    salts = F.ceil(F.col("links") / MEET).cast("int")
-    salted = attach(pairs, fan, [side], "links", pairs.count())
-    other = "b" if side == "a" else "a"
-    salt = F.pmod(F.xxhash64(other), salts).cast("int").alias(f"salt_{side}")
-    return salted.select(*pairs.columns, salt), fan.select(side, salts.alias("salts"))
-
-
-def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) of `pairs` that are similar on the full sets of `docs` (id, text).
-
-    The set of a node in many pairs is copied once per MEET of them, so no task meets all of them.
+        for r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if r[0] != current:
+                if held:
+                    yield from told()
+                current, held = r[0], []
+            held.append(r)
+    if held:
+        yield from told()
+
+
+def _stars(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The (a, b) of `pairs`, hub and spoke, that are similar on the full sets.
+
+    The hub's set is copied once per MEET spokes, so no task meets all spokes of a hub.
     """
-    pairs = checkpoint(pairs)
-    if pairs.isEmpty():
-        return pairs
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = checkpoint(docs.join(wanted, "id", "left_semi").mapInArrow(full_sets, "node long, set binary"))
-    joined = pairs
-    copies = {}
-    for side in ("a", "b"):
-        joined, fan = _spread(checkpoint(joined), side)
-        own = sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")).join(fan, side)
-        salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias(f"salt_{side}")
-        copies[side] = own.select(side, f"set_{side}", salt)
-    for side in ("a", "b"):
-        joined = joined.join(copies[side], [side, f"salt_{side}"])
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(confirmed, "a long, b long").distinct()
+    fan = checkpoint(pairs.groupBy("a").agg(F.count("*").alias("links")))
+    salts = F.ceil(F.col("links") / MEET).cast("long")
+    salted = attach(pairs, fan, ["a"], "links", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), salts).alias("salt"))
+    spokes = salted.join(held, F.col("b") == F.col("node")).select("a", "salt", "node", "size", "packed")
+    hubs = fan.join(held, F.col("a") == F.col("node")).select(
+        "a", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(None).cast("long").alias("node"), "size", "packed"
+    )
+    both = spokes.unionByName(hubs)
+    parts = shuffle_partitions(pairs.sparkSession)
+    placed = both.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("node").asc_nulls_first())
+    return placed.mapInArrow(confirmed, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,24 +219,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     all of them. A row with a null id has no links, a null component, and is kept. An empty table
     gives an empty result. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text).alias("text"))
+    own = whole(text)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(own).alias("check"), own.alias("text"))
     signed = checkpoint(rows.mapInArrow(sign, SIGNED))
-    key = ["n", "low", "high"]
     linked = signed.where("n > 0 AND id IS NOT NULL")
-    groups = checkpoint(linked.groupBy(*key).agg(F.min("id").alias("node"), F.count("*").alias("copies")))
-    nodes = linked.join(groups.select(*key, F.col("node").alias("id")), [*key, "id"], "left_semi")
-    nodes = checkpoint(nodes.select(F.col("id").alias("node"), "signature", "bands"))
-    roots = connected(nodes, rows.where("id IS NOT NULL"))
+    groups = linked.groupBy(*KEY).agg(
+        F.min(F.struct("id", "check")).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")
+    )
+    groups = checkpoint(groups.select(*KEY, F.col("least.id").alias("node"), F.col("least.check").alias("check"), "copies", "bands"))
+    roots = connected(groups.select("node", "check", "n", "bands"), rows.where("id IS NOT NULL"))
     # rows that repeat an id with other words tie the groups of their texts together
     repeated = linked.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
-    tied = linked.join(repeated, "id", "left_semi").select(*key, "id").distinct()
-    bridges = tied.join(groups, key).select(F.col("node").alias("a"), F.col("id").alias("b"))
+    tied = linked.join(repeated, "id", "left_semi").select(*KEY, "id").distinct()
+    groups = groups.drop("check", "bands")
+    bridges = tied.join(groups, KEY).select(F.col("node").alias("a"), F.col("id").alias("b"))
     roots = _joined(roots, bridges)
     named = groups.join(roots, "node", "left").select(
-        *key, "copies", F.coalesce("root", "node").alias("component_id")
+        *KEY, "copies", F.coalesce("root", "node").alias("component_id")
     )
     named = checkpoint(named)
-    found = attach(linked.select("id", *key), named, key, "copies", linked.count())
+    found = attach(linked.select("id", *KEY), named, KEY, "copies", linked.count())
     alone = signed.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return (
         found.select("id", "n", "component_id")
@@ -252,62 +261,92 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _mixed(placed: DataFrame, roots: DataFrame) -> DataFrame:
-    """The postings (key, node) of the buckets that hold nodes of several components, with their roots."""
-    rooted = placed.select("key", "node").join(roots, "node", "left")
-    rooted = checkpoint(rooted.select("key", "node", F.coalesce("root", "node").alias("root")))
+    """The postings (key, node, n, root) of the buckets that hold nodes of several components."""
+    rooted = placed.select("key", "node", "n").join(roots, "node", "left")
+    rooted = checkpoint(rooted.select("key", "node", "n", F.coalesce("root", "node").alias("root")))
     spread = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     return checkpoint(rooted.join(spread.where("least != most").select("key"), "key", "left_semi"))
 
 
-def connected(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) of every node that similarity connects to another one."""
-    postings = checkpoint(nodes.select("node", F.explode("bands").alias("key")))
-    buckets = postings.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size"))
-    buckets = checkpoint(buckets.where("size > 1"))
-    members = buckets.agg(F.sum("size")).first()[0] or 0
-    # first every node with the smallest hub of its buckets: one pair a node ties the crowds together
-    spokes = attach(postings, buckets, ["key"], "size", members).where("node != hub")
-    tested = checkpoint(spokes.groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"))
-    roots = checkpoint(components(_links(tested, docs)))
-    # then with the hubs of the buckets that still hold several components
-    placed = _mixed(postings.join(buckets.select("key"), "key", "left_semi"), roots)
-    if placed.isEmpty():
-        return roots
-    hubs = checkpoint(placed.groupBy("key").agg(F.min(F.struct("node", "root")).alias("hub"), F.count("*").alias("size")))
-    spokes = attach(placed, hubs, ["key"], "size", placed.count()).where("root != hub.root")
-    pairs = spokes.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
-    tested = tested.unionByName(pairs)
-    roots = _joined(roots, _links(pairs, docs))
-    # and at last with each other, across the components that remain
-    placed = _mixed(placed, roots)
-    if placed.isEmpty():
-        return roots
-    sizes = placed.groupBy("key").agg(F.count("*").alias("size"))
-    sizes = checkpoint(sizes.select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    rows = attach(placed, sizes, ["key"], "size", placed.count())
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.join(nodes.select("node", "signature"), "node")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = rows.select(
-        "key",
-        F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"),
-        "node",
-        "root",
-        "block",
-        "signature",
-    )
-    parts = shuffle_partitions(nodes.sparkSession)
-    order = ["key", "low", "high"]
-    candidates = (
-        cells.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(compare_cells, "a long, b long")
+def _spokes(placed: DataFrame) -> DataFrame:
+    """(a, b): every node with the hub that leads most of its buckets, in another component and of like size.
+
+    The smallest node leads a bucket.
+    """
+    hubs = placed.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("hub"), F.count("*").alias("size"))
+    hubs = checkpoint(hubs.where("size > 1"))
+    members = hubs.agg(F.sum("size")).first()[0] or 0
+    met = attach(placed, hubs, ["key"], "size", members).where("root != hub.root")
+    alike = 100 * F.least("n", F.col("hub.n")) >= SIMILAR * F.greatest("n", F.col("hub.n"))
+    chosen = met.where(alike).groupBy("node").agg(F.mode("hub.node", True).alias("a"))
+    return checkpoint(chosen.select("a", F.col("node").alias("b")))
+
+
+def _cells(placed: DataFrame, held: DataFrame) -> DataFrame:
+    """The links (a, b) between components among the nodes that common buckets tie to clusters."""
+    least = placed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("size"))
+    ties = attach(placed, checkpoint(least), ["key"], "size", placed.count()).select("a", F.col("node").alias("b")).distinct()
+    clusters = checkpoint(components(ties)).withColumnRenamed("root", "cluster")
+    nodes = checkpoint(placed.select("node", "root").distinct().join(clusters, "node"))
+    # a component with more nodes than a block in its cluster is a unit of blocks, the others share units
+    sizes = checkpoint(nodes.groupBy("cluster", "root").agg(F.count("*").alias("size")))
+    small = sizes.where(F.col("size") <= BLOCK).groupBy("cluster").agg(F.sum("size").alias("pool"))
+    sizes = sizes.join(small, "cluster", "left")
+    shared = F.pmod(F.xxhash64("root"), F.ceil(F.col("pool") / BLOCK)).cast("long")
+    big = F.col("size") > BLOCK
+    # units of a component carry its root, shared ones a number below zero
+    units = checkpoint(
+        sizes.select("cluster", "root", F.when(big, F.col("root")).otherwise(-1 - shared).alias("unit"), F.when(big, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("int").alias("blocks"), "size")
     )
-    pairs = candidates.distinct().join(tested, ["a", "b"], "left_anti")
-    return _joined(roots, _links(pairs, docs))
+    own = units.select("cluster", "unit", "blocks", big.alias("big")).distinct()
+    other = own.select("cluster", F.col("unit").alias("unit_b"), F.col("blocks").alias("blocks_b"))
+    pairs = own.join(other, "cluster").where((F.col("unit") < F.col("unit_b")) | ((F.col("unit") == F.col("unit_b")) & ~F.col("big")))
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = pairs.select("cluster", "unit", "unit_b", span("blocks").alias("block"), "blocks_b")
+    pairs = checkpoint(pairs.select("cluster", "unit", "unit_b", "block", span("blocks_b").alias("block_b")))
+    numbered = pairs.withColumn("cell", F.xxhash64("cluster", "unit", "unit_b", "block", "block_b"))
+    sides = numbered.select("cluster", "unit", "block", "cell").unionByName(
+        numbered.select("cluster", F.col("unit_b").alias("unit"), F.col("block_b").alias("block"), "cell")
+    ).distinct()
+    total = nodes.count()
+    labelled = attach(nodes, units, ["cluster", "root"], "size", total)
+    labelled = labelled.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed_nodes = labelled.select("node", "root", "cluster", "unit", "block").join(sides, ["cluster", "unit", "block"])
+    full = placed_nodes.select("cell", "node", "root").join(held, "node")
+    parts = shuffle_partitions(placed.sparkSession)
+    rows = full.select("cell", "node", "root", "size", "packed").repartition(parts, "cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(compare_cells, "a long, b long")
+
+
+def connected(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, root) of every node that similarity connects to another one.
+
+    `nodes` (node, check, n, bands) are texts of `rows` (id, check, text).
+    """
+    postings = checkpoint(nodes.select("node", "n", F.explode("bands").alias("key")))
+    shared = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    placed = checkpoint(postings.join(shared, "key", "left_semi").withColumn("root", F.col("node")))
+    if placed.isEmpty():
+        return placed.select("node", "root")
+    wanted = nodes.join(placed.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("id"), "check").distinct()
+    texts = rows.groupBy("id", "check").agg(F.first("text").alias("text")).join(wanted, ["id", "check"], "left_semi")
+    held = checkpoint(texts.select(F.col("id").alias("node"), "text").mapInArrow(compressed, "node long, size long, packed binary"))
+    roots = None
+    for _ in range(2):
+        links = _stars(_spokes(placed), held)
+        roots = _joined(roots, checkpoint(links)) if roots is not None else checkpoint(components(links))
+        placed = _mixed(placed, roots)
+        if placed.isEmpty():
+            return roots
+    return _joined(roots, checkpoint(_cells(placed, held)))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, one document per component, all columns unchanged."""
-    gone = near_groups(docs, id_col, text).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of `docs` that stay, one document per component, all columns unchanged.
+
+    Rows without words and rows with a null id stay; rows that repeat a kept id all stay. Columns of any name
+    are allowed. An empty table gives an empty result.
+    """
+    gone = near_groups(docs, id_col, text).where("NOT kept").select(F.col(id_col).alias("id")).distinct()
+    name = free_name(docs)
+    return docs.join(gone.withColumnRenamed("id", name), F.col(id_col) == F.col(name), "left_anti")

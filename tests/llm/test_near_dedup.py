@@ -2,13 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from cinderleaf.llm import near_dedup
 from cinderleaf.operators.components import components
 from tests.llm.helpers import near_components, shingles
 
-SCHEMA = "doc_id long, text string, n string, low string, node string, bands string"
+SCHEMA = "doc_id long, text string, n string, low string, key string, bands string"
 
 
 def frame(spark, rows):
@@ -82,6 +83,67 @@ def test_cells_compare_across_blocks(spark, monkeypatch):
     test_buckets_with_several_components(spark)
 
 
+def test_template_of_many_texts_without_links(spark, monkeypatch):
+    """Texts of one template share 0.64 and more of their shingles and no link: no pairs leave the cells."""
+    chance = random.Random(11)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join(shared + [f"o{chance.randrange(10**9)}" for _ in range(16)])) for i in range(600)]
+    placed, told = [], []
+    cells, stars = near_dedup._cells, near_dedup._stars
+    monkeypatch.setattr(near_dedup, "_stars", lambda pairs, held: placed.append(pairs.count()) or stars(pairs, held))
+    monkeypatch.setattr(near_dedup, "_cells", lambda p, held: told.append(cells(p, held)) or told[-1])
+    check(spark, rows)
+    assert max(placed) <= len(rows) and sum(t.count() for t in told) == 0
+
+
+def test_five_texts_of_one_template(spark):
+    check(spark, [(i, " ".join([f"s{k}" for k in range(60)] + [f"o{i}x{k}" for k in range(16)])) for i in range(5)])
+
+
+def test_cell_links_equal_all_pairs():
+    chance = np.random.default_rng(2)
+    base = np.unique(chance.integers(0, 1 << 60, 300, dtype=np.uint64))
+    sets = [np.unique(np.append(chance.choice(base, 280, replace=False), chance.integers(0, 1 << 60, k, dtype=np.uint64))) for k in chance.integers(0, 90, 60)]
+    nodes, roots = list(range(100, 160)), [100 + k // 2 * 2 for k in range(60)]
+    whole = {r: r for r in roots}
+
+    def find(parent, r):
+        while parent[r] != r:
+            r = parent[r]
+        return r
+
+    for i in range(60):
+        for j in range(i):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if 100 * len(a & b) >= 75 * len(a | b):
+                x, y = find(whole, roots[i]), find(whole, roots[j])
+                whole[max(x, y)] = min(x, y)
+    links = near_dedup.cell_links(sets, nodes, roots)
+    part = {r: r for r in roots}
+    for a, b in links:
+        x, y = find(part, roots[a - 100]), find(part, roots[b - 100])
+        assert x != y  # no link that others imply
+        part[max(x, y)] = min(x, y)
+    assert {r: find(whole, r) for r in roots} == {r: find(part, r) for r in roots}
+
+
+def test_recall_of_pairs_at_the_threshold():
+    """Sets that share just 75 hundredths meet in a bucket nearly always."""
+    chance = np.random.default_rng(5)
+    met = 0
+    for _ in range(400):
+        shared, own = chance.integers(0, 1 << 63, 150, dtype=np.uint64), chance.integers(0, 1 << 63, 50, dtype=np.uint64)
+        sets = [np.append(shared, own[:25]), np.append(shared, own[25:])]
+        keys = near_dedup.signatures(np.concatenate(sets), np.array([0, 175, 350]))[1]
+        met += bool((keys[0] == keys[1]).any())
+    assert met >= 397
+
+
+def test_very_long_text(spark):
+    words = [f"v{i % 30_000}" for i in range(60_000)]
+    check(spark, [(1, " ".join(words)), (2, " ".join(words[:-400])), (3, " ".join(words[:20_000]))])
+
+
 def test_repeated_and_missing_ids(spark):
     long = " ".join(f"k{i}" for i in range(40))
     rows = [(5, long), (5, "other words entirely in this one here"), (3, "other words entirely in this one here"), (9, long), (None, long)]
