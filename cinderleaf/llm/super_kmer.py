@@ -56,6 +56,12 @@ class Strings:
     def __len__(self) -> int:
         return len(self.ids)
 
+    def take(self, order: np.ndarray) -> Strings:
+        """The strings of the numbers `order`."""
+        buffers = [None, pa.py_buffer(self.offsets), pa.py_buffer(self.data)]
+        taken = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), buffers).take(pa.array(order))
+        return Strings(self.ids[order], self.checks[order], self.starts[order], *wordhash.text_bytes(taken))
+
     def stored(self, a: int, b: int) -> bytes:
         """The strings a to b as one compressed value."""
         text = self.data[self.offsets[a] : self.offsets[b]]
@@ -216,10 +222,7 @@ def sender(hot: np.ndarray, buckets: int):
     def flush(held: list[Strings], targets: list[np.ndarray]) -> pa.RecordBatch:
         strings, to = Strings.joined(held), np.concatenate(targets)
         order = np.argsort(to, kind="stable")
-        sizes = np.diff(strings.offsets)[order]
-        ends = np.cumsum(sizes)
-        places = np.arange(ends[-1]) + np.repeat(strings.offsets[:-1][order] - (ends - sizes), sizes)
-        sent = Strings(strings.ids[order], strings.checks[order], strings.starts[order], strings.data[places], np.concatenate([[0], ends]))
+        sent = strings.take(order)
         to = to[order]
         begin = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
         values = [sent.stored(a, b) for a, b in zip(begin, np.append(begin[1:], len(to)), strict=True)]
@@ -244,14 +247,9 @@ def sender(hot: np.ndarray, buckets: int):
                 chosen = np.flatnonzero(travel)
                 if not len(chosen):
                     continue
-                sizes = np.diff(strings.offsets)[chosen]
-                ends = np.cumsum(sizes)
-                places = np.arange(ends[-1]) + np.repeat(strings.offsets[:-1][chosen] - (ends - sizes), sizes)
-                held.append(
-                    Strings(strings.ids[chosen], strings.checks[chosen], strings.starts[chosen], strings.data[places], np.concatenate([[0], ends]))
-                )
+                held.append(strings.take(chosen))
                 targets.append((wordhash.mix(least[chosen]) % np.uint64(buckets)).astype(np.int64))
-                size += int(ends[-1])
+                size += len(held[-1].data)
                 if size > HOLD:
                     yield flush(held, targets)
                     held, targets, size = [], [], 0
@@ -269,11 +267,25 @@ def _exact_least(windows: list[bytes], ids: np.ndarray) -> np.ndarray:
     return np.array([least[w] for w in windows], np.int64)
 
 
+def _words(strings: Strings) -> tuple[np.ndarray, ...]:
+    """The word hashes of `word_hashes`, from a slice of the strings after the other."""
+    found, at = [], 0
+    words = 0
+    while at < len(strings):
+        stop = max(at + 1, int(np.searchsorted(strings.offsets, strings.offsets[at] + SLICE)))
+        base = strings.offsets[at]
+        stop = min(stop, len(strings))
+        data = strings.data[base : strings.offsets[stop]]
+        hashes, first, starts, stops = wordhash.word_hashes(data, strings.offsets[at : stop + 1] - base, folded=False)
+        found.append((hashes, first[:-1] + words, starts + base, stops + base))
+        words, at = words + len(hashes), stop
+    hashes, first, starts, stops = (np.concatenate(x) for x in zip(*found, strict=True))
+    return hashes, np.append(first, words), starts, stops
+
+
 def repeated_windows(strings: Strings) -> tuple[np.ndarray, np.ndarray]:
     """(string, window in it) of the windows of a bucket that a smaller document holds too."""
-    words, first, starts, stops = wordhash.word_hashes(strings.data, strings.offsets, folded=False)
-    if len(words) < WINDOW:
-        return (np.zeros(0, np.int64),) * 2
+    words, first, starts, stops = _words(strings)
     owner = np.repeat(np.arange(len(strings)), np.diff(first))
     at = np.flatnonzero(owner[: len(words) - WINDOW + 1] == owner[WINDOW - 1 :])
     key = _sums(words, WINDOW, 1)[at]
