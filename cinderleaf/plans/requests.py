@@ -84,7 +84,12 @@ def guard_requests(
         turns = admitted.select(request_id, F.lit("SAFE").alias("multi_turn"))
     joined = screened.join(turns, request_id, "left")
     joined = joined.withColumn("multi_turn", F.coalesce("multi_turn", F.lit("SAFE")))
-    final = guard.final_intent(F.col("status"), F.col("multi_turn"))
+    return with_outcome(joined, F.col("multi_turn"))
+
+
+def with_outcome(rows: DataFrame, multi_turn: Column) -> DataFrame:
+    """Adds `outcome` and `final_status` of screened requests. For tables and streams."""
+    final = guard.final_intent(F.col("status"), multi_turn)
     outcome = (
         F.when(F.col("verdict") != "ok", "rate_limited")
         .when(F.col("too_long"), "too_long")
@@ -92,7 +97,7 @@ def guard_requests(
         .otherwise("allowed")
     )
     reached = outcome.isin("blocked", "allowed")
-    return joined.withColumns({"outcome": outcome, "final_status": F.when(reached, final)})
+    return rows.withColumns({"outcome": outcome, "final_status": F.when(reached, final)})
 
 
 def scrub_responses(guarded: DataFrame, response: str = "response") -> DataFrame:

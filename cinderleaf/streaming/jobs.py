@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cinderleaf.fixed import guard_rules as rules
 from cinderleaf.operators.audit import alert_stream
 from cinderleaf.operators.folds import frame_signature
-from cinderleaf.plans.requests import screen_prompts
+from cinderleaf.plans.requests import guard_audit, screen_prompts, scrub_responses, with_outcome
 from cinderleaf.streaming import processors
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -21,45 +21,70 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def by_event_time(stream: DataFrame, t: str, late: str) -> DataFrame:
+    """Adds `event_time` from whole milliseconds, with a watermark; Spark drops rows behind it and counts them."""
+    return stream.withColumn("event_time", F.timestamp_millis(t)).withWatermark("event_time", late)
+
+
 def _keyed(
-    stream: DataFrame, processor: type, key: str, t: str, tie: str, extra: list[Column], ttl_ms: int | None
+    stream: DataFrame,
+    processor: type,
+    key: str,
+    t: str,
+    tie: str,
+    extra: list[Column],
+    keep_ms: int | None,
+    late: str,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
+    """(key, tie, carried columns, verdict) of a processor whose state lives `keep_ms` of event time, or for ever."""
     use_rocksdb(stream.sparkSession)
-    kinds = dict(stream.dtypes)
-    rows = stream.select(key, t, tie, *extra)
+    timed = stream if "event_time" in stream.columns else by_event_time(stream, t, late)
+    names = [key, tie, *carry]
+    rows = timed.select(*dict.fromkeys([*names, t, "event_time"]), *extra)
+    kinds = dict(rows.dtypes)
+    shown = ", ".join(f"`{n}` {kinds[n]}" for n in names)
+    chained = "event_time" in carry
     return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor(key, t, tie, ttl_ms),
-        outputStructType=f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, verdict string",
+        statefulProcessor=processor(key, t, tie, keep_ms, carry),
+        outputStructType=f"{shown}, verdict string",
         outputMode="append",
-        timeMode="ProcessingTime" if ttl_ms else "None",
+        timeMode="EventTime" if keep_ms is not None or chained else "None",
+        eventTimeColumnName="event_time" if chained else "",
     )
 
 
-def rate_limit_stream(requests: DataFrame, key: str, t: str, tie: str, ttl_ms: int | None = None) -> DataFrame:
-    """(key, tie, verdict) with verdict ok, limited, burst, blocked or late."""
-    return _keyed(requests, processors.RateLimit, key, t, tie, [], ttl_ms)
+LATE = "10 minutes"
+
+
+def rate_limit_stream(requests: DataFrame, key: str, t: str, tie: str, late: str = LATE, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, tie, verdict) with verdict ok, limited, burst, blocked or late.
+
+    A client is forgotten once a block and a window have passed since its newest call.
+    """
+    keep = rules.BLOCK_MS + rules.RATE_WINDOW_MS
+    return _keyed(requests, processors.RateLimit, key, t, tie, [], keep, late, carry)
 
 
-def admission_stream(requests: DataFrame, key: str, t: str, tie: str, ttl_ms: int | None = None) -> DataFrame:
-    return _keyed(requests, processors.Admission, key, t, tie, [], ttl_ms)
+def admission_stream(requests: DataFrame, key: str, t: str, tie: str, late: str = LATE, carry: Sequence[str] = ()) -> DataFrame:
+    return _keyed(requests, processors.Admission, key, t, tie, [], rules.RATE_WINDOW_MS, late, carry)
 
 
 def throttle_stream(
-    frames: DataFrame, key: str, t: str, tie: str, payload: str, ttl_ms: int | None = None
+    frames: DataFrame, key: str, t: str, tie: str, payload: str, keep_ms: int | None = None, late: str = LATE
 ) -> DataFrame:
+    """Verdicts ok, skipped or late. The rule compares with the last frame however old, so state stays by default."""
     signature = frame_signature(F.col(payload)).alias("signature")
-    return _keyed(frames, processors.FrameThrottle, key, t, tie, [signature], ttl_ms)
+    return _keyed(frames, processors.FrameThrottle, key, t, tie, [signature], keep_ms, late)
 
 
-def replay_stream(
-    requests: DataFrame, nonce: str, sent: str, received: str, tie: str, ttl_ms: int | None = 2 * rules.NONCE_MS
-) -> DataFrame:
+def replay_stream(requests: DataFrame, nonce: str, sent: str, received: str, tie: str, late: str = LATE) -> DataFrame:
     """Verdicts of requests with a nonce and a fresh time stamp; see `refused_early` for the others.
 
     Every nonce is a key of its own, so its state goes once no request could still repeat it.
     """
     usable = requests.where(~_refused(nonce, sent, received))
-    return _keyed(usable, processors.NonceGuard, nonce, received, tie, [], ttl_ms)
+    return _keyed(usable, processors.NonceGuard, nonce, received, tie, [], rules.NONCE_MS + 1, late)
 
 
 def refused_early(requests: DataFrame, nonce: str, sent: str, received: str) -> DataFrame:
@@ -81,13 +106,43 @@ def fresh_nonces(requests: DataFrame, nonce: str, ts: str) -> DataFrame:
 
 
 def multi_turn_stream(
-    prompts: DataFrame, session: str, t: str, tie: str, text: str, assistant: str = "assistant",
-    ttl_ms: int | None = None,
+    prompts: DataFrame, session: str, t: str, tie: str, text: str, assistant: str = "assistant", late: str = LATE
 ) -> DataFrame:
-    """(session, tie, verdict) of screened prompts."""
+    """(session, tie, verdict) of screened prompts; a session is forgotten after its idle time."""
     screened = screen_prompts(prompts, text, assistant, assistant, frozenset({1, 8}))
     extra = [F.col("score"), F.col("status")]
-    return _keyed(screened.where("NOT too_long"), processors.MultiTurn, session, t, tie, extra, ttl_ms)
+    keep = rules.SESSION_IDLE_MS + 1
+    return _keyed(screened.where("NOT too_long"), processors.MultiTurn, session, t, tie, extra, keep, late)
+
+
+def guard_stream(
+    requests: DataFrame, request_id: str, ip: str, session: str, t: str, prompt: str, response: str,
+    assistant: str = "assistant", display: str = "Assistant", late: str = LATE,
+) -> DataFrame:
+    """The request guard as one query: rate limit by client, screening, turns by session, response scrub.
+
+    Two stateful steps in a row, both on the watermark of `t`. Returns the columns of `guard_requests` that
+    `guard_audit` reads (retry_s is null) and `response` without personal data for allowed requests only. A call
+    older than the newest of its client is `late` in `verdict` and counts as rate limited; a prompt older than the
+    newest of its session is `late` in `multi_turn` and judged alone.
+    """
+    timed = by_event_time(requests, t, late)
+    carried = [session, t, prompt, response, "event_time"]
+    limited = rate_limit_stream(timed, ip, t, request_id, late, carried).withColumnRenamed("verdict", "limit")
+    screened = screen_prompts(limited, prompt, assistant, display, frozenset({1, 8}))
+    counted = (F.col("limit") == "ok") & ~F.col("too_long") & F.col(session).isNotNull()
+    # rows outside a history are dealt by their own id, so that no key gathers them
+    own = F.concat(F.lit("-"), F.col(request_id).cast("string"))
+    keyed = screened.withColumns(
+        {"counted": counted, "turn_key": F.when(counted, F.concat(F.lit("+"), F.col(session).cast("string"))).otherwise(own)}
+    )
+    carried = [ip, session, t, "clean", response, "event_time", "limit", "too_long", "hijack", "score", "status", "counted"]
+    turns = _keyed(
+        keyed, processors.MultiTurn, "turn_key", t, request_id, [], rules.SESSION_IDLE_MS + 1, late, carried
+    ).withColumnsRenamed({"verdict": "multi_turn", "limit": "verdict"})
+    settled = F.when(F.col("multi_turn") == "late", "SAFE").otherwise(F.col("multi_turn"))
+    judged = with_outcome(turns.withColumn("retry_s", F.lit(None).cast("long")), settled)
+    return scrub_responses(judged, response).drop("turn_key", "counted", "event_time")
 
 
 def sessions_stream(events: DataFrame, session: str, ts: str, late: str = "10 minutes") -> DataFrame:
@@ -114,3 +169,19 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, once: bool = Fa
     """Starts a query that appends JSON records to a folder."""
     writer = stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).outputMode("append").start()
+
+
+def write_guarded(guarded: DataFrame, request_id: str, ip: str, t: str, endpoint: str, target: str, checkpoint: str, once: bool = False):
+    """Starts a query that writes what the guard decided and its audit rows, one folder per batch id each.
+
+    A batch that is run again after a failure overwrites its own folders, so nothing is written twice.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        batch.write.mode("overwrite").parquet(f"{target}/requests/batch={batch_id}")
+        rows = guard_audit(batch, request_id, ip, t, endpoint)
+        rows.write.mode("overwrite").parquet(f"{target}/audit/batch={batch_id}")
+        batch.unpersist()
+
+    return notify(guarded, store, checkpoint, once)

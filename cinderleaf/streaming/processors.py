@@ -2,13 +2,14 @@
 
 Every processor keeps one small value per key and applies the same rule as the table operator.
 Rows of a micro-batch are ordered by time and id first; a row older than the key's newest one is
-answered as late and leaves the state alone.
+answered as late and leaves the state alone. A key's state goes by event time: a timer fires once the
+watermark has passed the newest row by as long as the rule can look back.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -30,12 +31,12 @@ class OrderedProcessor(StatefulProcessor):
     state_schema = ""
     columns: list[str] = []
 
-    def __init__(self, key: str, t: str, tie: str, ttl_ms: int | None = None) -> None:
-        self.key, self.t, self.tie, self.ttl_ms = key, t, tie, ttl_ms
+    def __init__(self, key: str, t: str, tie: str, keep_ms: int | None = None, carry: Sequence[str] = ()) -> None:
+        self.key, self.t, self.tie, self.keep_ms, self.carry = key, t, tie, keep_ms, list(carry)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = f"newest bigint, {self.state_schema}"
-        self.state = handle.getValueState("state", schema, self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("state", f"newest bigint, {self.state_schema}")
 
     def close(self) -> None:
         pass
@@ -49,24 +50,42 @@ class OrderedProcessor(StatefulProcessor):
     def judge(self, t: int, row: object) -> str:
         raise NotImplementedError
 
+    def counts(self, row: object) -> bool:
+        """Whether a row meets the rule at all; others get the verdict `passed`."""
+        return True
+
+    passed = "ok"
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows, ignore_index=True).sort_values([self.t, self.tie])
         saved = self.state.get() if self.state.exists() else None
-        newest = saved[0] if saved else None
+        before = newest = saved[0] if saved else None
         self.load(saved[1:] if saved else None)
         verdicts = []
         for row in batch.itertuples(index=False):
             t = int(getattr(row, self.t))
-            if newest is not None and t < newest:
+            if not self.counts(row):
+                verdicts.append(self.passed)
+            elif newest is not None and t < newest:
                 verdicts.append("late")
-                continue
-            newest = t
-            verdicts.append(self.judge(t, row))
-        self.state.update((newest, *self.save()))
-        out = batch[[self.key, self.tie]].copy()
+            else:
+                newest = t
+                verdicts.append(self.judge(t, row))
+        if newest is not None:
+            self.state.update((newest, *self.save()))
+        if self.keep_ms is not None and newest != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.keep_ms)
+            self.handle.registerTimer(newest + self.keep_ms)
+        out = batch[[self.key, self.tie, *self.carry]].copy()
         out["verdict"] = verdicts
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self.state.get()[0] + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter([])
+
 
 class RateLimit(OrderedProcessor):
     """Sliding window with burst blocks: ok, limited, burst or blocked."""
@@ -141,8 +160,12 @@ class NonceGuard(OrderedProcessor):
 
 
 class MultiTurn(OrderedProcessor):
-    """Escalation over the last five turns: needs `score` and `status` columns."""
+    """Escalation over the last five turns: needs `score` and `status` columns.
 
+    Rows with a false `counted` column stay out of the history and are SAFE.
+    """
+
+    passed = "SAFE"
     state_schema = "scores array<int>, harmful array<boolean>"
 
     def load(self, saved):
@@ -159,6 +182,9 @@ class MultiTurn(OrderedProcessor):
     def save(self):
         return list(self.scores), list(self.harmful)
 
+    def counts(self, row):
+        return bool(getattr(row, "counted", True))
+
     def judge(self, t, row):
         if self.before is not None and t - self.before > rules.SESSION_IDLE_MS:
             self.scores.clear()

@@ -4,7 +4,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from cinderleaf.operators import folds, sequence
-from cinderleaf.plans.requests import screen_prompts
+from cinderleaf.plans.requests import guard_audit, guard_requests, screen_prompts, scrub_responses
 from cinderleaf.streaming import jobs
 
 
@@ -51,6 +51,50 @@ def test_replay_stream_equals_table(spark):
     assert replay(spark, df, 2, lambda s: jobs.replay_stream(s, "payload", "sent", "t", "id")) == expected
 
 
+def test_state_goes_by_event_time(spark):
+    """Every client calls once; their states go when the watermark has passed, and the query ends."""
+    df = spark.createDataFrame([(i, f"k{i}", (i + 1) * 60_000) for i in range(120)], "id long, k string, t long")
+    source, target, state = (tempfile.mkdtemp(prefix="run-") for _ in range(3))
+    for p in range(4):
+        df.where((F.col("id") >= 30 * p) & (F.col("id") < 30 * p + 30)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = jobs.append_stream(jobs.rate_limit_stream(stream, "k", "t", "id", "1 minute"), target, state, once=True)
+    assert query.awaitTermination(120)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert held[-1] < 20 and spark.read.json(target).where("verdict = 'ok'").count() == 120
+
+
+def guard_rows(seed, n=160):
+    rng = random.Random(seed)
+    texts = ["hello there", "system prompt", "please act as my guide", "how to make a bomb", "x" * 9000]
+    clock, out = 0, []
+    for i in range(n):
+        clock += rng.choice([5, 40, 300, 2_000, 30_000])
+        session = None if rng.random() < 0.1 else f"s{rng.randrange(4)}"
+        out.append((i, f"ip{rng.randrange(3)}", session, clock, rng.choice(texts), rng.choice(["ok", "mail me at a.b@example.com", None])))
+    return out
+
+
+GUARDED = ["id", "verdict", "too_long", "multi_turn", "outcome", "final_status", "response"]
+
+
+def test_guard_stream_equals_table_over_restarts(spark):
+    df = spark.createDataFrame(guard_rows(6), "id long, ip string, s string, t long, text string, response string")
+    table = scrub_responses(guard_requests(df, "id", "ip", "s", "t", "text"), "response")
+    expected = sorted(map(tuple, table.select(GUARDED).collect()))
+    audited = sorted((r["id"], r["pos"], r["threat_level"]) for r in guard_audit(table, "id", "ip", "t", "/api").collect())
+    source, target, state = (tempfile.mkdtemp(prefix="run-") for _ in range(3))
+    for p in range(3):
+        df.where(F.floor(F.col("id") / 54) == p).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        guarded = jobs.guard_stream(stream, "id", "ip", "s", "t", "text", "response")
+        jobs.write_guarded(guarded, "id", "ip", "t", "/api", target, state, once=True).awaitTermination()
+    got = spark.read.parquet(f"{target}/requests").select(GUARDED).collect()
+    assert sorted(map(tuple, got)) == expected
+    rows = spark.read.parquet(f"{target}/audit").collect()
+    assert sorted((r["id"], r["pos"], r["threat_level"]) for r in rows) == audited
+
+
 def test_multi_turn_stream_equals_table(spark):
     rng = random.Random(4)
     texts = ["system prompt", "hello", "please act as my guide", "how to make a bomb"]
