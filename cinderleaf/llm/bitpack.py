@@ -8,8 +8,8 @@ A shard is one binary value, little-endian throughout:
     payload                       `block` ids a block, `width` bits an id, lowest bit first
 
 `width` is the smallest number of bits that holds every id of the vocabulary. Blocks start on a byte,
-so any id is read by unpacking one block. Shards are rows of a Parquet table (part, shard, docs, ids,
-data): every file system that Spark writes to can hold it, and a lost task is written again.
+so any id is read by unpacking one block. Shards are rows of a Parquet table (part, shard, before, docs,
+ids, data; `before` is the ids of its part's earlier shards): every file system that Spark writes to can hold it, and a lost task is written again.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cinderleaf.llm import wordhash
 from cinderleaf.llm.common import whole
-from cinderleaf.llm.tokens import encoder
+from cinderleaf.llm.tokens import SLICE, encoder
 from cinderleaf.session import ensure_checkpoint_dir
 
 MAGIC = b"CLBP"
@@ -34,7 +35,7 @@ HEAD = "<4sB3xIIQQ"
 BLOCK = 4096
 # A shard is closed once it holds this many ids.
 SHARD_IDS = 1 << 20
-STORED = "part long, shard long, doc_ids array<long>, ids long, data binary"
+STORED = "part long, shard long, before long, doc_ids array<long>, ids long, data binary"
 
 
 def bits_needed(vocabulary: int) -> int:
@@ -123,7 +124,7 @@ def write_packed(
     width = bits_needed(max(vocabulary, end_id + 1))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         found: list[np.ndarray] = []
         n = 0
@@ -133,28 +134,29 @@ def write_packed(
                 [
                     pa.array([part], pa.int64()),
                     pa.array([number], pa.int64()),
+                    pa.array([before], pa.int64()),
                     pa.array([names], pa.list_(pa.int64())),
                     pa.array([n], pa.int64()),
                     pa.array([pack_shard(found, width)], pa.binary()),
                 ],
-                names=["part", "shard", "doc_ids", "ids", "data"],
+                names=["part", "shard", "before", "doc_ids", "ids", "data"],
             )
 
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                texts = encoder(tokenizer, spaced).encode(some.column(1).to_pylist())
-                for name, raw in zip(some.column(0).to_pylist(), texts, strict=True):
-                    ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
+            for a, b in wordhash.slices(batch.column(1), SLICE):
+                all_ids, first = encoder(tokenizer, spaced).encode_array(batch.column(1).slice(a, b - a))
+                for k, name in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
+                    ids = np.append(all_ids[first[k] : first[k + 1]], end)
                     names.append(name)
                     found.append(ids)
                     n += len(ids)
                     if n >= SHARD_IDS:
                         yield closed()
-                        names, found, n, number = [], [], 0, number + 1
+                        names, found, n, number, before = [], [], 0, number + 1, before + n
         if found:
             yield closed()
+        encoder(tokenizer, spaced).rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text).alias("text"))
     ordered = rows.repartitionByRange(F.col("id").asc_nulls_last()).sortWithinPartitions(
@@ -163,20 +165,18 @@ def write_packed(
     ordered.mapInArrow(shards, STORED).write.mode("overwrite").parquet(path)
 
 
-def shard_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(part, shard, start): ids in all shards before. Parts are range partitions: few, whatever the input."""
-    stored = spark.read.parquet(path).select("part", "shard", "ids")
-    parts = stored.groupBy("part").agg(F.sum("ids").alias("n"))
-    before = parts.select(
-        "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")
-    )
-    within = F.sum("ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("ids")
-    placed = stored.withColumn("within", within).join(before, "part")
-    return placed.select("part", "shard", (F.col("before") + F.col("within")).alias("start"))
+def part_starts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, first): ids in all parts before. Parts are tasks of the writing job, a row each."""
+    parts = spark.read.parquet(path).groupBy("part").agg(F.sum("ids").alias("n"))
+    return parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
 
 
 def read_packed(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """The stored documents: doc_id, start, n_tokens, ids_crc32, and `ids` unless switched off."""
+    """The stored documents: doc_id, start, n_tokens, ids_crc32, and `ids` unless switched off.
+
+    A document without words has its end id alone; null and repeated ids come back as they were written, in
+    the order of writing; a table without shards gives an empty result.
+    """
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +194,9 @@ def read_packed(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                     columns["ids"] = pa.array([c.astype(np.int64) for c in cut], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    stored = spark.read.parquet(path).join(shard_starts(spark, path), ["part", "shard"])
+    # as many rows as the writing job had tasks, so the shards themselves are not moved
+    stored = spark.read.parquet(path).join(F.broadcast(part_starts(spark, path)), "part")
+    stored = stored.withColumn("start", F.col("first") + F.col("before"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     return stored.select("doc_ids", "start", "data").mapInArrow(documents, schema)
 

@@ -19,8 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderleaf.llm import wordhash
 from cinderleaf.llm.common import whole
-from cinderleaf.llm.tokens import encoder
+from cinderleaf.llm.tokens import SLICE, encoder
 
 CAPACITY = 1024
 # Pieces dealt out together: bounds the memory of a task and the search for room.
@@ -117,13 +118,13 @@ def pack(
             return told(out)
 
         full_cost = linear * capacity + quadratic * capacity * capacity
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for a, b in wordhash.slices(batch.column(1), SLICE):
                 full = []
-                texts = encoder(tokenizer, spaced).encode(some.column(1).to_pylist())
-                for doc, raw in zip(some.column(0).to_pylist(), texts, strict=True):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.array([end_id], "<u4"))
+                found, first = encoder(tokenizer, spaced).encode_array(batch.column(1).slice(a, b - a))
+                for k, doc in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
+                    ids = np.append(found[first[k] : first[k + 1]], end)
                     whole_ones = len(ids) // capacity * capacity
                     for start in range(0, whole_ones, capacity):
                         part = ids[start : start + capacity]
@@ -137,6 +138,7 @@ def pack(
                     yield told(full)
         if waiting:
             yield dealt()
+        encoder(tokenizer, spaced).rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text).alias("text"))
     return rows.mapInArrow(run, PIECE + ", ids array<long>" * with_ids)

@@ -11,19 +11,22 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Sequence
-from itertools import chain, filterfalse
+from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from cinderleaf.llm.common import per_worker
 
-# Pieces a worker remembers before it starts afresh; bounds its memory, not its work.
-REMEMBERED = 700_000
-# Texts whose unknown pieces are encoded together, and pieces per call.
-TEXTS, TOGETHER = 64, 4_000
+# Pieces a worker remembers in either of two generations, and how many outlive a task; they bound its
+# memory, not its work.
+REMEMBERED, KEPT = 300_000, 60_000
+# Bytes of text that are cut together, and pieces per call of the tokenizer.
+SLICE, TOGETHER = 4 << 20, 4_000
 MARK = "\x01"
-# White space after white space is cut with care.
-ODD = ("  ", " \n", "\n ", "\n\n", "\0")
+# White space after white space, or other than spaces and line ends, is cut with care.
+ODD = r"[ \n][ \n]|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def _printable() -> list[str]:
@@ -49,14 +52,14 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.spaced = spaced
+        # when `known` is full it becomes `before`; what is met again moves back
         self.known: dict = {}
+        self.before: dict = {}
         self.glue = MARK if spaced else f" {MARK} "
         mark = self._ids([MARK])[0]
         self.mark = int(mark[0]) if len(mark) == 1 else None
         self.printable = _printable()
-        self.other_white = re.compile(r"[^\S \n]")
-        self.cut = re.compile(r" (?=\S)(?<=\S )")
-        self.stop = re.compile(r"(.*[^\W_])([.,])", re.DOTALL)
+        self.careful = re.compile(r" (?=\S)(?<=\S )")
         # a word of Latin letters is one piece for the tokenizer too and goes straight to its merges
         self.word = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+" if spaced else r"[a-zß-öø-ÿ]+")
         # a piece that could join with the mark before it is encoded alone
@@ -66,28 +69,22 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4") for e in found]
 
-    def pieces(self, text: str) -> list:
-        """The pieces of a text: strings with their space, or lower-cased words as bytes."""
-        if not self.spaced:
-            return text.encode().lower().split()
-        if any(w in text for w in ODD) or self.other_white.search(text):
-            first, *rest = self.cut.split(text)
-            return [first, *(" " + p for p in rest)]
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def _stem(self, key) -> tuple:
-        """A piece without the comma or full stop after its last letter, and that mark."""
-        stop = self.stop.fullmatch(key if self.spaced else key.decode())
-        if not stop:
-            return (key,)
-        return stop.groups() if self.spaced else tuple(g.encode() for g in stop.groups())
-
-    def _learn(self, unknown: Iterable) -> None:
-        stems = {key: self._stem(key) for key in unknown}
+    def _stems(self, unknown: Iterable) -> dict:
+        """Pieces with a comma or full stop after their last letter, and the two parts."""
+        if self.spaced:
+            return {k: (k[:-1], k[-1]) for k in unknown if k[-1:] in (",", ".") and k[-2:-1].isalnum()}
+        marked = (k for k in unknown if k[-1:] in (b",", b"."))
+        return {k: (k[:-1], k[-1:]) for k in marked if k.decode()[-2:-1].isalnum()}
+
+    def _learn(self, unknown: set) -> None:
+        stems = self._stems(unknown)
+        parts = unknown.difference(stems).union(*stems.values()) if stems else unknown
         together, alone = [], []
-        for key in {part for parts in stems.values() for part in parts if part not in self.known}:
+        for key in parts.difference(self.known):
             piece = key if self.spaced else key.decode()
-            if self.word.fullmatch(piece):
+            if self.spaced and piece[:1] == " " and piece.isascii() and piece[1:].isalpha():
+                self.known[key] = array("I", [t.id for t in self.model.tokenize(self.printable[32] + piece[1:])]).tobytes()
+            elif self.word.fullmatch(piece):
                 shown = piece
                 if self.spaced or not piece.isascii():
                     shown = "".join([self.printable[b] for b in piece.encode()])
@@ -112,26 +109,66 @@ class PieceEncoder:
             some = alone[at : at + TOGETHER]
             for (key, _), ids in zip(some, self._ids([p for _, p in some]), strict=True):
                 self.known[key] = ids.tobytes()
-        for key, parts in stems.items():
-            if len(parts) > 1:
-                self.known[key] = b"".join([self.known[part] for part in parts])
+        for key, (stem, mark) in stems.items():
+            self.known[key] = self.known[stem] + self.known[mark]
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(pieces, pieces of every text, the text's place): texts that need care come last."""
+        if not self.spaced:
+            cut = pc.ascii_split_whitespace(pc.ascii_lower(texts)).cast(pa.list_(pa.binary()))
+            return cut.flatten(), cut.value_lengths().to_numpy(zero_copy_only=False), np.arange(len(texts))
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False).astype(bool)
+        plain = texts.filter(pa.array(~odd))
+        marked = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
+        cut = pc.split_pattern(marked, "\0")
+        care = [self.careful.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        care = [[first, *(" " + p for p in rest)] for first, *rest in care]
+        pieces = pa.concat_arrays([cut.flatten(), pa.array(list(chain.from_iterable(care)), pa.string())])
+        sizes = np.concatenate([cut.value_lengths().to_numpy(zero_copy_only=False), np.array([len(c) for c in care], np.int64)])
+        return pieces, sizes, np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, first of every text). Distinct pieces are looked up once; nulls must have been replaced."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        pieces, sizes, place = self._cut(texts)
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, distinct))
+        unknown = {p for p, raw in zip(distinct, found, strict=True) if raw is None}
+        if unknown:
+            again = {p: self.before[p] for p in filter(self.before.__contains__, unknown)}
+            self.known.update(again)
+            self._learn(unknown.difference(again))
+            found = [self.known[p] if raw is None else raw for p, raw in zip(distinct, found, strict=True)]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(lengths) - lengths
+        # the pieces in the order of their texts
+        first = np.cumsum(sizes) - sizes
+        own = np.argsort(place, kind="stable")
+        order = np.repeat(first[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(len(pieces))
+        index = coded.indices.to_numpy(zero_copy_only=False)[order]
+        n = lengths[index]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        out = ids[np.arange(total) + np.repeat(starts[index] - (ends - n), n)]
+        return out, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes[own])])]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of every text as bytes; an empty text has none."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), TEXTS):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            cut = [self.pieces(t) for t in texts[at : at + TEXTS]]
-            unknown = set(filterfalse(self.known.__contains__, chain.from_iterable(cut)))
-            if unknown:
-                self._learn(unknown)
-            out += [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        return out
+        ids, first = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def rest(self) -> None:
+        """Forgets all but the pieces met first, at the end of a task: an idle worker holds little."""
+        self.before = {}
+        if len(self.known) > KEPT:
+            self.known = dict(islice(self.known.items(), KEPT))
 
 
 def encoder(path: str, spaced: bool) -> PieceEncoder:
-    """The worker's encoder of a file; it outlives a task."""
+    """The worker's encoder of a file; it outlives a task, which should end with `rest`."""
     return per_worker(("encoder", path, spaced), lambda: PieceEncoder(path, spaced))
 
 
