@@ -28,7 +28,7 @@ from cinderleaf.session import checkpoint
 
 PLACES = 32
 # Words of the sample that places the cuts, about, all lengths together; words a cell and a leaf hold about.
-SAMPLE, CELL, LEAF = 100_000, 4_000, 24
+SAMPLE, CELL, LEAF = 100_000, 4_000, 64
 # Words a task counts before it hands them on, and letters compared at a time.
 HELD, LETTERS = 200_000, 8 << 20
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -53,6 +53,12 @@ def letter_counts(rows: np.ndarray) -> np.ndarray:
     return np.bincount(at, minlength=n * PLACES).reshape(n, PLACES).astype(np.int32)
 
 
+def packed(vectors: np.ndarray) -> np.ndarray:
+    """The vectors with four bits a count, as many set as the count, at most four: an L1 distance by counting bits."""
+    bits = (vectors[:, :, None] > np.arange(4)).reshape(len(vectors), -1)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 def build(vectors: np.ndarray, size: int) -> list[tuple[int, int, int, int]]:
     """The cuts of a k-d tree whose leaves hold about `size` vectors: (place, most on the left, left, right).
 
@@ -145,12 +151,15 @@ def near_pairs(queries: list[bytes], members: list[bytes]) -> Iterator[tuple[np.
     leaf = leaf_of(nodes, member)
     order = np.argsort(leaf, kind="stable")
     bounds = np.searchsorted(leaf[order], np.arange(leaf.max() + 2))
+    asks, holds = packed(query), packed(member)
     for k, some in reachable(nodes, query, down=wide == own):
         inside = order[bounds[k] : bounds[k + 1]]
         step = max(1, LETTERS // (max(1, len(inside)) * max(PLACES, wide)))
         for at in range(0, len(some), step):
             part = some[at : at + step]
-            apart = np.abs(query[part][:, None, :] - member[inside][None, :, :]).sum(axis=2)
+            apart = np.zeros((len(part), len(inside)), np.uint8)
+            for column in range(asks.shape[1]):
+                apart += np.bitwise_count(asks[part, column][:, None] ^ holds[inside, column][None, :])
             i, j = np.nonzero(apart <= 1 + (wide == own))
             i, j = part[i], inside[j]
             right = _one_edit(asked[i], held[j])
