@@ -7,53 +7,39 @@ from pyspark.sql import functions as F
 
 from cinderleaf.fixed import food_rules as food
 from cinderleaf.fixed import place_rules as rules
+from cinderleaf.functions.fingerprints import FILTER_BITS, filter_bits, fingerprints, size_of
 from cinderleaf.functions.template import contains_any
 from cinderleaf.functions.text import strip
 from cinderleaf.session import bounded, checkpoint, fits_broadcast
 
-GRAM = 6
-
-
-def _grams(text: Column, size: int) -> Column:
-    """Distinct substrings of one length, by an overlapping match in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-
 
 def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """Every (text row, needle row) where the text contains the needle; no cross join.
 
-    Each needle is indexed under its rarest six-character piece (or the whole needle when it is
-    shorter); texts meet needles on equal pieces and are then checked. Only the piece lengths that
-    occur are cut from the texts. Blank needles match every text only by caller's choice: they are
-    left out here.
+    Each needle is known by its piece that the fewest needles have, a piece of up to 32 bytes. The pieces of a
+    text roll over it in one pass, and only those whose fingerprint passes a filter of all needles' leave the
+    pass: a text becomes as many rows as it holds candidates, whatever its length. These meet the needles on equal
+    fingerprints and are then checked. Blank needles match every text only by caller's choice: they are left out here.
     """
     names = needles.where(F.length(needle) > 0)
-    sized = names.withColumn("_size", F.least(F.length(needle), F.lit(GRAM)))
-    sizes = [r["_size"] for r in sized.select("_size").distinct().collect()]  # at most GRAM values
-    if not sizes:
-        return texts.join(names, F.lit(False))
-    pieces = F.lit(None).cast("array<string>")
-    cuts = []
-    for size in sorted(sizes):
-        pieces = F.when(F.col("_size") == size, _grams(F.col(needle), size)).otherwise(pieces)
-        cuts.append(_grams(F.col(text), size))
-    # every table below has at most one row per needle
-    hint = F.broadcast if fits_broadcast(names) else lambda df: df
-    distinct = sized.select(needle, "_size").distinct()
-    entries = distinct.select(needle, F.explode(pieces).alias("_piece"))
+    distinct = names.select(needle).distinct()
+    entries = distinct.select(needle, F.explode(fingerprints(F.col(needle))).alias("_piece"))
     use = entries.groupBy("_piece").agg(F.count("*").alias("_uses"))
     rarest = entries.join(use, "_piece").groupBy(needle).agg(
         F.min(F.struct("_uses", "_piece"))["_piece"].alias("_piece")
     )
-    keyed = names.join(hint(rarest), needle)
-    # only the digest of a text goes with its pieces; the text joins its hits at the end
-    digest = F.md5(F.col(text))
-    spread = texts.select(digest.alias("_text_id"), F.explode(F.concat(*cuts)).alias("_piece")).distinct()
-    met = spread.join(hint(keyed.select("_piece", F.col(needle).alias("_needle"))), "_piece")
-    hits = met.select("_text_id", "_needle").distinct()
-    found = texts.withColumn("_text_id", digest).join(hits, "_text_id").drop("_text_id")
-    held = found.where(F.col(text).contains(F.col("_needle")))
-    return held.join(hint(names), F.col("_needle") == names[needle]).drop("_needle")
+    rarest = checkpoint(rarest)
+    sizes = [r["size"] for r in rarest.select(size_of(F.col(needle)).alias("size")).distinct().collect()]
+    if not sizes:
+        return texts.join(names, F.lit(False))
+    # at most one row per bit of the filter
+    leading = rarest.select(F.shiftrightunsigned("_piece", 64 - FILTER_BITS).alias("bits")).distinct()
+    passing = filter_bits([r["bits"] for r in leading.collect()])
+    keyed = names.join(rarest, needle).select(*names.columns, "_piece")
+    # a needle has one piece and a text every piece once, so a pair is met once
+    spread = texts.withColumn("_piece", F.explode(fingerprints(F.col(text), sorted(sizes), passing)))
+    met = spread.join(F.broadcast(keyed) if fits_broadcast(keyed) else keyed, "_piece")
+    return met.where(F.contains(texts[text], keyed[needle])).drop("_piece")
 
 
 def resolve_first_match(items: DataFrame, item: str, dictionary: DataFrame, name: str, prio: str) -> DataFrame:

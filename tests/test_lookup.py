@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from cinderleaf.fixed import place_rules as rules
 from cinderleaf.operators import lookup, retrieval, routes
@@ -118,3 +119,20 @@ def test_pieces_do_not_carry_their_text(spark):
     generators = [line for line in plan.split("\n") if "Generate" in line]
     assert generators and not any("text#" in line.split("], ", 1)[-1].rsplit("[", 1)[0] for line in generators if "_text_id" in line)
     assert [(r["i"], r["j"]) for r in found.collect()] == [(1, 1)]
+
+
+def test_a_text_becomes_rows_only_for_candidates(spark):
+    """However long the texts, only pieces that pass the filter leave the pass over them."""
+    from cinderleaf.functions.fingerprints import FILTER_BITS, filter_bits, fingerprints
+
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefghij ", k=200_000))
+    needle = "a needle of some length in the hay"
+    t = spark.createDataFrame([(0, long), (1, long + needle + long), (2, None), (3, "")], "i long, text string")
+    key = spark.createDataFrame([(needle,)], "n string").select(F.explode(fingerprints(F.col("n"))).alias("k"))
+    leading = [r["b"] for r in key.select(F.shiftrightunsigned("k", 64 - FILTER_BITS).alias("b")).collect()]
+    found = t.select("i", F.size(fingerprints(F.col("text"), [32], filter_bits(leading))).alias("n")).collect()
+    sizes = {r["i"]: r["n"] for r in found}
+    assert sizes[1] >= 3 and sizes[0] < 20 and sizes[2] == sizes[3] == 0
+    n = spark.createDataFrame([(7, needle), (8, needle), (9, "not there at all")], "j long, needle string")
+    assert sorted(tuple(r) for r in contains_join(t, "text", n, "needle").select("i", "j").collect()) == [(1, 7), (1, 8)]
