@@ -18,6 +18,12 @@ def _with_least(links: DataFrame) -> DataFrame:
     return links.join(least, "u")
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether `links` (u, v) are stars: every u has one v, and no v is a u."""
+    many = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+    return many.isEmpty() and links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of `edges` (a, b): root is the smallest node it reaches.
 
@@ -26,14 +32,11 @@ def components(edges: DataFrame) -> DataFrame:
     links = written(
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    before = None
     while True:
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if _settled(links):
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        before = state
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         small = _with_least(large)
