@@ -5,7 +5,7 @@ make a signature of 140. Bands of five values, each from another permutation, pu
 common buckets: two sets with a similarity of 0.75 miss each other in all 28 bands with a probability
 of 5e-4, two with 0.4 meet in a quarter of the cases. Equal sets are one node throughout.
 
-Links come in steps, all confirmed on the full sets. Twice every node is compared with one hub, the one
+Links come in steps, all confirmed on the full sets. First every node is compared with one hub, the one
 that leads most of its buckets, which ties a crowd of near copies together with a pair a node. Buckets
 that then still hold nodes of several components are joined to clusters, and the nodes of a cluster are
 compared in cells of two blocks, except blocks that lie in the same component. A cell counts the common
@@ -260,6 +260,20 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return checkpoint(components(known.unionByName(links)))
 
 
+def _followed(links: DataFrame) -> DataFrame:
+    """(node, root) of the spokes `b`, each with one hub `a` before it: the end of the chain of hubs.
+
+    Every round doubles the chain that a node has behind it.
+    """
+    ahead = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    while True:
+        further = ahead.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        joined = checkpoint(ahead.join(further, "root", "left"))
+        ahead = joined.select("node", F.coalesce("next", "root").alias("root"))
+        if joined.where("next IS NOT NULL").isEmpty():
+            return ahead
+
+
 def _mixed(placed: DataFrame, roots: DataFrame) -> DataFrame:
     """The postings (key, node, n, root) of the buckets that hold nodes of several components."""
     rooted = placed.select("key", "node", "n").join(roots, "node", "left")
@@ -331,14 +345,10 @@ def connected(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = nodes.join(placed.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("id"), "check").distinct()
     texts = rows.groupBy("id", "check").agg(F.first("text").alias("text")).join(wanted, ["id", "check"], "left_semi")
     held = checkpoint(texts.select(F.col("id").alias("node"), "text").mapInArrow(compressed, "node long, size long, packed binary"))
-    roots = None
-    for _ in range(2):
-        links = _stars(_spokes(placed), held)
-        roots = _joined(roots, checkpoint(links)) if roots is not None else checkpoint(components(links))
-        placed = _mixed(placed, roots)
-        if placed.isEmpty():
-            return roots
-    return _joined(roots, checkpoint(_cells(placed, held)))
+    links = checkpoint(_stars(_spokes(placed), held))
+    placed = _mixed(placed, _followed(links))
+    more = checkpoint(_cells(placed, held)) if not placed.isEmpty() else links.limit(0)
+    return checkpoint(components(links.unionByName(more)))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
