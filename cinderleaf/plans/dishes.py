@@ -56,6 +56,14 @@ def scan_dishes(
     parts. `context` names a column with the retrieved knowledge sentence.
     """
     admitted = admit_scans(scans, scan, client, t, payload, mode)
+    return answer_scans(admitted, components, foods, scan, mode, lang, context)
+
+
+def answer_scans(
+    admitted: DataFrame, components: DataFrame, foods: DataFrame, scan: str = "scan_id", mode: str = "mode",
+    lang: str = "lang", context: str | None = None,
+) -> DataFrame:
+    """The answers of scans whose `outcome` is known; null for all that are not accepted."""
     accepted = admitted.where("outcome = 'accepted'").select(scan)
     parts = clean_component_rows(components.join(accepted, scan, "left_semi"))
     resolved = resolve_foods(parts, "name", foods)
@@ -90,6 +98,6 @@ def scan_dishes(
     )
     badge = dish_rules.badge_color(F.col("confidence"), F.col("spice.is_emergency"))
     rows = rows.withColumn("badge_color", badge).drop("_names", "components")
-    answer = [c for c in rows.columns if c not in [*scans.columns, "outcome"]]
+    answer = [c for c in rows.columns if c not in admitted.columns]
     shown = [F.when(F.col("outcome") == "accepted", F.col(c)).alias(c) for c in answer]
-    return rows.select(*scans.columns, "outcome", *shown)
+    return rows.select(*admitted.columns, *shown)

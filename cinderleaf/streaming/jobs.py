@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderleaf.fixed import guard_rules as rules
+from cinderleaf.functions.guard import payload_intent_ok
 from cinderleaf.operators.audit import alert_stream
 from cinderleaf.operators.folds import frame_signature
+from cinderleaf.plans.dishes import answer_scans
 from cinderleaf.plans.requests import guard_audit, screen_prompts, scrub_responses, with_outcome
 from cinderleaf.streaming import processors
 
@@ -171,6 +173,56 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, once: bool = Fa
     return (writer.trigger(availableNow=True) if once else writer).outputMode("append").start()
 
 
+def scan_stream(
+    scans: DataFrame, scan: str, client: str, t: str, payload: str, mode: str, late: str = LATE
+) -> DataFrame:
+    """`scans` with `outcome` as `admit_scans` gives it: two stateful steps by client with the intent check between.
+
+    A call older than the newest of its client is `rate_limited`, a frame older than the newest one is `skipped`.
+    """
+    rest = [c for c in scans.columns if c not in (client, scan)]
+    timed = by_event_time(scans, t, late)
+    admitted = admission_stream(timed, client, t, scan, late, [*rest, "event_time"])
+    admitted = admitted.withColumnRenamed("verdict", "admission").withColumns(
+        {"safe": payload_intent_ok(F.col(mode)), "signature": frame_signature(F.col(payload))}
+    )
+    admitted = admitted.withColumn("counted", (F.col("admission") == "ok") & F.col("safe"))
+    carried = [*rest, "admission", "safe", "counted", "signature", "event_time"]
+    frames = _keyed(admitted, processors.FrameThrottle, client, t, scan, [], None, late, carried)
+    outcome = (
+        F.when(F.col("admission") != "ok", "rate_limited")
+        .when(~F.col("safe"), "injection")
+        .when(F.col("verdict") == "ok", "accepted")
+        .otherwise("skipped")
+    )
+    return frames.select(*scans.columns, outcome.alias("outcome"))
+
+
+def upsert_batch(batch: DataFrame, batch_id: int, target: str) -> None:
+    """Writes a batch under its id; the same batch again overwrites itself."""
+    batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+
+def read_upserts(spark: SparkSession, target: str, key: str) -> DataFrame:
+    """The last version of every key over all batches that were written."""
+    rows = spark.read.parquet(target)
+    names = [c for c in rows.columns if c != "batch"]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*names), "batch").alias("last"))
+    return last.select("last.*").select(*names)
+
+
+def write_dishes(
+    scans: DataFrame, components: DataFrame, foods: DataFrame, scan: str, mode: str, target: str, checkpoint: str,
+    once: bool = False,
+):
+    """Starts a query that answers the accepted scans of `scan_stream` from static tables and upserts them."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        upsert_batch(answer_scans(batch, components, foods, scan, mode), batch_id, target)
+
+    return notify(scans, store, checkpoint, once)
+
+
 def write_guarded(guarded: DataFrame, request_id: str, ip: str, t: str, endpoint: str, target: str, checkpoint: str, once: bool = False):
     """Starts a query that writes what the guard decided and its audit rows, one folder per batch id each.
 

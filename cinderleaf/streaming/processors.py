@@ -51,8 +51,8 @@ class OrderedProcessor(StatefulProcessor):
         raise NotImplementedError
 
     def counts(self, row: object) -> bool:
-        """Whether a row meets the rule at all; others get the verdict `passed`."""
-        return True
+        """Whether a row meets the rule at all; those with a false `counted` column get the verdict `passed`."""
+        return bool(getattr(row, "counted", True))
 
     passed = "ok"
 
@@ -182,9 +182,6 @@ class MultiTurn(OrderedProcessor):
     def save(self):
         return list(self.scores), list(self.harmful)
 
-    def counts(self, row):
-        return bool(getattr(row, "counted", True))
-
     def judge(self, t, row):
         if self.before is not None and t - self.before > rules.SESSION_IDLE_MS:
             self.scores.clear()

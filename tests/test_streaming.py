@@ -4,6 +4,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from cinderleaf.operators import folds, sequence
+from cinderleaf.plans import dishes
 from cinderleaf.plans.requests import guard_audit, guard_requests, screen_prompts, scrub_responses
 from cinderleaf.streaming import jobs
 
@@ -95,6 +96,48 @@ def test_guard_stream_equals_table_over_restarts(spark):
     assert sorted((r["id"], r["pos"], r["threat_level"]) for r in rows) == audited
 
 
+def scan_rows(seed, n=120):
+    rng = random.Random(seed)
+    clock, out = 0, []
+    for i in range(n):
+        clock += rng.choice([20, 100, 400, 1_600])
+        mode = rng.choice(["normal", "normal", "health_tourist", "please bypass it"])
+        out.append((i, rng.randrange(2), clock, f"img{rng.randrange(6)}", mode, "en", rng.choice(["Kottu", "Rice"]), rng.random()))
+    return out
+
+
+SCAN = "scan_id long, client_id int, t_ms long, payload string, mode string, lang string, dish_name string, confidence double"
+
+
+def test_dish_stream_equals_table_and_replays_alike(spark):
+    df = spark.createDataFrame(scan_rows(9), SCAN)
+    parts = [(i, k, rng) for i in range(120) for k, rng in enumerate(["white rice", "dhal curry"][: 1 + i % 2])]
+    components = spark.createDataFrame(parts, "scan_id long, pos int, name string")
+    foods = spark.createDataFrame([(0, "rice", 130, 2.7, 28.0, 0.3)], "prio int, name string, calories int, protein double, carbs double, fat double")
+    shown = ["scan_id", "outcome", "calories", "protein_g", "recommendation", "badge_color", "label"]
+    table = dishes.scan_dishes(df, components, foods).select(shown)
+    expected = sorted(map(str, table.collect()))
+    assert {r["outcome"] for r in table.collect()} == {"rate_limited", "injection", "accepted", "skipped"}
+    source, target, state = (tempfile.mkdtemp(prefix="run-") for _ in range(3))
+    for p in range(2):
+        df.where(F.floor(F.col("scan_id") / 60) == p).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        answered = jobs.scan_stream(stream, "scan_id", "client_id", "t_ms", "payload", "mode")
+        jobs.write_dishes(answered, components, foods, "scan_id", "mode", target, state, once=True).awaitTermination()
+    stored = jobs.read_upserts(spark, target, "scan_id").select(shown)
+    assert sorted(map(str, stored.collect())) == expected
+    # a batch that is run again, and one with a changed scan
+    first = spark.read.parquet(f"{target}/batch=0")
+    again = spark.createDataFrame(first.collect(), first.schema)
+    jobs.upsert_batch(again, 0, target)
+    jobs.upsert_batch(again, 0, target)
+    assert sorted(map(str, jobs.read_upserts(spark, target, "scan_id").select(shown).collect())) == expected
+    changed = spark.createDataFrame(again.limit(1).collect(), first.schema).withColumn("label", F.lit("new"))
+    jobs.upsert_batch(changed, 999, target)
+    rows = jobs.read_upserts(spark, target, "scan_id").collect()
+    assert len(rows) == 120 and sum(r["label"] == "new" for r in rows) == 1
+
+
 def test_multi_turn_stream_equals_table(spark):
     rng = random.Random(4)
     texts = ["system prompt", "hello", "please act as my guide", "how to make a bomb"]
