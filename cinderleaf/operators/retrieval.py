@@ -18,25 +18,25 @@ from cinderleaf.operators.lookup import contains_join
 from cinderleaf.session import bounded, checkpoint, fits_broadcast
 
 QUERY_BATCH = 4096
-DOC_SLICE = 4096
+# Documents a block holds about, pivots, steps an angle of one is cut into, and what rounding may add to an angle.
+DOC_SLICE, PIVOTS, ANGLE_STEPS, SLACK = 4096, 64, 1024, 1e-6
 SIMILAR_SHOWN = 0.60
 SIMILAR_DUPLICATE = 0.65
 
 
-def _packed(rows: DataFrame, key: str, vec: str, parts: int, name: str) -> DataFrame:
-    """Rows dealt to `parts` blocks by the hash of their key: (name, name_ids, name_vecs side by side)."""
-    block = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(name)
-    listed = F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vec).alias("vec")))).alias("_rows")
-    packed = rows.where(F.col(vec).isNotNull()).groupBy(block).agg(listed)
+def _packed(rows: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """Rows (id, vec) of every group: the group, name_ids, name_vecs side by side."""
+    listed = F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("_rows")
+    packed = rows.groupBy(*by).agg(listed)
     return packed.select(
-        name,
+        *[c for c in packed.columns if c != "_rows"],
         F.transform("_rows", lambda r: r["id"]).alias(f"{name}_ids"),
         F.flatten(F.transform("_rows", lambda r: r["vec"])).cast("array<double>").alias(f"{name}_vecs"),
     )
 
 
 def _best_of_blocks(k: int, skip_self: bool):
-    """Per pair of a query block and a document block: the best `k` documents of every query."""
+    """Per pair of a group of queries and a document block: the best `k` documents of every query."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -60,6 +60,112 @@ def _best_of_blocks(k: int, skip_self: bool):
     return run
 
 
+def _angles(vecs: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    """Angles between vectors, none of them zero, and the pivots."""
+    rows = np.array(vecs.tolist(), np.float64).reshape(len(vecs), -1)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.arccos(np.clip(rows @ pivots.T, -1, 1))
+
+
+class VectorIndex:
+    """Documents in blocks of like direction, for an exact search that skips blocks.
+
+    A document belongs to the pivot it makes the smallest angle with; the documents of a pivot are cut into
+    blocks by that angle. As angles obey the triangle inequality, no document of a block is closer to a query
+    than the gap between the query's angle to the pivot and the block's range of angles. The pivots are a
+    bounded number of documents drawn by hash; they decide how many blocks are skipped, not what is found.
+    Documents without a vector take no part; those of zero length have a score of 0 with every query.
+    """
+
+    def __init__(self, docs: DataFrame, doc_id: str, doc_vec: str, pivots: int, block: int):
+        rows = docs.select(F.col(doc_id).alias("id"), F.col(doc_vec).alias("vec")).where(F.col(doc_vec).isNotNull())
+        self.rows = rows
+        solid = rows.where(_solid("vec"))
+        self.zero = rows.where(~_solid("vec"))
+        drawn = solid.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+        found = np.array([r["vec"] for r in drawn], np.float64).reshape(len(drawn), -1)
+        self.pivots = found / np.linalg.norm(found, axis=1, keepdims=True) if len(drawn) else found
+        kind = dict(rows.dtypes)["id"]
+        centres = self.pivots
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                angles = _angles(pdf["vec"], centres)
+                yield pdf.assign(cell=angles.argmin(axis=1).astype(np.int32), angle=angles.min(axis=1))
+
+        if not len(drawn):
+            self.docs = None
+            return
+        placed = checkpoint(solid.mapInPandas(place, f"id {kind}, vec {dict(rows.dtypes)['vec']}, cell int, angle double"))
+        step = F.floor(F.col("angle") * ANGLE_STEPS).cast("int").alias("step")
+        # at most ANGLE_STEPS * pi steps a pivot
+        steps = placed.groupBy("cell", step).agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("cell").orderBy("step")) - F.col("n")
+        steps = steps.withColumns({"first": F.floor(before / block), "parts": F.ceil(F.col("n") / block)})
+        cut = placed.withColumn("step", step).join(F.broadcast(steps), ["cell", "step"])
+        # a step that fills blocks of its own is split by hash
+        part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0)
+        self.docs = cut.select(F.xxhash64("cell", "first", part).alias("block"), "id", "vec", "cell", "angle")
+        self.blocks = checkpoint(
+            self.docs.groupBy("block", "cell").agg(
+                F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("size")
+            )
+        )
+
+    def pairs(self, asks: DataFrame) -> DataFrame:
+        """(id, vec, cell, angle) of every query and pivot, the pivots whose documents are all too far away left out.
+
+        A null `reach` keeps all of them.
+        """
+        centres, kinds = self.pivots, dict(asks.dtypes)
+        spans = self.blocks.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
+        cells = np.array([r["cell"] for r in spans])
+        low, high = np.array([r["low"] for r in spans]), np.array([r["high"] for r in spans])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                angles = _angles(pdf["vec"], centres)[:, cells]
+                gap = np.maximum(np.maximum(angles - high, low - angles), 0)
+                reach = pdf["reach"].to_numpy(np.float64)
+                near = (gap <= reach[:, None] + SLACK) | np.isnan(reach)[:, None]
+                i, j = np.nonzero(near)
+                yield pdf.iloc[i].assign(cell=cells[j].astype(np.int32), angle=angles[i, j])
+
+        return asks.mapInPandas(run, f"id {kinds['id']}, vec {kinds['vec']}, reach double, cell int, angle double")
+
+    def best(self, visits: DataFrame, k: int, skip_self: bool, group: int) -> DataFrame:
+        """(query_id, doc_id, score): the best `k` of every (block, id, vec) visit; queries of a block meet it together."""
+        counts = visits.groupBy("block").agg(F.ceil(F.count("*") / group).alias("groups"))
+        dealt = visits.join(counts, "block").withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups")))
+        asks = _packed(dealt.select("block", "group", "id", "vec"), ["block", "group"], "asks")
+        held = _packed(self.docs.select("block", "id", "vec"), ["block"], "docs")
+        kinds = dict(visits.dtypes)["id"], dict(self.docs.dtypes)["id"]
+        met = asks.join(held, "block").select("asks_ids", "asks_vecs", "docs_ids", "docs_vecs")
+        return met.mapInPandas(_best_of_blocks(k, skip_self), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+    def home(self, asks: DataFrame, least: int) -> DataFrame:
+        """(block, id, vec): for every query a block near it with at least `least` documents, if there is any."""
+        near = self.pairs(asks.withColumn("reach", F.lit(None).cast("double")))
+        gap = F.greatest(F.col("angle") - F.col("high"), F.col("low") - F.col("angle"), F.lit(0.0))
+        big = self.blocks.where(F.col("size") >= least)
+        closest = near.join(big, "cell").groupBy("id").agg(
+            F.min(F.struct(gap.alias("gap"), "angle", "block")).alias("best"), F.first("vec").alias("vec")
+        )
+        return closest.select(F.col("best.block").alias("block"), "id", "vec")
+
+    def visits(self, asks: DataFrame, reach: DataFrame) -> DataFrame:
+        """(block, id, vec): the blocks that may hold a document within the query's `reach` (id, reach)."""
+        near = self.pairs(asks.join(reach, "id", "left").select("id", "vec", "reach"))
+        met = near.join(self.blocks, "cell")
+        gap = F.greatest(F.col("angle") - F.col("high"), F.col("low") - F.col("angle"))
+        return met.where(F.col("reach").isNull() | (gap <= F.col("reach") + SLACK)).select("block", "id", "vec")
+
+
+def _solid(vec: str) -> Column:
+    """Whether a vector has a direction."""
+    return F.exists(vec, lambda x: x != 0)
+
+
 def vector_topk(
     queries: DataFrame,
     docs: DataFrame,
@@ -69,26 +175,37 @@ def vector_topk(
     doc_id: str = "doc_id",
     doc_vec: str = "embedding",
     skip_self: bool = False,
+    index: VectorIndex | None = None,
 ) -> DataFrame:
-    """(query_id, doc_id, score, rank): the `k` documents with the highest cosine per query.
+    """(query_id, doc_id, score, rank): the `k` documents with the highest cosine per query, ties by document.
 
-    Queries and documents are packed into blocks on the executors; every block of queries goes once to
-    every block of documents, each pair keeps its best `k`, and one top-k merges them. Rows without a
-    vector take no part.
+    A block near the query gives `k` documents and with them the angle within which all better ones lie; only
+    blocks that reach into it are visited. Exact whatever the data: where directions do not cluster, all blocks are
+    visited. Rows without a vector take no part. `index` reuses a VectorIndex of `docs`.
     """
-    asks = queries.select(F.col(query_id).alias("_ask"), F.col(query_vec).alias("_vec"))
-    slim = docs.select(F.col(doc_id).alias("_doc"), F.col(doc_vec).alias("_vec"))
-    kinds = dict(queries.dtypes)[query_id], dict(docs.dtypes)[doc_id]
-    parts = max(1, -(-docs.count() // DOC_SLICE))
-    blocks = max(1, -(-queries.count() // QUERY_BATCH))
-    packed = _packed(asks, "_ask", "_vec", blocks, "asks").withColumn(
-        "docs", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    )
-    pairs = packed.join(_packed(slim, "_doc", "_vec", parts, "docs"), "docs")
-    pairs = pairs.select("asks_ids", "asks_vecs", "docs_ids", "docs_vecs")
-    found = pairs.mapInPandas(
-        _best_of_blocks(k, skip_self), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
-    )
+    index = index or VectorIndex(docs, doc_id, doc_vec, PIVOTS, DOC_SLICE)
+    asks = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("vec")).where(F.col(query_vec).isNotNull())
+    solid, zero = asks.where(_solid("vec")), asks.where(~_solid("vec"))
+    ask_kind, doc_kind = dict(asks.dtypes)["id"], dict(index.rows.dtypes)["id"]
+    few = k + bool(skip_self)
+    # a score of 0: of documents without a direction, or for queries without one, the smallest ids
+    def level(rows: DataFrame, alike: DataFrame) -> DataFrame:
+        ids = [r["id"] for r in alike.select("id").orderBy("id").limit(few).collect()]
+        listed = F.array(*[F.lit(i) for i in ids]).cast(f"array<{doc_kind}>")
+        return rows.select(F.col("id").alias("query_id"), F.explode(listed).alias("doc_id"), F.lit(0.0).alias("score"))
+
+    found = level(solid, index.zero).unionByName(level(zero, index.rows))
+    if skip_self:
+        found = found.where(~F.col("query_id").eqNullSafe(F.col("doc_id").cast(ask_kind)))
+    if index.docs is not None:
+        solid = checkpoint(solid)
+        start = index.best(index.home(solid, few), k, skip_self, QUERY_BATCH)
+        reach = start.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        reach = reach.where(F.col("n") >= k).select(
+            F.col("query_id").alias("id"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "least"))).alias("reach")
+        )
+        visits = index.visits(solid, checkpoint(reach))
+        found = found.unionByName(index.best(visits, k, skip_self, QUERY_BATCH))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k)

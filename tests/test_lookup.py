@@ -111,6 +111,32 @@ def test_vector_topk_in_several_batches(spark, monkeypatch):
         assert mine == best
 
 
+def test_vector_blocks_out_of_reach_are_not_visited(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    vecs = np.concatenate([c + 0.05 * rng.normal(size=(40, 16)) for c in centres])
+    vecs[5], vecs[100] = 0, vecs[101]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)] + [(9999, None)], "id long, embedding array<double>")
+    index = retrieval.VectorIndex(df, "id", "embedding", 40, 10)
+    blocks = index.blocks.count()
+    solid = df.where("embedding IS NOT NULL AND id != 5").select("id", F.col("embedding").alias("vec"))
+    asked = []
+    visits = retrieval.VectorIndex.visits
+    monkeypatch.setattr(retrieval.VectorIndex, "visits", lambda self, *a: asked.append(visits(self, *a)) or asked[-1])
+    got = retrieval.vector_topk(df, df, 4, query_id="id", doc_id="id", skip_self=True, index=index).collect()
+    assert blocks > 40 and asked[0].count() < 0.25 * blocks * solid.count()
+    norms = np.linalg.norm(vecs, axis=1)
+    scale = np.outer(norms, norms)
+    scores = np.divide(vecs @ vecs.T, scale, out=np.zeros_like(scale), where=scale > 0)
+    mine = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        mine.setdefault(r["query_id"], []).append(r["doc_id"])
+    for i in range(len(vecs)):
+        assert mine[i] == sorted((j for j in range(len(vecs)) if j != i), key=lambda j: (-round(scores[i, j], 12), j))[:4]
+
+
 def test_pieces_do_not_carry_their_text(spark):
     t = spark.createDataFrame([(1, "word " * 20_000 + "needle one")], "i int, text string")
     n = spark.createDataFrame([(1, "needle one"), (2, "absent thing")], "j int, needle string")
