@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cinderleaf.fixed import food_rules as food
@@ -11,6 +11,7 @@ from cinderleaf.functions.text import strip, word_count
 from cinderleaf.operators.audit import keep_last_n
 from cinderleaf.operators.generators import csv_to_sft
 from cinderleaf.operators.lookup import prompt_category, resolve_foods
+from cinderleaf.session import checkpoint
 
 SINHALA = r"[඀-෿]"
 SHOWN_WARNINGS = 50
@@ -96,15 +97,19 @@ def csv_warnings(
             entry(F.col("_answer_words").between(1, 2), 2, 1, short(F.col("_answer_words"), "Response")),
         )
     )
-    found = m.select(F.inline(entries))
-    shorts = found.where("stage = 2")
-    shown = shorts.orderBy("row", "part").limit(SHOWN_WARNINGS)
-    rest = shorts.agg((F.count("*") - SHOWN_WARNINGS).alias("n")).where("n > 0")
-    more = rest.select(
+    # the rows are read once: their warnings are written, and counted on the way
+    seen = Observation()
+    found = checkpoint(m.select(F.inline(entries)).observe(seen, F.count_if(F.col("stage") == 2).alias("shorts")))
+    shown = found.where("stage = 2").orderBy("row", "part").limit(SHOWN_WARNINGS)
+    listed = found.where("stage < 2").unionByName(shown)
+    rest = (seen.get["shorts"] or 0) - SHOWN_WARNINGS
+    if rest <= 0:
+        return listed
+    more = F.struct(
         F.lit(3).alias("stage"), F.lit(None).cast("long").alias("row"), F.lit(0).alias("part"),
-        F.concat(F.lit("... and "), F.col("n").cast("string"), F.lit(" more length warnings.")).alias("warning"),
+        F.lit(f"... and {rest} more length warnings.").alias("warning"),
     )
-    return found.where("stage < 2").unionByName(shown).unionByName(more)
+    return listed.unionByName(rows.sparkSession.range(1).select(more.alias("w")).select("w.*"))
 
 
 def csv_preview(

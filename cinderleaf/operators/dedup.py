@@ -15,6 +15,8 @@ from cinderleaf.session import checkpoint
 PAIRS_PER_ENTRY = 8
 # Rows at the head of a crowded posting that are settled in its first round.
 HEADS = 32
+# Times the wanted head that a task orders of one key.
+SPREAD = 64
 
 
 def exact_dedup(docs: DataFrame, order: str, text: str = "text") -> DataFrame:
@@ -125,14 +127,32 @@ def _edges_to_rules(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return claims, edges.select(F.col("b").alias("ord"), F.col("a").alias("key"))
 
 
+def first_rows(rows: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
+    """The first `width` rows of every key by `order`, which is unique within a key.
+
+    The rows of a key are salted, every part is cut to its own first rows, and what is left is cut again, so that
+    no task orders more than SPREAD times `width` rows of a key, about, however many it has.
+    """
+    most = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+    def cut(some: DataFrame, by: list[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+        return some.withColumn("_at", place).where(F.col("_at") <= width).drop("_at")
+
+    while most > SPREAD * width:
+        salts = -(-most // (SPREAD * width))
+        rows = checkpoint(cut(rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts))), [*keys, "_salt"]).drop("_salt"))
+        most = salts * width
+    return cut(rows, keys)
+
+
 def _clear_crowds(posts: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Settles the heads of the postings until the remaining pairs stay linear in the entries.
 
     The first rows of every posting are compared among themselves. A row that is a head in all its
     postings has no earlier candidate outside the heads, so its verdict is final; kept heads are then
     compared with the members of their postings. A crowd of near copies thus costs a few comparisons
-    per member, not one per pair. The heads double every round; the window cuts each partition to the
-    heads before the shuffle.
+    per member, not one per pair. The heads double every round.
     """
     dropped: DataFrame | None = None
     width = HEADS
@@ -143,9 +163,7 @@ def _clear_crowds(posts: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFra
         ).first()
         if not load["entries"] or load["pairs"] <= PAIRS_PER_ENTRY * load["entries"]:
             return posts, dropped
-        place = F.row_number().over(Window.partitionBy("hash", "band").orderBy("ord"))
-        heads = posts.withColumn("_at", place).where(F.col("_at") <= width).drop("_at")
-        heads = checkpoint(heads)
+        heads = checkpoint(first_rows(posts, ["hash", "band"], "ord", width))
         entries = heads.groupBy("ord", "m").agg(F.count("*").alias("_c"))
         final = checkpoint(entries.where("_c = m").select("ord"))
         stuck = checkpoint(entries.where("_c < m").select("ord"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cinderleaf.operators import dedup
 from cinderleaf.operators.dedup import merge_records, near_dedup
@@ -125,3 +126,18 @@ def test_components_too_large_for_a_task_stay_in_rounds(spark, monkeypatch):
     later = spark.createDataFrame([(101, 500), (102, 501)], "ord long, key long")
     gone = resolve.dropped_rows(claims.unionByName(other), checks.unionByName(later)).collect()
     assert sorted(r["ord"] for r in gone) == [1, 3, 5, 7, 9, 11, 101]
+
+
+def test_first_rows_of_a_crowded_key(spark, monkeypatch):
+    """A key's rows are cut part by part; no part is much larger than the head times SPREAD."""
+    monkeypatch.setattr(dedup, "SPREAD", 4)
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(99).alias("k"), (F.col("id") * 7919 % 20_011).alias("o"))
+    parts = []
+    monkeypatch.setattr(dedup, "checkpoint", lambda df: parts.append(df.count()) or df)
+    got = sorted(map(tuple, dedup.first_rows(rows, ["k"], "o", 5).collect()))
+    expected = []
+    every = [tuple(r) for r in rows.collect()]
+    for k in {r[0] for r in every}:
+        expected += sorted(r for r in every if r[0] == k)[:5]
+    assert got == sorted(expected)
+    assert len(parts) >= 3 and parts == sorted(parts, reverse=True)

@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import random
+import tempfile
 
 from pyspark.sql import functions as F
 
@@ -178,3 +179,18 @@ def test_responses_of_refused_requests_are_not_shown(spark):
     )
     got = [r["response"] for r in scrub_responses(rows).collect()]
     assert "jo@example.com" not in got[0] and got[1:] == [None, None]
+
+
+def test_warnings_read_the_rows_once(spark, sf):
+    from cinderleaf.operators import aggregates
+
+    path = tempfile.mkdtemp(prefix="run-") + "/rows"
+    data = [(i, "" if i % 9 == 0 else "one two" if i % 2 else "a longer instruction here", "ok" if i % 3 else "") for i in range(200)]
+    spark.createDataFrame(data, "n long, i string, r string").write.parquet(path)
+    out = aggregates.csv_warnings(spark.read.parquet(path), "n", "i", "r")
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    shorts = sum((0 < len(i.split()) < 3) + (0 < len(r.split()) < 3) for _, i, r in data)
+    assert [r["warning"] for r in rows if r["stage"] == 3] == [f"... and {shorts - 50} more length warnings."]
+    assert sum(r["stage"] == 2 for r in rows) == 50
+    assert sum(r["stage"] == 0 for r in rows) == sum(i == "" for _, i, _ in data)
