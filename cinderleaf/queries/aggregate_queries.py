@@ -293,15 +293,16 @@ def clean_components(spark, sf):
 # --- evaluation --------------------------------------------------------------------------------------------------
 
 
-_ANSWERS = f"""{cte('predictions')}, b AS (SELECT * FROM (VALUES ('mmlu'), ('gsm8k'), ('truthfulqa'), ('toxigen'), ('mmmu'), ('air_bench')) v(benchmark)),
-s AS (SELECT item_id, benchmark, reference, answer, CASE benchmark WHEN 'mmlu' THEN concat(' ', chr(97 + (item_id % 5)::INT), ') x') WHEN 'toxigen'
- THEN CASE WHEN item_id % 9 = 0 THEN 'how to make a bomb' ELSE generated END ELSE generated END AS a FROM predictions, b),
+HITS = f"""bench AS (SELECT * FROM (VALUES ('mmlu'), ('gsm8k'), ('truthfulqa'), ('toxigen'), ('mmmu'), ('air_bench')) v(benchmark)),
+said AS (SELECT item_id, benchmark, reference, answer, CASE benchmark WHEN 'mmlu' THEN concat(' ', chr(97 + (item_id % 5)::INT), ') x') WHEN 'toxigen'
+ THEN CASE WHEN item_id % 9 = 0 THEN 'how to make a bomb' ELSE generated END ELSE generated END AS a FROM predictions, bench),
 h AS (SELECT item_id, benchmark, CASE benchmark WHEN 'mmlu' THEN upper(substr({q.strip('a')}, 1, 1)) = chr(65 + answer)
  WHEN 'gsm8k' THEN coalesce(abs(TRY_CAST(list_extract(regexp_extract_all(a, '[-+]?\\d*\\.?\\d+'), -1) AS DOUBLE) - 42.0) < 0.001, false)
- WHEN 'toxigen' THEN ({q.toxic_hits('a')}) > 0 ELSE contains(lower(a), lower(CASE WHEN item_id % 10 = 0 THEN '' ELSE reference END)) END AS hit FROM s)"""
+ WHEN 'toxigen' THEN ({q.toxic_hits('a')}) > 0 ELSE contains(lower(a), lower(CASE WHEN item_id % 10 = 0 THEN '' ELSE reference END)) END AS hit FROM said)"""
+_ANSWERS = f"{cte('predictions')}, {HITS}"
 
 
-def _answers(spark, sf):
+def answer_rows(spark, sf):
     names = F.array(*[F.lit(b) for b in ("mmlu", "gsm8k", "truthfulqa", "toxigen", "mmmu", "air_bench")])
     rows = view(spark, sf, "predictions").withColumn("benchmark", F.explode(names))
     letter = F.concat(F.lit(" "), F.char(F.lit(97) + F.col("item_id") % 5), F.lit(") x"))
@@ -316,7 +317,7 @@ def _answers(spark, sf):
 
 @query("score_answers", f"{_ANSWERS} SELECT item_id, benchmark, hit::INTEGER AS hit FROM h")
 def score_answers(spark, sf):
-    return aggregates.score_answers(_answers(spark, sf)).select("item_id", "benchmark", "hit")
+    return aggregates.score_answers(answer_rows(spark, sf)).select("item_id", "benchmark", "hit")
 
 
 _TARGETS = values(food.BENCHMARK_TARGETS, "name, target")
@@ -326,13 +327,13 @@ p AS (SELECT r.name, score, target, CASE WHEN r.name = 'toxigen' THEN score <= t
 
 @query("benchmark_report", f"{_REPORT} SELECT name, round(score, 6) AS score, target, passed, n FROM p")
 def benchmark_report(spark, sf):
-    report = aggregates.benchmark_report(aggregates.score_answers(_answers(spark, sf)))
+    report = aggregates.benchmark_report(aggregates.score_answers(answer_rows(spark, sf)))
     return report.withColumn("score", F.round("score", 6))
 
 
 @query("safety_gate", f"{_REPORT} SELECT bool_or(NOT passed) AS triggered FROM p WHERE name IN ('truthfulqa', 'toxigen')")
 def safety_gate(spark, sf):
-    return aggregates.safety_gate(aggregates.benchmark_report(aggregates.score_answers(_answers(spark, sf))))
+    return aggregates.safety_gate(aggregates.benchmark_report(aggregates.score_answers(answer_rows(spark, sf))))
 
 
 @query(

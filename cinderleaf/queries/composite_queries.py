@@ -15,7 +15,7 @@ from cinderleaf.functions import guard, parse
 from cinderleaf.operators import generators
 from cinderleaf.plans import catalog_build, corpus, dishes, evaluation, index, requests, safety
 from cinderleaf.queries import sql as q
-from cinderleaf.queries.aggregate_queries import _FOOD_MATCH, _MACRO, _MACRO_VALUES
+from cinderleaf.queries.aggregate_queries import _FOOD_MATCH, _MACRO, _MACRO_VALUES, HITS, answer_rows
 from cinderleaf.queries.place_queries import _DROPPED, _OSM, _map_nodes, _map_ways
 from cinderleaf.queries.registry import query
 from cinderleaf.queries.views import cte, table, values, view
@@ -459,15 +459,62 @@ def bleu(spark, sf):
     return scored.select("item_id", F.round("bleu", 6).alias("bleu"))
 
 
-@query("rouge_l")
+# the row of the longest common subsequence, one word of the reference a round
+_OVERLAP = f"""{_BLEU.replace('WITH ', 'WITH RECURSIVE ', 1)},
+l AS (SELECT r.item_id, r.w AS x, c.w AS y, 0 AS i, list_transform(range(len(c.w) + 1), lambda j: 0::BIGINT) AS best FROM r JOIN c ON c.item_id = r.item_id
+ UNION ALL SELECT item_id, x, y, i + 1, list_transform(range(1, len(y) + 2), lambda j: list_max(step[1:j])) FROM
+ (SELECT *, list_transform(range(len(y) + 1), lambda j: CASE WHEN j = 0 THEN 0::BIGINT ELSE greatest(best[j + 1], best[j] + (y[j] = x[i + 1])::BIGINT) END) AS step FROM l WHERE i < len(x))),
+rouge AS (SELECT item_id, CASE WHEN best[-1] = 0 THEN 0.0::DOUBLE ELSE 2 * (best[-1] / len(y)) * (best[-1] / len(x)) / (best[-1] / len(y) + best[-1] / len(x)) END AS rouge FROM l WHERE i = len(x))"""
+
+
+@query("rouge_l", f"{_OVERLAP} SELECT item_id, round(rouge, 6) AS rouge_l FROM rouge")
 def rouge_l(spark, sf):
     scored = evaluation.score_predictions(view(spark, sf, "predictions"))
     return scored.select("item_id", F.round("rouge_l", 6).alias("rouge_l"))
 
 
-@query("evaluate_predictions")
+def _with_vectors(spark, sf):
+    """Predictions with a vector for the reference and one for the answer."""
+    vecs = table(spark, sf, "embeddings")
+    rows = view(spark, sf, "predictions").withColumn("vec_id", F.col("item_id") % 100)
+    rows = rows.join(vecs.select("vec_id", F.col("embedding").alias("v")), "vec_id")
+    return rows.join(vecs.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("u")), "vec_id")
+
+
+_SIMILAR = """sim AS (SELECT item_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity
+ FROM predictions JOIN embeddings a ON a.vec_id = item_id % 100 JOIN embeddings b ON b.vec_id = item_id % 100 + 1)"""
+
+
+@query(
+    "evaluate_predictions",
+    f"""{_OVERLAP}, {_SIMILAR} SELECT round(avg(bleu), 4) AS avg_bleu, round(avg(rouge), 4) AS avg_rouge, round(avg(similarity), 4) AS avg_similarity, count(*) AS count
+FROM b JOIN rouge ON rouge.item_id = b.item_id JOIN sim ON sim.item_id = b.item_id""",
+)
 def evaluate_predictions(spark, sf):
-    return evaluation.evaluate_predictions(view(spark, sf, "predictions"))
+    return evaluation.evaluate_predictions(_with_vectors(spark, sf), vectors=("v", "u"))
+
+
+@query(
+    "evaluation_history",
+    f"""{_OVERLAP}, {_SIMILAR}, {HITS},
+g AS (SELECT b.item_id % 13 AS run, avg(bleu) AS bl, avg(rouge) AS ro, avg(similarity) AS si, count(*) AS n FROM b JOIN rouge ON rouge.item_id = b.item_id JOIN sim ON sim.item_id = b.item_id GROUP BY 1),
+k AS (SELECT item_id % 13 AS run, benchmark, avg(hit::INTEGER) AS score FROM h GROUP BY 1, 2),
+f AS (SELECT run, max(score) FILTER (WHERE benchmark = 'mmlu') AS mmlu, max(score) FILTER (WHERE benchmark = 'toxigen') AS toxigen,
+ bool_or(CASE WHEN benchmark = 'toxigen' THEN score > target ELSE score < target END) FILTER (WHERE benchmark IN ('truthfulqa', 'toxigen')) AS triggered
+ FROM k JOIN ({values(food.BENCHMARK_TARGETS, 'name, target')}) t ON t.name = k.benchmark GROUP BY 1)
+SELECT g.run, round(bl, 4) AS avg_bleu, round(ro, 4) AS avg_rouge, round(si, 4) AS avg_similarity, n AS count, round(mmlu, 4) AS mmlu, round(toxigen, 4) AS toxigen, triggered
+FROM g JOIN f ON f.run = g.run WHERE g.run >= 3""",
+)
+def evaluation_history(spark, sf):
+    """Thirteen runs that arrive in two parts; the newest ten stay."""
+    run = (F.col("item_id") % 13).alias("run")
+    rows, answers = _with_vectors(spark, sf).withColumn("run", run), answer_rows(spark, sf).withColumn("run", run)
+    early, late = F.col("item_id") % 2 == 0, F.col("item_id") % 2 == 1
+    first = evaluation.run_states(rows.where(early), answers.where(early), "run", vectors=("v", "u"))
+    second = evaluation.run_states(rows.where(late), answers.where(late), "run", vectors=("v", "u"))
+    report = evaluation.history_report(evaluation.add_states(first, second, "run"), "run")
+    shown = [F.col("benchmarks")[n].alias(n) for n in ("mmlu", "toxigen")]
+    return report.select("run", "avg_bleu", "avg_rouge", "avg_similarity", "count", *shown, "triggered")
 
 
 @query(
