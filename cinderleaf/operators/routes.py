@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderleaf.fixed import place_rules as rules
-from cinderleaf.session import bounded, checkpoint, fits_broadcast, fixed_table
-
-# Edges of a graph that may be sent to every task.
-SMALL_GRAPH = 10_000
+from cinderleaf.session import bounded, checkpoint, fixed_table
 
 
 def district_edges(spark: SparkSession) -> DataFrame:
@@ -22,51 +15,7 @@ def district_edges(spark: SparkSession) -> DataFrame:
     return fixed_table(spark, rows, "src string, dst string, pos int")
 
 
-def _search(start: str, hops: dict[str, list[str]], closed: frozenset[str]) -> dict[str, list[str]]:
-    """Fewest-hop path to every reachable node, first in neighbour order."""
-    paths, queue = {start: [start]}, deque([start])
-    while queue:
-        node = queue.popleft()
-        if node in closed and node != start:
-            continue
-        for neighbour in hops.get(node, []):
-            if neighbour not in paths:
-                paths[neighbour] = [*paths[node], neighbour]
-                queue.append(neighbour)
-    return paths
-
-
-def _small_graph_paths(starts: DataFrame, edges: DataFrame, blocked: DataFrame | None) -> DataFrame:
-    """(start, node, avoid, path) for a graph of checked size, which travels to the start nodes."""
-    hops: dict[str, list[str]] = {}
-    for row in edges.orderBy("src", "pos").limit(SMALL_GRAPH).collect():
-        hops.setdefault(row["src"], []).append(row["dst"])
-    modes = {False: frozenset()}
-    if blocked is not None:
-        inner = blocked.join(edges, blocked["district"] == edges["src"], "left_semi").distinct()
-        modes[True] = frozenset(r["district"] for r in inner.limit(SMALL_GRAPH).collect())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (start, node, avoid, path)
-                for start in pdf["src"]
-                for avoid, closed in modes.items()
-                for node, path in _search(start, hops, closed).items()
-            ]
-            yield pd.DataFrame(rows, columns=["start", "node", "avoid", "path"])
-
-    return starts.select("src").mapInPandas(run, "start string, node string, avoid boolean, path array<string>")
-
-
 def _paths(starts: DataFrame, edges: DataFrame, blocked: DataFrame | None) -> DataFrame:
-    """Paths by the way that fits the size of the graph."""
-    if fits_broadcast(edges, SMALL_GRAPH):
-        return _small_graph_paths(starts, edges, blocked)
-    return _paths_by_rounds(starts, edges, blocked)
-
-
-def _paths_by_rounds(starts: DataFrame, edges: DataFrame, blocked: DataFrame | None) -> DataFrame:
     """(start, node, avoid, path): fewest-hop path to every reachable node, first in neighbour order.
 
     One round per hop, over at most one row per (start, node, avoid). With `avoid`, blocked nodes can
@@ -85,11 +34,11 @@ def _paths_by_rounds(starts: DataFrame, edges: DataFrame, blocked: DataFrame | N
     if blocked is not None:
         closed = blocked.select(F.col("district").alias("src"), F.lit(True).alias("closed")).distinct()
         hops = edges.join(closed, "src", "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
-    hops = checkpoint(hops)
+    hops = bounded(checkpoint(hops))
     reached = checkpoint(reached)
     frontier = reached
     while not frontier.isEmpty():
-        steps = frontier.join(hops, frontier["node"] == hops["src"])
+        steps = frontier.join(hops, F.col("node") == F.col("src"))
         steps = steps.where(~(F.col("avoid") & F.col("closed")) | (F.col("node") == F.col("start"))).select(
             "start",
             F.col("dst").alias("node"),

@@ -363,11 +363,11 @@ _PATH = "list_value(lower(src), 'kandy', 'matale', lower(dst))"
 _PATH_SPARK = "array_distinct(array(lower(src), 'kandy', 'matale', lower(dst)))"
 
 
-def _hazard_sql(tail: str) -> str:
-    return f"""{cte('trips', 'places', 'alerts')}, {_alert_sql()},
+def _hazard_sql(tail: str, start: str | None = None, trips: str = "trips", path: str = _PATH) -> str:
+    return f"""{start or cte('trips', 'places', 'alerts')}, {_alert_sql()},
 w AS (SELECT lower(district) AS district, arg_min(level, event_id) AS level, arg_min(hazard, event_id) AS hazard,
  arg_min(bulletin, event_id) AS bulletin FROM tagged GROUP BY 1),
-u AS (SELECT trip_id, unnest({_PATH}) AS district, generate_subscripts({_PATH}, 1) AS hop FROM trips),
+u AS (SELECT trip_id, unnest({path}) AS district, generate_subscripts({path}, 1) AS hop FROM {trips}),
 s AS (SELECT trip_id, district, min(hop) AS hop FROM u GROUP BY trip_id, district),
 p AS (SELECT lower(district_id) AS district, ord, safety_level, name FROM places),
 dist AS (SELECT district, min(ord) FILTER (WHERE safety_level = 'Dangerous') AS first, count(*) FILTER (WHERE safety_level = 'Dangerous') AS dangers FROM p GROUP BY 1),
@@ -399,21 +399,35 @@ def route_hazards(spark, sf):
     return routes.route_hazards(paths, "trip_id", spots, warned)
 
 
+_ROUTED = f"""{cte('trips', 'places', 'alerts', recursive=True)}, edges AS ({_EDGES}),
+{_walk('free_walk', '')},
+{_walk('clear_walk', f" AND (w.node NOT IN ({_CLOSED_SQL}) OR w.node = w.start)")},
+ways AS (SELECT start, node, arg_min(path, struct_pack(n := len(path), t := turns)) AS path FROM free_walk GROUP BY start, node),
+clear AS (SELECT start, node, arg_min(path, struct_pack(n := len(path), t := turns)) AS path FROM clear_walk GROUP BY start, node),
+ends AS (SELECT DISTINCT lower(src) AS s, lower(dst) AS d FROM trips),
+routed AS (SELECT concat(s, '>', d) AS trip_id, coalesce(clear.path, ways.path) AS route FROM ends LEFT JOIN ways ON ways.start = s AND ways.node = d
+ LEFT JOIN clear ON clear.start = s AND clear.node = d)"""
+
+
 @query(
     "route_cautions",
     _hazard_sql(
-        """SELECT DISTINCT district AS route, 0 AS stage, p.ord, CASE safety_level WHEN 'Dangerous' THEN concat('⚠️ Dangerous spot in ', upper(district), ': ', name, ' (Wildlife caution)')
- ELSE concat('⚠️ Caution in ', upper(district), ': ', name, ' (Rain caution)') END AS caution FROM p JOIN dist USING (district)
- WHERE safety_level = 'Dangerous' OR (safety_level = 'Moderate' AND (first IS NULL OR ord < first))
-UNION ALL SELECT w.district, 1, 0, concat(CASE level WHEN 'Red' THEN '🚨 Evacuate immediately in ' ELSE '⚠️ DMC Warning in ' END, upper(w.district), ': ', hazard, ' (', bulletin, ')')
- FROM w JOIN dist ON dist.district = w.district WHERE level = 'Red' OR (level = 'Amber' AND dangers = 0)"""
+        """SELECT trip_id AS route, 0 AS stage, CAST(hop - 1 AS INTEGER) AS pos, p.ord, CASE safety_level WHEN 'Dangerous' THEN concat('⚠️ Dangerous spot in ', upper(district), ': ', name, ' (Wildlife caution)')
+ ELSE concat('⚠️ Caution in ', upper(district), ': ', name, ' (Rain caution)') END AS caution FROM x JOIN p USING (district)
+ WHERE safety_level = 'Dangerous' OR (safety_level = 'Moderate' AND NOT seen AND (first IS NULL OR ord < first))
+UNION ALL SELECT trip_id, 1, CAST(hop - 1 AS INTEGER), 0, concat(CASE level WHEN 'Red' THEN '🚨 Evacuate immediately in ' ELSE '⚠️ DMC Warning in ' END, upper(district), ': ', hazard, ' (', bulletin, ')')
+ FROM x WHERE shown""",
+        _ROUTED, "routed", "route",
     ),
 )
 def route_cautions(spark, sf):
+    """The caution lists of the routes between all ends of trips."""
     _, spots, warned = _route_inputs(spark, sf)
-    single = spots.select(F.lower("district_id").alias("route")).distinct()
-    out = routes.route_cautions(single.withColumn("path", F.array("route")), "route", spots, warned)
-    return out.select("route", "stage", "ord", "caution")
+    ends = view(spark, sf, "trips").select(F.lower("src").alias("src"), F.lower("dst").alias("dst")).distinct()
+    closed = spark.createDataFrame([(c,) for c in _CLOSED], "district string")
+    paths = routes.district_routes(ends, "src", "dst", routes.district_edges(spark), closed)
+    named = paths.select(F.concat("src", F.lit(">"), "dst").alias("route"), "path")
+    return routes.route_cautions(named, "route", spots, warned).select("route", "stage", "pos", "ord", "caution")
 
 
 # --- deduplication and changes ------------------------------------------------------------------------------------
