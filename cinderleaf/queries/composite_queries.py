@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -230,24 +231,62 @@ def _plain_places(spark, sf) -> DataFrame:
     return view(spark, sf, "places").withColumn("name", F.concat(F.lit("Spot "), F.col("ord").cast("string")))
 
 
+def _filled(template: str) -> str:
+    """A template whose slots are columns."""
+    parts = [f"coalesce(\"{x}\", '')" if i % 2 else q.text(x) for i, x in enumerate(re.split(r"\{(\w+)\}", template)) if x]
+    return f"concat({', '.join(parts)})" if parts else "''"
+
+
+def _either(name: str, condition: str, phrases: tuple[str, str]) -> str:
+    yes, no = phrases
+    return f'CASE WHEN {condition} THEN {_filled(yes)} ELSE {_filled(no)} END AS "{name}"'
+
+
+def _picked(values: list[str], at: str) -> str:
+    return f"list_extract([{', '.join(map(q.text, values))}], {at})"
+
+
+# slots of places with plain names: no note, no spans, no history, a paved road
+_SLOTS = f"""{cte('places')}, base AS (SELECT ord, concat('Spot ', CAST(ord AS VARCHAR)) AS name, district_id AS district, 'Unknown' AS province, category_id AS category,
+ format('{{:.4f}}', lat) AS lat, format('{{:.4f}}', lng) AS lng, coalesce(description, '') AS "desc", 'All year round' AS best_time, 'Sightseeing' AS activities,
+ tourist_popularity AS popularity, safety_level AS safety, 'Paved' AS road, 'Safe' AS rain, 'None' AS monsoon, ticket_price AS ticket_str, '' AS note, '' AS spans, '' AS history,
+ contains(lower(ticket_price), 'free') AS free, lower(category_id) AS kind, lower(tourist_popularity) AS pop_low,
+ CASE tourist_popularity {' '.join(f"WHEN {q.text(k)} THEN {q.text(v)}" for k, v in templates.POPULARITY_SI.items())} ELSE tourist_popularity END AS pop_si FROM places),
+cost AS (SELECT *, CASE WHEN free THEN 0 ELSE coalesce(TRY_CAST(regexp_extract(replace(ticket_str, ',', ''), '\\d+') AS INT), 500) END + CASE WHEN popularity = 'High' THEN 1100 ELSE 600 END + 500 AS total FROM base),
+phrased AS (SELECT *, {', '.join(_either(n, c, templates.BUDGET_PHRASES[n]) for n, c in (('entry_si', 'free'), ('entry_en', 'free'), ('food_si', "popularity = 'High'"), ('food_en', "popularity = 'High'"), ('transport_si', 'false'), ('transport_en', 'false')))},
+ CASE WHEN total < 1500 THEN 1 WHEN total < 5000 THEN 2 ELSE 3 END AS level FROM cost),
+slots AS (SELECT *, {_picked(templates.BUDGET_LEVEL_SI, 'level')} AS level_si, {_picked(templates.BUDGET_LEVEL_EN, 'level')} AS level_en,
+ {', '.join(_either(n, c, templates.CHOICES[n]) for n, c in (('free_si', 'free'), ('free_en', 'free'), ('rain_col', 'false'), ('family_si', 'true'), ('family_en', 'true'), ('family_col', 'true')))} FROM phrased)"""
+_KIND = " ".join(
+    f"WHEN {' OR '.join(f'contains(kind, {q.text(w)})' for w in words)} THEN {q.text(name)}" for name, words in templates.CATEGORY_KINDS
+)
+_ASKED = {
+    "": "true", "described": 'length("desc") > 10', "spans": "false", "history": "false", "monsoon": "false", "text": '"desc" <> \'\'',
+    **{name: f"CASE {_KIND} END = {q.text(name)}" for name, _ in templates.CATEGORY_KINDS},
+}
+
+
 @query(
     "qa_pairs",
-    f"""{cte('places')}, p AS (SELECT ord, concat('Spot ', CAST(ord AS VARCHAR)) AS name, * EXCLUDE (ord, name) FROM places)
-SELECT ord, 'en' AS lang, concat('Where is ', name, ' located?') AS instruction, concat(name, ' is located in ', district_id,
- ' District, Unknown Province, Sri Lanka. Coordinates: ', format('{{:.4f}}', lat), '°N, ', format('{{:.4f}}', lng), '°E.') AS output FROM p
-UNION ALL SELECT ord, 'en', concat('Is ', name, ' free to visit?'), concat(CASE WHEN ticket_price = 'Free' THEN concat('Yes, ', name, ' is free to enter.')
- ELSE concat('No, Entry fee is ', ticket_price, '.') END, ' (', district_id, ' District)') FROM p""",
+    _SLOTS + " " + " UNION ALL ".join(
+        f"SELECT ord, {q.text(lang)} AS lang, {family} AS family, {seq} AS seq, {_filled(ask)} AS instruction, '' AS input, {_filled(answer)} AS output FROM slots WHERE {_ASKED[condition]}"
+        for seq, (family, lang, condition, ask, answer) in enumerate(templates.PLACE_QUESTIONS)
+    ),
 )
 def qa_pairs(spark, sf):
-    rows = generators.qa_pairs(_plain_places(spark, sf), ["ord"])
-    return rows.where("lang = 'en' AND (instruction LIKE 'Where is %' OR instruction LIKE '% free to visit?')").select(
-        "ord", "lang", "instruction", "output"
-    )
+    """Every question of every place, in all three languages."""
+    return generators.qa_pairs(_plain_places(spark, sf), ["ord"])
 
 
-@query("disambiguation_pairs")
+@query(
+    "disambiguation_pairs",
+    _SLOTS + " " + " UNION ALL ".join(
+        f"SELECT ord, {seq} AS seq, {_filled(ask)} AS instruction, '' AS input, {_filled(answer)} AS output FROM slots WHERE {_ASKED[condition]}"
+        for seq, (condition, ask, answer) in enumerate(templates.DISAMBIGUATION_QUESTIONS)
+    ),
+)
 def disambiguation_pairs(spark, sf):
-    return generators.disambiguation_pairs(view(spark, sf, "places"), ["ord"])
+    return generators.disambiguation_pairs(_plain_places(spark, sf), ["ord"])
 
 
 _GROUPS = f"""{cte('places')}, p AS (SELECT *, CASE tourist_popularity WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END AS k FROM places),
