@@ -212,6 +212,11 @@ def seed_pairs(spark) -> DataFrame:
     return fixed_table(spark, text.SEED_PAIRS, "prompt string, chosen string, rejected string")
 
 
+def with_seed_pairs(pairs: DataFrame) -> DataFrame:
+    """The fixed pairs and `pairs`; the fixed ones have nulls in all other columns."""
+    return pairs.unionByName(seed_pairs(pairs.sparkSession), allowMissingColumns=True)
+
+
 def synthetic_pairs(
     spots: DataFrame, order: str, kind: str, n: int, seed: int = 42, assistant: str = "Assistant"
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from cinderleaf.fixed import food_rules as food
 from cinderleaf.fixed import guard_rules as rules
+from cinderleaf.fixed import place_rules
 from cinderleaf.fixed import templates
 from cinderleaf.functions import guard, parse
 from cinderleaf.operators import generators
@@ -340,26 +341,58 @@ t AS (SELECT *, concat(name, ' is a popular ', category_id, ' in Sri Lanka.', CA
  chr(10), '- Safety Level: ', safety_level, chr(10), '- Parking: yes | Toilets: no') AS facts FROM p)"""
 
 
+def _term(column: str) -> str:
+    known = " ".join(f"WHEN {q.text(k)} THEN {q.text(v)}" for k, v in place_rules.SINHALA_TERMS)
+    return f"CASE lower({q.strip(column)}) {known} ELSE {column} END"
+
+
+def _local(column: str) -> str:
+    for word, local in templates.SI_WORDS:
+        column = f"replace({column}, {q.text(word)}, {q.text(local)})"
+    return column
+
+
+_SAID = f"""{_BILINGUAL}, slots AS (SELECT ord, name, category_id AS category, safety_level AS safety, 'yes' AS parking, 'no' AS toilets, 'good' AS mobile, d AS "desc",
+ {_local('d')} AS desc_si, {_term('category_id')} AS category_si, {_term('safety_level')} AS safety_si, {_term("'good'")} AS mobile_si,
+ {q.text(templates.SI_PARKING[0])} AS parking_si, {q.text(templates.SI_TOILETS[1])} AS toilets_si FROM p)"""
+
+
+def _described(mobile: bool) -> tuple[str, str]:
+    """English and Sinhala descriptions."""
+    signal = (templates.EN_SIGNAL, templates.SI_SIGNAL) if mobile else ("", "")
+    plain = templates.SI_PLAIN if mobile else templates.SI_PLAIN_PAIR
+    english = f"concat({_filled(templates.EN_INTRO)}, CASE WHEN d <> '' THEN concat(' ', d) ELSE {q.text(templates.EN_PLAIN)} END, {_filled(templates.EN_FACTS + signal[0])})"
+    sinhala = f"""concat({_filled(templates.SI_INTRO)}, CASE WHEN d <> '' THEN {_filled(templates.SI_ABOUT)} ELSE {q.text(plain)} END,
+ {_filled(templates.SI_SAFETY + templates.SI_FACILITIES + signal[1])})"""
+    return tuple(x.replace("d <> ''", "\"desc\" <> ''").replace("concat(' ', d)", "concat(' ', \"desc\")") for x in (english, sinhala))
+
+
 @query(
     "bilingual_sft",
-    f"{_BILINGUAL} SELECT ord, concat('Tell me about ', name, ' in Sri Lanka.') AS ask, concat(facts, chr(10), '- Mobile Signal: good') AS answer FROM t",
+    f"""{_SAID} SELECT ord, 'en' AS lang, {_filled(templates.EN_ASK)} AS ask, {_described(True)[0]} AS answer FROM slots
+UNION ALL SELECT ord, 'si', {_filled(templates.SI_ASK)}, {_described(True)[1]} FROM slots""",
 )
 def bilingual_sft(spark, sf):
-    rows = generators.bilingual_sft(_messages(spark, sf), ["ord"]).where("lang = 'en'")
-    return rows.select("ord", F.col("messages")[0]["content"].alias("ask"), F.col("messages")[1]["content"].alias("answer"))
+    rows = generators.bilingual_sft(_messages(spark, sf), ["ord"])
+    return rows.select("ord", "lang", F.col("messages")[0]["content"].alias("ask"), F.col("messages")[1]["content"].alias("answer"))
 
 
 @query(
     "preference_pairs",
-    f"""{_BILINGUAL} SELECT ord, concat('Describe ', name, ' in Sri Lanka.') AS prompt, facts AS chosen,
- concat('This is a place called ', name, ' in Sri Lanka. No specific description or details are available.') AS rejected FROM t""",
+    f"""{_SAID} SELECT ord, 'en' AS lang, {_filled(templates.PAIR_EN_ASK)} AS prompt, {_described(False)[0]} AS chosen, {_filled(templates.PAIR_EN_REJECTED)} AS rejected FROM slots
+UNION ALL SELECT ord, 'si', {_filled(templates.SI_ASK)}, {_described(False)[1]}, {_filled(templates.PAIR_SI_REJECTED)} FROM slots
+UNION ALL SELECT NULL, NULL, prompt, chosen, rejected FROM ({values(templates.SEED_PAIRS, 'prompt, chosen, rejected')}) seeds""",
 )
 def preference_pairs(spark, sf):
-    rows = generators.preference_pairs(_messages(spark, sf), ["ord"]).where("lang = 'en'")
-    return rows.select("ord", "prompt", "chosen", "rejected")
+    """Pairs of all places in both languages, and the fixed ones."""
+    rows = generators.preference_pairs(_messages(spark, sf), ["ord"])
+    return generators.with_seed_pairs(rows).select("ord", "lang", "prompt", "chosen", "rejected")
 
 
-@query("bilingual_sft_sinhala")
+@query(
+    "bilingual_sft_sinhala",
+    f"{_SAID} SELECT ord, {_described(True)[1]} AS answer FROM slots",
+)
 def bilingual_sft_sinhala(spark, sf):
     rows = generators.bilingual_sft(_messages(spark, sf), ["ord"]).where("lang = 'si'")
     return rows.select("ord", F.col("messages")[1]["content"].alias("answer"))
