@@ -115,7 +115,7 @@ scan AS (SELECT k, 0::BIGINT AS i, NULL::BIGINT AS prompt_id, -1000000::BIGINT A
    WHEN len(recorded) > 10 THEN 'limited' ELSE 'ok' END AS v FROM
   (SELECT seq.k, seq.i, seq.prompt_id, seq.t, scan.until, scan.times, list_append(list_filter(scan.times, lambda x: seq.t - x < 60000), seq.t) AS recorded
    FROM scan JOIN seq ON seq.k = scan.k AND seq.i = scan.i + 1))),
-j AS (SELECT calls.*, verdict, length(text) > 8000 AS too_long, {q.hijack('text')} AS hijack, {q.intent_score('text')} AS score FROM calls JOIN scan ON scan.prompt_id = calls.prompt_id),
+j AS (SELECT calls.*, verdict, until, length(text) > 8000 AS too_long, {q.hijack('text')} AS hijack, {q.intent_score('text')} AS score FROM calls JOIN scan ON scan.prompt_id = calls.prompt_id),
 s AS (SELECT *, {q.intent_status('text', 'score')} AS status FROM j),
 a AS (SELECT * FROM s WHERE verdict = 'ok' AND NOT too_long),
 v AS (SELECT prompt_id, sum(score) OVER w AS total, count(*) FILTER (WHERE score > 0) OVER w AS hits, max(status = 'HARMFUL_CONTENT') OVER w AS harm FROM a
@@ -137,16 +137,28 @@ def guard_requests(spark, sf):
 
 @query(
     "guard_audit",
-    f"""{_GUARD}, e AS (SELECT prompt_id, 0 AS k, 'HIGH' AS threat_level, verdict AS note FROM o WHERE outcome = 'rate_limited'
- UNION ALL SELECT prompt_id, 1, 'WARNING', 'length' FROM o WHERE outcome = 'too_long'
- UNION ALL SELECT prompt_id, 2, 'WARNING', 'hijack' FROM o WHERE outcome IN ('blocked', 'allowed') AND hijack
- UNION ALL SELECT prompt_id, 3, 'CRITICAL', final_status FROM o WHERE outcome = 'blocked'
- UNION ALL SELECT prompt_id, 4, 'INFO', 'prompt' FROM o WHERE outcome = 'allowed')
-SELECT prompt_id, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY k) - 1 AS INTEGER) AS pos, threat_level FROM e""",
+    f"""{_GUARD}, e AS (SELECT prompt_id, 0 AS k, 'HIGH' AS threat_level, concat('Rate Limit Blocked: ', CASE verdict
+ WHEN 'blocked' THEN concat('Abuse Detected: IP temporarily blocked. Try again in ', CAST((until - t_ms) // 1000 AS VARCHAR), ' seconds.')
+ WHEN 'burst' THEN 'Abuse Detected: Request burst threshold exceeded. IP blocked for 5 minutes.' ELSE 'Too many requests. Limit is 10 requests per minute.' END) AS message FROM o WHERE outcome = 'rate_limited'
+ UNION ALL SELECT prompt_id, 1, 'WARNING', 'Block: Prompt exceeds length threshold of 2000 tokens.' FROM o WHERE outcome = 'too_long'
+ UNION ALL SELECT prompt_id, 2, 'WARNING', 'Persona hijack attempt detected and neutralized.' FROM o WHERE outcome IN ('blocked', 'allowed') AND hijack
+ UNION ALL SELECT prompt_id, 3, 'CRITICAL', concat('Block: Prompt injection attempt. Intent: ', final_status) FROM o WHERE outcome = 'blocked'
+ UNION ALL SELECT prompt_id, 4, 'INFO', concat('Inference prompt: ', CASE WHEN hijack THEN 'neutralized' ELSE substr(text, 1, 40) END, '...') FROM o WHERE outcome = 'allowed')
+SELECT prompt_id, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY k) - 1 AS INTEGER) AS pos, threat_level, message FROM e""",
 )
 def guard_audit(spark, sf):
-    rows = requests.guard_audit(_guarded(spark, sf), "prompt_id", "client_ip", "t_ms", "/api/test")
-    return rows.select("prompt_id", "pos", "threat_level")
+    """Audit rows with their messages; the prompt of a hijack is shown as neutralized."""
+    guarded = _guarded(spark, sf)
+    shown = F.when(F.col("hijack") & (F.col("outcome") == "allowed"), "neutralized").otherwise(F.col("clean"))
+    rows = requests.guard_audit(guarded.withColumn("clean", shown), "prompt_id", "client_ip", "t_ms", "/api/test")
+    return rows.select("prompt_id", "pos", "threat_level", "message")
+
+
+@query("guard_responses")
+def guard_responses(spark, sf):
+    """What the guard lets through, with a response without personal data for every allowed prompt."""
+    said = _guarded(spark, sf).withColumn("response", F.concat(F.lit("You said: "), "text"))
+    return requests.scrub_responses(said).select("prompt_id", "outcome", "response")
 
 
 # --- dishes -----------------------------------------------------------------------------------------
