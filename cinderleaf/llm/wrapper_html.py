@@ -1,19 +1,22 @@
 """Main text of web pages by wrapper induction.
 
-A page becomes a tree of block elements with its text blocks as leaves. Some pages of a host are
-aligned by simple tree matching: a leaf that stands with the same words at the same place of nearly all
-of them is template, one that varies is a content slot. Every page of the host is then aligned with the
-host's tree, and its leaves that match template are left out. What a page itself declares to be no
+A page becomes a tree of block elements with its text blocks as leaves. Its layout is the skeleton of the
+upper levels, runs of like elements as one. The pages of a host with the same layout have a wrapper of
+their own, those of its rare layouts one together: some of them are aligned by simple tree matching, and a
+leaf that stands with the same words at the same place of nearly all of them is template, one that varies is
+a content slot. Every page is then aligned with its wrapper's tree, and its leaves that match template
+are left out. What a page itself declares to be no
 article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) is left out in
 any case; an article or main element, where there is one, is the content.
 
-The trees to align are a bounded number per host; the wrappers of the hosts with many pages are
-broadcast, a bounded number too, and the other pages meet theirs in a shuffle only if their host has
-any template within its content.
+Pages are parsed once; their trees are written and everything else reads those. The trees to align are a
+bounded number per host and layout; the wrappers of the layouts with many pages are broadcast, a bounded
+number too, and the other pages meet theirs in a shuffle only if their layout has any template.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -27,11 +30,12 @@ from pyspark.sql import functions as F
 from cinderleaf.llm.common import HOT_KEYS, attach, whole
 from cinderleaf.session import bounded, checkpoint
 
-# Pages of a host that are aligned; different ones needed for a wrapper; share that must agree on a leaf;
+# Pages of a layout that are aligned; different ones needed for a wrapper; share that must agree on a leaf;
 # share of the text that may be template (pages beyond it are copies of one article).
-PAGES, LEAST_PAGES, AGREE, TEMPLATE_SHARE = 12, 5, 0.8, 0.8
-# Pages of a host that are ranked for that, as a multiple.
-DRAWN = 8
+PAGES, LEAST_PAGES, AGREE, TEMPLATE_SHARE = 12, 3, 0.8, 0.8
+# Pages of a layout that are ranked for that, as a multiple; levels of a tree that make its layout.
+DRAWN, LEVELS = 8, 3
+PARSED = "url string, host string, layout long, hash long, tree string"
 # Elements nested deeper join the tree at this depth; their text stays.
 DEEPEST = 100
 
@@ -269,11 +273,27 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return 1 + best[n][m], found
 
 
+def skeleton(node: Node, levels: int = LEVELS) -> str:
+    """The labels of a tree's upper levels, runs of like elements as one."""
+    if node.label == "#" or not levels:
+        return node.label
+    inner: list[str] = []
+    for child in node.children:
+        shape = skeleton(child, levels - 1)
+        if not inner or inner[-1] != shape:
+            inner.append(shape)
+    return f"{node.label}({','.join(inner)})"
+
+
 def induce(pages: list[str]) -> str | None:
-    """The wrapper of a host's pages as JSON: a tree whose template leaves have words; None without any."""
+    """The wrapper of pages, see `induce_trees`."""
+    return induce_trees([content(parse(page)) for page in pages])
+
+
+def induce_trees(pages: list[Node]) -> str | None:
+    """The wrapper of content trees as JSON: a tree whose template leaves have words; None without any."""
     trees, seen = [], set()
-    for page in pages:
-        tree = content(parse(page))
+    for tree in pages:
         said = "\n".join(leaf.words for leaf in texts(tree))
         if said and said not in seen:
             seen.add(said)
@@ -290,13 +310,14 @@ def induce(pages: list[str]) -> str | None:
     template = sum(len(leaf.words) for leaf in texts(base) if id(leaf) in constant)
     if not constant or template > TEMPLATE_SHARE * sum(t[0] for t in trees) / len(trees):
         return None
+    return json.dumps(_told(base, constant))
 
-    def told(node: Node) -> list:
-        if node.label == "#":
-            return ["#", node.words if id(node) in constant else None]
-        return [node.label, [told(child) for child in node.children]]
 
-    return json.dumps(told(base))
+def _told(node: Node, shown: set[int] | None = None) -> list:
+    """A tree as nested lists; with `shown`, only those leaves keep their words."""
+    if node.label == "#":
+        return ["#", node.words if shown is None or id(node) in shown else None]
+    return [node.label, [_told(child, shown) for child in node.children]]
 
 
 def _tree(told: list) -> Node:
@@ -309,7 +330,11 @@ def _tree(told: list) -> Node:
 
 def extract(page: str, wrapper: str | None = None) -> str:
     """The text blocks of a page's content that are not template, joined by line breaks."""
-    tree = content(parse(page))
+    return remaining(content(parse(page)), wrapper)
+
+
+def remaining(tree: Node, wrapper: str | None) -> str:
+    """The text blocks of a content tree that are not template, joined by line breaks."""
     gone = set()
     if wrapper:
         gone = {id(own) for own, other in match(tree, _tree(json.loads(wrapper)))[1] if own.words == other.words}
@@ -321,70 +346,91 @@ def host_of(url: str):
     return F.lower(F.regexp_extract(whole(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """(host, pages, wrapper) of the hosts that have template within their content."""
-    rows = pages.select(
-        F.col(page_id).alias("id"), host_of(url).alias("host"), F.xxhash64(whole(page)).alias("hash"), whole(page).alias("html")
-    )
-    each = checkpoint(
-        rows.groupBy("host", "hash").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    )
-    sizes = each.groupBy("host").agg(F.sum("copies").alias("pages"), F.count("*").alias("different"))
-    sizes = checkpoint(sizes)
-    # a draw by the page's hash leaves some times the wanted pages of a host for the window
+def _number(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def parse_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """(id, url, host, layout, hash, tree): the content tree of every page as JSON, and hashes of layout and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = [content(parse(p)) for p in batch.column(3).to_pylist()]
+            layouts = [_number(skeleton(t)) for t in trees]
+            said = [_number("\n".join(leaf.words for leaf in texts(t))) for t in trees]
+            told = [json.dumps(_told(t), ensure_ascii=False) for t in trees]
+            cells = [*batch.columns[:3], pa.array(layouts, pa.int64()), pa.array(said, pa.int64()), pa.array(told, pa.string())]
+            yield pa.RecordBatch.from_arrays(cells, names=["id", "url", "host", "layout", "hash", "tree"])
+
+    rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), host_of(url).alias("host"), whole(page).alias("html"))
+    return rows.mapInArrow(run, f"id {dict(pages.dtypes)[page_id]}, {PARSED}")
+
+
+def wrappers(parsed: DataFrame) -> DataFrame:
+    """(host, layout, pages, wrapper) of the layouts that have template within their content."""
+    each = checkpoint(parsed.groupBy("host", "layout", "hash").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    layouts = checkpoint(each.groupBy("host", "layout").agg(F.sum("copies").alias("pages"), F.count("*").alias("different")))
+    total = each.count()
+    # a rare layout shares the unit 0 of its host
+    unit = F.when(F.col("different") >= LEAST_PAGES, F.col("layout")).otherwise(0).alias("unit")
+    placed = attach(each, layouts, ["host", "layout"], "different", total).select("host", unit, "hash", "id", "layout")
+    units = checkpoint(layouts.groupBy("host", unit).agg(F.sum("different").alias("different")))
+    # a draw by the text's hash leaves some times the wanted pages of a unit for the window
     share = F.pmod("hash", F.lit(1_000_000)) * F.col("different") < F.lit(1_000_000 * DRAWN * PAGES)
-    drawn = attach(each, sizes, ["host"], "different", each.count()).where(share)
-    place = F.row_number().over(Window.partitionBy("host").orderBy("hash"))
+    drawn = attach(placed, units, ["host", "unit"], "different", total).where(share)
+    place = F.row_number().over(Window.partitionBy("host", "unit").orderBy("hash", "layout"))
     chosen = drawn.where(F.col("different") >= LEAST_PAGES).withColumn("place", place)
-    chosen = checkpoint(chosen.where(F.col("place") <= PAGES).select("host", "hash", "id", "pages"))
-    aligned = rows.join(bounded(chosen), ["host", "hash", "id"])
+    chosen = checkpoint(chosen.where(F.col("place") <= PAGES).select("host", "layout", "unit", "hash", "id"))
+    aligned = parsed.select("host", "layout", "hash", "id", "tree").join(bounded(chosen), ["host", "layout", "hash", "id"])
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         some = group.drop_duplicates("hash").sort_values("hash")
-        found = induce(some["html"].tolist())
-        out = pd.DataFrame({"host": some["host"].iloc[:1], "pages": some["pages"].iloc[:1], "wrapper": [found]})
+        found = induce_trees([_tree(json.loads(t)) for t in some["tree"]])
+        out = pd.DataFrame({"host": some["host"].iloc[:1], "unit": some["unit"].iloc[:1], "wrapper": [found]})
         return out if found else out.iloc[:0]
 
-    found = aligned.groupBy("host").applyInPandas(learn, "host string, pages long, wrapper string")
-    return checkpoint(found)
+    found = aligned.groupBy("host", "unit").applyInPandas(learn, "host string, unit long, wrapper string")
+    named = layouts.select("host", "layout", "pages", unit)
+    return checkpoint(named.join(found, ["host", "unit"]).select("host", "layout", "pages", "wrapper"))
 
 
 def extract_pages(
     pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html"
 ) -> DataFrame:
-    """Per row of `pages`: page_id, url, text, n_chars, n_template (blocks left out as template).
+    """Per row of `pages`: page_id, url, text, n_chars.
 
     A null page is empty and has no text; a null or malformed url belongs to the host without a name;
-    rows that repeat an id are extracted on their own. A host with fewer than five different pages has
-    no wrapper. An empty table gives an empty result. Other columns are not read.
+    rows that repeat an id are extracted on their own. A layout with fewer than three different pages shares a
+    wrapper with the other rare layouts of its host; a host with fewer than three different pages has none. An
+    empty table gives an empty result. Other columns are not read.
     """
-    known = wrappers(pages, page_id, url, page)
-    total = pages.count()
-    rows = pages.select(
-        F.col(page_id).alias("id"), F.col(url).alias("url"), whole(page).alias("html"), host_of(url).alias("host")
-    )
-    # every hot host holds more than 1 / HOT_KEYS of the pages
-    hot = known.where(F.col("pages") * HOT_KEYS > total).select("host", "wrapper")
-    mild = known.where(F.col("pages") * HOT_KEYS <= total).select("host", "wrapper")
-    parts = rows.join(F.broadcast(hot), "host", "left")
+    rows = checkpoint(parse_pages(pages, page_id, url, page))
+    known = wrappers(rows)
+    total = rows.count()
+    key = ["host", "layout"]
+    # every hot layout holds more than 1 / HOT_KEYS of the pages
+    hot = known.where(F.col("pages") * HOT_KEYS > total).select(*key, "wrapper")
+    mild = known.where(F.col("pages") * HOT_KEYS <= total).select(*key, "wrapper")
+    parts = rows.join(F.broadcast(hot), key, "left")
     if not mild.isEmpty():
-        names = bounded(mild.select("host"))
+        names = bounded(mild.select(*key))
         parts = (
-            rows.join(names, "host", "left_anti")
-            .join(F.broadcast(hot), "host", "left")
-            .unionByName(rows.join(mild, "host"))
+            rows.join(names, key, "left_anti")
+            .join(F.broadcast(hot), key, "left")
+            .unionByName(rows.join(mild, key))
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [extract(p, w) for p, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            told = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            said = [remaining(_tree(json.loads(t)), w) for t, w in told]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array([len(s) for s in said], pa.int64())],
                 names=["id", "url", "text", "n_chars"],
             )
 
     kind = dict(pages.dtypes)[page_id]
-    found = parts.select("id", "url", "html", "wrapper").mapInArrow(
+    found = parts.select("id", "url", "tree", "wrapper").mapInArrow(
         run, f"id {kind}, url string, text string, n_chars long"
     )
     return found.withColumnsRenamed({"id": page_id, "url": url})
