@@ -4,8 +4,8 @@ The classifier is trained on notices put together from the names, phrases and se
 `license_terms`, and on statements that use the same words without granting anything. Its features are
 runs of one to three words of those notices; the weights are sparse. A paragraph belongs to the family
 of the highest probability if that reaches a threshold calibrated on notices left out of the training,
-and is unknown otherwise. A family is confirmed when the paragraph holds one of its names or most of one
-of its sentences. Only built-in column functions and the JVM's regression; the model is a bounded table.
+and is unknown otherwise, as is a paragraph that denies its licence. A family is confirmed when the paragraph
+holds most of one of its notices or sentences, or is little more than one of its names and a label. Only built-in column functions and the JVM's regression; the model is a bounded table.
 """
 
 from __future__ import annotations
@@ -122,6 +122,7 @@ def train(spark: SparkSession) -> dict:
     }
     best = every.where("left_out").select("family", _best(_probabilities(F.col("runs"), model), model).alias("b"))
     checks = best.where(F.col("b.family") != UNKNOWN).select("b.chance", (F.col("b.family") == F.col("family")).alias("ok"))
+    model["templates"] = templates(spark)
     model["threshold"] = calibrated([(r["chance"], r["ok"]) for r in checks.collect()])
     rows.unpersist()
     every.unpersist()
@@ -137,25 +138,41 @@ def calibrated(checks: list[tuple[float, bool]], wrong: float = WRONG, least: fl
     return 1.0
 
 
-def _similarity(runs: Column, family: Column) -> Column:
-    """Largest share of a template's word runs that a paragraph has, over the templates of a family."""
-    templates = {
-        f: [s for s in [*names, *terms.SENTENCES.get(f, [])]] for f, names in terms.NAMES.items()
-    }
-    listed = F.from_json(F.lit(json.dumps(templates)), "map<string,array<string>>")
-    shares = F.transform(
-        listed[family],
-        lambda t: let(runs_of(words_of(t)), lambda r: F.size(F.array_intersect(r, runs)) / F.size(r)),
-    )
-    return F.coalesce(F.array_max(shares), F.lit(0.0))
+def _similarity(runs: Column, family: Column, model: dict) -> Column:
+    """Largest share of a template's word runs that a paragraph has, over the templates of a family.
+
+    Templates are whole notices and sentences. A bare name, labelled or not, is one only of paragraphs that say little else: its
+    share counts as far as its runs are a third of the paragraph's.
+    """
+    listed = F.from_json(F.lit(json.dumps(model["templates"])), "map<string,array<struct<bare:boolean,runs:array<string>>>>")
+
+    def share(t: Column) -> Column:
+        held = F.size(F.array_intersect(t["runs"], runs)) / F.size(t["runs"])
+        return F.when(t["bare"], held * F.least(F.lit(1.0), F.size(t["runs"]) * 3 / F.size(runs))).otherwise(held)
+
+    return F.coalesce(F.array_max(F.transform(listed[family], share)), F.lit(0.0))
+
+
+def templates(spark: SparkSession) -> dict[str, list[dict]]:
+    """family -> its templates: whether a bare name, and the runs."""
+    given = [
+        {"family": f, "bare": phrase in terms.LABELS, "text": phrase.format(name)}
+        for f, names in terms.NAMES.items() for name in names for phrase in terms.NOTICES
+    ]
+    given += [{"family": f, "bare": False, "text": s} for f, some in terms.SENTENCES.items() for s in some]
+    rows = _table(spark, given, "family string, bare boolean, text string")
+    out: dict[str, list[dict]] = {}
+    for r in rows.select("family", "bare", runs_of(words_of(F.col("text"))).alias("runs")).collect():
+        out.setdefault(r["family"], []).append({"bare": r["bare"], "runs": sorted(r["runs"])})
+    return out
 
 
 def _judged(text: Column, model: dict) -> Column:
     """(predicted, probability, similarity, confirmed) of a paragraph's text."""
 
     def of_best(runs: Column, best: Column) -> Column:
-        passed = (best["family"] != UNKNOWN) & (best["chance"] >= model["threshold"])
-        like = F.when(passed, _similarity(runs, best["family"])).otherwise(0.0)
+        passed = (best["family"] != UNKNOWN) & (best["chance"] >= model["threshold"]) & ~text.rlike(terms.DENIAL)
+        like = F.when(passed, _similarity(runs, best["family"], model)).otherwise(0.0)
         return let(
             like,
             lambda s: F.struct(

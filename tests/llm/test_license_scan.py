@@ -1,5 +1,8 @@
 """Licence families, unknown statements and odd rows."""
 
+import math
+import re
+
 import pytest
 
 from cinderleaf.llm.license_scan import UNKNOWN, calibrated, notices, scan_licenses, train
@@ -42,6 +45,55 @@ def test_families(spark, model):
         assert row is None or (row["family"] == UNKNOWN and not row["confirmed"]), rows[i]
 
 
+def test_denied_and_other_licences_are_unknown(spark, model):
+    said = [
+        "This program is not licensed under the MIT License.", "Copyright MIT, license pending.",
+        "Licensed under the Eclipse Public License 2.0.", "The code is no longer released under the Apache License 2.0.",
+        "She wrote about the MIT License and the BSD 2-Clause License in her long essay on the history of free software.",
+        "License: to be determined, maybe GPLv3.",
+    ]
+    got = scanned(spark, model, list(enumerate(said)))
+    assert [(r["doc_id"], r["family"]) for r in got if r["family"] != UNKNOWN] == []
+
+
+def test_clauses(spark, model):
+    said = {
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": {"BSD-2-Clause", "BSD-3-Clause"},
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE": {"MIT"},
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce": {"Apache-2.0"},
+        "The MIT License (MIT)": {"MIT"}, "# MIT License": {"MIT"}, "Apache License, Version 2.0": {"Apache-2.0"},
+    }
+    got = {r["doc_id"]: r["family"] for r in scanned(spark, model, list(enumerate(said)))}
+    assert [(t, got.get(i)) for i, (t, f) in enumerate(said.items()) if got.get(i) not in f] == []
+
+
+def plain_runs(text):
+    words = re.sub(r"(?<![0-9])\.|\.(?![0-9])", " ", re.sub(r"[^a-z0-9.]+", " ", text.lower())).split()
+    return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+
+
+def test_scores_equal_a_plain_restatement(spark, model):
+    """Probabilities and similarities of many paragraphs, by hand from the model's weights and templates."""
+    said = [t for _, t in notices()][::7] + list(GRANTS) + OTHERS
+    got = {r["doc_id"]: r for r in scanned(spark, model, list(enumerate(said)))}
+    assert len(got) > 100
+    for i, row in got.items():
+        runs = plain_runs(said[i])
+        logits = list(model["intercepts"])
+        for run in runs & set(model["weights"]):
+            logits = [a + b for a, b in zip(logits, model["weights"][run])]
+        powers = [math.exp(v - max(logits)) for v in logits]
+        best = max(range(len(powers)), key=powers.__getitem__)
+        assert abs(row["probability"] - powers[best] / sum(powers)) < 1e-6, said[i]
+        family = model["classes"][best]
+        passed = family != UNKNOWN and row["probability"] >= model["threshold"] and row["predicted"] != UNKNOWN
+        like = 0.0
+        for t in model["templates"][family] if passed else ():
+            share = len(runs & set(t["runs"])) / len(t["runs"])
+            like = max(like, share * min(1.0, 3 * len(t["runs"]) / len(runs)) if t["bare"] else share)
+        assert abs(row["similarity"] - like) < 1e-9, said[i]
+
+
 def test_odd_rows(spark, model):
     grant = next(iter(GRANTS))
     rows = [(1, None), (2, ""), (3, "no such words"), (None, grant), (4, grant), (4, grant), (5, "word " * 50_000 + grant)]
