@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderleaf.llm import wordhash
-from cinderleaf.llm.common import remainder, whole
+from cinderleaf.llm.common import free_name, remainder, whole
 from cinderleaf.session import checkpoint
 
 # Texts of a language and segments of all texts that the fit may use, and words of a segment.
@@ -251,7 +251,10 @@ def training_segments(docs: DataFrame, languages: list[str], texts: int, segment
 
 
 def train(docs: DataFrame, texts: int = TEXTS, segments: int = SEGMENTS) -> Model:
-    """A model fitted to `docs` (id, text, lang)."""
+    """A model fitted to `docs` (id, text, lang).
+
+    Every language that is a label has 2**18 weights; labels are meant to be few, as names of languages are.
+    """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
     languages = [r[0] for r in known.select("lang").distinct().orderBy("lang").collect()]
     model = Model(languages)
@@ -343,8 +346,10 @@ def keep_identified(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id",
 
     Rows without a letter go. Short clean texts can be of even shares, so `least` is 0 unless asked for.
     Rows that repeat an id go together when one of them goes; rows with a null id share one verdict likewise.
+    Null and empty texts go. Columns of any name are allowed; an empty table gives an empty result.
     """
     found = identify(docs, id_col, **options)
     gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
-    gone = checkpoint(gone.select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    name = free_name(docs)
+    gone = checkpoint(gone.select(F.col(id_col).alias(name)).distinct())
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderleaf.functions.text import let
-from cinderleaf.llm.common import whole
+from cinderleaf.llm.common import free_name, whole
 from cinderleaf.session import checkpoint
 
 # Words of a window, and how many of them must be words rather than placeholders.
@@ -263,6 +263,12 @@ def find_items(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item, all columns unchanged."""
-    found = find_items(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_held")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_held")), "left_anti")
+    """The rows of `docs` that hold no benchmark item, all columns unchanged.
+
+    Null and empty texts hold none and stay. Rows that repeat an id go together when one of them holds an item;
+    rows with a null id likewise. Columns of any name are allowed; an empty table gives an empty result, an empty
+    benchmark leaves all rows.
+    """
+    name = free_name(docs)
+    found = find_items(docs, benchmark, id_col, **options).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

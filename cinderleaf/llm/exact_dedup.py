@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderleaf.llm.common import WHITE, attach, shuffle_partitions, whole
+from cinderleaf.llm.common import WHITE, attach, free_name, shuffle_partitions, whole
 from cinderleaf.session import checkpoint
 
 FAN = 4
@@ -124,15 +124,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fa
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fan: int = FAN) -> DataFrame:
     """The rows of `docs` that stay, one per text, all columns unchanged.
 
-    Of rows that repeat both id and text one stays.
+    Of rows that repeat both id and text one stays. A null text counts as empty, a null id as larger than any
+    other. Columns of any name are allowed; an empty table gives an empty result.
     """
     tagged = checkpoint(digests(docs, id_col, text))
+    digest, own = free_name(docs, "digest"), free_name(docs, "own")
     keepers = merge_tree(tagged, fan).select(
-        F.hex("digest").alias("_digest"), F.coalesce("keep_id", F.lit(NO_ID)).alias("_id")
+        F.hex("digest").alias(digest), F.coalesce("keep_id", F.lit(NO_ID)).alias(own)
     )
     plain = F.regexp_replace(whole(text), WHITE, " ")
     keyed = docs.withColumns(
-        {"_digest": F.upper(F.sha2(plain, 256)), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))}
+        {digest: F.upper(F.sha2(plain, 256)), own: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))}
     )
-    kept = keyed.join(keepers, ["_digest", "_id"], "left_semi")
-    return kept.dropDuplicates(["_digest", "_id"]).select(*docs.columns)
+    kept = keyed.join(keepers, [digest, own], "left_semi")
+    return kept.dropDuplicates([digest, own]).select(*docs.columns)

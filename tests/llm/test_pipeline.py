@@ -69,3 +69,22 @@ def test_run(spark, sf, staged):
     assert sum(r["length"] for r in got.collect()) == sum(r["length"] for r in staged["pack"])
     assert set(key) <= set(got.columns)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "decontaminate", "pack"]
+
+
+def test_columns_of_any_name_pass_the_stages(spark):
+    from cinderleaf.llm import crf_language, decontaminate, exact_dedup, near_dedup
+
+    text = " ".join(f"word{k} of a text" for k in range(30))
+    names = ["digest", "own", "key", "KEY_", "_digest", "_id", "_gone", "_held"]
+    rows = [(i, text if i < 3 else f"other words {i} altogether", "en", *(f"{n}{i}" for n in names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    benchmark = spark.createDataFrame([(1, "nothing that any text holds at all, not one word")], "item_id long, text string")
+    for kept in (
+        exact_dedup.drop_exact(docs),
+        near_dedup.drop_near(docs),
+        decontaminate.decontaminate(docs, benchmark),
+        crf_language.keep_identified(docs),
+    ):
+        assert kept.columns == docs.columns
+        assert {tuple(r) for r in kept.collect()} <= set(rows)
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact(docs).collect()) == [0, 3, 4, 5]
