@@ -366,7 +366,7 @@ SELECT page_id, reason = '' AS ok, reason FROM r""",
 )
 def screen_upload(spark, sf):
     out = view(spark, sf, "files").select(
-        "page_id", screen.screen_upload(F.col("filename"), F.col("size") * 40000).alias("s")
+        "page_id", screen.screen_upload(F.col("filename"), F.col("size").cast("long") * 40000).alias("s")
     )
     return out.select("page_id", "s.ok", "s.reason")
 
