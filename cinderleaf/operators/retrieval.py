@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderleaf.fixed import templates as text_rules
+from cinderleaf.functions.subsequence import common_characters, common_subsequences
 from cinderleaf.functions.template import render
 from cinderleaf.functions.text import strip, words
 from cinderleaf.operators.lookup import contains_join
@@ -258,16 +259,20 @@ def keyword_retrieve(
 
 @F.pandas_udf(T.DoubleType())
 def _sequence_ratio(new: pd.Series, old: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio where its cheap upper bounds leave a chance above the shown limit."""
+    """Ratcliff-Obershelp ratio where its upper bounds leave a chance above the shown limit.
 
-    def ratio(a: str, b: str) -> float | None:
-        matcher = difflib.SequenceMatcher(None, a, b)
-        if matcher.real_quick_ratio() <= SIMILAR_SHOWN or matcher.quick_ratio() <= SIMILAR_SHOWN:
-            return None
-        value = matcher.ratio()
-        return value if value > SIMILAR_SHOWN else None
-
-    return pd.Series([ratio(a, b) for a, b in zip(new, old)], dtype="float64")
+    The matching blocks are a common subsequence and share its characters: both bound them from above.
+    """
+    a, left = pd.factorize(new)
+    b, right = pd.factorize(old)
+    size = np.array([len(x) for x in left])[a] + np.array([len(x) for x in right])[b]
+    out = np.full(len(new), np.nan)
+    some = np.flatnonzero(2.0 * common_characters(left, right, a, b) / size > SIMILAR_SHOWN)
+    some = some[2.0 * common_subsequences(left, right, a[some], b[some]) / size[some] > SIMILAR_SHOWN]
+    for i in some:
+        value = difflib.SequenceMatcher(None, left[a[i]], right[b[i]]).ratio()
+        out[i] = value if value > SIMILAR_SHOWN else np.nan
+    return pd.Series([None if np.isnan(x) else x for x in out], dtype="float64")
 
 
 def _length_band(text: Column) -> Column:
@@ -292,7 +297,9 @@ def similar_prompt(
     rest = asked.join(equal.select(new_id), new_id, "left_anti")
     size_new, size_old = F.length("_new"), F.length("_old")
     near = 2 * F.least(size_new, size_old) > SIMILAR_SHOWN * (size_new + size_old)
-    old = stored.withColumn("_band", _length_band(F.col("_old")))
+    # comparing costs far more than moving: the stored prompts are dealt out, however few bytes they have
+    tasks = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    old = stored.repartition(tasks).withColumn("_band", _length_band(F.col("_old")))
     band = _length_band(F.col("_new"))
     spread = rest.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
     # the new prompts are the small side; a large set takes the shuffle join on the bands

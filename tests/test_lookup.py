@@ -158,3 +158,47 @@ def test_a_text_becomes_rows_only_for_candidates(spark):
     assert sizes[1] >= 3 and sizes[0] < 20 and sizes[2] == sizes[3] == 0
     n = spark.createDataFrame([(7, needle), (8, needle), (9, "not there at all")], "j long, needle string")
     assert sorted(tuple(r) for r in contains_join(t, "text", n, "needle").select("i", "j").collect()) == [(1, 7), (1, 8)]
+
+
+def test_prompts_unlike_by_their_common_subsequence_are_not_compared(monkeypatch):
+    """Before, every pair that shares its letters in some order was worked out by difflib."""
+    import difflib
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    new = ["".join(rng.choices("abcdefghij ", k=150)) for _ in range(12)]
+    old = ["".join(rng.choices("abcdefghij ", k=rng.randint(120, 260))) for _ in range(40)] + [n[3:] + "xy" for n in new]
+    pairs = [(a, b) for a in new for b in old]
+    whole = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    asked = []
+    matcher = difflib.SequenceMatcher
+    monkeypatch.setattr(difflib, "SequenceMatcher", lambda *a: asked.append(a) or matcher(*a))
+    got = retrieval._sequence_ratio.func(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]))
+    assert [None if pd.isna(x) else x for x in got] == [x if x > 0.6 else None for x in whole]
+    assert 12 <= len(asked) < 0.2 * len(pairs)
+
+
+def test_common_subsequences_equal_the_table(monkeypatch):
+    import numpy as np
+
+    from cinderleaf.functions import subsequence
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    rng = random.Random(3)
+    sizes = [0, 1, 5, 63, 64, 65, 130, 200]
+    left = ["".join(rng.choices("abcdé 漢", k=n)) for n in sizes] + ["a" * 128]
+    right = ["".join(rng.choices("abcdxyz 漢", k=n)) for n in sizes] + ["a" * 70]
+    a, b = map(np.array, zip(*[(i, j) for i in range(9) for j in range(9)]))
+    for cells in (1 << 22, 300):
+        monkeypatch.setattr(subsequence, "CELLS", cells)
+        got = subsequence.common_subsequences(left, right, a, b)
+        assert got.tolist() == [length(left[i], right[j]) for i, j in zip(a, b)]
+        assert (subsequence.common_characters(left, right, a, b) >= got).all()
