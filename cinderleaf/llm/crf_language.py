@@ -32,6 +32,8 @@ FEATURES = 1 << 18
 PASSES, RATE, DECAY = 3, 0.4, 1e-6
 # Words that are multiplied out together before their chunk is placed in its text.
 CHUNK = 48
+# Bytes of text that a worker looks at together; what it holds per byte is many times as much.
+SLICE = 1 << 18
 UNKNOWN = "und"
 PREDICTED = "id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long, shares array<double>"
 
@@ -271,7 +273,7 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
         model = sent.value
         k = len(model.languages)
         for batch in batches:
-            for a, b in wordhash.slices(batch.column(2)):
+            for a, b in wordhash.slices(batch.column(2), SLICE):
                 data, offsets = wordhash.text_bytes(batch.column(2).slice(a, b - a))
                 hashes, first, starts, stops = wordhash.word_hashes(data, offsets)
                 owners = np.repeat(np.arange(b - a), np.diff(first))

@@ -92,3 +92,34 @@ def test_rows_without_a_language_go(spark):
     kept = keep_identified(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*range(60), 7])
+
+
+def test_memory_of_a_worker_is_bounded_by_the_slice():
+    """2 MB of text at a time took over 200 MB; many short texts and distinct words are the worst."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Rows:
+        def __init__(self):
+            self.sparkSession = self.sparkContext = self
+
+        def broadcast(self, value):
+            self.value = value
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    model = crf_language.Model(["de", "en", "es", "fr"])
+    chance = np.random.default_rng(0)
+    texts = [" ".join(f"w{x:x}" for x in chance.integers(0, 1 << 40, 12)) for _ in range(15_000)]
+    names = ["id", "held_out", "text", "letters"]
+    cells = [pa.array(range(15_000)), pa.array([False] * 15_000), pa.array(texts), pa.array([True] * 15_000)]
+    run = crf_language.predict(Rows(), model)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([pa.RecordBatch.from_arrays(cells, names=names)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 15_000 and peak < 150e6
