@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderleaf.fixed import place_rules as rules
-from cinderleaf.session import bounded, checkpoint, fixed_table
+from cinderleaf.session import bounded, checkpoint, fits_broadcast, fixed_table
 
 
 def district_edges(spark: SparkSession) -> DataFrame:
@@ -162,7 +162,16 @@ def route_cautions(routes: DataFrame, route_id: str, places: DataFrame, alerts:
         F.coalesce(hazard, F.lit("Wildlife caution")).alias("_hazard"),
         F.coalesce(rain, F.lit("Rain caution")).alias("_rain"),
     )
-    near = stops.join(spots, "district")
+    spots = spots.where("safety_level IN ('Dangerous', 'Moderate')")
+    # districts are few, so none may be a task's whole work: the spots stay where they are, or are dealt into cells
+    stops = checkpoint(stops)
+    if fits_broadcast(stops):
+        near = spots.join(F.broadcast(stops), "district")
+    else:
+        cells = int(routes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = spots.withColumn("_cell", F.pmod(F.xxhash64("ord", "name"), F.lit(cells)))
+        copied = stops.withColumn("_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+        near = dealt.join(copied, ["district", "_cell"])
     danger = F.col("safety_level") == "Dangerous"
     early = (F.col("safety_level") == "Moderate") & ~F.col("seen")
     early = early & (F.col("first_danger").isNull() | (F.col("ord") < F.col("first_danger")))

@@ -49,3 +49,23 @@ def test_page_and_tail_sort_only_what_they_return(spark, sf):
     log = view(spark, sf, "audit")
     assert "TakeOrderedAndProject" in physical(audit.audit_page(log, "event_id", 2))
     assert "TakeOrderedAndProject" in physical(audit.log_tail(log, "event_id").select(F.col("event_id")))
+
+
+def test_cautions_of_a_district_are_not_one_task(spark, monkeypatch):
+    """All spots lie in one district; before, one task joined them with all stops there."""
+    from cinderleaf.operators import routes
+
+    paths = spark.createDataFrame([(f"r{i}", ["kandy", "galle"]) for i in range(30)], "route string, path array<string>")
+    spots = spark.range(2000).selectExpr(
+        "'kandy' AS district_id", "id AS ord", "concat('s', id) AS name",
+        "CASE id % 3 WHEN 0 THEN 'Dangerous' WHEN 1 THEN 'Moderate' ELSE 'Safe' END AS safety_level",
+    ).repartition(4)
+    alerts = spark.createDataFrame([], "district string, ord long, level string, hazard string, bulletin string")
+    found = []
+    for fits in (True, False):
+        monkeypatch.setattr(routes, "fits_broadcast", lambda df, fits=fits: fits)
+        out = routes.route_cautions(paths, "route", spots, alerts).where("stage = 0")
+        tasks = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert not fits or max(tasks) < 0.5 * sum(tasks)  # small shuffle partitions are put together again
+        found.append(sorted(tuple(r) for r in out.collect()))
+    assert found[0] == found[1] and len(found[0]) == 30 * 667
