@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,45 +19,70 @@ from cinderleaf.functions.text import strip, words
 from cinderleaf.operators.lookup import contains_join
 from cinderleaf.session import bounded, checkpoint, fits_broadcast
 
-QUERY_BATCH = 4096
+# Queries that a part of a block has, and that are scored together.
+QUERY_BATCH, ASK_SLICE = 4096, 512
 # Documents a block holds about, pivots, steps an angle of one is cut into, and what rounding may add to an angle.
 DOC_SLICE, PIVOTS, ANGLE_STEPS, SLACK = 4096, 64, 1024, 1e-6
 SIMILAR_SHOWN = 0.60
 SIMILAR_DUPLICATE = 0.65
 
 
-def _packed(rows: DataFrame, by: list[Column], name: str) -> DataFrame:
-    """Rows (id, vec) of every group: the group, name_ids, name_vecs side by side."""
-    listed = F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("_rows")
-    packed = rows.groupBy(*by).agg(listed)
-    return packed.select(
-        *[c for c in packed.columns if c != "_rows"],
-        F.transform("_rows", lambda r: r["id"]).alias(f"{name}_ids"),
-        F.flatten(F.transform("_rows", lambda r: r["vec"])).cast("array<double>").alias(f"{name}_vecs"),
-    )
+def _matrix(vecs: pa.Array) -> np.ndarray:
+    return vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vecs), -1)
+
+
+def _plain(ids: pa.Array) -> np.ndarray:
+    """Ids to compare; a null equals nothing."""
+    if not ids.null_count:
+        return ids.to_numpy(zero_copy_only=False)
+    return np.array([np.nan if v is None else v for v in ids.to_pylist()], object)
 
 
 def _best_of_blocks(k: int, skip_self: bool):
-    """Per pair of a group of queries and a document block: the best `k` documents of every query."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, pair in pdf.iterrows():
-                ids, doc_ids = np.asarray(pair["asks_ids"]), np.asarray(pair["docs_ids"])
-                asks = np.asarray(pair["asks_vecs"], np.float64).reshape(len(ids), -1)
-                docs = np.asarray(pair["docs_vecs"], np.float64).reshape(len(doc_ids), -1)
-                scale = np.outer(np.linalg.norm(asks, axis=1), np.linalg.norm(docs, axis=1))
-                dots = asks @ docs.T
-                scores = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
-                if skip_self:
-                    scores[ids[:, None] == doc_ids[None, :]] = -np.inf
-                every = np.arange(len(ids))
-                for _ in range(min(k, len(doc_ids))):
-                    at = scores.argmax(axis=1)  # the first maximum is the smallest document id
-                    found = scores[every, at]
-                    scores[every, at] = -np.inf
-                    keep = np.isfinite(found)
-                    yield pd.DataFrame({"query_id": ids[keep], "doc_id": doc_ids[at[keep]], "score": found[keep]})
+    """The best `k` documents of every query of rows (block, part, asks, query_id, doc_id, vec).
+
+    The rows of a part come together, its documents by their id and then its queries. A worker holds the
+    documents of one block and scores a few queries at a time.
+    """
+
+    def scored(asks: pa.RecordBatch, docs: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc_ids = pa.concat_arrays([d.column("doc_id") for d in docs])
+        held = np.concatenate([_matrix(d.column("vec")) for d in docs])
+        sizes, plain = np.linalg.norm(held, axis=1), _plain(doc_ids)
+        for start in range(0, asks.num_rows, ASK_SLICE):
+            some = asks.slice(start, ASK_SLICE)
+            ids, vecs = some.column("query_id"), _matrix(some.column("vec"))
+            scale = np.outer(np.linalg.norm(vecs, axis=1), sizes)
+            dots = vecs @ held.T
+            scores = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
+            if skip_self:
+                scores[_plain(ids)[:, None] == plain[None, :]] = -np.inf
+            every = np.arange(len(ids))
+            for _ in range(min(k, len(doc_ids))):
+                at = scores.argmax(axis=1)  # the first maximum is the smallest document id
+                found = scores[every, at]
+                scores[every, at] = -np.inf
+                keep = np.flatnonzero(np.isfinite(found))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(keep)), doc_ids.take(pa.array(at[keep])), pa.array(found[keep])],
+                    names=["query_id", "doc_id", "score"],
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, docs = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if b == a:
+                    continue
+                part, asks = (keys[0, a], keys[1, a]), keys[2, a]
+                if part != current:
+                    current, docs = part, []
+                if not asks:
+                    docs.append(batch.slice(a, b - a))
+                elif docs:
+                    yield from scored(batch.slice(a, b - a), docs)
 
     return run
 
@@ -124,7 +150,7 @@ class VectorIndex:
         low, high = np.array([r["low"] for r in spans]), np.array([r["high"] for r in spans])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in (b.iloc[i : i + ASK_SLICE // 4] for b in batches for i in range(0, len(b), ASK_SLICE // 4)):
                 angles = _angles(pdf["vec"], centres)[:, cells]
                 gap = np.maximum(np.maximum(angles - high, low - angles), 0)
                 reach = pdf["reach"].to_numpy(np.float64)
@@ -136,13 +162,20 @@ class VectorIndex:
 
     def best(self, visits: DataFrame, k: int, skip_self: bool, group: int) -> DataFrame:
         """(query_id, doc_id, score): the best `k` of every (block, id, vec) visit; queries of a block meet it together."""
-        counts = visits.groupBy("block").agg(F.ceil(F.count("*") / group).alias("groups"))
-        dealt = visits.join(counts, "block").withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups")))
-        asks = _packed(dealt.select("block", "group", "id", "vec"), ["block", "group"], "asks")
-        held = _packed(self.docs.select("block", "id", "vec"), ["block"], "docs")
+        counts = visits.groupBy("block").agg(F.ceil(F.count("*") / group).alias("parts"))
         kinds = dict(visits.dtypes)["id"], dict(self.docs.dtypes)["id"]
-        met = asks.join(held, "block").select("asks_ids", "asks_vecs", "docs_ids", "docs_vecs")
-        return met.mapInPandas(_best_of_blocks(k, skip_self), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+        wide = dict(visits.dtypes)["vec"] != dict(self.docs.dtypes)["vec"]
+        vec = F.col("vec").cast("array<double>").alias("vec") if wide else F.col("vec")
+        asks = visits.join(counts, "block").select(
+            "block", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(True).alias("asks"),
+            F.col("id").alias("query_id"), F.lit(None).cast(kinds[1]).alias("doc_id"), vec,
+        )
+        held = self.docs.select("block", "id", "vec").join(counts, "block").select(
+            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+            F.lit(False).alias("asks"), F.lit(None).cast(kinds[0]).alias("query_id"), F.col("id").alias("doc_id"), vec,
+        )
+        met = held.unionByName(asks).repartition("block", "part").sortWithinPartitions("block", "part", "asks", "doc_id")
+        return met.mapInArrow(_best_of_blocks(k, skip_self), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
 
     def home(self, asks: DataFrame, least: int) -> DataFrame:
         """(block, id, vec): for every query a block near it with at least `least` documents, if there is any."""

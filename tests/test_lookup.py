@@ -202,3 +202,28 @@ def test_common_subsequences_equal_the_table(monkeypatch):
         got = subsequence.common_subsequences(left, right, a, b)
         assert got.tolist() == [length(left[i], right[j]) for i, j in zip(a, b)]
         assert (subsequence.common_characters(left, right, a, b) >= got).all()
+
+
+def test_a_worker_holds_one_block_of_vectors(monkeypatch):
+    """Rows of a pass were pairs of whole blocks, thousands of them in a worker at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+
+    def rows(block, asks):
+        ids = pa.array(range(500), pa.int64())
+        none = pa.nulls(500, pa.int64())
+        vecs = pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=500 * 64)), 64).cast(pa.list_(pa.float64()))
+        cells = [pa.array([block] * 500, pa.int64()), pa.array([0] * 500, pa.int64()), pa.array([asks] * 500)]
+        names = ["block", "part", "asks", "query_id", "doc_id", "vec"]
+        return pa.RecordBatch.from_arrays([*cells, ids if asks else none, none if asks else ids, vecs], names=names)
+
+    tracemalloc.start()
+    stream = (rows(block, asks) for block in range(60) for asks in (False, True, True))
+    found = sum(b.num_rows for b in retrieval._best_of_blocks(3, False)(stream))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 60 * 1000 * 3 and peak < 30e6
