@@ -49,15 +49,36 @@ def _similar(shared: Column, n_a: Column, n_b: Column) -> Column:
     return shared * 5 >= (n_a + n_b - shared) * rules.NEAR_DUPLICATE_FIFTHS
 
 
-def _identity(text: Column) -> Column:
-    """Digest under which texts with the same shingle set by construction fall together."""
-    same = let(
+def _normal(text: Column) -> Column:
+    """What texts with the same shingle set by construction have in common."""
+    return let(
         words(F.lower(text)),
         lambda w: F.when(F.size(w) < rules.SHINGLE_WORDS, F.concat(F.lit("r"), text)).otherwise(
             F.concat(F.lit("w"), F.array_join(w, " "))
         ),
     )
-    return F.sha2(same, 256)
+
+
+def _identity(text: Column) -> Column:
+    """Digest of `_normal`."""
+    return F.sha2(_normal(text), 256)
+
+
+def _partnered(sets: DataFrame) -> DataFrame:
+    """(ord) of all rows of `sets` that can have a similar partner with another `same`; some of the others too.
+
+    Ordered by their hashes alone, the first n - ceil(4n/5) + l shingles of two similar sets share l of them,
+    for any l up to the overlap. With a tenth of the set as l, three tenths of the shingles tell which rows the
+    others need to be counted for. The partner has 4/5 of the row's size at least, so l is that of the smaller one.
+    """
+    n = F.col("n")
+    tenth = lambda size: F.greatest(F.lit(1), F.floor(size / 10))
+    head = F.slice("hashes", F.lit(1), (n - _least_shared(n) + tenth(n)).cast("int"))
+    entries = sets.select("ord", "n", "same", F.explode(head).alias("hash"))
+    holders = Window.partitionBy("hash")
+    met = F.min("same").over(holders) != F.max("same").over(holders)
+    shared = entries.withColumn("met", met).where("met").groupBy("ord", "n", "same").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") >= tenth(_least_shared(n))).select("ord").distinct()
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
@@ -179,14 +200,21 @@ def _clear_crowds(posts: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFra
         width *= 2
 
 
+def _sized(texts: DataFrame, text: str) -> DataFrame:
+    """Every text replaced by its shingles, `hashes`, and their number, `n`."""
+    return with_shingles(texts, text).drop(text).withColumn("n", F.size("hashes"))
+
+
 def near_duplicate_orders(docs: DataFrame, order: str, text: str = "text") -> DataFrame:
     """Orders dropped by the sequential rule: Jaccard >= 0.8 with an earlier kept row."""
     keyed = docs.select(F.col(order).alias("ord"), _identity(F.col(text)).alias("same"))
     keyed = checkpoint(keyed)
     firsts = keyed.groupBy("same").agg(F.min("ord").alias("ord")).select("ord")
     copies = checkpoint(keyed.select("ord").join(firsts, "ord", "left_anti"))
-    sets = with_shingles(docs.select(F.col(order).alias("ord"), text), text).drop(text)
-    sets = checkpoint(sets.join(copies, "ord", "left_anti").withColumn("n", F.size("hashes")))
+    texts = docs.select(F.col(order).alias("ord"), text)
+    told = texts.withColumn("same", F.xxhash64(_normal(F.col(text))))
+    partnered = _partnered(_sized(told, text)).join(copies, "ord", "left_anti")
+    sets = checkpoint(_sized(texts.join(checkpoint(partnered), "ord", "left_semi"), text))
     posts = checkpoint(_prefixes(sets).withColumn("band", F.explode(_bands(F.col("n")))))
     posts, crowd = _clear_crowds(posts, sets)
     edges = checkpoint(_verify(_meet(posts, posts), sets))

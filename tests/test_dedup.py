@@ -60,6 +60,32 @@ def test_crowds_are_resolved_without_pairs(spark, monkeypatch):
     assert run(spark, texts) == sequential(texts)
 
 
+def test_rows_without_partner_are_not_counted_in_full(spark, monkeypatch):
+    rng = random.Random(4)
+    alone = [[f"v{rng.randrange(9000)}" for _ in range(50)] for _ in range(12)]
+    boiler = [f"b{i}" for i in range(12)]
+    texts = [" ".join(words + boiler) for words in alone]
+    texts += [texts[0].replace("b11", "x")]
+    # one set of shingles, but two texts
+    texts += ["p q r s t p q r s t p", "p q r s t p q r s t p q r s t p"]
+    seen = []
+    prefixes = dedup._prefixes
+    monkeypatch.setattr(dedup, "_prefixes", lambda sets: seen.extend(r["ord"] for r in sets.collect()) or prefixes(sets))
+    assert run(spark, texts) == sequential(texts)
+    assert sorted(seen) == [0, 12, 13, 14]
+
+
+def test_sets_at_the_threshold_stay_partners(spark):
+    """Texts of n words and ones cut or changed at their ends, most of them just at or past the threshold."""
+    texts = []
+    for n in (5, 6, 9, 14, 15, 16, 24, 44, 64, 104):
+        words = [f"t{n}x{i}" for i in range(n)]
+        texts.append(" ".join(words))
+        for k in range(1, max(2, n // 3)):
+            texts += [" ".join(words[: n - k]), " ".join(words[k:] + [f"z{n}x{k}"])]
+    assert run(spark, texts) == sequential(texts)
+
+
 def test_chain_keeps_both_ends(spark):
     words = [f"t{i}" for i in range(60)]
     a = words
