@@ -15,6 +15,10 @@ from cinderleaf.operators.ordered import (
     lag_in,
     over_chunks,
 )
+from cinderleaf.session import checkpoint, fits_broadcast
+
+# Clips whose sizes are sent to all executors, two numbers each; the samples of more clips are shuffled.
+CLIPS = 1 << 22
 
 
 def with_intent(prompts: DataFrame, text: str, assistant: str = "assistant") -> DataFrame:
@@ -153,13 +157,18 @@ def pad_batches(
 
 
 def amplitude_points(
-    samples: DataFrame, clip: str, index: str, value: str, points: int = 40, mode: str = "point"
+    samples: DataFrame, clip: str, index: str, value: str, points: int = 40, mode: str = "point", clips: int = CLIPS
 ) -> DataFrame:
-    """(clip, pos, amplitude): `points` samples per clip, or boosted bin means in mean mode."""
+    """(clip, pos, amplitude): `points` samples per clip, or boosted bin means in mean mode.
+
+    The sizes of up to `clips` clips are broadcast, so that no sample leaves its task unless it is shown or summed;
+    with more clips all samples are shuffled to their clip's size. Neither way sorts them.
+    """
     sizes = samples.groupBy(clip).agg(F.count("*").alias("_n"))
     width = F.greatest(F.lit(1), F.floor(F.col("_n") / points))
-    steps = sizes.select(clip, width.alias("_step"))
-    joined = samples.join(steps, clip).withColumn("pos", F.floor(F.col(index) / F.col("_step")))
+    steps = checkpoint(sizes.select(clip, width.alias("_step")))
+    held = steps.hint("broadcast" if fits_broadcast(steps, clips) else "shuffle_hash")
+    joined = samples.join(held, clip).withColumn("pos", F.floor(F.col(index) / F.col("_step")))
     near = joined.where(F.col("pos") < points)
     if mode == "mean":
         kept = near.groupBy(clip, "pos").agg(F.avg(F.abs(F.col(value))).alias("_a"))
