@@ -35,6 +35,8 @@ BANDS = VALUES // BAND
 SIMILAR = 75
 # Nodes of a block, and spokes that share a copy of their hub's set.
 BLOCK, MEET = 256, 64
+# Bytes of text that a worker hashes together; it holds some sixty times as many.
+HASHED = 256 << 10
 # Shingles whose places in a cell's sets are counted together.
 COLUMNS = 4096
 SIGNED = "id long, check long, n long, low long, high long, bands array<long>"
@@ -64,7 +66,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, check, text) to SIGNED rows; `low` and `high` are a digest of the set."""
     for batch in batches:
         texts = batch.column(2)
-        for a, b in wordhash.slices(texts):
+        for a, b in wordhash.slices(texts, HASHED):
             hashes, first = wordhash.shingle_sets(*wordhash.text_bytes(texts.slice(a, b - a)))
             counts = np.diff(first)
             some = np.flatnonzero(counts)
@@ -105,7 +107,7 @@ def _sets(sizes: list[int], packed: list[bytes]) -> list[np.ndarray]:
     """The sorted shingle hashes of compressed texts."""
     texts = [pa.decompress(p, decompressed_size=n, codec="zstd", asbytes=True) for n, p in zip(sizes, packed, strict=True)]
     out, at = [], pa.array(texts, pa.large_binary())
-    for a, b in wordhash.slices(at):
+    for a, b in wordhash.slices(at, HASHED):
         hashes, first = wordhash.shingle_sets(*wordhash.text_bytes(at.slice(a, b - a)))
         out += [hashes[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
     return out
