@@ -1,253 +1,371 @@
 """Scores texts with a probabilistic suffix tree over words, learned from the corpus.
 
 The symbols are the words of the training texts in lower case, one end per text, and one symbol for all
-other words. A context of up to DEPTH words is a state of the tree when it makes up a given share of the
-training tokens and what follows it diverges enough from what follows its longest suffix. A state keeps
-the successors that make up a share of their own, discounted; the rest of its probability goes to its
-suffix's distribution. The empty context discounts every word and gives the rest to the unknown symbol,
-so each distribution adds up to one. A token is scored by the longest suffix state before it.
-
-Counting covers all training texts and is combined in every task before the shuffle. The shares bound
-the states and successors whatever the corpus, so the tree goes to all executors. Word counts are as
-many as the corpus has words: the most frequent ones, a bounded number, go along with the tree, the
-others are joined with the words of the texts.
+other words. A context of up to DEPTH words is a state of the tree when it occurs LEAST_COUNT times and
+what follows it diverges enough from what follows its longest suffix, or when it is the suffix of a state.
+A state keeps the successors that it has twice or more, discounted; the rest of its probability goes to
+its suffix's distribution. The empty context discounts every word and gives the rest to the unknown
+symbol, so each distribution adds up to one. A token is scored by the longest suffix state before it.
+
+Counting covers all training texts, level by level: a context is counted only where the words that make
+it up were seen often enough, which a filter of bits tells; what the filter lets through wrongly is
+dropped by a join. The tree is a table that grows with the corpus. A token's log chance is a sum over
+its states: of what the state leaves to its suffix, or of what the state's own successor adds. So a text
+asks for keys and adds up their values. The most frequent keys, a bounded number, go to all executors;
+every other one is joined with the keys that the texts ask for. Word counts are split in the same way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderleaf.llm import wordhash
-from cinderleaf.llm.common import remainder, whole
-from cinderleaf.session import checkpoint
+from cinderleaf.llm.common import attach, remainder, whole
+from cinderleaf.session import written
 
 DEPTH = 2
-# Share of the training tokens that makes a context a candidate, and a successor of it worth keeping;
-# occurrences and nats of divergence that make the candidate a state.
-LEAST_SHARE, LEAST_FOLLOWER, LEAST_COUNT, DIVERGENCE = 1e-4, 1e-6, 16, 0.01
-# Words whose counts are sent to all executors.
-FREQUENT = 1 << 19
-# Distinct keys a task holds before it hands its counts on.
-HELD = 2_000_000
-# Numbers of symbols within contexts: words too rare for one, and the end of a text.
-RARE, END = 0, 1
-BITS = 16
-SCORED = (
-    "id long, held_out boolean, n_tokens long, known long, logs double, chances double, shift double, "
-    "rare array<long>, times array<long>"
+# Occurrences and nats of divergence that make a context a state; occurrences that keep a successor.
+LEAST_COUNT, DIVERGENCE, LEAST_FOLLOWER = 16, 0.01, 2
+# What is taken from every kept successor of a state.
+DISCOUNT = 0.75
+# Words whose counts are sent to all executors, and for each of them keys of the tree.
+FREQUENT, KEYS_A_WORD = 1 << 19, 1
+# Distinct keys a task holds before it hands its counts on, and how many at once; bytes of text it looks at.
+HELD, HANDED, SLICE = 1 << 20, 1 << 16, 512 << 10
+# The end of a text as a symbol; words with a number come after it, the others are negative.
+END, FIRST = 1, 2
+SIGN = np.uint64(1 << 63)
+# A filter has 16 bits a key, up to 2 ** SIEVE_BITS, and is filled in so many slices.
+SIEVE_BITS, SLICES = 26, 16
+STEP = np.uint64(wordhash.BASE)
+ASKED = (
+    "row long, key long, times long, id long, held_out boolean, n_tokens long, known long, logs double, chances double"
 )
 
+Columns = list[np.ndarray]
 
-def _combined(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(every, kind="stable")
-    every, n = every[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    return every[first], np.add.reduceat(n, first)
+
+def _combined(columns: Columns, counts: np.ndarray) -> tuple[Columns, np.ndarray]:
+    """The distinct rows of the columns and the sums of their counts; a row may be told twice."""
+    key = columns[0].view(np.uint64)
+    for column in columns[1:]:  # rows whose sums agree by chance may interleave
+        key = key * STEP + column.view(np.uint64)
+    order = np.argsort(key)
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.add.reduceat(counts[order], first)
 
 
 class Counter:
-    """Counts 64-bit keys in bounded memory; hands over (key, n) batches that may repeat a key."""
-
-    def __init__(self):
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-
-    def _told(self) -> pa.RecordBatch:
-        keys, counts = _combined(self.keys, self.counts)
-        self.keys, self.counts = [], []
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
-
-    def add(self, some: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found, n = np.unique(some, return_counts=True)
-        self.keys.append(found)
-        self.counts.append(n.astype(np.int64))
-        if sum(map(len, self.keys)) > HELD:
-            keys, counts = _combined(self.keys, self.counts)
-            self.keys, self.counts = [keys], [counts]
-            if len(keys) > HELD // 2:
-                yield self._told()
+    """Counts rows of 64-bit values in bounded memory; hands over batches that may repeat a row."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.held: list[tuple[Columns, np.ndarray]] = []
+
+    def _merge(self) -> None:
+        columns = [np.concatenate(c) for c in zip(*(h[0] for h in self.held), strict=True)]
+        self.held = [_combined(columns, np.concatenate([h[1] for h in self.held]))]
+
+    def _told(self) -> Iterator[pa.RecordBatch]:
+        columns, counts = self.held.pop()
+        for a in range(0, len(counts), HANDED):
+            arrays = [pa.array(c[a : a + HANDED].view(np.int64)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts[a : a + HANDED])], names=[*self.names, "n"])
+
+    def add(self, columns: Columns) -> Iterator[pa.RecordBatch]:
+        if not len(columns[0]):
+            return
+        self.held.append(_combined(columns, np.ones(len(columns[0]), np.int64)))
+        if sum(len(h[1]) for h in self.held) > HELD:
+            self._merge()
+            if len(self.held[0][1]) > HELD // 2:
+                yield from self._told()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.keys:
-            yield self._told()
+        if self.held:
+            self._merge()
+            yield from self._told()
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to (key, n): the hashes of the words."""
-    counter = Counter()
+    counter = Counter(["key"])
     for batch in batches:
-        for a, b in wordhash.slices(batch.column(0)):
-            words = wordhash.word_hashes(*wordhash.text_bytes(batch.column(0).slice(a, b - a)))[0]
-            if len(words):
-                yield from counter.add(words)
+        for a, b in wordhash.slices(batch.column(0), SLICE):
+            yield from counter.add([wordhash.word_hashes(*wordhash.text_bytes(batch.column(0).slice(a, b - a)))[0]])
     yield from counter.rest()
 
 
-def streams(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Lookup:
+    """Finds 64-bit hashes among sorted ones from where their leading bits begin."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        leading = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.starts = np.append(np.searchsorted(keys, leading), len(keys)).astype(np.int32)
+        self.keys = np.append(keys, np.uint64(wordhash.MASK))
+        self.steps = int(np.diff(self.starts).max()) - 1
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of every hash, whether it is there)."""
+        group = asked >> self.shift
+        at, end = self.starts[group], self.starts[group + np.uint64(1)]
+        last = end - 1
+        for _ in range(self.steps):
+            at = at + ((at < last) & (self.keys[at] < asked))
+        return at, (at < end) & (self.keys[at] == asked)
+
+
+def symbols_of(hashes: np.ndarray, known: Lookup, numbers: np.ndarray) -> np.ndarray:
+    """The symbol of every word: its number, or its hash as a negative value."""
+    at, there = known.find(hashes)
+    out = (hashes | SIGN).view(np.int64)
+    out[there] = numbers[at[there]]
+    return out
+
+
+def streams(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all texts: an end, the words, an end; first symbol of each text)."""
     n_docs = len(first) - 1
     begin = first + 2 * np.arange(n_docs + 1)
     out = np.full(begin[-1], END, np.int64)
     owners = np.repeat(np.arange(n_docs), np.diff(first))
-    out[np.arange(len(numbers)) + 2 * owners + 1] = numbers
+    out[np.arange(len(symbols)) + 2 * owners + 1] = symbols
     return out, begin
 
 
-def context_codes(stream: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
-    """Per depth from 1 on: the code of the context in front of every symbol, 0 where there is none.
+def _mixed(values: np.ndarray) -> np.ndarray:
+    return wordhash.mix(np.ascontiguousarray(values).view(np.uint64))
+
+
+def _sum(level: int, code: np.ndarray) -> np.ndarray:
+    """A context's polynomial over its mixed symbols, the latest lowest."""
+    return _mixed(code) if level == 1 else code.view(np.uint64)
+
+
+def context_codes(stream: np.ndarray, begin: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per level from 1 on: (code of the context in front of every symbol, whether there is one).
 
-    A code is the numbers of its words, the latest lowest. A context never holds a rare word and never
-    reaches back beyond the end in front of its text.
+    A code is the symbol for one word and the polynomial for more. A context never reaches back beyond
+    the end in front of its text.
     """
     place = np.arange(len(stream)) - np.repeat(begin[:-1], np.diff(begin))
-    codes, code = [], np.zeros(len(stream), np.int64)
-    whole_so_far = np.ones(len(stream), bool)
-    for d in range(1, DEPTH + 1):
-        word = np.zeros(len(stream), np.int64)
-        word[d:] = stream[:-d]
-        whole_so_far = whole_so_far & (place >= d) & (word != RARE)
-        code = np.where(whole_so_far, code | (word << (BITS * (d - 1))), 0)
-        codes.append(code)
-    return codes
-
-
-def context_counts(
-    training: DataFrame, keys: np.ndarray, numbers: np.ndarray, tokens: int, least_share: float, least_follower: float
-) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """((depth, context, total) of the candidates, (depth, context, next, n) of their kept successors)."""
-    sent = training.sparkSession.sparkContext.broadcast((keys, numbers))
-
-    def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, named = sent.value
-        counter = Counter()
+    mixed, total, power = _mixed(stream), np.zeros(len(stream), np.uint64), np.uint64(1)
+    for level in range(1, depth + 1):
+        total[level:] += mixed[:-level] * power
+        power = power * STEP
+        if level == 1:
+            code = np.zeros(len(stream), np.int64)
+            code[1:] = stream[:-1]
+        else:
+            code = total.view(np.int64).copy()
+        yield code, place >= level
+
+
+def tree_keys(level: int, code: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """The keys of states or, with the symbols after them, of their successors."""
+    own = _sum(level, code) * np.uint64(wordhash.PLACES[1]) + np.uint64(level)
+    if after is not None:
+        own = own + _mixed(after) * np.uint64(wordhash.PLACES[2])
+    return wordhash.mix(own)
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """Bits that are set where a `key` begins with them; a key whose bit is not set is not in the table."""
+    size = min(SIEVE_BITS, max(12, (16 * keys.count()).bit_length()))
+    each = 1 << (size - SLICES.bit_length() + 1)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
         for batch in batches:
-            for a, b in wordhash.slices(batch.column(0)):
-                data, offsets = wordhash.text_bytes(batch.column(0).slice(a, b - a))
-                hashes, first, _, _ = wordhash.word_hashes(data, offsets)
-                stream, begin = streams(number_of(hashes, known, named), first)
-                codes = context_codes(stream, begin)
-                longest = codes[0]
-                for code in codes[1:]:
-                    longest = np.where(code > 0, code, longest)
-                some = longest > 0
-                if some.any():
-                    yield from counter.add(((longest[some] << BITS) | stream[some]).view(np.uint64))
-        yield from counter.rest()
+            places = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - size)
+            owners = places // np.uint64(each)
+            for s in np.unique(owners).tolist():
+                slices.setdefault(s, np.zeros(each, bool))[places[owners == s] - np.uint64(s * each)] = True
+        for s, bits in slices.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s]), pa.array([np.packbits(bits).tobytes()])], names=["slice", "bits"]
+            )
 
-    runs = checkpoint(
-        training.mapInArrow(count_contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    )
-    # a run counts for every suffix of its context
-    depths = F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("depth")
-    cut = runs.select("key", "n", depths).select(
-        "depth",
-        F.expr(f"shiftrightunsigned(key, {BITS}) & (shiftleft(1L, {BITS} * depth) - 1)").alias("context"),
-        F.expr(f"key & {(1 << BITS) - 1}L").alias("next"),
-        "n",
-    )
-    cut = cut.where(F.expr(f"shiftrightunsigned(context, {BITS} * (depth - 1)) > 0"))
-    counted = checkpoint(cut.groupBy("depth", "context", "next").agg(F.sum("n").alias("n")))
-    totals = counted.groupBy("depth", "context").agg(F.sum("n").alias("total"))
-    often = checkpoint(totals.where(F.col("total") >= least_share * tokens))
-    followers = counted.where((F.col("next") != RARE) & (F.col("n") >= least_follower * tokens) & (F.col("n") > 1))
-    kept = followers.join(often.select("depth", "context"), ["depth", "context"], "left_semi")
-    return often.toPandas(), kept.toPandas()
+    dealt = keys.select("key").repartition(SLICES, F.shiftrightunsigned("key", 64 - SLICES.bit_length() + 1))
+    out = np.zeros((SLICES, each // 8), np.uint8)
+    for r in dealt.mapInArrow(fill, "slice long, bits binary").collect():
+        out[r["slice"]] |= np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
 
 
-def number_of(hashes: np.ndarray, keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """The number of every word within contexts; RARE for those without one."""
-    if not len(keys):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    return np.where(keys[at] == hashes, numbers[at], RARE)
+def passing(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a key's bit is set."""
+    place = keys.view(np.uint64) >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)
+    return (bits[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & 1 > 0
+
+
+def _mapped(df: DataFrame, names: list[str], schema: str, make: Callable[..., Columns]) -> DataFrame:
+    """The columns of the schema, as `make` gives them for arrays of the named columns."""
+    fields = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pa.array(c) for c in make(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays(made, names=fields)
+
+    return df.select(*names).mapInArrow(run, schema)
+
 
+def successor_counts(
+    training: DataFrame, sent: Broadcast, level: int, may: np.ndarray | None, least: int, unnumbered: bool
+) -> DataFrame:
+    """(code, next, n) of the contexts of a level and what follows them twice or more.
+
+    `may` is the filter of the contexts that occur often enough; at the first level the words' own counts
+    tell, and `unnumbered` whether words without a number can.
+    """
+    bits = training.sparkSession.sparkContext.broadcast(may)
 
-class SuffixTree:
-    """The states, and how far the log10 chance of a symbol after a state lies from its chance alone.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_words, numbers, by_number = sent.value
+        counter = Counter(["code", "next"])
+        for batch in batches:
+            for a, b in wordhash.slices(batch.column(0), SLICE):
+                data, offsets = wordhash.text_bytes(batch.column(0).slice(a, b - a))
+                hashes, first, _, _ = wordhash.word_hashes(data, offsets)
+                stream, begin = streams(symbols_of(hashes, known_words, numbers), first)
+                for code, some in context_codes(stream, begin, level):
+                    pass
+                if level == 1:
+                    some = some & np.where(code > 0, by_number[np.maximum(code, 0)] >= least, unnumbered)
+                else:
+                    some[some] = passing(bits.value, code[some])
+                yield from counter.add([code[some], stream[some]])
+        yield from counter.rest()
 
-    `alone` has the chance of every numbered symbol without a context.
+    runs = training.mapInArrow(count, "code long, next long, n long")
+    runs = runs.groupBy("code", "next").agg(F.sum("n").alias("n"))
+    counted = written(runs.where(F.col("n") >= LEAST_FOLLOWER))
+    bits.destroy()
+    return counted
+
+
+def grow_tree(
+    training: DataFrame,
+    words: DataFrame,
+    sent: Broadcast,
+    ends: int,
+    tokens: int,
+    discount: float,
+    unnumbered: bool,
+    depth: int,
+    least: int,
+    divergence: float = DIVERGENCE,
+) -> DataFrame:
+    """(key, n, value): the states and their kept successors, how often they occur and what they add.
+
+    `value` of a state is the log10 of what it leaves to its suffix; that of a successor is the log10 of
+    its chance after the state over its chance after the state's suffix, less the state's value.
     """
 
-    def __init__(
-        self,
-        often: pd.DataFrame,
-        followers: pd.DataFrame,
-        alone: np.ndarray,
-        least_count: int = LEAST_COUNT,
-        divergence: float = DIVERGENCE,
-    ):
-        self.codes, self.left, self.pairs, self.shifts = [], [], [], []
-        candidates = []
-        for depth in range(1, DEPTH + 1):
-            some = often[often["depth"] == depth].sort_values("context")
-            codes, totals = some["context"].to_numpy(np.int64), some["total"].to_numpy(np.float64)
-            pair = followers[followers["depth"] == depth].sort_values(["context", "next"])
-            state = np.searchsorted(codes, pair["context"].to_numpy(np.int64))
-            after, n = pair["next"].to_numpy(np.int64), pair["n"].to_numpy(np.float64)
-            def summed(x: np.ndarray, state: np.ndarray = state, size: int = len(codes)) -> np.ndarray:
-                return np.bincount(state, weights=x, minlength=size).astype(np.float64)
-
-            left = np.maximum(1 - summed(n - DISCOUNT) / np.maximum(totals, 1), 1e-12)
-            # the suffix's chance of the same successors
-            before = alone[after] * 10.0 ** self._shift_of(candidates, codes[state], after, depth - 1)
-            now = (n - DISCOUNT) / totals[state] + left[state] * before
-            gain = summed(now * np.log(now / before))
-            rest = np.maximum(1 - summed(now), 1e-12)
-            rest_before = np.maximum(1 - summed(before), 1e-12)
-            gain += rest * np.log(rest / rest_before)
-            keep = (gain >= divergence) & (totals >= least_count)
-            candidates.append((codes, np.log10(left), (state << BITS) | after, np.log10(now / alone[after]), keep))
-        for depth in range(DEPTH, 1, -1):  # a state's suffix is a state
-            codes, keep = candidates[depth - 1][0], candidates[depth - 1][4]
-            shorter = codes[keep] & ((1 << BITS * (depth - 1)) - 1)
-            candidates[depth - 2][4][np.searchsorted(candidates[depth - 2][0], shorter)] = True
-        for codes, left, pairs, shifts, keep in candidates:
-            number = np.cumsum(keep) - 1
-            own = keep[pairs >> BITS]
-            self.codes.append(codes[keep])
-            self.left.append(left[keep])
-            self.pairs.append((number[pairs[own] >> BITS] << BITS) | (pairs[own] & ((1 << BITS) - 1)))
-            self.shifts.append(shifts[own])
-
-    @staticmethod
-    def _shift_of(levels: list, codes: np.ndarray, after: np.ndarray, depth: int) -> np.ndarray:
-        """log10 of the chance of `after` behind the last `depth` words of a code, over its chance alone."""
-        shift = np.zeros(len(codes))
-        for d in range(1, depth + 1):
-            known, left, pairs, shifts = levels[d - 1][:4]
-            if not len(known):
-                break
-            code = codes & ((1 << BITS * d) - 1)
-            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            here = known[at] == code
-            shift = np.where(here, shift + left[at], shift)
-            if len(pairs):
-                pair = (at << BITS) | after
-                where = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
-                shift = np.where(here & (pairs[where] == pair), shifts[where], shift)
-        return shift
-
-    def shift(self, codes: list[np.ndarray], stream: np.ndarray) -> np.ndarray:
-        """log10 of the chance of every symbol after its longest suffix state, over its chance alone."""
-        out = np.zeros(len(stream))
-        levels = list(zip(self.codes, self.left, self.pairs, self.shifts, strict=True))
-        some = np.flatnonzero(codes[0])
-        longest = codes[0][some]
-        for code in codes[1:]:
-            longest = np.where(code[some] > 0, code[some], longest)
-        out[some] = self._shift_of(levels, longest, stream[some], DEPTH)
-        return out
+    def numbered(hashes: np.ndarray, n: np.ndarray) -> Columns:
+        known, numbers, _ = sent.value
+        return [symbols_of(hashes.view(np.uint64), known, numbers), n]
 
+    symbols = _mapped(words, ["key", "n"], "symbol long, n long", numbered)
+    contexts = symbols.where(F.col("n") >= least).select(
+        F.col("symbol").alias("code"), F.lit(0).cast("long").alias("suffix"), F.col("n").alias("total")
+    )
+    if ends >= least:
+        contexts = contexts.unionByName(
+            training.sparkSession.range(1).select(
+                F.lit(END).cast("long").alias("code"), F.lit(0).cast("long").alias("suffix"),
+                F.lit(ends).cast("long").alias("total"),
+            )
+        )
+    levels: list[tuple[DataFrame, DataFrame, int]] = []
+    may = None
+    for level in range(1, depth + 1):
+        pairs = successor_counts(training, sent, level, may, least, unnumbered)
+        if level == 1:
+            # chances of the successors alone: of numbered words at once, of the others by their counts
+            def alone(code: np.ndarray, after: np.ndarray, n: np.ndarray) -> Columns:
+                found = np.where(after > 0, sent.value[2][np.maximum(after, 0)], 0).astype(np.int64)
+                return [code, after, n, found]
+
+            own = _mapped(pairs, ["code", "next", "n"], "code long, next long, n long, times long", alone)
+            rare = symbols.where("symbol < 0").select(F.col("symbol").alias("next"), F.col("n").alias("times"))
+            others = own.where("next < 0").drop("times").join(rare, "next")
+            own = own.where("next > 0").unionByName(others)
+            own = own.withColumn("before", (F.col("times") - discount) / tokens).drop("times")
+        else:
+            own = pairs
+        sizes = own.groupBy("code").agg(
+            F.count("*").alias("size"), F.sum(F.col("n") - DISCOUNT).alias("taken")
+        )
+        left = F.greatest(1 - F.col("taken") / F.col("total"), F.lit(1e-12))
+        groups = written(sizes.join(contexts, "code").withColumn("left", left).drop("taken"))
+        n_pairs = max(pairs.count(), 1)
+        own = attach(own, groups, ["code"], "size", n_pairs)
+        if level > 1:
+            # a successor kept after a context is kept after its suffix
+            shorter = levels[-1][0].select(F.col("code").alias("suffix"), "next", F.col("now").alias("before"))
+            own = own.join(shorter, ["suffix", "next"])
+        now = (F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("before")
+        own = written(own.select("code", "suffix", "next", "n", "before", now.alias("now")))
+        gains = own.groupBy("code").agg(
+            F.sum(F.col("now") * F.log(F.col("now") / F.col("before"))).alias("gain"),
+            F.greatest(1 - F.sum("now"), F.lit(1e-12)).alias("rest"),
+            F.greatest(1 - F.sum("before"), F.lit(1e-12)).alias("rest_before"),
+        )
+        gain = F.col("gain") + F.col("rest") * F.log(F.col("rest") / F.col("rest_before"))
+        diverging = gains.select("code", (gain >= divergence).alias("own"))
+        levels.append((own, written(groups.join(diverging, "code")), n_pairs))
+        if level == depth:
+            break
 
-# What is taken from every kept successor of a state.
-DISCOUNT = 0.75
+        def longer(code: np.ndarray, after: np.ndarray, suffix: np.ndarray, n: np.ndarray, level: int = level) -> Columns:
+            """The contexts that end in a successor."""
+            mixed = _mixed(after)
+            code = (mixed + STEP * _sum(level, code)).view(np.int64)
+            suffix = after if level == 1 else (mixed + STEP * _sum(level - 1, suffix)).view(np.int64)
+            return [code, suffix, n]
+
+        often = own.where((F.col("n") >= least) & (F.col("next") != END))
+        contexts = written(
+            _mapped(often, ["code", "next", "suffix", "n"], "code long, suffix long, total long", longer)
+        )
+        may = sieve(contexts.select(F.col("code").alias("key")))
+
+    tree, needed = [], None
+    for level in range(depth, 0, -1):
+        own, states, n_pairs = levels[level - 1]
+        kept = states.where("own")
+        if needed is not None:  # a state's suffix is a state
+            kept = written(states.join(needed, "code", "left").where("own OR needed"))
+        needed = kept.select(F.col("suffix").alias("code"), F.lit(True).alias("needed")).distinct()
+
+        def state(code: np.ndarray, n: np.ndarray, value: np.ndarray, level: int = level) -> Columns:
+            return [tree_keys(level, code).view(np.int64), n, value]
+
+        def successor(
+            code: np.ndarray, after: np.ndarray, n: np.ndarray, value: np.ndarray, level: int = level
+        ) -> Columns:
+            return [tree_keys(level, code, after).view(np.int64), n, value]
+
+        schema = "key long, n long, value double"
+        left = F.log10("left")
+        tree.append(_mapped(kept.withColumn("value", left), ["code", "total", "value"], schema, state))
+        after = attach(own.drop("suffix"), kept.select("code", "size", "left"), ["code"], "size", n_pairs)
+        value = F.log10(F.col("now") / F.col("before")) - left
+        tree.append(_mapped(after.withColumn("value", value), ["code", "next", "n", "value"], schema, successor))
+    return written(reduce(DataFrame.unionByName, tree))
 
 
 def _steps(n: Column) -> Column:
@@ -255,15 +373,29 @@ def _steps(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double")) * 16)
 
 
-def frequent_words(words: DataFrame, most: int = FREQUENT) -> tuple[pd.DataFrame, int]:
-    """(the words of the highest steps, at most `most`; the lowest step among them)."""
-    steps = words.groupBy(_steps(F.col("n")).alias("step")).agg(F.count("*").alias("words")).collect()
+def frequent_rows(rows: DataFrame, most: int) -> int:
+    """The lowest step of `n` such that at most `most` rows are at it or above."""
+    steps = rows.groupBy(_steps(F.col("n")).alias("step")).agg(F.count("*").alias("rows")).collect()
     left, lowest = most, 1 << 20
     for step, n in sorted(steps, reverse=True):
         if n > left:
             break
         left, lowest = left - n, step
-    return words.where(_steps(F.col("n")) >= lowest).select("key", "n").toPandas(), lowest
+    return lowest
+
+
+def _by_key(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, what belongs to them), read as Arrow columns: rows of Python objects take far more memory."""
+    found = rows.toArrow()
+    keys = found.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.column(1).to_numpy()[order]
+
+
+def _distinct(owners: np.ndarray, keys: np.ndarray) -> tuple[Columns, np.ndarray]:
+    if not len(keys):
+        return [owners, keys], np.zeros(0, np.int64)
+    return _combined([owners, keys], np.ones(len(keys), np.int64))
 
 
 def score_texts(
@@ -272,8 +404,8 @@ def score_texts(
     text: str = "text",
     parts: int = 7,
     held: int = 2,
-    least_share: float = LEAST_SHARE,
-    least_follower: float = LEAST_FOLLOWER,
+    depth: int = DEPTH,
+    least: int = LEAST_COUNT,
     frequent: int = FREQUENT,
 ) -> DataFrame:
     """Per row of `docs`: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -281,7 +413,9 @@ def score_texts(
     Texts whose crc32(id as text) mod `parts` is `held` are not learned from. A null text is empty and
     has the end as its only token; a null id counts as the empty text in the remainder; rows that repeat
     an id are scored on their own. An empty table gives an empty result. Without training texts every
-    token is the unknown symbol, whose probability is then one. Other columns are not read.
+    token is the unknown symbol, whose probability is then one. Other columns are not read. `least` (2 at
+    least) is how often a context occurs to be a state; `frequent` bounds what is sent to all executors
+    and changes no result.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -290,7 +424,7 @@ def score_texts(
         whole(text).alias("text"),
     )
     training = rows.where("NOT held_out").select("text")
-    words = checkpoint(
+    words = written(
         training.mapInArrow(count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     )
     ends = training.count()
@@ -300,91 +434,101 @@ def score_texts(
     tokens, kinds = found[0] + ends, found[1] + (ends > 0)
     once, twice = found[2] + (ends == 1), found[3] + (ends == 2)
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
-    common, lowest = frequent_words(words, frequent)
-    keys = common["key"].to_numpy(np.int64).view(np.uint64)
-    counts = common["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    often = np.flatnonzero(counts >= max(least_share * tokens, 2))
-    alone = np.concatenate([[1], [max(ends, 1)], counts[often]]).astype(np.float64)
-    alone = (alone - discount) / max(tokens, 1)
-    numbers = np.arange(2, len(often) + 2)
-    tree = SuffixTree(
-        *context_counts(training, keys[often], numbers, tokens, least_share, least_follower), alone
-    )
-    sent = spark.sparkContext.broadcast(
-        (tree, keys, np.log10(counts + 1.0), np.log10(counts - discount), keys[often], numbers)
-    )
+    lowest = frequent_rows(words, frequent)
+    keys, counts = _by_key(words.where(_steps(F.col("n")) >= lowest).select("key", "n"))
+    numbers = np.empty(len(keys), np.int64)  # the most frequent words have the smallest numbers
+    ranked = np.argsort(-counts, kind="stable")
+    numbers[ranked] = np.arange(FIRST, len(keys) + FIRST)
+    by_number = np.concatenate([[0, ends], counts[ranked]]).astype(np.int64)
+    sent = spark.sparkContext.broadcast((Lookup(keys), numbers, by_number))
+    unnumbered = int(np.floor(np.log2(least) * 16)) < lowest
+    tree = grow_tree(training, words, sent, ends, max(tokens, 1), discount, unnumbered, depth, least)
+    lowest_key = frequent_rows(tree, KEYS_A_WORD * frequent)
+    top = _by_key(tree.where(_steps(F.col("n")) >= lowest_key).select("key", "value"))
+    others = tree.where(_steps(F.col("n")) < lowest_key)
+    model = spark.sparkContext.broadcast((Lookup(top[0]), top[1], sieve(others)))
+    del top
+
+    names = [c.split()[0] for c in ASKED.split(", ")]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, base_logs, chance_logs, named, numbers = sent.value
+        """A row per text, under its own number as key, and one per key that it asks for."""
+        known_words, numbers, by_number = sent.value
+        carried, values, bits = model.value
         for batch in batches:
-            for a, b in wordhash.slices(batch.column(2)):
-                data, offsets = wordhash.text_bytes(batch.column(2).slice(a, b - a))
+            for a, b in wordhash.slices(batch.column(3), SLICE):
+                size = b - a
+                data, offsets = wordhash.text_bytes(batch.column(3).slice(a, size))
                 hashes, first, _, _ = wordhash.word_hashes(data, offsets)
+                symbols = symbols_of(hashes, known_words, numbers)
                 n_words = np.diff(first)
-                owners = np.repeat(np.arange(b - a), n_words)
-                distinct, back = np.unique(hashes, return_inverse=True)
-                hit = np.zeros(len(distinct), bool)
-                base, chance = np.zeros(len(distinct)), np.zeros(len(distinct))
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-                    hit = keys[at] == distinct
-                    base[hit], chance[hit] = base_logs[at[hit]], chance_logs[at[hit]]
-                logs = np.bincount(owners, weights=base[back], minlength=b - a)
-                chances = np.bincount(owners, weights=chance[back], minlength=b - a)
-                known = np.bincount(owners, weights=hit[back], minlength=b - a).astype(np.int64)
-                miss = ~hit[back]
-                rare, owner = hashes[miss], owners[miss]
-                order = np.lexsort((rare, owner))
-                rare, owner = rare[order], owner[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
-                starts = np.flatnonzero(new)
-                times = np.diff(np.append(starts, len(rare)))
-                cut = np.searchsorted(owner[starts], np.arange(b - a + 1)).astype(np.int32)
-                stream, begin = streams(number_of(distinct, named, numbers)[back], first)
-                shift = np.add.reduceat(tree.shift(context_codes(stream, begin), stream), begin[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        batch.column(1).slice(a, b - a),
-                        pa.array(n_words.astype(np.int64) + 1),
-                        pa.array(known),
-                        pa.array(logs),
-                        pa.array(chances),
-                        pa.array(shift),
-                        pa.ListArray.from_arrays(pa.array(cut), pa.array(rare[starts].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int64))),
-                    ],
-                    names=[c.split()[0] for c in SCORED.split(", ")],
-                )
-
-    first = checkpoint(rows.mapInArrow(scored, SCORED).withColumn("row", F.monotonically_increasing_id()))
-    rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
-        "row", F.col("w.rare").alias("key"), F.col("w.times").alias("times")
+                owners = np.repeat(np.arange(size), n_words)
+                hit = symbols > 0
+                n = by_number[symbols[hit]]
+                logs = np.bincount(owners[hit], weights=np.log10(n + 1.0), minlength=size)
+                chances = np.bincount(owners[hit], weights=np.log10(n - discount), minlength=size)
+                known = np.bincount(owners[hit], minlength=size).astype(np.int64)
+                asked = [(owners[~hit], hashes[~hit])]
+                stream, begin = streams(symbols, first)
+                owners = np.repeat(np.arange(size), np.diff(begin))
+
+                def look_up(places: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    """(what the texts gain from the keys sent along, where the keys may be in the tree)."""
+                    at, there = carried.find(key)
+                    gained = np.bincount(owners[places[there]], weights=values[at[there]], minlength=size)
+                    ask = ~there
+                    ask[ask] = passing(bits, key[ask])
+                    asked.append((owners[places[ask]], key[ask]))
+                    return gained, there | ask
+
+                live = np.arange(len(stream))
+                for level, (code, some) in enumerate(context_codes(stream, begin, depth), 1):
+                    live = live[some[live]]
+                    gained, there = look_up(live, tree_keys(level, code[live]))
+                    live = live[there]  # what is no state has neither successors nor longer states
+                    chances += gained + look_up(live, tree_keys(level, code[live], stream[live]))[0]
+                (owner, key), times = _distinct(*(np.concatenate(c) for c in zip(*asked, strict=True)))
+                row = batch.column(0).slice(a, size).to_numpy()
+                none = np.zeros(size, np.int64)
+                heads = [
+                    pa.array(row), pa.array(row), pa.array(none), batch.column(1).slice(a, size),
+                    batch.column(2).slice(a, size), pa.array(n_words.astype(np.int64) + 1), pa.array(known),
+                    pa.array(logs.astype(np.float64)), pa.array(chances.astype(np.float64)),
+                ]
+                yield pa.RecordBatch.from_arrays(heads, names=names)
+                for i in range(0, len(key), HANDED):
+                    j = min(i + HANDED, len(key))
+                    three = [pa.array(row[owner[i:j]]), pa.array(key[i:j].view(np.int64)), pa.array(times[i:j])]
+                    blank = [pa.nulls(j - i, h.type) for h in heads[3:]]
+                    yield pa.RecordBatch.from_arrays([*three, *blank], names=names)
+
+    asks = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text").mapInArrow(scored, ASKED)
+    zero = F.lit(0.0)
+    answers = words.where(_steps(F.col("n")) < lowest).select(
+        "key", F.lit(1).alias("one"), F.log10(F.col("n") + 1).alias("log"), F.log10(F.col("n") - discount).alias("chance")
+    )
+    answers = answers.unionByName(
+        others.select("key", F.lit(0).alias("one"), zero.alias("log"), F.col("value").alias("chance"))
     )
-    others = words.where(_steps(F.col("n")) < lowest)
-    joined = rare.join(others, "key").groupBy("row").agg(
-        F.sum("times").alias("more"),
-        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"),
-        F.sum(F.col("times") * F.log10(F.col("n") - discount)).alias("more_chances"),
+    answered = asks.join(answers, "key", "left").groupBy("row")
+    answered = answered.agg(
+        *(F.max(c).alias(c) for c in names[3:]),
+        *(F.coalesce(F.sum(F.col("times") * F.col(c)), F.lit(0)).alias(c) for c in ("one", "log", "chance")),
     )
     end_known = int(ends > 0)
     per_token = float(np.log10(tokens + kinds + 1))
     log_tokens = float(np.log10(tokens)) if tokens else 0.0
     unknown = float(np.log10(discount * kinds / tokens)) if tokens else 0.0
-    zero = F.lit(0.0)
-    base = F.col("logs") + F.coalesce("more_logs", zero) + float(np.log10(ends + 1))
-    n_known = F.col("known") + F.coalesce("more", F.lit(0)) + end_known
+    n_tokens, n_known = F.col("n_tokens"), F.col("known") + F.col("one") + end_known
+    base = F.col("logs") + F.col("log") + float(np.log10(ends + 1))
     end_chance = float(np.log10(ends - discount)) if ends else 0.0
-    chance = F.col("chances") + F.coalesce("more_chances", zero) + end_chance - n_known * log_tokens
-    return first.join(joined, "row", "left").select(
+    chance = F.col("chances") + F.col("chance") + end_chance - n_known * log_tokens
+    return answered.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
         n_known.alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (base - F.col("n_tokens") * per_token).alias("base_score"),
-        (chance + (F.col("n_tokens") - n_known) * unknown + F.col("shift")).alias("score"),
+        (base - n_tokens * per_token).alias("base_score"),
+        (chance + (n_tokens - n_known) * unknown).alias("score"),
     )

@@ -82,3 +82,60 @@ def test_nothing_to_learn_from(spark):
     lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = score_texts(frame(spark, [(lone, "some words")])).collect()[0]
     assert (row["n_known"], row["train_tokens"], row["base_score"], row["score"]) == (0, 0, 0.0, 0.0)
+
+
+def plain_scores(rows, held, depth, least):
+    """Scores by a suffix tree of plain dictionaries."""
+    streams = {i: ["\n", *words(t), "\n"] for i, t in rows}
+    single, after = Counter(), {}
+    for i, _ in rows:
+        if held[i]:
+            continue
+        s = streams[i]
+        single.update(s[1:])
+        for at in range(1, len(s)):
+            for d in range(1, min(depth, at) + 1):
+                after.setdefault(tuple(s[at - d : at]), Counter())[s[at]] += 1
+    tokens = sum(single.values())
+    once, twice = (sum(n == k for n in single.values()) for k in (1, 2))
+    discount = min(0.9, max(0.1, once / (once + 2 * twice)))
+    alone = {w: (n - discount) / tokens for w, n in single.items()}
+    unknown = discount * len(single) / tokens
+    chances, left, states = {}, {}, set()
+    for c in sorted((c for c in after if sum(after[c].values()) >= least), key=len):
+        total, kept = sum(after[c].values()), {w: n for w, n in after[c].items() if n > 1}
+        left[c] = max(1 - sum(n - 0.75 for n in kept.values()) / total, 1e-12)
+        before = {w: alone[w] if len(c) == 1 else chances[c[1:]][w] for w in kept}
+        chances[c] = {w: (n - 0.75) / total + left[c] * before[w] for w, n in kept.items()}
+        gain = sum(p * math.log(p / before[w]) for w, p in chances[c].items())
+        rest, rest_before = max(1 - sum(chances[c].values()), 1e-12), max(1 - sum(before.values()), 1e-12)
+        if kept and gain + rest * math.log(rest / rest_before) >= 0.01:
+            states |= {c[k:] for k in range(len(c))}
+
+    def chance(c, w):
+        if not c:
+            return alone.get(w, unknown)
+        return chances[c][w] if w in chances[c] else left[c] * chance(c[1:], w)
+
+    out = {}
+    for i, s in streams.items():
+        out[i] = 0.0
+        for at in range(1, len(s)):
+            state = max((c for d in range(depth + 1) if d <= at and ((c := tuple(s[at - d : at])) in states or not c)), key=len)
+            out[i] += math.log10(chance(state, s[at]))
+    return out, states
+
+
+@pytest.mark.parametrize("frequent", [1 << 19, 20])
+def test_rare_contexts_count_like_a_plain_tree(spark, frequent):
+    """Words and passages far below a ten thousandth of the tokens are states, by whatever way they are found."""
+    chance = random.Random(5)
+    rows = [(i, " ".join(chance.choices([f"w{j}" for j in range(40)], k=150))) for i in range(400)]
+    passage = "seldom heard words that follow one another here"
+    rows += [(1000 + i, f"{passage} w{i}" if i % 2 else f"{passage} {passage}") for i in range(6)]
+    rows += [(2000 + i, "the very same line of text") for i in range(30)] + [(3000, None), (3001, "nowhere else seldom")]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    expected, states = plain_scores(rows, held, 3, 3)
+    assert ("seldom", "heard") in states and {len(c) for c in states} == {1, 2, 3}
+    got = score_texts(frame(spark, rows), depth=3, least=3, frequent=frequent)
+    assert {r["doc_id"]: round(r["score"], 6) for r in got.collect()} == {i: round(x, 6) for i, x in expected.items()}
