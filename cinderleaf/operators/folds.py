@@ -23,7 +23,7 @@ from cinderleaf.operators.ordered import (
     lag_in,
     over_chunks,
 )
-from cinderleaf.session import checkpoint
+from cinderleaf.session import checkpoint, dealt
 
 
 @dataclass
@@ -82,9 +82,10 @@ def nonce_step(state: LastUse, t: int, horizon: int) -> bool:
     return True
 
 
-def _judge(rows: DataFrame, verdicts: DataFrame, tie: str, *names: str) -> DataFrame:
+def _judge(rows: DataFrame, verdicts: DataFrame, tie: str, *names: str, tasks: int | None = None) -> DataFrame:
     """The full rows with their verdict."""
-    return rows.join(verdicts.select(tie, *names), tie).select(*rows.columns, *names)
+    told = dealt(verdicts.select(tie, *names), tie, tasks)
+    return dealt(rows, tie, tasks).join(told, tie).select(*rows.columns, *names)
 
 
 def _open_segments(rows: DataFrame, open_row: Column) -> tuple[DataFrame, DataFrame]:
@@ -176,8 +177,12 @@ def rate_limit_admitted(
     limit: int = rules.ADMIT_LIMIT,
     window: int = rules.RATE_WINDOW_MS,
     chunk_rows: int = CHUNK_ROWS,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Adds `allowed`: fewer than `limit` admitted calls in the window; rejected ones do not count."""
+    """Adds `allowed`: fewer than `limit` admitted calls in the window; rejected ones do not count.
+
+    `tasks` is the number of tasks that join the full rows, the session's if there is none.
+    """
     rows = cut_segments(
         requests.select(key, t, tie),
         [key],
@@ -195,7 +200,7 @@ def rate_limit_admitted(
         chunk_rows,
     )
     both = folded.unionByName(calm.withColumn("allowed", F.lit(True)))
-    return _judge(requests, both, tie, "allowed")
+    return _judge(requests, both, tie, "allowed", tasks=tasks)
 
 
 def frame_signature(payload: Column) -> Column:
@@ -212,9 +217,12 @@ def throttle_frames(
     payload: str,
     throttle: int = rules.THROTTLE_MS,
     chunk_rows: int = CHUNK_ROWS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Adds `accepted`: far enough from the last accepted frame and unlike it.
 
+    `tasks` is the number of tasks that join the full rows, the session's if there is none.
+
     After a pause of one throttle interval a signature the client has not sent before is accepted
     whatever came earlier, so segments start there.
     """
@@ -237,7 +245,7 @@ def throttle_frames(
         "accepted", "boolean", chunk_rows,
     )
     both = folded.unionByName(single.withColumn("accepted", F.lit(True)))
-    return _judge(frames, both, tie, "accepted")
+    return _judge(frames, both, tie, "accepted", tasks=tasks)
 
 
 def replay_detection(

@@ -12,6 +12,7 @@ from cinderleaf.functions.redact import scrub_guest_text
 from cinderleaf.operators.aggregates import total_nutrition
 from cinderleaf.operators.folds import rate_limit_admitted, throttle_frames
 from cinderleaf.operators.lookup import resolve_foods
+from cinderleaf.session import dealt, tasks_for
 
 
 def admit_scans(scans: DataFrame, scan: str, client: str, t: str, payload: str, mode: str) -> DataFrame:
@@ -19,10 +20,11 @@ def admit_scans(scans: DataFrame, scan: str, client: str, t: str, payload: str,
 
     Only admitted calls reach the intent check and only those it passes reach the frame throttle.
     """
-    limited = rate_limit_admitted(scans, client, t, scan)
+    tasks = tasks_for(scans)
+    limited = rate_limit_admitted(scans, client, t, scan, tasks=tasks)
     safe = limited.withColumn("_safe", payload_intent_ok(F.col(mode)))
     frames = safe.where(F.col("allowed") & F.col("_safe")).select(scan, client, t, payload)
-    taken = throttle_frames(frames, client, t, scan, payload).select(scan, "accepted")
+    taken = throttle_frames(frames, client, t, scan, payload, tasks=tasks).select(scan, "accepted")
     outcome = (
         F.when(~F.col("allowed"), "rate_limited")
         .when(~F.col("_safe"), "injection")
@@ -63,9 +65,14 @@ def answer_scans(
     admitted: DataFrame, components: DataFrame, foods: DataFrame, scan: str = "scan_id", mode: str = "mode",
     lang: str = "lang", context: str | None = None,
 ) -> DataFrame:
-    """The answers of scans whose `outcome` is known; null for all that are not accepted."""
+    """The answers of scans whose `outcome` is known; null for all that are not accepted.
+
+    The tasks grow with the components, so none sorts more of them on larger tables.
+    """
+    tasks = tasks_for(components)
+    admitted = dealt(admitted, scan, tasks)
     accepted = admitted.where("outcome = 'accepted'").select(scan)
-    parts = clean_component_rows(components.join(accepted, scan, "left_semi"))
+    parts = clean_component_rows(dealt(components, scan, tasks).join(accepted, scan, "left_semi"))
     resolved = resolve_foods(parts, "name", foods)
     totals = total_nutrition(resolved, scan)
     names = parts.groupBy(scan).agg(

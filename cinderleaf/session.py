@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Largest side that is ever broadcast on request; larger sides take the shuffle join.
 BROADCAST_ROWS = 200_000
+# Rows of a table that one task of a join sorts at most, by average.
+TASK_ROWS = 1_000_000
 
 
 def build_session(app: str = "cinderleaf", master: str | None = None, **conf: str) -> SparkSession:
@@ -83,3 +85,14 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint when its row count is within the bound, else unchanged."""
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+
+
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int | None:
+    """The tasks that joins of `df` need for at most `rows` rows each; None when the session's number will do."""
+    needed = -(-df.count() // rows)
+    return needed if needed > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, key: str, tasks: int | None) -> DataFrame:
+    """`df` dealt to that many tasks by the key, so that a join or grouping by it sorts no larger parts."""
+    return df if tasks is None else df.repartition(tasks, key)

@@ -9,6 +9,7 @@ from cinderleaf.fixed import food_rules as food
 from cinderleaf.functions import scores
 from cinderleaf.operators import audit, generators
 from cinderleaf.plans import dishes, safety
+from cinderleaf.session import tasks_for
 
 KEY = b"k"
 
@@ -122,6 +123,22 @@ def test_scan_example_plate(spark):
     assert out[2].calories is None
 
 
+def test_scans_of_a_large_table_are_joined_in_more_tasks(spark, monkeypatch):
+    """Joins of scans and components get tasks by their rows, not the session's number, with the same answers."""
+    scans = spark.range(60).selectExpr(
+        "id AS scan_id", "id % 3 AS client_id", "id * 700 AS t_ms", "concat('img', id % 5) AS payload",
+        "'normal' AS mode", "'de' AS lang", "'Kottu' AS dish_name", "0.5D AS confidence",
+    )
+    parts = spark.range(120).selectExpr("id DIV 2 AS scan_id", "CAST(id % 2 AS INT) AS pos", "if(id % 3 = 0, 'dhal', 'papadam') AS name")
+    foods = spark.createDataFrame([(i, *f) for i, f in enumerate(food.FOODS)], "prio int, name string, calories int, protein double, carbs double, fat double")
+    few = dishes.scan_dishes(scans, parts, foods)
+    monkeypatch.setattr(dishes, "tasks_for", lambda df: tasks_for(df, 9))
+    many = dishes.scan_dishes(scans, parts, foods)
+    assert tasks_for(parts, 9) == 14 and tasks_for(parts) is None
+    assert "hashpartitioning(scan_id" in (plan := many._jdf.queryExecution().toString()) and ", 14)" in plan
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
 def test_safety_layers(spark):
     turns = "array<struct<role:string,content:string>>"
     rows = spark.createDataFrame(
