@@ -12,7 +12,12 @@ it up were seen often enough, which a filter of bits tells; what the filter lets
 dropped by a join. The tree is a table that grows with the corpus. A token's log chance is a sum over
 its states: of what the state leaves to its suffix, or of what the state's own successor adds. So a text
 asks for keys and adds up their values. The most frequent keys, a bounded number, go to all executors;
-every other one is joined with the keys that the texts ask for. Word counts are split in the same way.
+every other one is looked up where the keys that the texts ask for are dealt. Word counts are split in
+the same way.
+
+Counts, keys and answers outnumber the words of the corpus, so they are dealt in blocks: a task's rows of
+a bucket are one compressed value. Tables that no later step reads and the shuffles of written ones go
+at once.
 """
 
 from __future__ import annotations
@@ -22,13 +27,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cinderleaf.llm import wordhash
-from cinderleaf.llm.common import attach, remainder, whole
-from cinderleaf.session import written
+from cinderleaf.llm.common import attach, remainder, shuffle_partitions, whole
+from cinderleaf.session import discard, shuffles_dropped, written
 
 DEPTH = 2
 # Occurrences and nats of divergence that make a context a state; occurrences that keep a successor.
@@ -45,9 +53,11 @@ SIGN = np.uint64(1 << 63)
 # A filter has 16 bits a key, up to 2 ** SIEVE_BITS, and is filled in so many slices.
 SIEVE_BITS, SLICES = 26, 16
 STEP = np.uint64(wordhash.BASE)
-ASKED = (
-    "row long, key long, times long, id long, held_out boolean, n_tokens long, known long, logs double, chances double"
-)
+# Keys that a task sends at once. Training tokens whose contexts make a bucket, and tokens whose keys do.
+SENT, COUNTED, SOUGHT = 1 << 19, 1 << 20, 1 << 21
+BLOCK = "bucket int, size long, data binary"
+HEADS = "row long, id long, held_out boolean, n_tokens long, known long, logs double, chances double"
+FOUND = f"{HEADS}, one long, log double, chance double"
 
 Columns = list[np.ndarray]
 
@@ -65,45 +75,84 @@ def _combined(columns: Columns, counts: np.ndarray) -> tuple[Columns, np.ndarray
     return [c[first] for c in columns], np.add.reduceat(counts[order], first)
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _batches(columns: Columns, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(columns[0]), HANDED):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + HANDED]) for c in columns], names=names)
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of every hash, by its leading 32 bits."""
+    return ((hashes.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def packed(buckets: np.ndarray, columns: Columns) -> pa.RecordBatch:
+    """Rows of 64-bit values as a block a bucket: the steps of the first column, the others, byte by byte.
+
+    They lie in order of the first column's lower bits, so what the steps save does not hang on its range.
+    """
+    order = np.argsort((buckets << np.uint64(40)) | (columns[0].view(np.uint64) & np.uint64((1 << 40) - 1)))
+    buckets, columns = buckets[order], [c[order].view(np.uint64) for c in columns]
+    edges = np.append(np.flatnonzero(np.diff(buckets)) + 1, len(order))
+    sizes, data, a = np.diff(edges, prepend=0), [], 0
+    for b in edges.tolist():
+        steps = np.diff(columns[0][a:b], prepend=np.uint64(0))
+        values = np.stack([steps, *(c[a:b] for c in columns[1:])]).view(np.uint8).reshape(len(columns), b - a, 8)
+        planes = np.ascontiguousarray(values.transpose(0, 2, 1))  # bytes that agree in most rows come together
+        data.append(pa.compress(planes, codec="zstd", asbytes=True))
+        a = b
+    arrays = [pa.array(buckets[edges - 1].astype(np.int32)), pa.array(sizes), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=_names(BLOCK))
+
+
+def unpacked(size: int, data: bytes, n_columns: int) -> Columns:
+    """The columns of a block."""
+    raw = pa.decompress(data, 8 * n_columns * size, codec="zstd")
+    planes = np.frombuffer(raw, np.uint8).reshape(n_columns, 8, size)
+    columns = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(n_columns, size)
+    return [np.cumsum(columns[0]), *columns[1:]]
+
+
 class Counter:
-    """Counts rows of 64-bit values in bounded memory; hands over batches that may repeat a row."""
+    """Counts rows of 64-bit values in bounded memory; hands over columns and counts that may repeat a row."""
 
-    def __init__(self, names: list[str]):
-        self.names = names
+    def __init__(self) -> None:
         self.held: list[tuple[Columns, np.ndarray]] = []
 
     def _merge(self) -> None:
         columns = [np.concatenate(c) for c in zip(*(h[0] for h in self.held), strict=True)]
         self.held = [_combined(columns, np.concatenate([h[1] for h in self.held]))]
 
-    def _told(self) -> Iterator[pa.RecordBatch]:
-        columns, counts = self.held.pop()
-        for a in range(0, len(counts), HANDED):
-            arrays = [pa.array(c[a : a + HANDED].view(np.int64)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts[a : a + HANDED])], names=[*self.names, "n"])
-
-    def add(self, columns: Columns) -> Iterator[pa.RecordBatch]:
+    def add(self, columns: Columns) -> Iterator[tuple[Columns, np.ndarray]]:
         if not len(columns[0]):
             return
         self.held.append(_combined(columns, np.ones(len(columns[0]), np.int64)))
         if sum(len(h[1]) for h in self.held) > HELD:
             self._merge()
             if len(self.held[0][1]) > HELD // 2:
-                yield from self._told()
+                yield self.held.pop()
 
-    def rest(self) -> Iterator[pa.RecordBatch]:
+    def rest(self) -> Iterator[tuple[Columns, np.ndarray]]:
         if self.held:
             self._merge()
-            yield from self._told()
+            yield self.held.pop()
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to (key, n): the hashes of the words."""
-    counter = Counter(["key"])
-    for batch in batches:
-        for a, b in wordhash.slices(batch.column(0), SLICE):
-            yield from counter.add([wordhash.word_hashes(*wordhash.text_bytes(batch.column(0).slice(a, b - a)))[0]])
-    yield from counter.rest()
+    counter = Counter()
+
+    def counted() -> Iterator[tuple[Columns, np.ndarray]]:
+        for batch in batches:
+            for a, b in wordhash.slices(batch.column(0), SLICE):
+                yield from counter.add([wordhash.word_hashes(*wordhash.text_bytes(batch.column(0).slice(a, b - a)))[0]])
+        yield from counter.rest()
+
+    for (keys,), n in counted():
+        yield from _batches([keys.view(np.int64), n], ["key", "n"])
 
 
 class Lookup:
@@ -212,7 +261,7 @@ def passing(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _mapped(df: DataFrame, names: list[str], schema: str, make: Callable[..., Columns]) -> DataFrame:
     """The columns of the schema, as `make` gives them for arrays of the named columns."""
-    fields = [c.split()[0] for c in schema.split(", ")]
+    fields = _names(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,19 +271,48 @@ def _mapped(df: DataFrame, names: list[str], schema: str, make: Callable[..., Co
     return df.select(*names).mapInArrow(run, schema)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    with shuffles_dropped(df.sparkSession):
+        return written(df)
+
+
+def merged_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, size, data) in order of buckets to (code, next, n): what is there twice or more."""
+    blocks: list[Columns] = []
+    last = -1
+
+    def told() -> Iterator[pa.RecordBatch]:
+        if blocks:
+            *columns, n = (np.concatenate(c) for c in zip(*blocks, strict=True))
+            columns, n = _combined(columns, n)
+            often = n >= LEAST_FOLLOWER
+            yield from _batches([*(c[often] for c in columns), n[often]], ["code", "next", "n"])
+
+    for batch in batches:
+        for bucket, size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != last:
+                yield from told()
+                blocks.clear()
+                last = bucket
+            blocks.append(unpacked(size, data, 3))
+    yield from told()
+
+
 def successor_counts(
-    training: DataFrame, sent: Broadcast, level: int, may: np.ndarray | None, least: int, unnumbered: bool
+    training: DataFrame, sent: Broadcast, level: int, may: np.ndarray | None, least: int, unnumbered: bool, tokens: int
 ) -> DataFrame:
     """(code, next, n) of the contexts of a level and what follows them twice or more.
 
     `may` is the filter of the contexts that occur often enough; at the first level the words' own counts
-    tell, and `unnumbered` whether words without a number can.
+    tell, and `unnumbered` whether words without a number can. Buckets are as many as `tokens` asks for.
     """
+    parts = shuffle_partitions(training.sparkSession)
+    buckets = parts * -(-tokens // (parts * COUNTED))
     bits = training.sparkSession.sparkContext.broadcast(may)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Columns, np.ndarray]]:
         known_words, numbers, by_number = sent.value
-        counter = Counter(["code", "next"])
+        counter = Counter()
         for batch in batches:
             for a, b in wordhash.slices(batch.column(0), SLICE):
                 data, offsets = wordhash.text_bytes(batch.column(0).slice(a, b - a))
@@ -249,11 +327,15 @@ def successor_counts(
                 yield from counter.add([code[some], stream[some]])
         yield from counter.rest()
 
-    runs = training.mapInArrow(count, "code long, next long, n long")
-    runs = runs.groupBy("code", "next").agg(F.sum("n").alias("n"))
-    counted = written(runs.where(F.col("n") >= LEAST_FOLLOWER))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (code, after), n in counted(batches):
+            mixed = wordhash.mix(code.view(np.uint64) * STEP + after.view(np.uint64))
+            yield packed(bucket_of(mixed, buckets), [code, after, n])
+
+    runs = training.mapInArrow(count, BLOCK).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
+    counts = _stored(runs.mapInArrow(merged_counts, "code long, next long, n long"))
     bits.destroy()
-    return counted
+    return counts
 
 
 def grow_tree(
@@ -292,7 +374,7 @@ def grow_tree(
     levels: list[tuple[DataFrame, DataFrame, int]] = []
     may = None
     for level in range(1, depth + 1):
-        pairs = successor_counts(training, sent, level, may, least, unnumbered)
+        pairs = successor_counts(training, sent, level, may, least, unnumbered, tokens)
         if level == 1:
             # chances of the successors alone: of numbered words at once, of the others by their counts
             def alone(code: np.ndarray, after: np.ndarray, n: np.ndarray) -> Columns:
@@ -310,7 +392,9 @@ def grow_tree(
             F.count("*").alias("size"), F.sum(F.col("n") - DISCOUNT).alias("taken")
         )
         left = F.greatest(1 - F.col("taken") / F.col("total"), F.lit(1e-12))
-        groups = written(sizes.join(contexts, "code").withColumn("left", left).drop("taken"))
+        groups = _stored(sizes.join(contexts, "code").withColumn("left", left).drop("taken"))
+        if level > 1:
+            discard(contexts)
         n_pairs = max(pairs.count(), 1)
         own = attach(own, groups, ["code"], "size", n_pairs)
         if level > 1:
@@ -318,7 +402,8 @@ def grow_tree(
             shorter = levels[-1][0].select(F.col("code").alias("suffix"), "next", F.col("now").alias("before"))
             own = own.join(shorter, ["suffix", "next"])
         now = (F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("before")
-        own = written(own.select("code", "suffix", "next", "n", "before", now.alias("now")))
+        own = _stored(own.select("code", "suffix", "next", "n", "before", now.alias("now")))
+        discard(pairs)
         gains = own.groupBy("code").agg(
             F.sum(F.col("now") * F.log(F.col("now") / F.col("before"))).alias("gain"),
             F.greatest(1 - F.sum("now"), F.lit(1e-12)).alias("rest"),
@@ -326,7 +411,8 @@ def grow_tree(
         )
         gain = F.col("gain") + F.col("rest") * F.log(F.col("rest") / F.col("rest_before"))
         diverging = gains.select("code", (gain >= divergence).alias("own"))
-        levels.append((own, written(groups.join(diverging, "code")), n_pairs))
+        levels.append((own, _stored(groups.join(diverging, "code")), n_pairs))
+        discard(groups)
         if level == depth:
             break
 
@@ -338,17 +424,19 @@ def grow_tree(
             return [code, suffix, n]
 
         often = own.where((F.col("n") >= least) & (F.col("next") != END))
-        contexts = written(
+        contexts = _stored(
             _mapped(often, ["code", "next", "suffix", "n"], "code long, suffix long, total long", longer)
         )
         may = sieve(contexts.select(F.col("code").alias("key")))
 
-    tree, needed = [], None
+    tree, needed, done = [], None, []
     for level in range(depth, 0, -1):
         own, states, n_pairs = levels[level - 1]
+        done += [own, states]
         kept = states.where("own")
         if needed is not None:  # a state's suffix is a state
-            kept = written(states.join(needed, "code", "left").where("own OR needed"))
+            kept = _stored(states.join(needed, "code", "left").where("own OR needed"))
+            done.append(kept)
         needed = kept.select(F.col("suffix").alias("code"), F.lit(True).alias("needed")).distinct()
 
         def state(code: np.ndarray, n: np.ndarray, value: np.ndarray, level: int = level) -> Columns:
@@ -365,7 +453,9 @@ def grow_tree(
         after = attach(own.drop("suffix"), kept.select("code", "size", "left"), ["code"], "size", n_pairs)
         value = F.log10(F.col("now") / F.col("before")) - left
         tree.append(_mapped(after.withColumn("value", value), ["code", "next", "n", "value"], schema, successor))
-    return written(reduce(DataFrame.unionByName, tree))
+    found = _stored(reduce(DataFrame.unionByName, tree))
+    discard(*done)
+    return found
 
 
 def _steps(n: Column) -> Column:
@@ -392,10 +482,60 @@ def _by_key(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], found.column(1).to_numpy()[order]
 
 
-def _distinct(owners: np.ndarray, keys: np.ndarray) -> tuple[Columns, np.ndarray]:
-    if not len(keys):
-        return [owners, keys], np.zeros(0, np.int64)
-    return _combined([owners, keys], np.ones(len(keys), np.int64))
+def _dealt(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of the rows of a table whose first column is a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Columns] = []
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(h[0]) for h in held) > SENT:
+                yield _block_rows(held, buckets)
+                held = []
+        if any(len(h[0]) for h in held):
+            yield _block_rows(held, buckets)
+
+    return run
+
+
+def _block_rows(held: list[Columns], buckets: int) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    return packed(bucket_of(columns[0], buckets), columns)
+
+
+def _found(discount: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A bucket's answers, then what its texts ask for, to what each text gains; heads are passed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers: list[Columns] = []
+        known = None
+        for batch in batches:
+            kinds, sizes, data = (batch.column(c) for c in ("kind", "size", "data"))
+            heads = batch.filter(pc.equal(kinds, 2)).select(_names(HEADS))
+            zeros = np.zeros(len(heads), np.int64)
+            none = [pa.array(zeros), pa.array(zeros.astype(float)), pa.array(zeros.astype(float))]
+            yield pa.RecordBatch.from_arrays([*heads.columns, *none], names=_names(FOUND))
+            for kind, size, block in zip(kinds.to_pylist(), sizes.to_pylist(), data, strict=True):
+                if kind == 0:
+                    answers.append(unpacked(size, block.as_buffer(), 3))
+                elif kind == 1 and answers:
+                    if known is None:
+                        keys, n, value = (np.concatenate(c) for c in zip(*answers, strict=True))
+                        order = np.argsort(keys.view(np.uint64))
+                        known, n = Lookup(keys.view(np.uint64)[order]), n[order]
+                        one = n > 0
+                        log, value = np.where(one, np.log10(n + 1.0), 0.0), value.view(np.float64)[order]
+                        chance = np.where(one, np.log10(np.where(one, n - discount, 1.0)), value)
+                    key, row = unpacked(size, block.as_buffer(), 2)
+                    at, there = known.find(key.view(np.uint64))
+                    at = at[there]
+                    rows, owners = np.unique(row[there], return_inverse=True)
+                    sums = [np.bincount(owners, weights=c[at], minlength=len(rows)) for c in (one, log, chance)]
+                    arrays = [pa.array(rows), *(pa.nulls(len(rows), c.type) for c in heads.columns[1:])]
+                    arrays += [pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=_names(FOUND))
+
+    return run
 
 
 def score_texts(
@@ -424,7 +564,7 @@ def score_texts(
         whole(text).alias("text"),
     )
     training = rows.where("NOT held_out").select("text")
-    words = written(
+    words = _stored(
         training.mapInArrow(count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     )
     ends = training.count()
@@ -449,10 +589,17 @@ def score_texts(
     model = spark.sparkContext.broadcast((Lookup(top[0]), top[1], sieve(others)))
     del top
 
-    names = [c.split()[0] for c in ASKED.split(", ")]
+    buckets = max(spark.sparkContext.defaultParallelism, -(-tokens // SOUGHT))
+    sought = f"{BLOCK}, kind int, {HEADS}"
+
+    def asking(held: list[Columns]) -> pa.RecordBatch:
+        blocks = _block_rows(held, buckets)
+        kinds = [pa.array(np.ones(len(blocks), np.int32)), *(pa.nulls(len(blocks), t) for t in types[4:])]
+        return pa.RecordBatch.from_arrays([*blocks.columns, *kinds], names=_names(sought))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per text, under its own number as key, and one per key that it asks for."""
+        """A row per text, its head, and blocks of the keys that the texts ask for."""
+        held: list[Columns] = []
         known_words, numbers, by_number = sent.value
         carried, values, bits = model.value
         for batch in batches:
@@ -487,33 +634,32 @@ def score_texts(
                     gained, there = look_up(live, tree_keys(level, code[live]))
                     live = live[there]  # what is no state has neither successors nor longer states
                     chances += gained + look_up(live, tree_keys(level, code[live], stream[live]))[0]
-                (owner, key), times = _distinct(*(np.concatenate(c) for c in zip(*asked, strict=True)))
+                owner, key = (np.concatenate(c) for c in zip(*asked, strict=True))
                 row = batch.column(0).slice(a, size).to_numpy()
-                none = np.zeros(size, np.int64)
                 heads = [
-                    pa.array(row), pa.array(row), pa.array(none), batch.column(1).slice(a, size),
-                    batch.column(2).slice(a, size), pa.array(n_words.astype(np.int64) + 1), pa.array(known),
+                    pa.array(row), batch.column(1).slice(a, size), batch.column(2).slice(a, size),
+                    pa.array(n_words.astype(np.int64) + 1), pa.array(known),
                     pa.array(logs.astype(np.float64)), pa.array(chances.astype(np.float64)),
                 ]
-                yield pa.RecordBatch.from_arrays(heads, names=names)
-                for i in range(0, len(key), HANDED):
-                    j = min(i + HANDED, len(key))
-                    three = [pa.array(row[owner[i:j]]), pa.array(key[i:j].view(np.int64)), pa.array(times[i:j])]
-                    blank = [pa.nulls(j - i, h.type) for h in heads[3:]]
-                    yield pa.RecordBatch.from_arrays([*three, *blank], names=names)
-
-    asks = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text").mapInArrow(scored, ASKED)
-    zero = F.lit(0.0)
-    answers = words.where(_steps(F.col("n")) < lowest).select(
-        "key", F.lit(1).alias("one"), F.log10(F.col("n") + 1).alias("log"), F.log10(F.col("n") - discount).alias("chance")
-    )
-    answers = answers.unionByName(
-        others.select("key", F.lit(0).alias("one"), zero.alias("log"), F.col("value").alias("chance"))
-    )
-    answered = asks.join(answers, "key", "left").groupBy("row")
-    answered = answered.agg(
-        *(F.max(c).alias(c) for c in names[3:]),
-        *(F.coalesce(F.sum(F.col("times") * F.col(c)), F.lit(0)).alias(c) for c in ("one", "log", "chance")),
+                kinds = [pa.array((row % buckets).astype(np.int32)), *(pa.nulls(size, t) for t in types[1:3]), pa.array(np.full(size, 2, np.int32))]
+                yield pa.RecordBatch.from_arrays([*kinds, *heads], names=_names(sought))
+                if len(key):
+                    held.append([key.view(np.int64), row[owner]])
+                if sum(len(h[0]) for h in held) > SENT:
+                    yield asking(held)
+                    held = []
+        if held:
+            yield asking(held)
+
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
+    types = [f.type for f in to_arrow_schema(StructType.fromDDL(sought))]
+    asks = rows.mapInArrow(scored, sought)
+    answers = words.where(_steps(F.col("n")) < lowest).select("key", "n", F.lit(0.0).alias("value"))
+    answers = answers.unionByName(others.select("key", F.lit(0).cast("long").alias("n"), "value"))
+    answers = answers.mapInArrow(_dealt(buckets), BLOCK).withColumn("kind", F.lit(0))
+    both = asks.unionByName(answers, allowMissingColumns=True).repartitionById(buckets, "bucket")
+    answered = both.sortWithinPartitions("kind").mapInArrow(_found(discount), FOUND).groupBy("row").agg(
+        *(F.max(c).alias(c) for c in _names(HEADS)[1:]), *(F.sum(c).alias(c) for c in ("one", "log", "chance"))
     )
     end_known = int(ends > 0)
     per_token = float(np.log10(tokens + kinds + 1))

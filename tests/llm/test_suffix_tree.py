@@ -1,13 +1,17 @@
 """Word counts and chances against plain sums."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from cinderleaf.llm import suffix_tree, wordhash
 from cinderleaf.llm.suffix_tree import score_texts
+from cinderleaf.session import ensure_checkpoint_dir
 from tests.llm.helpers import words
 
 SCHEMA = "doc_id long, text string, row string, key string, rare string, n string"
@@ -139,3 +143,30 @@ def test_rare_contexts_count_like_a_plain_tree(spark, frequent):
     assert ("seldom", "heard") in states and {len(c) for c in states} == {1, 2, 3}
     got = score_texts(frame(spark, rows), depth=3, least=3, frequent=frequent)
     assert {r["doc_id"]: round(r["score"], 6) for r in got.collect()} == {i: round(x, 6) for i, x in expected.items()}
+
+
+def test_blocks_give_their_rows_back_smaller():
+    """A block takes a fraction of its rows, whatever their order, and no bucket gets rows of another."""
+    chance = np.random.default_rng(7)
+    code, after = chance.integers(1, 5000, 60_000), chance.integers(-(1 << 63), 1 << 63, 60_000)
+    after[: 50_000] = chance.integers(1, 5000, 50_000)
+    buckets = suffix_tree.bucket_of(wordhash.mix(code.view(np.uint64)), 7)
+    blocks = suffix_tree.packed(buckets, [code, after, np.ones(60_000, np.int64)])
+    assert sorted(blocks.column("bucket").to_pylist()) == list(range(7))
+    told = []
+    for bucket, size, data in zip(*(c.to_pylist() for c in blocks.columns), strict=True):
+        columns = suffix_tree.unpacked(size, data, 3)
+        assert set(suffix_tree.bucket_of(wordhash.mix(columns[0].view(np.uint64)), 7).tolist()) == {bucket}
+        told += zip(*(c.tolist() for c in columns), strict=True)
+    assert sorted(told) == sorted(zip(code.tolist(), after.tolist(), [1] * 60_000, strict=True))
+    assert sum(len(d) for d in blocks.column("data").to_pylist()) < 6 * 60_000
+
+
+def test_only_the_tables_of_the_answer_and_its_shuffles_stay(spark):
+    """What the steps of the tree write and shuffle is gone when the scores are read."""
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    tables = lambda: {t for t in os.listdir(folder) if t.startswith("table-")}
+    before = tables()
+    scores = score_texts(frame(spark, corpus()))
+    assert len(tables() - before) == 2  # the words and the tree
+    assert scores.count() == 250
