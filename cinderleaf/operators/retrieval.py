@@ -19,10 +19,12 @@ from cinderleaf.functions.text import strip, words
 from cinderleaf.operators.lookup import contains_join
 from cinderleaf.session import bounded, checkpoint, fits_broadcast
 
-# Queries that a part of a block has, and that are scored together.
-QUERY_BATCH, ASK_SLICE = 4096, 512
+# Queries that a part of documents has at least, parts of all queries, and queries that are scored together.
+QUERY_BATCH, QUERY_PARTS, ASK_SLICE = 4096, 24, 512
 # Documents a block holds about, pivots, steps an angle of one is cut into, and what rounding may add to an angle.
 DOC_SLICE, PIVOTS, ANGLE_STEPS, SLACK = 4096, 64, 1024, 1e-6
+# Numbers that the vectors of a shelf of blocks have about, and documents whose largest score is looked at first.
+SHELF_NUMBERS, LOOK = 1 << 22, 64
 SIMILAR_SHOWN = 0.60
 SIMILAR_DUPLICATE = 0.65
 
@@ -38,38 +40,154 @@ def _plain(ids: pa.Array) -> np.ndarray:
     return np.array([np.nan if v is None else v for v in ids.to_pylist()], object)
 
 
-def _best_of_blocks(k: int, skip_self: bool):
-    """The best `k` documents of every query of rows (block, part, asks, query_id, doc_id, vec).
+def _first_copies(vecs: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows, sorted by id, that can be among the first `k` of their vector's copies when any one id is left out."""
+    factors = np.random.default_rng(0).integers(1 << 62, size=vecs.shape[1], dtype=np.uint64) | np.uint64(1)
+    codes = (vecs.view(np.uint64) * factors).sum(axis=1, dtype=np.uint64)
+    order = np.argsort(codes, kind="stable")
+    alike = np.flatnonzero(codes[order[1:]] == codes[order[:-1]]) + 1
+    alike = alike[(vecs[order[alike]] == vecs[order[alike - 1]]).all(axis=1)]
+    if not len(alike):
+        return np.arange(len(vecs))
+    new = np.ones(len(vecs), bool)
+    new[alike] = False
+    other = new.copy()  # an id or a vector that the row before does not have
+    other[alike] = ids[order[alike]] != ids[order[alike - 1]]
+    begins, firsts = np.flatnonzero(new), np.flatnonzero(other)
+    number = np.cumsum(other)  # the how many-th id
+    number -= np.repeat(number[begins], np.diff(np.append(begins, len(new))))
+    again = np.arange(len(new)) - np.repeat(firsts, np.diff(np.append(firsts, len(new))))
+    return np.sort(order[(number <= k) & (again < k)])
+
+
+def _directions(vecs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Vectors of length one; zeros for those without a length."""
+    return np.divide(vecs, sizes[:, None], out=np.zeros_like(vecs), where=sizes[:, None] > 0).astype(np.float32)
+
+
+class _Held:
+    """Documents that queries are scored with: in slices of like direction, copies that cannot be found left out.
+
+    Products of single precision tell which documents can be among the best, by the most that rounding may
+    add to them; those are scored in double precision, equal vectors to equal scores.
+    """
+
+    def __init__(self, ids: pa.Array, vecs: np.ndarray, k: int, centres: np.ndarray | None):
+        place = _first_copies(vecs, _plain(ids), k)
+        place = place[~np.isinf(vecs[place]).any(axis=1)]  # others have no score
+        cell, angle = np.zeros(len(place), np.int64), np.zeros(len(place))
+        if centres is not None:
+            angles = _angles(vecs[place], centres)
+            cell, angle = angles.argmin(axis=1), angles.min(axis=1)
+        order = np.lexsort((angle, cell))
+        cell, angle = cell[order], angle[order]
+        edges = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+        cuts = [range(a, b, DOC_SLICE) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        starts = np.array([x for cut in cuts for x in cut], np.int64)
+        stops = np.append(starts[1:], len(order))[: len(starts)]
+        self.cell, self.low, self.high = cell[starts], angle[starts], angle[stops - 1]
+        self.ids, self.place, self.centres = ids, place[order], centres
+        self.plain, self.vecs = _plain(ids)[self.place], vecs[self.place]
+        self.sizes = np.linalg.norm(self.vecs, axis=1)
+        unit = _directions(self.vecs, self.sizes)
+        # every slice is filled up to a multiple of LOOK
+        self.slices = [(a, b, np.concatenate([unit[a:b], np.zeros((-(b - a) % LOOK, unit.shape[1]), np.float32)]))
+                       for a, b in zip(starts, stops, strict=True)]
+        self.slack = 4 * (unit.shape[1] + 4) * 2.0**-24
+
+    def best(
+        self, ids: np.ndarray, vecs: np.ndarray, least: np.ndarray, k: int, skip_self: bool
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, rows of `ids`) of the best `k` documents of every query, -1 for none; `least` of them are known."""
+        n = len(vecs)
+        sizes = np.linalg.norm(vecs, axis=1)
+        unit = np.ascontiguousarray(_directions(vecs, sizes).T)
+        score, at = np.full((n, k), -np.inf), np.full((n, k), -1)
+        gaps = None if self.centres is None else _gaps(_angles(vecs, self.centres), self.cell, self.low, self.high)
+        for s, (a, b, directions) in enumerate(self.slices):
+            bound = np.maximum(least, score[:, -1])
+            some = np.arange(n)
+            if gaps is not None:
+                some = np.flatnonzero(~(gaps[:, s] > np.arccos(np.clip(bound, -1, 1)) + SLACK))
+                if not len(some):
+                    continue
+            near = directions @ (unit if len(some) == n else unit[:, some])
+            near[b - a :] = -np.inf
+            cut = bound[some] - self.slack
+            fresh = np.flatnonzero(np.isneginf(cut))
+            if skip_self and len(fresh):
+                near[: b - a][self.plain[a:b, None] == ids[some]] = -np.inf
+            top = near.reshape(-1, LOOK, len(some)).max(axis=1)
+            if len(fresh) and len(top) >= k:  # the largest scores of `k` groups are `k` scores
+                cut[fresh] = np.partition(top[:, fresh], len(top) - k, axis=0)[-k] - 2 * self.slack
+            cut = cut.astype(np.float32)
+            group, asked = np.nonzero(top >= cut)
+            step = max(1, (1 << 20) // LOOK)
+            for i in range(0, len(group), step):
+                groups, asks = group[i : i + step], asked[i : i + step]
+                hit, inner = np.nonzero(near.reshape(-1, LOOK, len(some))[groups, :, asks] >= cut[asks, None])
+                doc, ask = groups[hit] * LOOK + inner, asks[hit]
+                real = doc < b - a
+                doc, ask = a + doc[real], some[ask[real]]
+                if skip_self:
+                    other = ~(self.plain[doc] == ids[ask])
+                    doc, ask = doc[other], ask[other]
+                if len(doc):
+                    self._take(score, at, ask, doc, self._scores(doc, vecs, sizes, ask))
+        return score, at
+
+    def _scores(self, doc: np.ndarray, vecs: np.ndarray, sizes: np.ndarray, ask: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(doc))
+        step = max(1, SHELF_NUMBERS // (8 * vecs.shape[1]))
+        for i in range(0, len(doc), step):
+            d, q = doc[i : i + step], ask[i : i + step]
+            scale = self.sizes[d] * sizes[q]
+            np.divide(np.einsum("ij,ij->i", self.vecs[d], vecs[q]), scale, out=out[i : i + step], where=scale > 0)
+        return out
+
+    def _take(self, score: np.ndarray, at: np.ndarray, ask: np.ndarray, doc: np.ndarray, found: np.ndarray) -> None:
+        """Puts the documents found among the best of their queries; of equal scores the smallest id goes first."""
+        k = score.shape[1]
+        finite = np.isfinite(found)
+        ask, place, found = ask[finite], self.place[doc[finite]], found[finite]
+        asks = np.unique(ask)
+        held = at[asks] >= 0
+        ask = np.concatenate([np.repeat(asks, held.sum(axis=1)), ask])
+        place = np.concatenate([at[asks][held], place])
+        found = np.concatenate([score[asks][held], found])
+        order = np.lexsort((place, -found, ask))
+        ask, place, found = ask[order], place[order], found[order]
+        firsts = np.flatnonzero(np.diff(ask, prepend=-1))
+        rank = np.arange(len(ask)) - np.repeat(firsts, np.diff(np.append(firsts, len(ask))))
+        few = rank < k
+        at[ask[few], rank[few]] = place[few]
+        score[ask[few], rank[few]] = found[few]
+
+
+def _best_of_blocks(k: int, skip_self: bool, centres: np.ndarray | None = None):
+    """The best `k` documents of every query of rows (block, part, asks, query_id, doc_id, vec, least).
 
     The rows of a part come together, its documents by their id and then its queries. A worker holds the
-    documents of one block and scores a few queries at a time.
+    documents of one block or shelf and scores a few queries at a time. `least` is a score that the best `k`
+    documents of a query reach, if one is known; with `centres` its documents out of reach are passed over.
     """
 
-    def scored(asks: pa.RecordBatch, docs: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids = pa.concat_arrays([d.column("doc_id") for d in docs])
-        held = np.concatenate([_matrix(d.column("vec")) for d in docs])
-        sizes, plain = np.linalg.norm(held, axis=1), _plain(doc_ids)
+    def scored(asks: pa.RecordBatch, held: _Held) -> Iterator[pa.RecordBatch]:
         for start in range(0, asks.num_rows, ASK_SLICE):
             some = asks.slice(start, ASK_SLICE)
-            ids, vecs = some.column("query_id"), _matrix(some.column("vec"))
-            scale = np.outer(np.linalg.norm(vecs, axis=1), sizes)
-            dots = vecs @ held.T
-            scores = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
-            if skip_self:
-                scores[_plain(ids)[:, None] == plain[None, :]] = -np.inf
-            every = np.arange(len(ids))
-            for _ in range(min(k, len(doc_ids))):
-                at = scores.argmax(axis=1)  # the first maximum is the smallest document id
-                found = scores[every, at]
-                scores[every, at] = -np.inf
-                keep = np.flatnonzero(np.isfinite(found))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(keep)), doc_ids.take(pa.array(at[keep])), pa.array(found[keep])],
-                    names=["query_id", "doc_id", "score"],
-                )
+            ids, least = some.column("query_id"), np.full(some.num_rows, -np.inf)
+            if "least" in some.schema.names:
+                known = some.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+                least = np.where(np.isnan(known), -np.inf, known)
+            score, at = held.best(_plain(ids), _matrix(some.column("vec")), least, k, skip_self)
+            ask, rank = np.nonzero(at >= 0)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(ask)), held.ids.take(pa.array(at[ask, rank])), pa.array(score[ask, rank])],
+                names=["query_id", "doc_id", "score"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, docs = None, []
+        current, docs, held = None, [], None
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
@@ -78,25 +196,41 @@ def _best_of_blocks(k: int, skip_self: bool):
                     continue
                 part, asks = (keys[0, a], keys[1, a]), keys[2, a]
                 if part != current:
-                    current, docs = part, []
+                    current, docs, held = part, [], None
                 if not asks:
                     docs.append(batch.slice(a, b - a))
-                elif docs:
-                    yield from scored(batch.slice(a, b - a), docs)
+                elif docs or held:
+                    if held is None:
+                        vecs = np.concatenate([_matrix(d.column("vec")) for d in docs])
+                        held = _Held(pa.concat_arrays([d.column("doc_id") for d in docs]), vecs, k, centres)
+                        docs = []
+                    yield from scored(batch.slice(a, b - a), held)
 
     return run
 
 
-def _angles(vecs: pd.Series, pivots: np.ndarray) -> np.ndarray:
+def _angles(vecs: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Angles between vectors, none of them zero, and the pivots."""
-    rows = np.array(vecs.tolist(), np.float64).reshape(len(vecs), -1)
-    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     return np.arccos(np.clip(rows @ pivots.T, -1, 1))
 
 
+def _gaps(angles: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least angles that vectors at `angles` to the pivots can make with documents between two angles to theirs."""
+    own = angles[:, cells]
+    return np.maximum(np.maximum(own - high, low - own), 0)
+
+
+def _rows(vecs: pd.Series) -> np.ndarray:
+    return np.array(vecs.tolist(), np.float64).reshape(len(vecs), -1)
+
+
 class VectorIndex:
     """Documents in blocks of like direction, for an exact search that skips blocks.
 
+    Blocks side by side form a shelf. What moves are queries and shelves: a query goes to a shelf once, whatever
+    the number of blocks there that it has to be compared with, and a shelf once to every part of its queries.
+
     A document belongs to the pivot it makes the smallest angle with; the documents of a pivot are cut into
     blocks by that angle. As angles obey the triangle inequality, no document of a block is closer to a query
     than the gap between the query's angle to the pivot and the block's range of angles. The pivots are a
@@ -117,7 +251,7 @@ class VectorIndex:
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                angles = _angles(pdf["vec"], centres)
+                angles = _angles(_rows(pdf["vec"]), centres)
                 yield pdf.assign(cell=angles.argmin(axis=1).astype(np.int32), angle=angles.min(axis=1))
 
         if not len(drawn):
@@ -132,67 +266,89 @@ class VectorIndex:
         cut = placed.withColumn("step", step).join(F.broadcast(steps), ["cell", "step"])
         # a step that fills blocks of its own is split by hash
         part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0)
-        self.docs = cut.select(F.xxhash64("cell", "first", part).alias("block"), "id", "vec", "cell", "angle")
+        docs = cut.select(F.xxhash64("cell", "first", part).alias("block"), "id", "vec", "cell", "angle")
         self.blocks = checkpoint(
-            self.docs.groupBy("block", "cell").agg(
+            docs.groupBy("block", "cell").agg(
                 F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("size")
             )
         )
+        # as many rows as there are blocks
+        spans = self.blocks.orderBy("cell", "low", "block").toPandas()
+        rows = max(block, SHELF_NUMBERS // centres.shape[1])
+        spans["shelf"] = (spans["size"].cumsum() - spans["size"]) // rows
+        self.spans = spans
+        shelves = docs.sparkSession.createDataFrame(spans[["block", "shelf"]], "block long, shelf long")
+        self.docs = docs.join(F.broadcast(shelves), "block")
 
-    def pairs(self, asks: DataFrame) -> DataFrame:
-        """(id, vec, cell, angle) of every query and pivot, the pivots whose documents are all too far away left out.
+    def best(self, visits: DataFrame, k: int, skip_self: bool, group: int) -> DataFrame:
+        """(query_id, doc_id, score): the best `k` of every visit (block or shelf, id, vec, least).
 
-        A null `reach` keeps all of them.
+        About `group` queries of a block or shelf meet it together.
         """
-        centres, kinds = self.pivots, dict(asks.dtypes)
-        spans = self.blocks.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
-        cells = np.array([r["cell"] for r in spans])
-        low, high = np.array([r["low"] for r in spans]), np.array([r["high"] for r in spans])
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in (b.iloc[i : i + ASK_SLICE // 4] for b in batches for i in range(0, len(b), ASK_SLICE // 4)):
-                angles = _angles(pdf["vec"], centres)[:, cells]
-                gap = np.maximum(np.maximum(angles - high, low - angles), 0)
-                reach = pdf["reach"].to_numpy(np.float64)
-                near = (gap <= reach[:, None] + SLACK) | np.isnan(reach)[:, None]
-                i, j = np.nonzero(near)
-                yield pdf.iloc[i].assign(cell=cells[j].astype(np.int32), angle=angles[i, j])
-
-        return asks.mapInPandas(run, f"id {kinds['id']}, vec {kinds['vec']}, reach double, cell int, angle double")
-
-    def best(self, visits: DataFrame, k: int, skip_self: bool, group: int) -> DataFrame:
-        """(query_id, doc_id, score): the best `k` of every (block, id, vec) visit; queries of a block meet it together."""
-        counts = visits.groupBy("block").agg(F.ceil(F.count("*") / group).alias("parts"))
+        key = "shelf" if "shelf" in visits.columns else "block"
+        counts = checkpoint(visits.groupBy(key).agg(F.ceil(F.count("*") / group).alias("parts")))
+        tasks = counts.agg(F.sum("parts")).first()[0] or 0
+        tasks = max(2 * tasks, int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         kinds = dict(visits.dtypes)["id"], dict(self.docs.dtypes)["id"]
         wide = dict(visits.dtypes)["vec"] != dict(self.docs.dtypes)["vec"]
         vec = F.col("vec").cast("array<double>").alias("vec") if wide else F.col("vec")
-        asks = visits.join(counts, "block").select(
-            "block", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(True).alias("asks"),
-            F.col("id").alias("query_id"), F.lit(None).cast(kinds[1]).alias("doc_id"), vec,
+        asks = visits.join(F.broadcast(counts), key).select(
+            key, F.pmod(F.xxhash64("id", "vec"), F.col("parts")).alias("part"), F.lit(True).alias("asks"),
+            F.col("id").alias("query_id"), F.lit(None).cast(kinds[1]).alias("doc_id"), vec, "least", "cell",
         )
-        held = self.docs.select("block", "id", "vec").join(counts, "block").select(
-            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+        held = self.docs.select(key, "id", "vec").join(F.broadcast(counts), key).select(
+            key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
             F.lit(False).alias("asks"), F.lit(None).cast(kinds[0]).alias("query_id"), F.col("id").alias("doc_id"), vec,
+            F.lit(None).cast("double").alias("least"), F.lit(None).cast("int").alias("cell"),
         )
-        met = held.unionByName(asks).repartition("block", "part").sortWithinPartitions("block", "part", "asks", "doc_id")
-        return met.mapInArrow(_best_of_blocks(k, skip_self), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+        # queries of like direction are scored together
+        met = held.unionByName(asks).repartition(tasks, key, "part")
+        met = met.sortWithinPartitions(key, "part", "asks", "doc_id", "cell").drop("cell")
+        centres = self.pivots if key == "shelf" else None
+        return met.mapInArrow(_best_of_blocks(k, skip_self, centres), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
 
     def home(self, asks: DataFrame, least: int) -> DataFrame:
-        """(block, id, vec): for every query a block near it with at least `least` documents, if there is any."""
-        near = self.pairs(asks.withColumn("reach", F.lit(None).cast("double")))
-        gap = F.greatest(F.col("angle") - F.col("high"), F.col("low") - F.col("angle"), F.lit(0.0))
-        big = self.blocks.where(F.col("size") >= least)
-        closest = near.join(big, "cell").groupBy("id").agg(
-            F.min(F.struct(gap.alias("gap"), "angle", "block")).alias("best"), F.first("vec").alias("vec")
-        )
-        return closest.select(F.col("best.block").alias("block"), "id", "vec")
+        """(block, id, vec, least, cell): for every query a block near it with at least `least` documents, if there is any.
+
+        Nothing is known yet of the scores.
+        """
+        centres, spans = self.pivots, self.spans[self.spans["size"] >= least]
+        blocks, cells = spans["block"].to_numpy(), spans["cell"].to_numpy()
+        low, high = spans["low"].to_numpy(), spans["high"].to_numpy()
 
-    def visits(self, asks: DataFrame, reach: DataFrame) -> DataFrame:
-        """(block, id, vec): the blocks that may hold a document within the query's `reach` (id, reach)."""
-        near = self.pairs(asks.join(reach, "id", "left").select("id", "vec", "reach"))
-        met = near.join(self.blocks, "cell")
-        gap = F.greatest(F.col("angle") - F.col("high"), F.col("low") - F.col("angle"))
-        return met.where(F.col("reach").isNull() | (gap <= F.col("reach") + SLACK)).select("block", "id", "vec")
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in (b.iloc[i : i + ASK_SLICE // 4] for b in batches for i in range(0, len(b), ASK_SLICE // 4)):
+                if len(blocks):
+                    angles = _angles(_rows(pdf["vec"]), centres)
+                    gaps = _gaps(angles, cells, low, high)
+                    angles = np.where(gaps > gaps.min(axis=1, keepdims=True), np.inf, angles[:, cells])
+                    at = angles.argmin(axis=1)
+                    yield pdf.assign(block=blocks[at], cell=cells[at])
+
+        kinds = dict(asks.dtypes)
+        found = asks.mapInPandas(run, f"id {kinds['id']}, vec {kinds['vec']}, block long, cell int")
+        return found.withColumn("least", F.lit(None).cast("double"))
+
+    def visits(self, asks: DataFrame, least: DataFrame) -> DataFrame:
+        """(shelf, id, vec, least, cell): the shelves that may hold a document with the query's `least` score (id, least).
+
+        A null `least` keeps all of them.
+        """
+        centres, spans, kinds = self.pivots, self.spans, dict(asks.dtypes)
+        cells, low, high = spans["cell"].to_numpy(), spans["low"].to_numpy(), spans["high"].to_numpy()
+        shelves, first = np.unique(spans["shelf"].to_numpy(), return_index=True)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in (b.iloc[i : i + ASK_SLICE // 4] for b in batches for i in range(0, len(b), ASK_SLICE // 4)):
+                angles = _angles(_rows(pdf["vec"]), centres)
+                reach = np.arccos(np.clip(pdf["least"].to_numpy(np.float64), -1, 1))[:, None]
+                near = ~(_gaps(angles, cells, low, high) > reach + SLACK)
+                near = np.logical_or.reduceat(near, first, axis=1)
+                yield pdf.assign(cell=angles.argmin(axis=1).astype(np.int32), shelves=[shelves[x] for x in near])
+
+        known = asks.join(least, "id", "left").select("id", "vec", "least")
+        found = known.mapInPandas(run, f"id {kinds['id']}, vec {kinds['vec']}, least double, cell int, shelves array<long>")
+        return found.select(F.explode("shelves").alias("shelf"), "id", "vec", "least", "cell")
 
 
 def _solid(vec: str) -> Column:
@@ -215,7 +371,7 @@ def vector_topk(
 
     A block near the query gives `k` documents and with them the angle within which all better ones lie; only
     blocks that reach into it are visited. Exact whatever the data: where directions do not cluster, all blocks are
-    visited. Rows without a vector take no part. `index` reuses a VectorIndex of `docs`.
+    visited, and queries and documents meet by shelves of blocks. Rows without a vector take no part. `index` reuses a VectorIndex of `docs`.
     """
     index = index or VectorIndex(docs, doc_id, doc_vec, PIVOTS, DOC_SLICE)
     asks = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("vec")).where(F.col(query_vec).isNotNull())
@@ -234,12 +390,11 @@ def vector_topk(
     if index.docs is not None:
         solid = checkpoint(solid)
         start = index.best(index.home(solid, few), k, skip_self, QUERY_BATCH)
-        reach = start.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-        reach = reach.where(F.col("n") >= k).select(
-            F.col("query_id").alias("id"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "least"))).alias("reach")
-        )
-        visits = index.visits(solid, checkpoint(reach))
-        found = found.unionByName(index.best(visits, k, skip_self, QUERY_BATCH))
+        least = start.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        least = least.where(F.col("n") >= k).select(F.col("query_id").alias("id"), "least")
+        visits = index.visits(solid, checkpoint(least))
+        group = max(QUERY_BATCH, min(solid.count() // QUERY_PARTS, SHELF_NUMBERS // index.pivots.shape[1]))
+        found = found.unionByName(index.best(visits, k, skip_self, group))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k)

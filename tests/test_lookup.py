@@ -1,6 +1,7 @@
 import random
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from cinderleaf.fixed import place_rules as rules
@@ -227,3 +228,85 @@ def test_a_worker_holds_one_block_of_vectors(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == 60 * 1000 * 3 and peak < 30e6
+
+
+def _best_by_hand(queries, docs, k, skip_self):
+    """{id: sorted scores and documents of its best k}; rows that repeat an id share one answer."""
+    import numpy as np
+
+    found = {}
+    for i, q in queries:
+        for j, d in docs:
+            if not (skip_self and i is not None and i == j):
+                scale = np.linalg.norm(q) * np.linalg.norm(d)
+                found.setdefault(i, []).append((-round(float(q @ d / scale) if scale > 0 else 0.0, 9), j))
+    return {i: sorted(x, key=lambda e: (e[0], e[1] is not None, e[1]))[:k] for i, x in found.items()}
+
+
+@pytest.mark.parametrize("skip_self", [False, True])
+def test_vectors_go_to_a_shelf_once(spark, monkeypatch, skip_self):
+    """A query was sent to every block that it visits; without clusters that is every block there is."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(400, 16))
+    vecs[20:90] = vecs[20]  # copies, more than a block has
+    ids = list(range(400))
+    ids[95], ids[96], ids[30] = 94, 94, 29  # ids that repeat, with other vectors and with equal ones
+    rows = list(zip(ids, vecs, strict=True))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(retrieval, "SHELF_NUMBERS", 100 * 16)
+    monkeypatch.setattr(retrieval, "QUERY_BATCH", 50)
+    index = retrieval.VectorIndex(df, "id", "embedding", 20, 10)
+    asked = []
+    visits = retrieval.VectorIndex.visits
+    monkeypatch.setattr(retrieval.VectorIndex, "visits", lambda self, *a: asked.append(visits(self, *a)) or asked[-1])
+    got = retrieval.vector_topk(df, df, 3, query_id="id", doc_id="id", skip_self=skip_self, index=index).collect()
+    assert index.blocks.count() > 30
+    assert asked[0].count() <= 6 * 400
+    mine = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        mine.setdefault(r["query_id"], []).append((-round(r["score"], 9), r["doc_id"]))
+    assert mine == _best_by_hand(rows, rows, 3, skip_self)
+
+
+def test_copies_of_a_vector_and_null_ids():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    vecs = rng.normal(size=(300, 8))
+    vecs[50:250] = vecs[50]
+    vecs[7, 3] = np.nan
+    ids = [None, None, *sorted(rng.integers(0, 40, 298).tolist())]
+    held = retrieval._Held(pa.array(ids), vecs, 3, vecs[[1, 60, 270]] / np.linalg.norm(vecs[[1, 60, 270]], axis=1)[:, None])
+    assert len(held.place) < 120
+    plain = retrieval._plain(pa.array(ids))
+    score, at = held.best(plain, vecs, np.full(300, -np.inf), 3, True)
+    for n, i in enumerate(ids):
+        every = _best_by_hand([(i, vecs[n])], zip(ids, vecs, strict=True), 3, True)[i]
+        assert [(-round(s, 9), ids[a]) for s, a in zip(score[n], at[n], strict=True)] == every
+
+
+def test_slices_of_a_shelf_out_of_reach_are_not_scored():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 16))
+    vecs = np.concatenate([c + 0.05 * rng.normal(size=(100, 16)) for c in centres])
+    pivots = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    held = retrieval._Held(pa.array(range(1200)), vecs, 3, pivots)
+    scored = []
+
+    class Counted:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def __matmul__(self, asks):
+            scored.append(len(self.rows) * asks.shape[1])
+            return self.rows @ asks
+
+    held.slices = [(a, b, Counted(rows)) for a, b, rows in held.slices]
+    held.best(np.arange(1200), vecs, np.full(1200, 0.9), 3, False)
+    assert len(held.slices) == 12 and sum(scored) < 0.25 * 1200 * 1200
