@@ -36,6 +36,10 @@ CHUNK = 48
 SLICE = 1 << 18
 UNKNOWN = "und"
 PREDICTED = "id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long, shares array<double>"
+EVIDENCE = PREDICTED + ", lang string, lettered long, evidence double, variance double"
+# A text is in none of the languages if its words speak less for its language than this share of what words of held-out
+# texts of that language do, and less by so many deviations; a language with fewer held-out texts keeps all of its texts.
+LEAST_SHARE, DEVIATIONS, LEAST_HELD = 0.5, 6, 20
 
 
 def word_features(
@@ -265,8 +269,13 @@ def train(docs: DataFrame, texts: int = TEXTS, segments: int = SEGMENTS) -> Mode
     return model
 
 
-def predict(rows: DataFrame, model: Model) -> DataFrame:
-    """PREDICTED rows of (id, held_out, text, letters); `letters` says whether the text has a letter."""
+def predict(rows: DataFrame, model: Model, evidence: bool = False) -> DataFrame:
+    """PREDICTED rows of (id, held_out, text, letters); `letters` says whether the text has a letter.
+
+    With `evidence`, EVIDENCE rows of (id, held_out, text, letters, lang): how many words have a letter, and mean and
+    variance over them of what their features say for the language that the chain gives them, above the mean of
+    all languages. Words unlike any that the model has learned from say next to nothing.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,20 +306,46 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
                 named = letters & (shares.sum(axis=1) > 0)
                 top = shares.argmax(axis=1)
                 names = [model.languages[t] if s else UNKNOWN for t, s in zip(top, named, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        batch.column(1).slice(a, b - a),
-                        pa.array(names, pa.string()),
-                        pa.array(np.where(named, np.minimum(shares.max(axis=1), 1.0), 0.0)),
-                        pa.array(np.diff(first).astype(np.int64)),
-                        pa.array(switches),
-                        pa.array(list(shares), pa.list_(pa.float64())),
-                    ],
-                    names=["id", "held_out", "lang_pred", "score", "n_words", "n_switches", "shares"],
-                )
-
-    return rows.mapInArrow(run, PREDICTED)
+                cells = {
+                    "id": batch.column(0).slice(a, b - a),
+                    "held_out": batch.column(1).slice(a, b - a),
+                    "lang_pred": pa.array(names, pa.string()),
+                    "score": pa.array(np.where(named, np.minimum(shares.max(axis=1), 1.0), 0.0)),
+                    "n_words": pa.array(np.diff(first).astype(np.int64)),
+                    "n_switches": pa.array(switches),
+                    "shares": pa.array(list(shares), pa.list_(pa.float64())),
+                }
+                if evidence:
+                    says = np.zeros(len(back))
+                    if k:
+                        says = (chance * own).sum(axis=1) - own.mean(axis=1)
+                    count = np.bincount(owners, weights=lettered[back], minlength=b - a)
+                    mean, square = (
+                        np.bincount(owners, weights=x * lettered[back], minlength=b - a) / np.maximum(count, 1)
+                        for x in (says, says * says)
+                    )
+                    cells["lang"] = batch.column(4).slice(a, b - a)
+                    cells["lettered"] = pa.array(count.astype(np.int64))
+                    cells["evidence"] = pa.array(mean)
+                    cells["variance"] = pa.array(np.maximum(square - mean * mean, 0))
+                yield pa.RecordBatch.from_arrays(list(cells.values()), names=list(cells))
+
+    return rows.mapInArrow(run, EVIDENCE if evidence else PREDICTED)
+
+
+def learn(
+    docs: DataFrame, id_col: str, text: str, lang: str, parts: int, held: int, texts: int, segments: int
+) -> tuple[Model, DataFrame]:
+    """(the model of the rows that are not held out, rows (id, held_out, text, letters, lang) to ask it for)."""
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        (remainder(id_col, parts) == held).alias("held_out"),
+        F.col(text).alias("text"),
+        F.col(lang).cast("string").alias("lang"),
+    )
+    model = train(rows.where("NOT held_out").select("id", "text", "lang"), texts, segments)
+    letters = whole("text").rlike(r"\p{L}").alias("letters")
+    return model, rows.select("id", "held_out", whole("text").alias("text"), letters, "lang")
 
 
 def identify(
@@ -330,28 +365,45 @@ def identify(
     one without a letter is `und` with score 0, and so is every text when there is nothing to learn
     from. Rows that repeat an id are predicted on their own. An empty table gives an empty result.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        (remainder(id_col, parts) == held).alias("held_out"),
-        F.col(text).alias("text"),
-        F.col(lang).cast("string").alias("lang"),
-    )
-    model = train(rows.where("NOT held_out").select("id", "text", "lang"), texts, segments)
-    asked = rows.select("id", "held_out", whole("text").alias("text"), whole("text").rlike(r"\p{L}").alias("letters"))
+    model, asked = learn(docs, id_col, text, lang, parts, held, texts, segments)
     names = F.array(*[F.lit(name) for name in model.languages]) if model.languages else F.array(F.lit(UNKNOWN))
-    found = predict(asked, model).withColumn("shares", F.map_from_arrays(names, F.col("shares")))
+    found = predict(asked.drop("lang"), model).withColumn("shares", F.map_from_arrays(names, F.col("shares")))
     return found.withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_identified(
+    docs: DataFrame,
+    least: float = 0.0,
+    id_col: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    parts: int = 5,
+    held: int = 0,
+    texts: int = TEXTS,
+    segments: int = SEGMENTS,
+) -> DataFrame:
     """The rows of `docs` with a language that at least a share `least` of their words has, columns unchanged.
 
-    Rows without a letter go. Short clean texts can be of even shares, so `least` is 0 unless asked for.
+    The model decides: rows without a letter go, and rows whose words speak too little for the language predicted
+    (`LEAST_SHARE`), measured by held-out rows that have this language as their label and are predicted so. The
+    mean of few words varies more, so short texts go only if they are further off (`DEVIATIONS`). Short clean
+    texts can be of even shares, so `least` is 0 unless asked for.
     Rows that repeat an id go together when one of them goes; rows with a null id share one verdict likewise.
     Null and empty texts go. Columns of any name are allowed; an empty table gives an empty result.
     """
-    found = identify(docs, id_col, **options)
-    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
+    model, asked = learn(docs, id_col, text, lang, parts, held, texts, segments)
+    found = predict(asked, model, evidence=True)
+    found = checkpoint(found.drop("n_words", "n_switches", "shares"))
+    usual = found.where("held_out AND lang = lang_pred").groupBy("lang_pred").agg(
+        F.count("*").alias("texts"),
+        F.avg("evidence").alias("mean"),
+        F.var_samp("evidence").alias("between"),
+        F.avg("variance").alias("within"),
+    )
+    known = found.join(F.broadcast(usual.where(F.col("texts") >= LEAST_HELD)), "lang_pred", "left")
+    far = F.col("mean") - DEVIATIONS * F.sqrt(F.col("between") + F.col("within") / F.col("lettered"))
+    foreign = F.col("evidence") < F.least(LEAST_SHARE * F.col("mean"), far)
+    verdict = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < least) | F.coalesce(foreign, F.lit(False))
     name = free_name(docs)
-    gone = checkpoint(gone.select(F.col(id_col).alias(name)).distinct())
+    gone = checkpoint(known.where(verdict).select(F.col("id").alias(name)).distinct())
     return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")

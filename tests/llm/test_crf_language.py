@@ -123,3 +123,19 @@ def test_memory_of_a_worker_is_bounded_by_the_slice():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 15_000 and peak < 150e6
+
+
+def test_texts_in_no_learned_language_go(spark):
+    """Every text with a letter stayed, whatever the model found in its words."""
+    data = rows(600)
+    chance = random.Random(9)
+
+    def junk(letters, n):
+        return " ".join("".join(chance.choice(letters) for _ in range(chance.randrange(3, 9))) for _ in range(n))
+
+    foreign = [(2000 + i, junk("wxyzqjvu", 40 + i), None) for i in range(20)]
+    foreign += [(3000 + i, junk("абвгдежзик", 60), None) for i in range(5)]
+    short = [(4000 + i, prose(chance, list(SOUNDS)[i % 3], 1), None) for i in range(30)]
+    switched = [(5000 + i, prose(chance, "aa", 30) + " " + prose(chance, "bb", 30), None) for i in range(5)]
+    kept = keep_identified(frame(spark, data + foreign + short + switched))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in data + short + switched)
